@@ -63,7 +63,7 @@ def stock_label(stock) -> Column:
 
 def rating_label(rating) -> Column:
     """One decimal, half up on the decimal value (4.25 -> '4.3')."""
-    r = F.round(col_(rating).cast("decimal(10,4)"), 1)
+    r = F.round(col_(rating).cast("decimal(10,4)"), 1).cast("decimal(10,1)")
     return r.cast("string")
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from escrowlens.registry.core import REGISTRY, runner
 
-_MODULES = ["q_dashboards"]
+_MODULES = ["q_dashboards", "q_views", "q_catalog"]
 
 
 def _load() -> None:

@@ -32,11 +32,14 @@ def register(name: str, sql: str | None = None, needs_session: bool = False):
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Output convention: decimals leave as double (rates, ratings)."""
+    """Output convention: decimals leave as double (rates, ratings) and nested
+    values as JSON text, so both engines hash the same plain values."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DecimalType):
             cols.append(F.col(f.name).cast("double").alias(f.name))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            cols.append(F.to_json(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
