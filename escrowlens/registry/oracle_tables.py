@@ -222,6 +222,73 @@ m_status_events AS (
               ELSE 'completed' END AS status,
          ts
   FROM m_events WHERE event_id % 10 = 0
+),
+m_settle_cmds AS (
+  SELECT 'ST-' || id AS cmd_id, id AS order_id,
+         coalesce(completed_at, delivered_at, created_at) AS requested_at
+  FROM m_orders WHERE status IN ('completed', 'delivered')
+),
+m_status_cmds AS (
+  SELECT 'SS-' || id AS cmd_id, id AS order_id,
+         CASE status WHEN 'delivered' THEN 'completed' WHEN 'paid' THEN 'processing'
+              ELSE 'delivered' END AS new_status,
+         'batch ' || status AS note,
+         CASE WHEN quantity = 13 THEN 'B2' ELSE 'B0' END AS actor_id,
+         updated_at AS requested_at
+  FROM m_orders WHERE status IN ('delivered', 'paid', 'processing')
+),
+m_confirm_cmds AS (
+  SELECT 'CF-' || id AS cmd_id, id AS order_id,
+         CASE WHEN quantity = 7 THEN seller_id ELSE buyer_id END AS caller_id,
+         updated_at AS requested_at
+  FROM m_orders WHERE status IN ('delivered', 'processing')
+),
+m_refund_cmds AS (
+  SELECT 'RF-' || id AS cmd_id, id AS order_id,
+         CASE WHEN quantity % 3 = 0 THEN NULL ELSE 'sengketa ' || status END AS reason,
+         'B0' AS actor_id, updated_at AS requested_at
+  FROM m_orders WHERE status IN ('disputed', 'completed', 'cancelled', 'paid')
+  UNION ALL
+  SELECT 'RF2-' || id AS cmd_id, id AS order_id, 'ulang' AS reason, 'B0' AS actor_id,
+         updated_at + INTERVAL 1 HOUR AS requested_at
+  FROM m_orders WHERE status = 'disputed' AND quantity = 11
+),
+m_suspend_cmds AS (
+  SELECT 'SU-' || event_id AS cmd_id, 'B' || user_id AS user_id, value >= 25 AS suspend,
+         CASE WHEN value >= 25 THEN 'spam ' || props END AS reason,
+         'B0' AS actor_id, ts AS requested_at
+  FROM m_events WHERE event_type = 'view'
+),
+m_role_cmds AS (
+  SELECT 'RO-' || event_id AS cmd_id, 'B' || user_id AS user_id,
+         (['pembeli', 'penjual', 'admin', 'moderator'])[event_id % 4 + 1] AS new_role,
+         'B0' AS actor_id, ts AS requested_at
+  FROM m_events WHERE event_type = 'signup'
+),
+m_toggle_cmds AS (
+  SELECT 'TG-' || id AS cmd_id, id AS product_id, NOT is_active AS active,
+         'stok ' || stock AS reason, 'B0' AS actor_id,
+         TIMESTAMP '2001-08-01 00:00:00' AS requested_at
+  FROM m_products WHERE stock < 5
+  UNION ALL
+  SELECT 'TGX-' || id AS cmd_id, -1 - id AS product_id, false AS active,
+         CAST(NULL AS VARCHAR) AS reason, 'B0' AS actor_id,
+         TIMESTAMP '2001-08-01 00:00:00' AS requested_at
+  FROM m_products WHERE stock = 0
+),
+m_conv_requests AS (
+  SELECT 'CR-' || event_id AS req_id, 'B' || user_id AS me_id,
+         CASE WHEN event_type = 'error' AND value < 5 THEN 'B' || user_id
+              ELSE 'S' || (user_id % (SELECT count(*) FROM supplier)) END AS other_id,
+         CASE WHEN value < 20 THEN NULL ELSE event_id % (SELECT count(*) FROM part) END
+           AS product_id,
+         ts AS requested_at
+  FROM m_events WHERE event_type IN ('click', 'error')
+),
+m_signups AS (
+  SELECT 'U' || event_id AS account_id, 'user' || user_id || '@mail.test' AS email,
+         props AS raw_user_meta_data, ts AS created_at
+  FROM m_events WHERE event_type = 'signup'
 )
 """
 
@@ -230,6 +297,9 @@ def with_tables(query: str) -> str:
     """Prefix a query with the marketplace CTEs (it may add CTEs of its own
     by starting with ``, name AS (...)``)."""
     q = query.strip()
+    head = "WITH"
+    if q.startswith("RECURSIVE"):
+        head, q = "WITH RECURSIVE", q[len("RECURSIVE"):].strip()
     if q.startswith(","):
-        return "WITH" + CTES + q
-    return "WITH" + CTES + "\n" + q
+        return head + CTES + q
+    return head + CTES + "\n" + q

@@ -24,7 +24,7 @@ from escrowlens.sources.driver import read_table
 MARKET_TABLES = ["orders", "profiles", "accounts", "wallets", "products", "reviews",
                  "platform_commission", "app_settings", "admin_wallet", "conversations",
                  "messages", "forum_messages", "wallet_transactions", "admin_logs",
-                 "wallet_commands", "status_events"]
+                 "wallet_commands", "status_events", "events"]
 
 BASE_DAY = "2001-01-01 00:00:00"
 CHAT_DAY = "2024-01-01 00:00:00"
@@ -346,7 +346,7 @@ def event_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                    status.alias("status"), "ts")
     se = se.unionByName(se.filter(F.col("event_id") % 10 == 0))
     return {"forum_messages": forum, "wallet_commands": cmds, "wallet_transactions": ledger,
-            "admin_logs": logs, "status_events": se}
+            "admin_logs": logs, "status_events": se, "events": ev}
 
 
 def build_marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
