@@ -6,7 +6,7 @@ import importlib
 
 from escrowlens.registry.core import REGISTRY, runner
 
-_MODULES = ["q_dashboards", "q_views", "q_catalog", "q_ledger"]
+_MODULES = ["q_dashboards", "q_views", "q_catalog", "q_ledger", "q_commands"]
 
 
 def _load() -> None:
