@@ -1,0 +1,208 @@
+"""Registered chat, forum, visibility and quality queries (SURVEY §2 B12-B17,
+C6-C8, D8, D13, F7-F9, I5, I6 batch side, J1, J13)."""
+
+from __future__ import annotations
+
+from escrowlens.operators import chat as ch
+from escrowlens.operators import commands as cm
+from escrowlens.operators import quality as qa
+from escrowlens.operators import visibility as vis
+from escrowlens.registry.core import register
+from escrowlens.registry.q_commands import CONFIRM, CONFIRM_NOTES
+from escrowlens.sources import commands as src
+
+LAST = """
+, lm AS (SELECT conversation_id, body AS last_message, created_at AS last_message_at
+         FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id
+                                            ORDER BY created_at DESC, id DESC) AS rn
+               FROM m_messages) WHERE rn = 1),
+v AS (SELECT id AS conversation_id, product_id, last_message, last_message_at,
+             user_a_id AS viewer_id, user_b_id AS other_user_id FROM m_conversations
+      UNION ALL
+      SELECT id, product_id, last_message, last_message_at, user_b_id, user_a_id
+      FROM m_conversations)
+"""
+UNREAD = """(SELECT count(*) FROM m_messages m WHERE m.conversation_id = v.conversation_id
+              AND m.sender_id <> v.viewer_id AND NOT m.is_read)"""
+
+register("conversation_last_message", LAST + "SELECT * FROM lm")(ch.conversation_last_message)
+
+register("inbox_unread", LAST + f"""
+SELECT v.conversation_id, v.viewer_id, {UNREAD} AS unread_count FROM v
+""")(ch.inbox_unread)
+
+register("inbox", LAST + f"""
+SELECT v.viewer_id, v.conversation_id,
+       coalesce(lm.last_message, v.last_message) AS last_message,
+       coalesce(lm.last_message_at, v.last_message_at) AS last_message_at,
+       v.product_id, pr.title AS product_title, pr.icon AS product_icon, v.other_user_id,
+       coalesce(o.full_name, o.username, 'Pengguna') AS other_name,
+       o.avatar_url AS other_avatar, {UNREAD} AS unread_count
+FROM v JOIN m_profiles o ON o.id = v.other_user_id
+LEFT JOIN m_products pr ON pr.id = v.product_id
+LEFT JOIN lm ON lm.conversation_id = v.conversation_id
+""")(ch.inbox)
+
+register("conversation_page", """
+SELECT conversation_id, id, sender_id, body, created_at, position
+FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id)
+                  AS position FROM m_messages)
+WHERE position <= 200
+""")(ch.conversation_page)
+
+
+@register("mark_read", """
+, rd AS (SELECT id AS conversation_id, user_a_id AS viewer_id,
+                created_at + INTERVAL 3 MINUTE AS read_at FROM m_conversations
+         UNION ALL
+         SELECT id, user_b_id, created_at + INTERVAL 5 MINUTE FROM m_conversations)
+SELECT m.id, m.conversation_id, m.sender_id, m.created_at,
+       m.is_read OR EXISTS (
+         SELECT 1 FROM rd JOIN m_conversations c ON c.id = rd.conversation_id
+         WHERE rd.conversation_id = m.conversation_id AND rd.viewer_id <> m.sender_id
+           AND (rd.viewer_id = c.user_a_id OR rd.viewer_id = c.user_b_id)
+           AND m.created_at <= rd.read_at) AS is_read
+FROM m_messages m
+""")
+def mark_read(t):
+    """Messages after participants open their conversations."""
+    return ch.mark_read(t, src.conversation_reads(t))
+
+
+register("forum_room_history", """
+SELECT room_id, id, sender_id, created_at,
+       row_number() OVER (PARTITION BY room_id ORDER BY created_at, id) AS position
+FROM m_forum
+""")(ch.forum_room_history)
+
+register("forum_hourly", """
+SELECT room_id, date_trunc('hour', created_at) AS hour, count(*) AS messages,
+       count(DISTINCT sender_id) AS senders
+FROM m_forum GROUP BY 1, 2
+""")(ch.forum_hourly)
+
+register("audit_recent", """
+SELECT * FROM m_admin_logs ORDER BY created_at DESC, id DESC LIMIT 100
+""")(ch.audit_recent)
+
+PROFILE_IDS = "(SELECT id FROM m_profiles)"
+ADMIN_GRANTS = """
+SELECT id AS viewer_id, CAST(NULL AS VARCHAR) AS row_id, true AS all_rows
+FROM m_profiles WHERE role = 'admin'
+"""
+ORDER_PARTIES = f"""
+SELECT buyer_id AS viewer_id, id AS row_id, false AS all_rows FROM m_orders
+WHERE buyer_id IN {PROFILE_IDS}
+UNION ALL
+SELECT seller_id, id, false FROM m_orders
+WHERE seller_id <> buyer_id AND seller_id IN {PROFILE_IDS}
+"""
+
+register("visible_wallets", f"""
+SELECT user_id AS viewer_id, id AS row_id, false AS all_rows FROM m_wallets
+WHERE user_id IN {PROFILE_IDS}
+UNION ALL {ADMIN_GRANTS}
+""")(vis.visible_wallets)
+
+register("visible_orders", ORDER_PARTIES)(vis.visible_orders)
+
+register("visible_orders_admin", ORDER_PARTIES + " UNION ALL " + ADMIN_GRANTS)(
+    vis.visible_orders_admin)
+
+register("visible_ledger", f"""
+SELECT w.user_id AS viewer_id, l.id AS row_id, false AS all_rows
+FROM m_ledger l JOIN m_wallets w ON w.id = l.wallet_id
+WHERE w.user_id IN {PROFILE_IDS}
+""")(vis.visible_ledger)
+
+register("visible_messages", f"""
+SELECT c.user_a_id AS viewer_id, m.id AS row_id, false AS all_rows
+FROM m_messages m JOIN m_conversations c ON c.id = m.conversation_id
+WHERE c.user_a_id IN {PROFILE_IDS}
+UNION ALL
+SELECT c.user_b_id, m.id, false
+FROM m_messages m JOIN m_conversations c ON c.id = m.conversation_id
+WHERE c.user_b_id <> c.user_a_id AND c.user_b_id IN {PROFILE_IDS}
+""")(vis.visible_messages)
+
+
+@register("visible_notifications", CONFIRM + f"""
+SELECT user_id AS viewer_id, source_cmd || '|' || user_id || '|' || title AS row_id,
+       false AS all_rows
+FROM ({CONFIRM_NOTES}) n WHERE user_id IN {PROFILE_IDS}
+""")
+def visible_notifications(t):
+    """Notifications visible to their owner (owner-equality rule)."""
+    notes = cm.confirm_orders(t, src.confirm_commands(t))["notifications"]
+    return vis.visible_notifications(t, notes)
+
+
+@register("messages_rejected", """
+, ma AS (SELECT 'MA-' || event_id AS attempt_id, 'B' || user_id AS caller_id,
+                CASE WHEN event_type = 'error' THEN 'B' || (user_id + 1)
+                     ELSE 'B' || user_id END AS sender_id,
+                'C' || (event_id % (SELECT count(*) FROM m_conversations)) AS conversation_id
+         FROM m_events WHERE event_type IN ('view', 'error'))
+SELECT attempt_id, caller_id, sender_id, conversation_id,
+       CASE WHEN sender_id <> caller_id THEN 'sender is not the caller'
+            ELSE 'caller is not a participant' END AS reason
+FROM ma
+WHERE sender_id <> caller_id
+   OR NOT EXISTS (SELECT 1 FROM m_conversations c WHERE c.id = ma.conversation_id
+                  AND (c.user_a_id = ma.caller_id OR c.user_b_id = ma.caller_id))
+""")
+def messages_rejected(t):
+    """Message inserts refused by the insert check (sender is caller and participant)."""
+    return vis.messages_rejected(t, src.message_attempts(t, t["events"]))
+
+
+def _r(rule, table, key, src_, where):
+    return (f"SELECT '{rule}' AS rule, '{table}' AS table_name, CAST({key} AS VARCHAR) "
+            f"AS row_key FROM {src_} WHERE coalesce({where}, false)")
+
+
+def _d(rule, table, key, src_):
+    return (f"SELECT '{rule}', '{table}', CAST({key} AS VARCHAR) FROM {src_} "
+            f"WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1")
+
+
+def _o(rule, table, key, src_, fk, parent, pk):
+    return (f"SELECT '{rule}', '{table}', CAST({key} AS VARCHAR) FROM {src_} x "
+            f"WHERE x.{fk} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {parent} p WHERE p.{pk} = x.{fk})")
+
+
+QUALITY = " UNION ALL ".join([
+    _r("profiles_role_check", "profiles", "id", "m_profiles",
+       "role NOT IN ('pembeli', 'penjual', 'admin')"),
+    _d("profiles_username_key", "profiles", "username", "m_profiles"),
+    _r("wallets_balance_check", "wallets", "id", "m_wallets", "balance < 0"),
+    _d("wallets_user_id_key", "wallets", "user_id", "m_wallets"),
+    _o("wallets_user_id_fkey", "wallets", "id", "m_wallets", "user_id", "m_profiles", "id"),
+    _r("products_price_check", "products", "id", "m_products", "price <= 0"),
+    _r("order_status_enum", "orders", "id", "m_orders",
+       "status NOT IN ('pending_payment', 'paid', 'processing', 'delivered', 'completed', "
+       "'disputed', 'refunded', 'cancelled')"),
+    _r("orders_total_is_price_x_qty", "orders", "id", "m_orders",
+       "total_amount <> product_price * quantity"),
+    _r("orders_receives_is_total_minus_fee", "orders", "id", "m_orders",
+       "seller_receives <> total_amount - platform_fee"),
+    _o("orders_buyer_id_fkey", "orders", "id", "m_orders", "buyer_id", "m_profiles", "id"),
+    _o("orders_seller_id_fkey", "orders", "id", "m_orders", "seller_id", "m_profiles", "id"),
+    _r("reviews_rating_check", "reviews", "id", "m_reviews", "NOT (rating BETWEEN 1 AND 5)"),
+    _d("reviews_order_id_key", "reviews", "order_id", "m_reviews"),
+    _r("different_users", "conversations", "id", "m_conversations", "user_a_id = user_b_id"),
+    _r("ordered_pair", "conversations", "id", "m_conversations", "user_a_id >= user_b_id"),
+    _r("messages_body_check", "messages", "id", "m_messages", "length(trim(body)) = 0"),
+    _o("wallet_tx_wallet_id_fkey", "wallet_transactions", "id", "m_ledger", "wallet_id",
+       "m_wallets", "id"),
+    _r("wallet_tx_type_enum", "wallet_transactions", "id", "m_ledger",
+       "type NOT IN ('topup', 'escrow_hold', 'escrow_release', 'refund', 'withdrawal')"),
+    _r("wallet_tx_amount_positive", "wallet_transactions", "id", "m_ledger", "amount < 0"),
+    _r("accounts_email_format", "accounts", "id", "m_accounts",
+       "NOT coalesce(regexp_full_match(trim(email), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$'), false)"),
+    "SELECT 'conversations_pair_unique', 'conversations', user_a_id || '|' || user_b_id "
+    "FROM m_conversations GROUP BY user_a_id, user_b_id HAVING count(*) > 1",
+])
+
+register("quality_violations", QUALITY)(qa.quality_violations)

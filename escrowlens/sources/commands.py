@@ -115,3 +115,30 @@ def signups(events: DataFrame) -> DataFrame:
                     F.concat(F.lit("user"), _s("user_id"), F.lit("@mail.test")).alias("email"),
                     F.col("props").alias("raw_user_meta_data"),
                     F.col("ts").cast("timestamp_ntz").alias("created_at"))
+
+
+def conversation_reads(t: Tables) -> DataFrame:
+    """Each participant opens each conversation once, a few minutes in."""
+    c = t["conversations"]
+    a = c.select(F.col("id").alias("conversation_id"), F.col("user_a_id").alias("viewer_id"),
+                 F.timestamp_add("MINUTE", F.lit(3), F.col("created_at")).alias("read_at"))
+    b = c.select(F.col("id").alias("conversation_id"), F.col("user_b_id").alias("viewer_id"),
+                 F.timestamp_add("MINUTE", F.lit(5), F.col("created_at")).alias("read_at"))
+    return a.unionByName(b)
+
+
+def message_attempts(t: Tables, events: DataFrame) -> DataFrame:
+    """Message inserts by users into conversations chosen by the event id:
+    the caller is the claimed sender except for 'error' events, which claim
+    another user's id."""
+    n = t["conversations"].agg(F.count(F.lit(1)).alias("_n_conv"))
+    v = events.filter(F.col("event_type").isin("view", "error")).crossJoin(F.broadcast(n))
+    caller = F.concat(F.lit("B"), _s("user_id"))
+    sender = F.when(F.col("event_type") == "error",
+                    F.concat(F.lit("B"), _s(F.col("user_id") + 1))).otherwise(caller)
+    return v.select(F.concat(F.lit("MA-"), _s("event_id")).alias("attempt_id"),
+                    caller.alias("caller_id"), sender.alias("sender_id"),
+                    F.concat(F.lit("C"), _s(F.col("event_id") % F.col("_n_conv")))
+                    .alias("conversation_id"),
+                    F.col("props").alias("body"),
+                    F.col("ts").cast("timestamp_ntz").alias("created_at"))
