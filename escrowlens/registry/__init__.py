@@ -6,7 +6,7 @@ import importlib
 
 from escrowlens.registry.core import REGISTRY, runner
 
-_MODULES = ["q_dashboards", "q_views", "q_catalog", "q_ledger", "q_commands", "q_chat"]
+_MODULES = ["q_dashboards", "q_views", "q_catalog", "q_ledger", "q_commands", "q_chat", "q_streams"]
 
 
 def _load() -> None:

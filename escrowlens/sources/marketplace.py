@@ -378,6 +378,12 @@ def load_marketplace(spark: SparkSession, sf_dir: str, materialize: bool = True
     """Marketplace tables, written once per session and folder, then read back."""
     if not materialize:
         return build_marketplace(spark, sf_dir)
+    paths = marketplace_paths(spark, sf_dir)
+    return {name: spark.read.parquet(p) for name, p in paths.items()}
+
+
+def marketplace_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Folders of the materialised marketplace tables (written on first use)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     paths = _cache.get(key)
     if paths is None:
@@ -412,4 +418,4 @@ def load_marketplace(spark: SparkSession, sf_dir: str, materialize: bool = True
             df.write.mode("overwrite").parquet(p)
             paths[name] = p
         _cache[key] = paths
-    return {name: spark.read.parquet(p) for name, p in paths.items()}
+    return paths
