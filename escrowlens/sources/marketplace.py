@@ -37,6 +37,7 @@ ADMIN_ACTIONS = [("suspend_user", "user"), ("change_role", "user"),
                  ("adjust_wallet", "wallet"), ("deactivate_product", "product")]
 
 _cache: dict[tuple, dict[str, str]] = {}
+_frames: dict[tuple, dict[str, DataFrame]] = {}
 
 
 def _s(x) -> F.Column:
@@ -378,8 +379,26 @@ def load_marketplace(spark: SparkSession, sf_dir: str, materialize: bool = True
     """Marketplace tables, written once per session and folder, then read back."""
     if not materialize:
         return build_marketplace(spark, sf_dir)
-    paths = marketplace_paths(spark, sf_dir)
-    return {name: spark.read.parquet(p) for name, p in paths.items()}
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    tables = _frames.get(key)
+    if tables is None:
+        tables = _frames[key] = MarketTables(spark, marketplace_paths(spark, sf_dir))
+    return tables
+
+
+class MarketTables(dict):
+    """Table name -> DataFrame, read on first use and then reused, so a query
+    only lists and opens the folders it touches (and the file index of each
+    folder is built once per session)."""
+
+    def __init__(self, spark: SparkSession, paths: dict[str, str]):
+        super().__init__()
+        self._spark, self._paths = spark, paths
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = self._spark.read.parquet(self._paths[name])
+        self[name] = df
+        return df
 
 
 def marketplace_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
