@@ -15,7 +15,10 @@ from escrowlens.plans.fanout import fanout_closed_form
 from escrowlens.plans.joins import one_row
 
 Tables = dict[str, DataFrame]
-ZERO = F.lit(0).cast("bigint")
+
+
+def _zero():
+    return F.lit(0).cast("bigint")
 
 
 def _is(status: str):
@@ -40,10 +43,10 @@ def buyer_dashboard(t: Tables) -> DataFrame:
     j = p.join(_wallet_cols(t), "id", "left").join(per_buyer, "id", "left")
     return j.select(
         F.col("id").alias("user_id"), "full_name", "role", "wallet_balance", "wallet_escrow",
-        F.coalesce("total_orders", ZERO).alias("total_orders"),
-        F.coalesce("completed_orders", ZERO).alias("completed_orders"),
-        F.coalesce("active_orders", ZERO).alias("active_orders"),
-        F.coalesce("total_spent", ZERO).alias("total_spent"),
+        F.coalesce("total_orders", _zero()).alias("total_orders"),
+        F.coalesce("completed_orders", _zero()).alias("completed_orders"),
+        F.coalesce("active_orders", _zero()).alias("active_orders"),
+        F.coalesce("total_spent", _zero()).alias("total_spent"),
     )
 
 
@@ -53,7 +56,7 @@ def _seller_sides(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.count_if(_is("completed")).alias("completed_o"),
         F.count_if(F.col("status").isin(*ACTIVE_STATUSES)).alias("active_o"),
         F.count_if(_is("pending_payment")).alias("pending_o"),
-        F.coalesce(F.sum(F.when(_is("completed"), F.col("seller_receives"))), ZERO)
+        F.coalesce(F.sum(F.when(_is("completed"), F.col("seller_receives"))), _zero())
          .alias("revenue_o"),
     )
     r = t["reviews"].groupBy(F.col("seller_id").alias("id")).agg(
@@ -81,7 +84,7 @@ def _avg_rating(sum_col, n_col):
 def seller_dashboard(t: Tables) -> DataFrame:
     """Seller dashboard with every measure counted once."""
     j = _seller_base(t)
-    c = lambda x: F.coalesce(F.col(x), ZERO)
+    c = lambda x: F.coalesce(F.col(x), _zero())
     return j.select(
         F.col("id").alias("user_id"), "full_name", "role", "wallet_balance", "wallet_escrow",
         c("n_o").alias("total_orders"), c("completed_o").alias("completed_orders"),
@@ -103,7 +106,7 @@ def seller_dashboard_asis(t: Tables) -> DataFrame:
     j = _seller_base(t)
     sides = {"o": "n_o", "r": "n_r", "p": "n_p"}
     m = fanout_closed_form(sides)
-    c = lambda x: F.coalesce(F.col(x), ZERO)
+    c = lambda x: F.coalesce(F.col(x), _zero())
     return j.select(
         F.col("id").alias("user_id"), "full_name", "role", "wallet_balance", "wallet_escrow",
         m("o", c("n_o")).alias("total_orders"),
@@ -129,20 +132,20 @@ def admin_stats_v1(t: Tables) -> DataFrame:
         F.count_if(_is("completed")).alias("completed_orders"),
         F.count_if(_is("disputed")).alias("disputed_orders"),
         F.count_if(_is("pending_payment")).alias("pending_orders"),
-        F.coalesce(F.sum(F.when(_is("completed"), F.col("total_amount"))), ZERO)
+        F.coalesce(F.sum(F.when(_is("completed"), F.col("total_amount"))), _zero())
          .alias("gmv_completed"),
-        F.coalesce(F.sum(F.when(_is("completed"), F.col("platform_fee"))), ZERO)
+        F.coalesce(F.sum(F.when(_is("completed"), F.col("platform_fee"))), _zero())
          .alias("platform_revenue"))
     w = t["wallets"].agg(
-        F.coalesce(F.sum("escrow_hold"), ZERO).alias("total_escrow_held"),
-        F.coalesce(F.sum("balance"), ZERO).alias("total_wallet_balance"))
+        F.coalesce(F.sum("escrow_hold"), _zero()).alias("total_escrow_held"),
+        F.coalesce(F.sum("balance"), _zero()).alias("total_wallet_balance"))
     return one_row(prof, prod, o, w)
 
 
 def admin_singleton_balance(t: Tables) -> DataFrame:
     """The admin wallet's balance: its oldest row when several exist."""
     aw = t["admin_wallet"]
-    return aw.agg(F.coalesce(F.min_by("balance", F.struct("created_at", "id")), ZERO)
+    return aw.agg(F.coalesce(F.min_by("balance", F.struct("created_at", "id")), _zero())
                   .alias("admin_balance"))
 
 
@@ -155,14 +158,14 @@ def admin_stats_v2(t: Tables, exact_distinct: bool = True) -> DataFrame:
         F.count_if(_is("completed")).alias("completed_orders"),
         F.count_if(_is("pending_payment")).alias("pending_orders"),
         F.count_if(_is("disputed")).alias("disputed_orders"),
-        F.coalesce(F.sum(F.when(_is("completed"), F.col("total_amount"))), ZERO)
+        F.coalesce(F.sum(F.when(_is("completed"), F.col("total_amount"))), _zero())
          .alias("gmv_completed"),
-        F.coalesce(F.sum(F.when(_is("completed"), F.col("platform_fee"))), ZERO)
+        F.coalesce(F.sum(F.when(_is("completed"), F.col("platform_fee"))), _zero())
          .alias("platform_revenue"),
         F.coalesce(F.sum(F.when(F.col("status").isin("paid", "processing"),
-                                F.col("total_amount"))), ZERO).alias("total_escrow_held"),
+                                F.col("total_amount"))), _zero()).alias("total_escrow_held"),
         buyers.alias("total_buyers"))
-    w = t["wallets"].agg(F.coalesce(F.sum("balance"), ZERO).alias("total_wallet_balance"))
+    w = t["wallets"].agg(F.coalesce(F.sum("balance"), _zero()).alias("total_wallet_balance"))
     aw = admin_singleton_balance(t).withColumnRenamed("admin_balance",
                                                       "admin_commission_balance")
     prof = t["profiles"].agg(
@@ -185,11 +188,11 @@ def commission_summary(t: Tables, asof: str) -> DataFrame:
     settled = F.col("status") == "settled"
     fee = F.col("fee_amount")
     c = t["platform_commission"].agg(
-        F.coalesce(F.sum(F.when(settled, fee)), ZERO).alias("total_commission"),
+        F.coalesce(F.sum(F.when(settled, fee)), _zero()).alias("total_commission"),
         F.coalesce(F.sum(F.when(settled & (F.to_date("created_at") == F.to_date(now)), fee)),
-                   ZERO).alias("today_commission"),
+                   _zero()).alias("today_commission"),
         F.coalesce(F.sum(F.when(settled & (F.col("created_at") >= F.date_trunc("month", now)),
-                                fee)), ZERO).alias("month_commission"))
+                                fee)), _zero()).alias("month_commission"))
     return one_row(c, admin_singleton_balance(t))
 
 
