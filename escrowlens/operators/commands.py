@@ -581,3 +581,12 @@ def suspended_accounts(t: Tables) -> DataFrame:
     return p.select("id", "role", "is_suspended",
                     F.when(F.col("is_suspended"), F.lit(None).cast("string"))
                     .otherwise(landing_page("role")).alias("landing"))
+
+
+def promote_by_email(t: Tables, commands: DataFrame) -> DataFrame:
+    """Promote accounts to admin by login e-mail (commands: cmd_id, email).
+    Returns the changed profiles with their previous role."""
+    acc = t["accounts"].select(F.col("id").alias("user_id"), "email")
+    hit = commands.join(acc, "email").select("user_id").distinct()
+    p = t["profiles"].select(F.col("id").alias("user_id"), F.col("role").alias("old_role"))
+    return p.join(hit, "user_id", "left_semi").withColumn("role", F.lit("admin"))

@@ -615,3 +615,37 @@ def orders_evolved(t):
     commission columns with their defaults where absent."""
     base = t["orders"].drop("commission_rate", "seller_payout")
     return ensure_columns(base, ORDER_EVOLUTION)
+
+
+# ---------------------------------------------------------------- J15, E3 key, A10
+
+@register("promote_admins", """
+, pc AS (SELECT 'PR-' || id AS cmd_id, email FROM m_accounts WHERE id LIKE 'S%0'),
+hit AS (SELECT pc.cmd_id, a.id AS user_id FROM pc JOIN m_accounts a ON a.email = pc.email)
+SELECT p.id AS user_id, p.role AS old_role, 'admin' AS role
+FROM m_profiles p WHERE p.id IN (SELECT user_id FROM hit)
+""")
+def promote_admins(t):
+    """Promote accounts to admin by e-mail: role change joined through accounts."""
+    from escrowlens.operators.commands import promote_by_email
+    acc = t["accounts"]
+    cmds = acc.filter(F.col("id").like("S%0")).select(
+        F.concat(F.lit("PR-"), "id").alias("cmd_id"), "email")
+    return promote_by_email(t, cmds)
+
+
+register("wallet_adjust_fold", "RECURSIVE" + ADJUST + """
+SELECT seq, user_id, amount, error IS NULL AS ok, error,
+       CASE WHEN error IS NULL THEN bal END AS new_balance
+FROM aj_x
+""")(lambda t: cm.adjust_wallets(t, t["wallet_commands"])["outcomes"])
+
+
+@register("export_csv", REFUND + REFUND_AUDIT)
+def export_csv(t):
+    """Audit rows of a refund batch exported as CSV and read back."""
+    from escrowlens.sources.sinks import export_csv as export
+    audit = cm.refund_orders(t, src.refund_commands(t))["audit"]
+    path = export(audit, "refund-audit")
+    spark = audit.sparkSession
+    return spark.read.schema(audit.schema).option("header", True).csv(path)
