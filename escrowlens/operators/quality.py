@@ -1,9 +1,9 @@
 """Data-quality report: the source's CHECK / UNIQUE / FK / domain rules (§2 J1, H24).
 
-One row per (rule, table, row key) that breaks a rule.  Row checks are
-filters; uniqueness is ``groupBy().count() > 1`` (partial aggregation); foreign
-keys are anti joins.  The rules are evaluated independently and unioned, so
-each one is a separate scan that Catalyst prunes to the columns it reads.
+One row per (rule, table, row key) that breaks a rule.  All row-level rules of
+a table run in one scan (each row yields the names of the rules it breaks);
+uniqueness is ``groupBy().count() > 1`` (partial aggregation); foreign keys are
+anti joins, with several keys into the same parent sharing one anti join.
 """
 
 from __future__ import annotations
@@ -37,40 +37,66 @@ def _orphans(df: DataFrame, rule: str, table: str, key: str, fk: str,
                     F.col(key).cast("string").alias("row_key"))
 
 
+def _row_rules(df: DataFrame, table: str, key: str, rules: dict[str, Column]) -> DataFrame:
+    """All row-level rules of one table in a single scan: each row yields the
+    names of the rules it breaks (array of optional names, nulls dropped)."""
+    names = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in rules.items()])
+    broken = F.filter(names, lambda x: x.isNotNull())
+    return df.select(F.col(key).cast("string").alias("row_key"), broken.alias("_b")) \
+        .filter(F.size("_b") > 0) \
+        .select(F.explode("_b").alias("rule"), F.lit(table).alias("table_name"), "row_key")
+
+
+def _party_orphans(df: DataFrame, table: str, key: str, fks: dict[str, str],
+                   parent: DataFrame, pk: str) -> DataFrame:
+    """Several foreign keys into the same parent in one anti join: each row
+    becomes one (rule, reference) row per non-null key column."""
+    refs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).alias("ref"))
+                     for rule, c in fks.items()])
+    x = df.select(F.col(key).cast("string").alias("row_key"), F.explode(refs).alias("_r")) \
+        .select("row_key", "_r.rule", F.col("_r.ref").alias("ref")).filter(F.col("ref").isNotNull())
+    p = parent.select(F.col(pk).alias("ref"))
+    return x.join(p, "ref", "left_anti").select("rule", F.lit(table).alias("table_name"),
+                                                "row_key")
+
+
 def quality_violations(t: Tables) -> DataFrame:
     pr, w, o = t["profiles"], t["wallets"], t["orders"]
+    led, cv = t["wallet_transactions"], t["conversations"]
     parts = [
-        _rows(pr, "profiles_role_check", "profiles", "id", ~F.col("role").isin(*ROLES)),
+        _row_rules(pr, "profiles", "id", {
+            "profiles_role_check": ~F.col("role").isin(*ROLES)}),
         _dupes(pr, "profiles_username_key", "profiles", "username"),
-        _rows(w, "wallets_balance_check", "wallets", "id", F.col("balance") < 0),
+        _row_rules(w, "wallets", "id", {"wallets_balance_check": F.col("balance") < 0}),
         _dupes(w, "wallets_user_id_key", "wallets", "user_id"),
         _orphans(w, "wallets_user_id_fkey", "wallets", "id", "user_id", pr, "id"),
-        _rows(t["products"], "products_price_check", "products", "id", F.col("price") <= 0),
-        _rows(o, "order_status_enum", "orders", "id", ~F.col("status").isin(*ORDER_STATUSES)),
-        _rows(o, "orders_total_is_price_x_qty", "orders", "id",
-              F.col("total_amount") != F.col("product_price") * F.col("quantity")),
-        _rows(o, "orders_receives_is_total_minus_fee", "orders", "id",
-              F.col("seller_receives") != F.col("total_amount") - F.col("platform_fee")),
-        _orphans(o, "orders_buyer_id_fkey", "orders", "id", "buyer_id", pr, "id"),
-        _orphans(o, "orders_seller_id_fkey", "orders", "id", "seller_id", pr, "id"),
-        _rows(t["reviews"], "reviews_rating_check", "reviews", "id",
-              ~F.col("rating").between(1, 5)),
+        _row_rules(t["products"], "products", "id",
+                   {"products_price_check": F.col("price") <= 0}),
+        _row_rules(o, "orders", "id", {
+            "order_status_enum": ~F.col("status").isin(*ORDER_STATUSES),
+            "orders_total_is_price_x_qty":
+                F.col("total_amount") != F.col("product_price") * F.col("quantity"),
+            "orders_receives_is_total_minus_fee":
+                F.col("seller_receives") != F.col("total_amount") - F.col("platform_fee")}),
+        _party_orphans(o, "orders", "id", {"orders_buyer_id_fkey": "buyer_id",
+                                           "orders_seller_id_fkey": "seller_id"}, pr, "id"),
+        _row_rules(t["reviews"], "reviews", "id",
+                   {"reviews_rating_check": ~F.col("rating").between(1, 5)}),
         _dupes(t["reviews"], "reviews_order_id_key", "reviews", "order_id"),
-        _rows(t["conversations"], "different_users", "conversations", "id",
-              F.col("user_a_id") == F.col("user_b_id")),
-        _rows(t["conversations"], "ordered_pair", "conversations", "id",
-              F.col("user_a_id") >= F.col("user_b_id")),
-        _rows(t["messages"], "messages_body_check", "messages", "id",
-              F.char_length(F.trim("body")) == 0),
-        _orphans(t["wallet_transactions"], "wallet_tx_wallet_id_fkey", "wallet_transactions",
-                 "id", "wallet_id", w, "id"),
-        _rows(t["wallet_transactions"], "wallet_tx_type_enum", "wallet_transactions", "id",
-              ~F.col("type").isin(*WALLET_TX_TYPES)),
-        _rows(t["wallet_transactions"], "wallet_tx_amount_positive", "wallet_transactions",
-              "id", F.col("amount") < 0),
-        _rows(t["accounts"], "accounts_email_format", "accounts", "id", ~email_ok("email")),
+        _row_rules(cv, "conversations", "id", {
+            "different_users": F.col("user_a_id") == F.col("user_b_id"),
+            "ordered_pair": F.col("user_a_id") >= F.col("user_b_id")}),
+        _row_rules(t["messages"], "messages", "id",
+                   {"messages_body_check": F.char_length(F.trim("body")) == 0}),
+        _orphans(led, "wallet_tx_wallet_id_fkey", "wallet_transactions", "id", "wallet_id",
+                 w, "id"),
+        _row_rules(led, "wallet_transactions", "id", {
+            "wallet_tx_type_enum": ~F.col("type").isin(*WALLET_TX_TYPES),
+            "wallet_tx_amount_positive": F.col("amount") < 0}),
+        _row_rules(t["accounts"], "accounts", "id",
+                   {"accounts_email_format": ~email_ok("email")}),
     ]
-    pairs = t["conversations"].groupBy("user_a_id", "user_b_id").agg(
+    pairs = cv.groupBy("user_a_id", "user_b_id").agg(
         F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
     parts.append(pairs.select(F.lit("conversations_pair_unique").alias("rule"),
                               F.lit("conversations").alias("table_name"),
