@@ -223,6 +223,12 @@ m_status_events AS (
          ts
   FROM m_events WHERE event_id % 10 = 0
 ),
+m_order_events AS (
+  SELECT id AS order_id, 'delivered' AS status, delivered_at AS ts FROM m_orders
+  WHERE delivered_at IS NOT NULL
+  UNION ALL
+  SELECT id, 'completed', completed_at FROM m_orders WHERE completed_at IS NOT NULL
+),
 m_settle_cmds AS (
   SELECT 'ST-' || id AS cmd_id, id AS order_id,
          coalesce(completed_at, delivered_at, created_at) AS requested_at

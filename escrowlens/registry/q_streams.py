@@ -110,3 +110,34 @@ WHERE status = 'delivered' AND delivered_at IS NOT NULL
 def orders_auto_complete_due(t):
     """Delivered orders past their 3-day auto-completion time at the as-of date."""
     return st.auto_complete_due(t["orders"], ASOF)
+
+
+AUTO_SQL = """
+, e AS (SELECT order_id, status, ts,
+               lead(ts) OVER (PARTITION BY order_id ORDER BY ts, status) AS next_ts
+        FROM m_order_events),
+wm AS (SELECT max(ts) - INTERVAL 1 DAY AS watermark FROM m_order_events)
+SELECT order_id, ts AS delivered_at, ts + INTERVAL 3 DAY AS due_at
+FROM e, wm
+WHERE status = 'delivered'
+  AND ((next_ts IS NOT NULL AND next_ts > ts + INTERVAL 3 DAY)
+       OR (next_ts IS NULL AND ts + INTERVAL 3 DAY < wm.watermark))
+"""
+
+
+@register("stream_auto_complete", AUTO_SQL, needs_session=True)
+def stream_auto_complete(t, spark, sf_dir):
+    """Event-time timers, declarative per micro-batch with a versioned timer table:
+    orders still delivered 3 days after delivery."""
+    from escrowlens.streaming.timers import run_auto_complete
+    p = _paths(spark, sf_dir)
+    return run_auto_complete(st.order_event_feed(spark, p["order_events"]), "auto-complete")
+
+
+@register("stream_auto_complete_state", AUTO_SQL, needs_session=True)
+def stream_auto_complete_state(t, spark, sf_dir):
+    """The same timers kept in the state store (applyInPandasWithState,
+    event-time timeout): one Python call per order per batch."""
+    p = _paths(spark, sf_dir)
+    return st.run_append(st.auto_complete_timers(st.order_event_feed(spark, p["order_events"])),
+                         "auto-complete-state")

@@ -24,7 +24,7 @@ from escrowlens.sources.driver import read_table
 MARKET_TABLES = ["orders", "profiles", "accounts", "wallets", "products", "reviews",
                  "platform_commission", "app_settings", "admin_wallet", "conversations",
                  "messages", "forum_messages", "wallet_transactions", "admin_logs",
-                 "wallet_commands", "status_events", "events"]
+                 "wallet_commands", "status_events", "events", "order_events"]
 
 BASE_DAY = "2001-01-01 00:00:00"
 CHAT_DAY = "2024-01-01 00:00:00"
@@ -128,6 +128,18 @@ def orders_table(lines: DataFrame) -> DataFrame:
     )
 
 
+def order_events_table(orders: DataFrame) -> DataFrame:
+    """Status-change feed of orders: a 'delivered' event at delivered_at and,
+    for completed orders, a 'completed' event at completed_at."""
+    d = orders.filter(F.col("delivered_at").isNotNull()).select(
+        F.col("id").alias("order_id"), F.lit("delivered").alias("status"),
+        F.col("delivered_at").alias("ts"))
+    c = orders.filter(F.col("completed_at").isNotNull()).select(
+        F.col("id").alias("order_id"), F.lit("completed").alias("status"),
+        F.col("completed_at").alias("ts"))
+    return d.unionByName(c)
+
+
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_acctbal"])
     s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_acctbal"])
@@ -369,6 +381,7 @@ def build_marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "admin_wallet": admin_wallet_table(commission),
         "conversations": conversations,
         "messages": messages,
+        "order_events": order_events_table(orders),
     }
     out.update(event_tables(spark, sf_dir))
     return out
@@ -429,6 +442,7 @@ def marketplace_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
             "admin_wallet": admin_wallet_table(commission),
             "conversations": conversations,
             "messages": messages,
+            "order_events": order_events_table(orders),
         }
         frames.update(event_tables(spark, sf_dir))
         paths = {"orders": orders_path}

@@ -174,3 +174,68 @@ def auto_complete_due(orders: DataFrame, asof: str) -> DataFrame:
     o = orders.filter((F.col("status") == "delivered") & F.col("delivered_at").isNotNull())
     return o.select("id", "buyer_id", "seller_id", "delivered_at", due.alias("due_at")) \
         .filter(F.col("due_at") <= F.lit(asof).cast("timestamp_ntz"))
+
+
+# ---------------------------------------------------------------- I8 (stream)
+
+ORDER_EVENT_SCHEMA = "order_id string, status string, ts timestamp_ntz"
+AUTO_COMPLETE_OUT = "order_id string, delivered_at timestamp, due_at timestamp"
+AUTO_COMPLETE_STATE = "delivered_at timestamp"
+
+
+def order_event_feed(spark: SparkSession, path: str, **kw) -> DataFrame:
+    return feed(spark, path, ORDER_EVENT_SCHEMA, "ts", **kw)
+
+
+def auto_complete_timers(events: DataFrame, after_days: int = AUTO_COMPLETE_AFTER_DAYS,
+                         delay: str = DEFAULT_DELAY) -> DataFrame:
+    """I8: an event-time timer per order.  A 'delivered' event arms a timer at
+    delivered_at + ``after_days``; any later status event of the order before
+    then disarms it; when the watermark passes the timer the order is emitted
+    as due for auto-completion.  State per order is one timestamp, kept in the
+    state store and partitioned by order id.
+    """
+    import pandas as pd
+
+    tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    span = pd.Timedelta(days=after_days)
+
+    def to_ms(t) -> int:
+        ts = pd.Timestamp(t)
+        ts = ts.tz_localize(tz) if ts.tzinfo is None else ts
+        return int(ts.value // 1_000_000)
+
+    def step(key, pdfs, state):
+        order_id = key[0]
+        if state.hasTimedOut:
+            (delivered_at,) = state.get
+            state.remove()
+            yield pd.DataFrame({"order_id": [order_id], "delivered_at": [delivered_at],
+                                "due_at": [delivered_at + span]})
+            return
+        pending = state.get[0] if state.exists else None
+        events = []
+        for p in pdfs:
+            events.extend(zip(p["ts"].tolist(), p["status"].tolist()))
+        if len(events) > 1:
+            events.sort()
+        fired = []
+        for ts, status in events:
+            if pending is not None and ts > pending + span:
+                fired.append(pending)     # would have fired before this event
+            pending = ts if status == "delivered" else None
+        if pending is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((pending,))
+            state.setTimeoutTimestamp(to_ms(pending + span))
+        if fired:
+            yield pd.DataFrame({"order_id": [order_id] * len(fired), "delivered_at": fired,
+                                "due_at": [f + span for f in fired]})
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    e = events.withWatermark("ts", delay)
+    return e.groupBy("order_id").applyInPandasWithState(
+        step, AUTO_COMPLETE_OUT, AUTO_COMPLETE_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)

@@ -50,3 +50,28 @@ def test_update_log_compaction_equals_batch(spark):
     got = st.run_upsert(st.last_message_updates(feed), ["conversation_id"], "t-last")
     exp = conversation_last_message({"messages": spark.createDataFrame(rows, schema)})
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+def test_auto_complete_timers_across_batches(spark):
+    """Both timer implementations over three micro-batches equal the rule
+    'delivered, then no status change for 3 days, and the watermark passed'."""
+    from escrowlens.streaming.timers import run_auto_complete
+    schema = st.ORDER_EVENT_SCHEMA
+    d = dt.datetime(2024, 3, 1)
+    files = [
+        [("a", "delivered", d), ("b", "delivered", d), ("c", "delivered", d)],
+        [("a", "completed", d + dt.timedelta(days=1)),              # a: disarmed
+         ("b", "refunded", d + dt.timedelta(days=5)),               # b: fired before this
+         ("d", "delivered", d + dt.timedelta(days=6))],
+        [("e", "delivered", d + dt.timedelta(days=20))],            # moves the watermark
+    ]
+    base = tempfile.mkdtemp(prefix="orders-")
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(base, f"f{i}"))
+    feed = st.order_event_feed(spark, base + "/*", max_files=1)
+    got = sorted(r["order_id"] for r in run_auto_complete(feed, "t-timers").collect())
+    assert got == ["b", "c", "d"]
+    feed2 = st.order_event_feed(spark, base + "/*", max_files=1)
+    got2 = sorted(r["order_id"] for r in
+                  st.run_append(st.auto_complete_timers(feed2), "t-timers-state").collect())
+    assert got2 == got
