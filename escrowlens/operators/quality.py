@@ -40,11 +40,15 @@ def _orphans(df: DataFrame, rule: str, table: str, key: str, fk: str,
 def _row_rules(df: DataFrame, table: str, key: str, rules: dict[str, Column]) -> DataFrame:
     """All row-level rules of one table in a single scan: each row yields the
     names of the rules it breaks (array of optional names, nulls dropped)."""
-    names = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in rules.items()])
-    broken = F.filter(names, lambda x: x.isNotNull())
-    return df.select(F.col(key).cast("string").alias("row_key"), broken.alias("_b")) \
-        .filter(F.size("_b") > 0) \
-        .select(F.explode("_b").alias("rule"), F.lit(table).alias("table_name"), "row_key")
+    conds = {r: F.coalesce(c, F.lit(False)) for r, c in rules.items()}
+    any_bad = reduce(lambda a, b: a | b, conds.values())
+    names = F.array(*[F.when(c, F.lit(r)) for r, c in conds.items()])
+    # Filter first (few rows break a rule), then one output row per broken
+    # rule; explode and filters stay inside whole-stage codegen.
+    return df.filter(any_bad).select(F.col(key).cast("string").alias("row_key"),
+                                     F.explode(names).alias("rule")) \
+        .filter(F.col("rule").isNotNull()) \
+        .select("rule", F.lit(table).alias("table_name"), "row_key")
 
 
 def _party_orphans(df: DataFrame, table: str, key: str, fks: dict[str, str],
