@@ -152,3 +152,12 @@ def forum_hourly(t: Tables) -> DataFrame:
 def audit_recent(t: Tables, n: int = AUDIT_RECENT) -> DataFrame:
     """The latest ``n`` admin actions (top-k: per-partition top-n, one merge)."""
     return t["admin_logs"].orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
+
+
+def message_labels(t: Tables, asof: str) -> DataFrame:
+    """Chat time label of every message relative to ``asof``."""
+    from escrowlens.functions.labels import chat_time_label
+    m = t["messages"]
+    return m.select("id", "conversation_id", "created_at",
+                    chat_time_label("created_at", F.lit(asof).cast("timestamp_ntz"))
+                    .alias("time_label"))

@@ -212,6 +212,52 @@ def apply_status(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
             "settlement": s["outcomes"], "settle_wallets": s["wallets"]}
 
 
+def apply_status_v1(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
+    """Admin status changes, first version: no settlement; the status is forced,
+    the note replaces the delivery note when given, and delivered_at /
+    completed_at are stamped with the command time.  The audit keeps from/to.
+
+    commands: cmd_id, order_id, new_status, note, actor_id, requested_at.
+    """
+    from escrowlens.functions.labels import ORDER_STATUSES
+    c = _with_admin(commands, t)
+    o = t["orders"].select(F.col("id").alias("order_id"), F.col("status").alias("_old0"),
+                           F.col("delivery_note").alias("_note0"),
+                           F.col("delivered_at").alias("_del0"),
+                           F.col("completed_at").alias("_comp0"))
+    c = c.join(o, "order_id", "left")
+    err = (F.when(~F.col("new_status").isin(*ORDER_STATUSES) | F.col("new_status").isNull(),
+                  F.concat(F.lit('invalid input value for enum order_status: "'),
+                           F.coalesce("new_status", F.lit("")), F.lit('"')))
+           .when(~F.col("is_admin"), F.lit(ERR_NOT_ADMIN))
+           .when(F.col("_old0").isNull(), F.lit(ERR_ORDER_NOT_FOUND)))
+    c = c.withColumn("error", err).withColumn("ok", F.col("error").isNull())
+    okc = previous_value(c.filter("ok"), "order_id", ORDER, "new_status", "_prev",
+                         bucket=_day())
+    okc = okc.withColumn("from_status", F.coalesce("_prev", "_old0"))
+    outcomes = c.filter(~F.col("ok")).select(
+        "cmd_id", "order_id", "ok", "error", F.lit(None).cast("string").alias("from_status"),
+        F.lit(None).cast("string").alias("to_status")).unionByName(
+        okc.select("cmd_id", "order_id", "ok", "error", "from_status",
+                   F.col("new_status").alias("to_status")))
+    order = F.struct(*ORDER)
+    fin = okc.groupBy("order_id").agg(
+        F.max_by("new_status", order).alias("status"),
+        F.max_by("note", F.when(F.col("note").isNotNull(), order)).alias("_note"),
+        F.max(F.when(F.col("new_status") == "delivered", F.col("requested_at"))).alias("_d"),
+        F.max(F.when(F.col("new_status") == "completed", F.col("requested_at"))).alias("_c"),
+        F.first("_note0").alias("_note0"), F.first("_del0").alias("_del0"),
+        F.first("_comp0").alias("_comp0"))
+    orders_after = fin.select("order_id", "status",
+                              F.coalesce("_note", "_note0").alias("delivery_note"),
+                              F.coalesce("_d", "_del0").alias("delivered_at"),
+                              F.coalesce("_c", "_comp0").alias("completed_at"))
+    audit = _audit(okc, F.lit("update_order_status"), "order", "order_id",
+                   _json(**{"from": F.col("from_status"), "to": F.col("new_status"),
+                            "note": F.col("note")}))
+    return {"outcomes": outcomes, "orders": orders_after, "audit": audit}
+
+
 # ---------------------------------------------------------------- J6 confirm
 
 
@@ -352,7 +398,11 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------- J8 adjust
 
 
-def adjust_wallets(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
+ERR_NO_WALLET = "Dompet pengguna tidak ditemukan."
+
+
+def adjust_wallets(t: Tables, commands: DataFrame, create_missing: bool = True
+                   ) -> dict[str, DataFrame]:
     """Admin balance adjustments applied in ``seq`` order per user.
 
     commands: seq, actor_id, user_id, amount (signed), reason, created_at.
@@ -370,6 +420,8 @@ def adjust_wallets(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
            .when(F.col("amount") == 0, F.lit("Jumlah tidak boleh nol."))
            .when(F.col("reason").isNull() | (F.trim("reason") == ""),
                  F.lit("Alasan wajib diisi untuk audit.")))
+    if not create_missing:
+        pre = pre.when(F.col("_wid").isNull(), F.lit(ERR_NO_WALLET))
     c = c.withColumn("pre_error", pre).withColumn(
         "start_balance", F.coalesce("start_balance", F.lit(0).cast("bigint")))
     c = c.withColumn("wallet_id", _wallet_id(F.col("user_id"), F.col("_wid")))

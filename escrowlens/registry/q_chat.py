@@ -206,3 +206,21 @@ QUALITY = " UNION ALL ".join([
 ])
 
 register("quality_violations", QUALITY)(qa.quality_violations)
+
+
+CHAT_ASOF = "2024-01-03 12:00:00"
+
+
+@register("message_labels", f"""
+SELECT id, conversation_id, created_at,
+       CASE WHEN CAST(created_at AS DATE) = CAST(TIMESTAMP '{CHAT_ASOF}' AS DATE)
+            THEN strftime(created_at, '%H.%M')
+            ELSE day(created_at) || ' ' ||
+                 (['Jan','Feb','Mar','Apr','Mei','Jun','Jul','Agu','Sep','Okt','Nov',
+                   'Des'])[month(created_at)] || ' ' || strftime(created_at, '%H.%M')
+       END AS time_label
+FROM m_messages
+""")
+def message_labels(t):
+    """Chat time labels: HH.mm on the as-of day, else day, month and time."""
+    return ch.message_labels(t, CHAT_ASOF)

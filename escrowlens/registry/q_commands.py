@@ -649,3 +649,66 @@ def export_csv(t):
     path = export(audit, "refund-audit")
     spark = audit.sparkSession
     return spark.read.schema(audit.schema).option("header", True).csv(path)
+
+
+# ---------------------------------------------------------------- J5 v1, J8 v1
+
+STATUS_V1 = f"""
+, v1 AS (SELECT s.*, coalesce(a.role = 'admin', false) AS is_admin, o.status AS old0,
+                o.delivery_note AS note0, o.delivered_at AS del0, o.completed_at AS comp0
+         FROM m_status_cmds s LEFT JOIN m_profiles a ON a.id = s.actor_id
+         LEFT JOIN m_orders o ON o.id = s.order_id),
+v1_e AS (SELECT *, CASE WHEN new_status IS NULL OR new_status NOT IN
+                          ('pending_payment', 'paid', 'processing', 'delivered', 'completed',
+                           'disputed', 'refunded', 'cancelled')
+                        THEN 'invalid input value for enum order_status: "'
+                             || coalesce(new_status, '') || '"'
+                        WHEN NOT is_admin THEN {ADMIN_ERR}
+                        WHEN old0 IS NULL THEN 'Pesanan tidak ditemukan.' END AS error
+         FROM v1),
+v1_ok AS (SELECT *, coalesce(lag(new_status) OVER (PARTITION BY order_id
+                                                   ORDER BY requested_at, cmd_id), old0)
+                      AS from_status
+          FROM v1_e WHERE error IS NULL)
+"""
+
+register("apply_status_v1", STATUS_V1 + """
+SELECT cmd_id, order_id, false AS ok, error, CAST(NULL AS VARCHAR) AS from_status,
+       CAST(NULL AS VARCHAR) AS to_status
+FROM v1_e WHERE error IS NOT NULL
+UNION ALL
+SELECT cmd_id, order_id, true, error, from_status, new_status FROM v1_ok
+""")(lambda t: cm.apply_status_v1(t, src.status_commands(t))["outcomes"])
+
+register("apply_status_v1_orders", STATUS_V1 + """
+, last AS (SELECT order_id, new_status AS status
+           FROM (SELECT *, row_number() OVER (PARTITION BY order_id
+                                              ORDER BY requested_at DESC, cmd_id DESC) AS rn
+                 FROM v1_ok) WHERE rn = 1),
+lnote AS (SELECT order_id, note
+          FROM (SELECT *, row_number() OVER (PARTITION BY order_id
+                                             ORDER BY requested_at DESC, cmd_id DESC) AS rn
+                FROM v1_ok WHERE note IS NOT NULL) WHERE rn = 1),
+g AS (SELECT order_id, any_value(note0) AS note0, any_value(del0) AS del0,
+             any_value(comp0) AS comp0,
+             max(CASE WHEN new_status = 'delivered' THEN requested_at END) AS d,
+             max(CASE WHEN new_status = 'completed' THEN requested_at END) AS c
+      FROM v1_ok GROUP BY order_id)
+SELECT g.order_id, last.status, coalesce(lnote.note, g.note0) AS delivery_note,
+       coalesce(g.d, g.del0) AS delivered_at, coalesce(g.c, g.comp0) AS completed_at
+FROM g JOIN last ON last.order_id = g.order_id
+LEFT JOIN lnote ON lnote.order_id = g.order_id
+""")(lambda t: cm.apply_status_v1(t, src.status_commands(t))["orders"])
+
+ADJUST_V1 = ADJUST.replace(
+    "THEN 'Alasan wajib diisi untuk audit.' END AS pre_error",
+    "THEN 'Alasan wajib diisi untuk audit.'\n"
+    "                        WHEN wid IS NULL THEN 'Dompet pengguna tidak ditemukan.' END"
+    " AS pre_error")
+assert ADJUST_V1 != ADJUST
+
+register("adjust_wallets_v1", "RECURSIVE" + ADJUST_V1 + """
+SELECT seq, user_id, amount, error IS NULL AS ok, error,
+       CASE WHEN error IS NULL THEN bal END AS new_balance
+FROM aj_x
+""")(lambda t: cm.adjust_wallets(t, t["wallet_commands"], create_missing=False)["outcomes"])
