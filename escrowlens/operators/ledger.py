@@ -8,10 +8,10 @@ task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escrowlens.plans.prefix import running_clamped, running_sum
+from escrowlens.plans.prefix import previous_value, running_clamped, running_sum
 
 Tables = dict[str, DataFrame]
 
@@ -42,9 +42,8 @@ def ledger_mismatches(t: Tables) -> DataFrame:
     """Rows whose stored balance_after disagrees with the recomputed balance,
     or whose step from the previous row is not the row's own amount."""
     r = ledger_running_balance(t)
-    w = Window.partitionBy("wallet_id").orderBy(*LEDGER_ORDER)
-    prev = F.lag("balance_after").over(w)
-    r = r.withColumn("prev_stored", prev)
+    r = previous_value(r, "wallet_id", LEDGER_ORDER, "balance_after", "prev_stored",
+                       bucket=day_bucket())
     step_bad = F.coalesce(F.col("balance_after") - F.col("prev_stored") != F.col("delta"),
                           F.col("balance_after") != F.col("delta"))
     out = r.select("id", "wallet_id", "type", "created_at", "delta",

@@ -91,22 +91,25 @@ def running_clamped(df: DataFrame, key: str, order: list, delta: str, out: str,
 
 
 def previous_value(df: DataFrame, key: str, order: list, value: str, out: str,
-                   bucket: Column | None = None) -> DataFrame:
-    """Add ``out`` = ``value`` of the previous row of the same key (null for the
-    first), i.e. ``lag`` - split by bucket like the running sums: the previous
-    row is the local predecessor, or for a bucket's first row the last row of
-    the nearest earlier bucket of the key."""
+                   bucket: Column | None = None, following: bool = False) -> DataFrame:
+    """Add ``out`` = ``value`` of the previous row of the same key (the next row
+    when ``following``), null at the edge - ``lag`` / ``lead`` split by bucket
+    like the running sums: the neighbour is the local one, or for a bucket's
+    first (last) row the last (first) row of the nearest earlier (later)
+    bucket of the key."""
     ordc = _order(order)
+    shift = F.lead if following else F.lag
     if bucket is None:
-        return df.withColumn(out, F.lag(value).over(Window.partitionBy(key).orderBy(*ordc)))
+        return df.withColumn(out, shift(value).over(Window.partitionBy(key).orderBy(*ordc)))
     b = "_bucket"
     d = df.withColumn(b, bucket)
-    last = d.groupBy(key, b).agg(F.max_by(value, F.struct(*ordc)).alias("_blast"))
+    edge = F.min_by if following else F.max_by
+    last = d.groupBy(key, b).agg(edge(value, F.struct(*ordc)).alias("_bedge"))
     wb = Window.partitionBy(key).orderBy(b)
-    last = last.select(key, b, F.lag("_blast").over(wb).alias("_bprev"))
+    last = last.select(key, b, shift("_bedge").over(wb).alias("_bnext"))
     wl = Window.partitionBy(key, b).orderBy(*ordc)
-    d = d.withColumn("_first", F.lag(F.lit(1)).over(wl).isNull()) \
-         .withColumn("_llag", F.lag(value).over(wl))
+    d = d.withColumn("_edge", shift(F.lit(1)).over(wl).isNull()) \
+         .withColumn("_local", shift(value).over(wl))
     d = d.join(last, [key, b])
-    return d.withColumn(out, F.when(F.col("_first"), F.col("_bprev"))
-                        .otherwise(F.col("_llag"))).drop("_first", "_llag", "_bprev", b)
+    return d.withColumn(out, F.when(F.col("_edge"), F.col("_bnext"))
+                        .otherwise(F.col("_local"))).drop("_edge", "_local", "_bnext", b)

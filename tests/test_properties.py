@@ -86,3 +86,18 @@ def test_guarded_fold_matches_sequential(spark, rows, start):
     order_rows = [(k, i, v) for i, (k, _, v) in enumerate(rows)]
     exp = _python_by_key(order_rows, step, start)
     assert got == exp
+
+
+@SETTINGS
+@given(rows=rows_strategy)
+def test_bucketed_next_value_matches_lead(spark, rows):
+    df = _frame(spark, rows)
+    got = {r["seq"]: r["n"] for r in previous_value(
+        df, "k", ["ts", "seq"], "v", "n", bucket=F.to_date("ts"), following=True).collect()}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][1], i))
+    exp, last = {}, {}
+    for i in reversed(order):
+        k = rows[i][0]
+        exp[i] = last.get(k)
+        last[k] = rows[i][2]
+    assert got == exp
