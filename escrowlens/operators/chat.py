@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from escrowlens.functions.labels import display_name
-from escrowlens.plans.prefix import running_sum
+from escrowlens.plans.prefix import RANGE, bucketed, running_sum
 
 Tables = dict[str, DataFrame]
 PAGE_SIZE = 200
@@ -93,20 +93,21 @@ def inbox(t: Tables, newest_first: bool = False) -> DataFrame:
 def conversation_page(t: Tables, k: int = PAGE_SIZE) -> DataFrame:
     """The oldest ``k`` messages of every conversation, with their position.
 
-    Positions are counted per (conversation, day) and offset by the counts of
-    earlier days (a bucket table); days that start at or past position ``k``
-    are dropped before any per-row window runs, so a long conversation costs
-    only the days that can still contribute.
+    Positions are counted per (conversation, bucket) and offset by the counts
+    of earlier buckets (range buckets: balanced even for one huge
+    conversation); buckets that start at or past position ``k`` are dropped
+    before the per-row window runs, so a long conversation costs only the
+    part that can still contribute.
     """
-    m = t["messages"].withColumn("_day", F.to_date("created_at"))
-    per_day = m.groupBy("conversation_id", "_day").agg(F.count(F.lit(1)).alias("_n"))
     from pyspark.sql import Window
-    wb = Window.partitionBy("conversation_id").orderBy("_day").rowsBetween(
+    m = bucketed(t["messages"], "conversation_id", MSG_ORDER, RANGE)
+    per_b = m.groupBy("conversation_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy("conversation_id").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
-    per_day = per_day.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))) \
-        .filter(F.col("_off") < k).select("conversation_id", "_day", "_off")
-    kept = m.join(per_day, ["conversation_id", "_day"])
-    wl = Window.partitionBy("conversation_id", "_day").orderBy(*MSG_ORDER)
+    per_b = per_b.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))) \
+        .filter(F.col("_off") < k).select("conversation_id", "_bucket", "_off")
+    kept = m.join(per_b, ["conversation_id", "_bucket"])
+    wl = Window.partitionBy("conversation_id", "_bucket").orderBy(*MSG_ORDER)
     kept = kept.withColumn("position", F.row_number().over(wl) + F.col("_off"))
     return kept.filter(F.col("position") <= k).select(
         "conversation_id", "id", "sender_id", "body", "created_at",
@@ -133,11 +134,11 @@ def mark_read(t: Tables, reads: DataFrame) -> DataFrame:
 
 def forum_room_history(t: Tables) -> DataFrame:
     """Forum messages with their position in the room (ordered by created_at, id);
-    positions are computed per (room, day) and offset, so a busy room spreads."""
+    positions are computed per (room, range bucket) and offset, so a busy room
+    spreads over tasks."""
     f = t["forum_messages"].select("room_id", "id", "sender_id", "created_at",
                                    F.lit(1).cast("bigint").alias("_one"))
-    r = running_sum(f, "room_id", MSG_ORDER, "_one", "position",
-                    bucket=F.to_date("created_at"))
+    r = running_sum(f, "room_id", MSG_ORDER, "_one", "position", bucket=RANGE)
     return r.drop("_one")
 
 

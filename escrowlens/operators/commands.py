@@ -7,7 +7,7 @@ ledger, audit and notification rows.  The guards run in the source's order.
 
 Batch semantics: commands apply in ``(requested_at, cmd_id)`` order.  Effects
 that depend on earlier commands of the same key use partial aggregates
-(``min``/``max_by`` of a struct, map-side combined) or the day-bucketed
+(``min``/``max_by`` of a struct, map-side combined) or the range-bucketed
 running operators of ``plans.prefix`` - never a list collected per key.
 Money effects of different wallets are independent, so an order touching a
 buyer and a seller is exploded into one delta per wallet.
@@ -23,7 +23,7 @@ from escrowlens.functions.money import RATE_TYPE, percent_label, seller_fee, tho
 from escrowlens.operators.catalog import effective_rate
 from escrowlens.plans.fold import ERR_NOT_ADMIN, ordered_guarded_fold
 from escrowlens.plans.joins import one_row
-from escrowlens.plans.prefix import previous_value, running_clamped, running_sum
+from escrowlens.plans.prefix import RANGE, previous_value, running_clamped, running_sum
 
 Tables = dict[str, DataFrame]
 ORDER = ["requested_at", "cmd_id"]
@@ -42,8 +42,10 @@ ERR_UNAUTHENTICATED = "Tidak terautentikasi."
 ERR_SELF_CHAT = "Tidak bisa membuat percakapan dengan diri sendiri."
 
 
-def _day(c: str = "requested_at") -> Column:
-    return F.to_date(F.col(c))
+def _day(c: str = "requested_at"):
+    """Bucket for the two-level running operators: balanced range buckets, so
+    a hot seller or wallet (even on one day) is split across tasks."""
+    return RANGE
 
 
 def _json(**fields) -> Column:

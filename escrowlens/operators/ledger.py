@@ -2,8 +2,8 @@
 
 The source kept running state row by row inside procedures; over a ledger
 table that state is a window per wallet.  All running values here go through
-``plans.prefix``, which splits a hot wallet by day so no single wallet is one
-task.
+``plans.prefix``, which splits a hot wallet into balanced range buckets (or by
+day) so no single wallet is one task.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escrowlens.plans.prefix import previous_value, running_clamped, running_sum
+from escrowlens.plans.prefix import (RANGE, bucketed, previous_value, running_clamped,
+                                    running_sum)
 
 Tables = dict[str, DataFrame]
 
@@ -30,20 +31,35 @@ def day_bucket(ts: str = "created_at"):
     return F.to_date(F.col(ts))
 
 
-def ledger_running_balance(t: Tables, split_by_day: bool = True) -> DataFrame:
+def split_bucket(split: str, ts: str = "created_at"):
+    """How a key's rows are split for the two-level running operators:
+    'range' (balanced by sampling; safe for any skew), 'day' (calendar day of
+    ``ts``; no extra shuffle), or 'none' (one window per key)."""
+    return {"range": RANGE, "day": day_bucket(ts), "none": None}[split]
+
+
+def ledger_running_balance(t: Tables, split: str = "range") -> DataFrame:
     """Balance after each ledger row, recomputed from the signed amounts."""
     led = t["wallet_transactions"].select("id", "wallet_id", "type", "created_at",
                                           signed_amount().alias("delta"), "balance_after")
     return running_sum(led, "wallet_id", LEDGER_ORDER, "delta", "running_balance",
-                       bucket=day_bucket() if split_by_day else None)
+                       bucket=split_bucket(split))
 
 
-def ledger_mismatches(t: Tables) -> DataFrame:
+def ledger_mismatches(t: Tables, split: str = "range") -> DataFrame:
     """Rows whose stored balance_after disagrees with the recomputed balance,
-    or whose step from the previous row is not the row's own amount."""
-    r = ledger_running_balance(t)
+    or whose step from the previous row is not the row's own amount.  The
+    running sum and the previous-row lookup share one bucketing pass."""
+    led = t["wallet_transactions"].select("id", "wallet_id", "type", "created_at",
+                                          signed_amount().alias("delta"), "balance_after")
+    bucket = split_bucket(split)
+    if bucket is not None:
+        led = bucketed(led, "wallet_id", LEDGER_ORDER, bucket).withColumnRenamed(
+            "_bucket", "_b")
+        bucket = F.col("_b")
+    r = running_sum(led, "wallet_id", LEDGER_ORDER, "delta", "running_balance", bucket=bucket)
     r = previous_value(r, "wallet_id", LEDGER_ORDER, "balance_after", "prev_stored",
-                       bucket=day_bucket())
+                       bucket=bucket)
     step_bad = F.coalesce(F.col("balance_after") - F.col("prev_stored") != F.col("delta"),
                           F.col("balance_after") != F.col("delta"))
     out = r.select("id", "wallet_id", "type", "created_at", "delta",
@@ -66,7 +82,7 @@ def wallet_totals(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n_tx"))
 
 
-def escrow_running(t: Tables, split_by_day: bool = True) -> DataFrame:
+def escrow_running(t: Tables, split: str = "range") -> DataFrame:
     """Escrow held per wallet after each movement, floored at zero at every step.
 
     Holds are the positive movements and releases the negative ones; a
@@ -75,4 +91,4 @@ def escrow_running(t: Tables, split_by_day: bool = True) -> DataFrame:
     """
     mv = t["wallet_commands"].select("seq", "user_id", "amount", "created_at")
     return running_clamped(mv, "user_id", ["created_at", "seq"], "amount", "escrow_after",
-                           bucket=day_bucket() if split_by_day else None)
+                           bucket=split_bucket(split))

@@ -16,6 +16,14 @@ Step 3 partitions by ``(key, bucket)``, so one hot key spreads over as many
 tasks as it has buckets; the join with the offsets is on the same columns and
 reuses that partitioning.
 
+A day can itself be hot (one key, one day, a third of all rows).  Passing
+``bucket=RANGE`` instead derives the bucket from the data: the rows are
+range-partitioned on (key, order) - Spark samples the sort key and cuts it into
+partitions of about equal size, splitting even a single key and a single
+timestamp by the tie-break column - and the partition index is the bucket.
+It is non-decreasing in the order by construction, so the result is exact;
+the price is one sampling pass, one more shuffle and a checkpoint write.
+
 Floor at zero (``e_i = max(e_{i-1} + d_i, 0)``, ``e_0 = w0``) has the closed
 form ``e_i = S_i - least(-w0, min_{j<=i} S_j)`` with ``S`` the running sum of
 ``d``, so it needs a running minimum as well as a running sum; both split the
@@ -27,11 +35,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from escrowlens.session import work_dir
+
+
+RANGE = "range"
+
 
 def _order(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def bucketed(df: DataFrame, key: str, order: list, bucket) -> DataFrame:
+    """``df`` with a ``_bucket`` column that is non-decreasing in (key, order).
+
+    Range buckets are the partition index after ``repartitionByRange``.  The
+    bucketed frame feeds two branches (bucket totals and local windows), and
+    each re-planned exchange would sample its own boundaries, so the frame is
+    pinned with a lazy reliable ``checkpoint``: both branches read one RDD
+    (one shuffle, one set of boundaries), written to the checkpoint folder.
+    """
+    if isinstance(bucket, str) and bucket == RANGE:
+        spark = df.sparkSession
+        work_dir(spark)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartitionByRange(n, F.col(key), *_order(order)) \
+            .withColumn("_bucket", F.spark_partition_id()).checkpoint(eager=False)
+    return df.withColumn("_bucket", bucket)
+
+
 def running_sum(df: DataFrame, key: str, order: list, value: str, out: str,
                 bucket: Column | None = None) -> DataFrame:
     """Add ``out`` = running sum of ``value`` per ``key`` in ``order``."""
@@ -40,7 +71,7 @@ def running_sum(df: DataFrame, key: str, order: list, value: str, out: str,
             Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(w))
     b = "_bucket"
-    d = df.withColumn(b, bucket)
+    d = bucketed(df, key, order, bucket)
     totals = d.groupBy(key, b).agg(F.sum(value).alias("_bsum"))
     wb = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(key, b, F.coalesce(F.sum("_bsum").over(wb), F.lit(0))
@@ -69,7 +100,7 @@ def running_clamped(df: DataFrame, key: str, order: list, delta: str, out: str,
         d = d.withColumn("_m", F.min("_s").over(w))
     else:
         b = "_bucket"
-        d = d.withColumn(b, bucket)
+        d = bucketed(d, key, order, bucket)
         wl = Window.partitionBy(key, b).orderBy(*_order(order)).rowsBetween(
             Window.unboundedPreceding, 0)
         d = d.withColumn("_ls", F.sum(delta).over(wl)).withColumn("_lm", F.min("_ls").over(wl))
@@ -102,7 +133,7 @@ def previous_value(df: DataFrame, key: str, order: list, value: str, out: str,
     if bucket is None:
         return df.withColumn(out, shift(value).over(Window.partitionBy(key).orderBy(*ordc)))
     b = "_bucket"
-    d = df.withColumn(b, bucket)
+    d = bucketed(df, key, order, bucket)
     edge = F.min_by if following else F.max_by
     last = d.groupBy(key, b).agg(edge(value, F.struct(*ordc)).alias("_bedge"))
     wb = Window.partitionBy(key).orderBy(b)

@@ -7,8 +7,8 @@ pending timers are a table (order_id, delivered_at) versioned by micro-batch
 id, and each batch is
 
 1. the new events plus the pending timers (as 'delivered' events);
-2. per order, the next event's time (``lead``, split by day like the ledger
-   windows): a 'delivered' row fires when the next event comes
+2. per order, the next event's time (``lead``, split into range buckets like
+   the ledger windows): a 'delivered' row fires when the next event comes
    more than the span later; the last row arms a timer when it is 'delivered';
 3. the watermark is (largest event time so far) - delay; armed timers whose
    due time is before it fire now, the rest are the next state version.
@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escrowlens.plans.prefix import previous_value
+from escrowlens.plans.prefix import RANGE, previous_value
 from escrowlens.session import scratch_path
 
 STATE_SCHEMA = "order_id string, delivered_at timestamp"
@@ -38,7 +38,7 @@ def timer_step(events: DataFrame, pending: DataFrame, max_seen: DataFrame,
                            F.col("delivered_at").alias("ts"))
     rows = ev.unionByName(armed)
     rows = previous_value(rows, "order_id", ["ts", "status"], "ts", "_next",
-                          bucket=F.to_date("ts"), following=True)
+                          bucket=RANGE, following=True)
     due = F.col("ts") + F.make_dt_interval(F.lit(after_days))
     delivered = rows.filter(F.col("status") == "delivered").withColumn("due_at", due)
     fired_gap = delivered.filter(F.col("_next").isNotNull() & (F.col("_next") > F.col("due_at")))
