@@ -24,6 +24,8 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Remove RDD checkpoint files (range buckets) once their RDD is unreachable.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -41,6 +43,26 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def sized_conf(input_bytes: int, target_partition_mb: int = 256,
+               min_partitions: int = 8, max_partitions: int = 100_000) -> dict[str, str]:
+    """Partition sizing for a job that reads about ``input_bytes``.
+
+    Shuffle partitions are chosen so one partition holds about the target
+    size (AQE then coalesces small ones and splits skewed ones); scan splits
+    use the same target, so a task's input and its shuffle output both fit
+    comfortably in executor memory and spill stays the exception.  At 100 TB
+    and 256 MB this gives the 100,000-partition cap.
+    """
+    target = target_partition_mb * 1024 * 1024
+    n = max(min_partitions, min(max_partitions, -(-input_bytes // target)))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target),
+    }
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session (created if unset)."""
     sc = spark.sparkContext

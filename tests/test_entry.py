@@ -32,3 +32,10 @@ def test_status_counts_match_fixture_table(spark):
     got = {r["status"]: r["count"] for r in t["orders"].groupBy("status").count().collect()}
     assert got == {"cancelled": 341, "completed": 1009, "delivered": 1318, "disputed": 312,
                    "paid": 625, "pending_payment": 696, "processing": 1362, "refunded": 337}
+
+
+def test_sized_conf_scales_partitions():
+    from escrowlens.session import sized_conf
+    assert sized_conf(10 * 1024 ** 2)["spark.sql.shuffle.partitions"] == "8"
+    assert sized_conf(100 * 1024 ** 4)["spark.sql.shuffle.partitions"] == "100000"
+    assert sized_conf(1024 ** 4)["spark.sql.shuffle.partitions"] == "4096"

@@ -137,3 +137,30 @@ def test_range_buckets_split_one_hot_key_and_day(spark):
         exp[seq] = b
     res = {r["seq"]: r["e"] for r in got.filter("k = 'hot'").collect()}
     assert res == exp
+
+
+def test_guarded_fold_carries_state_across_arrow_batches(spark):
+    """A long wallet split over many tiny Arrow batches folds like one run."""
+    import random
+    rnd = random.Random(7)
+    rows = [("hot" if i % 5 else f"k{i % 3}", i, BASE, rnd.randint(-40, 40))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, seq long, ts timestamp_ntz, v long").select(
+        "k", "seq", F.col("v").alias("amount"), F.lit(10).cast("bigint").alias("start_balance"),
+        F.lit(None).cast("string").alias("pre_error"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["seq"]: (r["ok"], r["new_balance"])
+               for r in ordered_guarded_fold(df, "k", ["seq"], num_partitions=2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    bal, exp = {}, {}
+    for k, seq, _, v in rows:
+        b = bal.get(k, 10)
+        if b + v >= 0:
+            bal[k] = b + v
+            exp[seq] = (True, b + v)
+        else:
+            exp[seq] = (False, b)
+    assert got == exp
