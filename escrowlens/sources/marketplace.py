@@ -38,6 +38,12 @@ ADMIN_ACTIONS = [("suspend_user", "user"), ("change_role", "user"),
 
 _cache: dict[tuple, dict[str, str]] = {}
 _frames: dict[tuple, dict[str, DataFrame]] = {}
+_catalog: dict[tuple, dict[str, str]] = {}
+
+# Storage layout: tables joined on the order id are bucketed (hash on the
+# order id, same bucket count) and sorted, so those joins read co-located
+# buckets instead of shuffling both sides.
+CO_LOCATED = {"orders": "id", "platform_commission": "order_id"}
 
 
 def _s(x) -> F.Column:
@@ -395,7 +401,8 @@ def load_marketplace(spark: SparkSession, sf_dir: str, materialize: bool = True
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     tables = _frames.get(key)
     if tables is None:
-        tables = _frames[key] = MarketTables(spark, marketplace_paths(spark, sf_dir))
+        paths = marketplace_paths(spark, sf_dir)
+        tables = _frames[key] = MarketTables(spark, paths, _catalog.get(key, {}))
     return tables
 
 
@@ -404,30 +411,55 @@ class MarketTables(dict):
     only lists and opens the folders it touches (and the file index of each
     folder is built once per session)."""
 
-    def __init__(self, spark: SparkSession, paths: dict[str, str]):
+    def __init__(self, spark: SparkSession, paths: dict[str, str],
+                 catalog: dict[str, str] | None = None):
         super().__init__()
-        self._spark, self._paths = spark, paths
+        self._spark, self._paths, self._catalog = spark, paths, catalog or {}
 
     def __missing__(self, name: str) -> DataFrame:
-        df = self._spark.read.parquet(self._paths[name])
+        if name in self._catalog:          # bucketed: the planner sees the layout
+            df = self._spark.table(self._catalog[name])
+        else:
+            df = self._spark.read.parquet(self._paths[name])
         self[name] = df
         return df
 
 
+def _write_table(spark: SparkSession, df: DataFrame, name: str, path: str,
+                 catalog: dict[str, str], tag: str) -> None:
+    """Write one table; the co-located ones as bucketed external tables."""
+    col = CO_LOCATED.get(name)
+    if col is not None:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tname = f"{tag}_{name}"
+        try:
+            # One writer per bucket (same hash as the bucketing), so each
+            # bucket is a single sorted file and joins skip the sort too.
+            (df.repartition(n, F.col(col)).write.mode("overwrite")
+             .bucketBy(n, col).sortBy(col).option("path", path).saveAsTable(tname))
+            catalog[name] = tname
+            return
+        except Exception:  # noqa: BLE001 - a catalog without table support
+            pass           # falls back to a plain folder below
+    df.write.mode("overwrite").parquet(path)
+
+
 def marketplace_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Folders of the materialised marketplace tables (written on first use)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     paths = _cache.get(key)
     if paths is None:
         base = scratch_path(spark, "market")
+        tag = "escrowlens_" + base.rstrip("/").rsplit("-", 1)[-1]
+        catalog: dict[str, str] = {}
         lines = order_lines(spark, sf_dir)
         lines_path = f"{base}/_lines"
         lines.write.mode("overwrite").parquet(lines_path)
         lines = spark.read.parquet(lines_path)
-        orders = orders_table(lines)
         orders_path = f"{base}/orders"
-        orders.write.mode("overwrite").parquet(orders_path)
-        orders = spark.read.parquet(orders_path)
+        _write_table(spark, orders_table(lines), "orders", orders_path, catalog, tag)
+        orders = (spark.table(catalog["orders"]) if "orders" in catalog
+                  else spark.read.parquet(orders_path))
         people = _people(spark, sf_dir)
         commission = commission_table(orders)
         conversations, messages = chat_tables(spark, sf_dir)
@@ -448,7 +480,8 @@ def marketplace_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         paths = {"orders": orders_path}
         for name, df in frames.items():
             p = f"{base}/{name}"
-            df.write.mode("overwrite").parquet(p)
+            _write_table(spark, df, name, p, catalog, tag)
             paths[name] = p
         _cache[key] = paths
+        _catalog[key] = catalog
     return paths
