@@ -42,6 +42,26 @@ ERR_UNAUTHENTICATED = "Tidak terautentikasi."
 ERR_SELF_CHAT = "Tidak bisa membuat percakapan dengan diri sendiri."
 
 
+class Outputs(dict):
+    """The frames an operator returns, each built on first access.
+
+    Building a range-bucketed running value samples the data (a Spark job),
+    so an output nobody asks for must not be built at all.
+    """
+
+    def __init__(self, **builders):
+        super().__init__()
+        self._builders = builders
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = self._builders[name]()
+        self[name] = df
+        return df
+
+    def keys(self):
+        return self._builders.keys()
+
+
 def _day(c: str = "requested_at"):
     """Bucket for the two-level running operators: balanced range buckets, so
     a hot seller or wallet (even on one day) is split across tasks."""
@@ -142,19 +162,24 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     a = applied.join(w, "p_seller", "left").withColumn(
         "wallet_id", _wallet_id(F.col("p_seller"), F.col("_wid"))).withColumn(
         "_bal0", F.coalesce("_bal0", F.lit(0).cast("bigint")))
-    a = running_sum(a, "p_seller", ORDER, "seller_net", "_run", bucket=_day())
-    ledger = a.select(
-        "wallet_id", F.lit("escrow_release").alias("type"), F.col("seller_net").alias("amount"),
-        (F.col("_bal0") + F.col("_run")).alias("balance_after"),
-        F.concat(F.lit("Penjualan order #"), F.left(F.col("order_id"), F.lit(8)),
-                 F.lit(" (komisi "), percent_label(F.col("rate")).cast("string"),
-                 F.lit("%)")).alias("description"),
-        F.col("order_id").alias("ref_order_id"), F.col("requested_at").alias("created_at"),
-        F.col("cmd_id").alias("source_cmd"))
-    wallets = a.groupBy(F.col("p_seller").alias("user_id"), "wallet_id").agg(
-        F.first("_bal0").alias("balance_before"),
-        F.sum("seller_net").alias("credited")).withColumn(
-        "balance_after", F.col("balance_before") + F.col("credited"))
+
+    def ledger():
+        r = running_sum(a, "p_seller", ORDER, "seller_net", "_run", bucket=_day())
+        return r.select(
+            "wallet_id", F.lit("escrow_release").alias("type"),
+            F.col("seller_net").alias("amount"),
+            (F.col("_bal0") + F.col("_run")).alias("balance_after"),
+            F.concat(F.lit("Penjualan order #"), F.left(F.col("order_id"), F.lit(8)),
+                     F.lit(" (komisi "), percent_label(F.col("rate")).cast("string"),
+                     F.lit("%)")).alias("description"),
+            F.col("order_id").alias("ref_order_id"), F.col("requested_at").alias("created_at"),
+            F.col("cmd_id").alias("source_cmd"))
+
+    def wallets():
+        return a.groupBy(F.col("p_seller").alias("user_id"), "wallet_id").agg(
+            F.first("_bal0").alias("balance_before"),
+            F.sum("seller_net").alias("credited")).withColumn(
+            "balance_after", F.col("balance_before") + F.col("credited"))
 
     new = applied.select(
         "order_id", F.col("total_amount").alias("gross_amount"), "rate",
@@ -180,8 +205,9 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     orders_upd = applied.select("order_id", F.col("fee").alias("platform_fee"),
                                 F.col("rate").alias("commission_rate"),
                                 F.col("seller_net").alias("seller_payout"))
-    return {"outcomes": outcomes, "ledger": ledger, "wallets": wallets,
-            "commission": commission, "admin_wallet": admin_wallet, "orders": orders_upd}
+    return Outputs(outcomes=lambda: outcomes, ledger=ledger, wallets=wallets,
+                   commission=lambda: commission, admin_wallet=lambda: admin_wallet,
+                   orders=lambda: orders_upd)
 
 
 # ---------------------------------------------------------------- J5 status
@@ -212,8 +238,9 @@ def apply_status(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
         .join(last, "order_id")
     audit = _audit(okc, F.lit("update_order_status"), "order", "order_id",
                    _json(new_status=F.col("new_status"), note=F.col("note")))
-    return {"outcomes": outcomes, "orders": orders_after, "audit": audit,
-            "settlement": s["outcomes"], "settle_wallets": s["wallets"]}
+    return Outputs(outcomes=lambda: outcomes, orders=lambda: orders_after,
+                   audit=lambda: audit, settlement=lambda: s["outcomes"],
+                   settle_wallets=lambda: s["wallets"])
 
 
 def apply_status_v1(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
@@ -288,21 +315,26 @@ def confirm_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
                             F.col("balance").alias("_bal0"), F.col("escrow_hold").alias("_esc0"),
                             F.col("total_in").alias("_in0"))
     a = okc.join(w, "seller_id").withColumn("_neg_total", -F.col("total_amount"))
-    a = running_sum(a, "seller_id", ORDER, "seller_receives", "_run", bucket=_day())
-    a = running_clamped(a, "seller_id", ORDER, "_neg_total", "escrow_after",
-                        start=F.col("_esc0"), bucket=_day())
-    a = a.withColumn("balance_after", F.col("_bal0") + F.col("_run"))
-    ledger = a.select("wallet_id", F.lit("escrow_release").alias("type"),
-                      F.col("seller_receives").alias("amount"), "balance_after",
-                      F.concat(F.lit("Dana rekber cair — "), "product_title")
-                      .alias("description"),
-                      F.col("order_id").alias("ref_order_id"),
-                      F.col("requested_at").alias("created_at"),
-                      F.col("cmd_id").alias("source_cmd"))
-    wallets = a.groupBy(F.col("seller_id").alias("user_id"), "wallet_id").agg(
-        F.max_by("balance_after", F.struct(*ORDER)).alias("balance"),
-        F.max_by("escrow_after", F.struct(*ORDER)).alias("escrow_hold"),
-        (F.first("_in0") + F.sum("seller_receives")).alias("total_in"))
+
+    def ledger():
+        r = running_sum(a, "seller_id", ORDER, "seller_receives", "_run", bucket=_day())
+        return r.select("wallet_id", F.lit("escrow_release").alias("type"),
+                        F.col("seller_receives").alias("amount"),
+                        (F.col("_bal0") + F.col("_run")).alias("balance_after"),
+                        F.concat(F.lit("Dana rekber cair — "), "product_title")
+                        .alias("description"),
+                        F.col("order_id").alias("ref_order_id"),
+                        F.col("requested_at").alias("created_at"),
+                        F.col("cmd_id").alias("source_cmd"))
+
+    def wallets():
+        # Balance and total_in only add up; only the escrow floor needs order.
+        r = running_clamped(a, "seller_id", ORDER, "_neg_total", "escrow_after",
+                            start=F.col("_esc0"), bucket=_day())
+        return r.groupBy(F.col("seller_id").alias("user_id"), "wallet_id").agg(
+            (F.first("_bal0") + F.sum("seller_receives")).alias("balance"),
+            F.max_by("escrow_after", F.struct(*ORDER)).alias("escrow_hold"),
+            (F.first("_in0") + F.sum("seller_receives")).alias("total_in"))
     seller_n = _notice(okc, F.col("seller_id"), F.lit("✅ Dana rekber cair!"),
                        F.concat(F.lit('Pembeli konfirmasi terima pesanan "'), "product_title",
                                 F.lit('". Dana Rp '), thousands("seller_receives"),
@@ -314,8 +346,9 @@ def confirm_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
                       "success", F.col("order_id"))
     orders_after = okc.select("order_id", F.lit("completed").alias("status"),
                               F.col("requested_at").alias("completed_at"))
-    return {"outcomes": outcomes, "ledger": ledger, "wallets": wallets,
-            "notifications": seller_n.unionByName(buyer_n), "orders": orders_after}
+    return Outputs(outcomes=lambda: outcomes, ledger=ledger, wallets=wallets,
+                   notifications=lambda: seller_n.unionByName(buyer_n),
+                   orders=lambda: orders_after)
 
 
 # ---------------------------------------------------------------- J7 refund
@@ -354,35 +387,42 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     b = b.withColumn("wallet_id", _wallet_id(F.col("user_id"), F.col("_wid"))) \
          .withColumn("_bal0", F.coalesce("_bal0", zero)).withColumn("_in0",
                                                                     F.coalesce("_in0", zero))
-    b = running_sum(b, "user_id", ORDER, "total_amount", "_run", bucket=_day())
-    b = b.withColumn("balance_after", F.col("_bal0") + F.col("_run"))
     reason_sfx = F.coalesce(F.concat(F.lit(" ("), "reason", F.lit(")")), F.lit(""))
-    ledger = b.select("wallet_id", F.lit("refund").alias("type"),
-                      F.col("total_amount").alias("amount"), "balance_after",
-                      F.concat(F.lit("Refund admin - "), "product_title", reason_sfx)
-                      .alias("description"), F.col("order_id").alias("ref_order_id"),
-                      F.col("requested_at").alias("created_at"),
-                      F.col("cmd_id").alias("source_cmd"))
-    buyers = b.groupBy("user_id", "wallet_id").agg(
-        F.max_by("balance_after", F.struct(*ORDER)).alias("balance"),
-        (F.first("_in0") + F.sum("total_amount")).alias("total_in"))
-    # Seller side: escrow released, floored at zero.
-    s = okc.withColumnRenamed("seller_id", "user_id").join(wl, "user_id", "left")
-    s = s.withColumn("wallet_id", _wallet_id(F.col("user_id"), F.col("_wid"))) \
-         .withColumn("_esc0", F.coalesce("_esc0", zero)) \
-         .withColumn("_neg_total", -F.col("total_amount"))
-    s = running_clamped(s, "user_id", ORDER, "_neg_total", "escrow_after",
-                        start=F.col("_esc0"), bucket=_day())
-    sellers = s.groupBy("user_id", "wallet_id").agg(
-        F.max_by("escrow_after", F.struct(*ORDER)).alias("escrow_hold"))
-    wallets = buyers.join(sellers, ["user_id", "wallet_id"], "full")
-    cur = t["wallets"].select(F.col("user_id"), F.col("balance").alias("_b"),
-                              F.col("escrow_hold").alias("_e"), F.col("total_in").alias("_i"))
-    wallets = wallets.join(cur, "user_id", "left").select(
-        "user_id", "wallet_id",
-        F.coalesce("balance", "_b", zero).alias("balance"),
-        F.coalesce("escrow_hold", "_e", zero).alias("escrow_hold"),
-        F.coalesce("total_in", "_i", zero).alias("total_in"))
+
+    def ledger():
+        r = running_sum(b, "user_id", ORDER, "total_amount", "_run", bucket=_day())
+        return r.select("wallet_id", F.lit("refund").alias("type"),
+                        F.col("total_amount").alias("amount"),
+                        (F.col("_bal0") + F.col("_run")).alias("balance_after"),
+                        F.concat(F.lit("Refund admin - "), "product_title", reason_sfx)
+                        .alias("description"), F.col("order_id").alias("ref_order_id"),
+                        F.col("requested_at").alias("created_at"),
+                        F.col("cmd_id").alias("source_cmd"))
+
+    def wallets():
+        # Buyers: balance and total_in only add up (no order needed).
+        buyers = b.groupBy("user_id", "wallet_id").agg(
+            (F.first("_bal0") + F.sum("total_amount")).alias("balance"),
+            (F.first("_in0") + F.sum("total_amount")).alias("total_in"))
+        # Sellers: escrow released in order, floored at zero.
+        s = okc.withColumnRenamed("seller_id", "user_id").join(wl, "user_id", "left")
+        s = s.withColumn("wallet_id", _wallet_id(F.col("user_id"), F.col("_wid"))) \
+             .withColumn("_esc0", F.coalesce("_esc0", zero)) \
+             .withColumn("_neg_total", -F.col("total_amount"))
+        s = running_clamped(s, "user_id", ORDER, "_neg_total", "escrow_after",
+                            start=F.col("_esc0"), bucket=_day())
+        sellers = s.groupBy("user_id", "wallet_id").agg(
+            F.max_by("escrow_after", F.struct(*ORDER)).alias("escrow_hold"))
+        both = buyers.join(sellers, ["user_id", "wallet_id"], "full")
+        cur = t["wallets"].select(F.col("user_id"), F.col("balance").alias("_b"),
+                                  F.col("escrow_hold").alias("_e"),
+                                  F.col("total_in").alias("_i"))
+        return both.join(cur, "user_id", "left").select(
+            "user_id", "wallet_id",
+            F.coalesce("balance", "_b", zero).alias("balance"),
+            F.coalesce("escrow_hold", "_e", zero).alias("escrow_hold"),
+            F.coalesce("total_in", "_i", zero).alias("total_in"))
+
     reason_note = F.coalesce(F.concat(F.lit(" Alasan: "), "reason"), F.lit(""))
     notes = _notice(okc, F.col("buyer_id"), F.lit("Dana Dikembalikan"),
                     F.concat(F.lit('Pesanan "'), "product_title",
@@ -395,8 +435,9 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     audit = _audit(okc, F.lit("force_refund"), "order", "order_id",
                    _json(amount=F.col("total_amount"), reason=F.col("reason")))
     orders_after = okc.select("order_id", F.lit("refunded").alias("status"))
-    return {"outcomes": outcomes, "ledger": ledger, "wallets": wallets,
-            "notifications": notes, "audit": audit, "orders": orders_after}
+    return Outputs(outcomes=lambda: outcomes, ledger=ledger, wallets=wallets,
+                   notifications=lambda: notes, audit=lambda: audit,
+                   orders=lambda: orders_after)
 
 
 # ---------------------------------------------------------------- J8 adjust
