@@ -8,7 +8,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql.types import _parse_datatype_string  # noqa: E402
 
 from escrowlens.session import build_session  # noqa: E402
