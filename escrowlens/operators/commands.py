@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 from escrowlens.functions.labels import REFUNDABLE_STATUSES, ROLES
 from escrowlens.functions.money import RATE_TYPE, percent_label, seller_fee, thousands
 from escrowlens.operators.catalog import effective_rate
-from escrowlens.plans.fold import ERR_NOT_ADMIN, ordered_guarded_fold
+from escrowlens.plans.fold import ordered_guarded_fold
 from escrowlens.plans.joins import one_row
 from escrowlens.plans.prefix import RANGE, previous_value, running_clamped, running_sum
 
 Tables = dict[str, DataFrame]
 ORDER = ["requested_at", "cmd_id"]
 
-# Fixed message texts of the source system.
+# Fixed values of the source system: refusal messages, ledger descriptions and
+# notification texts, exactly as the procedures write them.
+ERR_NOT_ADMIN = "Tidak punya akses admin."
 ERR_ORDER_NOT_FOUND_SETTLE = "Order tidak ditemukan"
 ERR_NO_ADMIN_WALLET = "admin_wallet belum ada row sama sekali."
 ERR_SETTLE_PREFIX = "Gagal proses komisi: "
@@ -40,6 +42,33 @@ ERR_BAD_ROLE = "Role tidak valid."
 ERR_PRODUCT_NOT_FOUND = "Produk tidak ditemukan."
 ERR_UNAUTHENTICATED = "Tidak terautentikasi."
 ERR_SELF_CHAT = "Tidak bisa membuat percakapan dengan diri sendiri."
+ERR_ZERO_AMOUNT = "Jumlah tidak boleh nol."
+ERR_NO_REASON = "Alasan wajib diisi untuk audit."
+ERR_NO_WALLET = "Dompet pengguna tidak ditemukan."
+# The wallets table constraint (balance >= 0) fires before the procedure's own
+# negative-balance test, so a refused debit reports the constraint.
+ERR_NEGATIVE = 'new row for relation "wallets" violates check constraint "wallets_balance_check"'
+# Ledger descriptions (text before the variable part).
+DESC_SALE = ("Penjualan order #", " (komisi ", "%)")
+DESC_RELEASE = "Dana rekber cair — "
+DESC_REFUND = "Refund admin - "
+DESC_ADJUST = "Penyesuaian admin — "
+# Notification titles and body pieces.
+TITLE_RELEASED = "✅ Dana rekber cair!"
+BODY_RELEASED = ('Pembeli konfirmasi terima pesanan "', '". Dana Rp ',
+                 " sudah masuk ke saldo kamu.")
+TITLE_COMPLETED = "🎉 Pesanan selesai!"
+BODY_COMPLETED = ('Pesanan "', '" sudah kamu konfirmasi selesai.')
+TITLE_REFUND_BUYER = "Dana Dikembalikan"
+BODY_REFUND_BUYER = ('Pesanan "', '" direfund oleh admin.')
+TITLE_REFUND_SELLER = "Pesanan Direfund Admin"
+BODY_REFUND_SELLER = ('Pesanan "', '" direfund ke pembeli oleh admin.')
+REASON_NOTE = " Alasan: "
+TITLE_TOPUP = "💰 Saldo Ditambahkan"
+TITLE_DEBIT = "⚠️ Saldo Dikurangi"
+BODY_ADJUST = ("Saldo kamu disesuaikan admin sebesar Rp ", ". Alasan: ")
+TITLE_SUSPENDED = "⚠️ Akun Disuspend"
+BODY_SUSPENDED = "Akun kamu disuspend oleh admin."
 
 
 class Outputs(dict):
@@ -169,9 +198,9 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
             "wallet_id", F.lit("escrow_release").alias("type"),
             F.col("seller_net").alias("amount"),
             (F.col("_bal0") + F.col("_run")).alias("balance_after"),
-            F.concat(F.lit("Penjualan order #"), F.left(F.col("order_id"), F.lit(8)),
-                     F.lit(" (komisi "), percent_label(F.col("rate")).cast("string"),
-                     F.lit("%)")).alias("description"),
+            F.concat(F.lit(DESC_SALE[0]), F.left(F.col("order_id"), F.lit(8)),
+                     F.lit(DESC_SALE[1]), percent_label(F.col("rate")).cast("string"),
+                     F.lit(DESC_SALE[2])).alias("description"),
             F.col("order_id").alias("ref_order_id"), F.col("requested_at").alias("created_at"),
             F.col("cmd_id").alias("source_cmd"))
 
@@ -321,7 +350,7 @@ def confirm_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
         return r.select("wallet_id", F.lit("escrow_release").alias("type"),
                         F.col("seller_receives").alias("amount"),
                         (F.col("_bal0") + F.col("_run")).alias("balance_after"),
-                        F.concat(F.lit("Dana rekber cair — "), "product_title")
+                        F.concat(F.lit(DESC_RELEASE), "product_title")
                         .alias("description"),
                         F.col("order_id").alias("ref_order_id"),
                         F.col("requested_at").alias("created_at"),
@@ -335,14 +364,14 @@ def confirm_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
             (F.first("_bal0") + F.sum("seller_receives")).alias("balance"),
             F.max_by("escrow_after", F.struct(*ORDER)).alias("escrow_hold"),
             (F.first("_in0") + F.sum("seller_receives")).alias("total_in"))
-    seller_n = _notice(okc, F.col("seller_id"), F.lit("✅ Dana rekber cair!"),
-                       F.concat(F.lit('Pembeli konfirmasi terima pesanan "'), "product_title",
-                                F.lit('". Dana Rp '), thousands("seller_receives"),
-                                F.lit(" sudah masuk ke saldo kamu.")),
+    seller_n = _notice(okc, F.col("seller_id"), F.lit(TITLE_RELEASED),
+                       F.concat(F.lit(BODY_RELEASED[0]), "product_title",
+                                F.lit(BODY_RELEASED[1]), thousands("seller_receives"),
+                                F.lit(BODY_RELEASED[2])),
                        "success", F.col("order_id"))
-    buyer_n = _notice(okc, F.col("buyer_id"), F.lit("🎉 Pesanan selesai!"),
-                      F.concat(F.lit('Pesanan "'), "product_title",
-                               F.lit('" sudah kamu konfirmasi selesai.')),
+    buyer_n = _notice(okc, F.col("buyer_id"), F.lit(TITLE_COMPLETED),
+                      F.concat(F.lit(BODY_COMPLETED[0]), "product_title",
+                               F.lit(BODY_COMPLETED[1])),
                       "success", F.col("order_id"))
     orders_after = okc.select("order_id", F.lit("completed").alias("status"),
                               F.col("requested_at").alias("completed_at"))
@@ -394,7 +423,7 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
         return r.select("wallet_id", F.lit("refund").alias("type"),
                         F.col("total_amount").alias("amount"),
                         (F.col("_bal0") + F.col("_run")).alias("balance_after"),
-                        F.concat(F.lit("Refund admin - "), "product_title", reason_sfx)
+                        F.concat(F.lit(DESC_REFUND), "product_title", reason_sfx)
                         .alias("description"), F.col("order_id").alias("ref_order_id"),
                         F.col("requested_at").alias("created_at"),
                         F.col("cmd_id").alias("source_cmd"))
@@ -423,14 +452,14 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
             F.coalesce("escrow_hold", "_e", zero).alias("escrow_hold"),
             F.coalesce("total_in", "_i", zero).alias("total_in"))
 
-    reason_note = F.coalesce(F.concat(F.lit(" Alasan: "), "reason"), F.lit(""))
-    notes = _notice(okc, F.col("buyer_id"), F.lit("Dana Dikembalikan"),
-                    F.concat(F.lit('Pesanan "'), "product_title",
-                             F.lit('" direfund oleh admin.'), reason_note),
+    reason_note = F.coalesce(F.concat(F.lit(REASON_NOTE), "reason"), F.lit(""))
+    notes = _notice(okc, F.col("buyer_id"), F.lit(TITLE_REFUND_BUYER),
+                    F.concat(F.lit(BODY_REFUND_BUYER[0]), "product_title",
+                             F.lit(BODY_REFUND_BUYER[1]), reason_note),
                     "info", F.col("order_id")).unionByName(
-        _notice(okc, F.col("seller_id"), F.lit("Pesanan Direfund Admin"),
-                F.concat(F.lit('Pesanan "'), "product_title",
-                         F.lit('" direfund ke pembeli oleh admin.'), reason_note),
+        _notice(okc, F.col("seller_id"), F.lit(TITLE_REFUND_SELLER),
+                F.concat(F.lit(BODY_REFUND_SELLER[0]), "product_title",
+                         F.lit(BODY_REFUND_SELLER[1]), reason_note),
                 "warning", F.col("order_id")))
     audit = _audit(okc, F.lit("force_refund"), "order", "order_id",
                    _json(amount=F.col("total_amount"), reason=F.col("reason")))
@@ -443,9 +472,6 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------- J8 adjust
 
 
-ERR_NO_WALLET = "Dompet pengguna tidak ditemukan."
-
-
 def adjust_wallets(t: Tables, commands: DataFrame, create_missing: bool = True
                    ) -> dict[str, DataFrame]:
     """Admin balance adjustments applied in ``seq`` order per user.
@@ -462,15 +488,14 @@ def adjust_wallets(t: Tables, commands: DataFrame, create_missing: bool = True
                             F.col("total_in").alias("_in0"), F.col("total_out").alias("_out0"))
     c = c.join(w, "user_id", "left")
     pre = (F.when(~F.col("is_admin"), F.lit(ERR_NOT_ADMIN))
-           .when(F.col("amount") == 0, F.lit("Jumlah tidak boleh nol."))
-           .when(F.col("reason").isNull() | (F.trim("reason") == ""),
-                 F.lit("Alasan wajib diisi untuk audit.")))
+           .when(F.col("amount") == 0, F.lit(ERR_ZERO_AMOUNT))
+           .when(F.col("reason").isNull() | (F.trim("reason") == ""), F.lit(ERR_NO_REASON)))
     if not create_missing:
         pre = pre.when(F.col("_wid").isNull(), F.lit(ERR_NO_WALLET))
     c = c.withColumn("pre_error", pre).withColumn(
         "start_balance", F.coalesce("start_balance", F.lit(0).cast("bigint")))
     c = c.withColumn("wallet_id", _wallet_id(F.col("user_id"), F.col("_wid")))
-    f = ordered_guarded_fold(c, "user_id", ["seq"])
+    f = ordered_guarded_fold(c, "user_id", ["seq"], refusal=ERR_NEGATIVE)
     outcomes = f.select("seq", "user_id", "amount", "ok", "error",
                         F.when(F.col("ok"), F.col("new_balance")).alias("new_balance"))
     acc = f.filter("ok")
@@ -489,7 +514,7 @@ def adjust_wallets(t: Tables, commands: DataFrame, create_missing: bool = True
                           F.when(F.col("amount") > 0, "topup").otherwise("withdrawal")
                           .alias("type"), F.abs("amount").alias("amount"),
                           F.col("new_balance").alias("balance_after"),
-                          F.concat(F.lit("Penyesuaian admin — "), "reason").alias("description"),
+                          F.concat(F.lit(DESC_ADJUST), "reason").alias("description"),
                           F.lit(None).cast("string").alias("ref_order_id"),
                           F.col("requested_at").alias("created_at"),
                           F.col("cmd_id").alias("source_cmd"))
@@ -497,10 +522,10 @@ def adjust_wallets(t: Tables, commands: DataFrame, create_missing: bool = True
                    _json(amount=F.col("amount"), reason=F.col("reason"),
                          new_balance=F.col("new_balance")))
     notes = _notice(acc_r, F.col("user_id"),
-                    F.when(F.col("amount") > 0, F.lit("💰 Saldo Ditambahkan"))
-                    .otherwise(F.lit("⚠️ Saldo Dikurangi")),
-                    F.concat(F.lit("Saldo kamu disesuaikan admin sebesar Rp "),
-                             thousands(F.abs("amount")), F.lit(". Alasan: "), "reason"),
+                    F.when(F.col("amount") > 0, F.lit(TITLE_TOPUP))
+                    .otherwise(F.lit(TITLE_DEBIT)),
+                    F.concat(F.lit(BODY_ADJUST[0]), thousands(F.abs("amount")),
+                             F.lit(BODY_ADJUST[1]), "reason"),
                     "info")
     return {"outcomes": outcomes, "wallets": final, "ledger": ledger, "audit": audit,
             "notifications": notes}
@@ -534,9 +559,9 @@ def suspend_users(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     audit = _audit(okc, F.when(F.col("suspend"), "suspend_user").otherwise("unsuspend_user"),
                    "user", "user_id",
                    _json(reason=F.col("reason"), was_suspended=F.col("was_suspended")))
-    notes = _notice(okc.filter("suspend"), F.col("user_id"), F.lit("⚠️ Akun Disuspend"),
-                    F.concat(F.lit("Akun kamu disuspend oleh admin."),
-                             F.coalesce(F.concat(F.lit(" Alasan: "), "reason"), F.lit(""))),
+    notes = _notice(okc.filter("suspend"), F.col("user_id"), F.lit(TITLE_SUSPENDED),
+                    F.concat(F.lit(BODY_SUSPENDED),
+                             F.coalesce(F.concat(F.lit(REASON_NOTE), "reason"), F.lit(""))),
                     "warning")
     return {"outcomes": outcomes, "profiles": profiles, "audit": audit, "notifications": notes}
 

@@ -27,15 +27,9 @@ from pyspark.sql import functions as F
 
 FOLD_SCHEMA_EXTRA = "ok boolean, error string, balance_before long, new_balance long"
 
-# Fixed refusal texts of the source system.
-ERR_NOT_ADMIN = "Tidak punya akses admin."
-ERR_ZERO = "Jumlah tidak boleh nol."
-ERR_NO_REASON = "Alasan wajib diisi untuk audit."
-# The table constraint (balance >= 0) fires before the procedure's own test.
-ERR_NEGATIVE = 'new row for relation "wallets" violates check constraint "wallets_balance_check"'
 
-
-def _fold_batches(key: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold_batches(key: str, refusal: str, batches: Iterator[pd.DataFrame]
+                  ) -> Iterator[pd.DataFrame]:
     cur_key = None
     bal = 0
     for pdf in batches:
@@ -81,7 +75,7 @@ def _fold_batches(key: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Data
                     continue
                 nb = bal + int(amount[i])
                 if nb < 0:
-                    ok[i], err[i], after[i] = False, ERR_NEGATIVE, bal
+                    ok[i], err[i], after[i] = False, refusal, bal
                 else:
                     ok[i], err[i], after[i] = True, None, nb
                     bal = nb
@@ -94,17 +88,19 @@ def _fold_batches(key: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Data
 
 
 def ordered_guarded_fold(commands: DataFrame, key: str, order: list[str],
+                         refusal: str = "balance below zero",
                          num_partitions: int | None = None) -> DataFrame:
     """Apply signed ``amount`` commands per ``key`` in ``order`` with a floor.
 
     ``commands`` must carry ``amount`` (bigint), ``start_balance`` (bigint,
     constant per key) and ``pre_error`` (string; a non-null value refuses the
-    row before the balance test).  Adds ok, error, balance_before and
-    new_balance (the balance after the row, unchanged when refused).
+    row before the balance test).  Adds ok, error (``refusal`` when the
+    balance would go below zero), balance_before and new_balance (the balance
+    after the row, unchanged when refused).
     """
     n = num_partitions or int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = commands.repartition(n, F.col(key)).sortWithinPartitions(key, *order)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in commands.schema.fields
               if f.name not in ("start_balance", "pre_error")]
     schema = ", ".join(fields) + ", " + FOLD_SCHEMA_EXTRA
-    return parts.mapInPandas(lambda it: _fold_batches(key, it), schema)
+    return parts.mapInPandas(lambda it: _fold_batches(key, refusal, it), schema)
