@@ -98,8 +98,10 @@ def ordered_guarded_fold(commands: DataFrame, key: str, order: list[str],
     balance would go below zero), balance_before and new_balance (the balance
     after the row, unchanged when refused).
     """
-    n = num_partitions or int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = commands.repartition(n, F.col(key)).sortWithinPartitions(key, *order)
+    # Without an explicit count AQE may coalesce whole hash partitions (a key
+    # never splits), so small inputs do not pay for hundreds of tasks.
+    parts = (commands.repartition(num_partitions, F.col(key)) if num_partitions
+             else commands.repartition(F.col(key))).sortWithinPartitions(key, *order)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in commands.schema.fields
               if f.name not in ("start_balance", "pre_error")]
     schema = ", ".join(fields) + ", " + FOLD_SCHEMA_EXTRA

@@ -55,10 +55,11 @@ def bucketed(df: DataFrame, key: str, order: list, bucket) -> DataFrame:
     (one shuffle, one set of boundaries), written to the checkpoint folder.
     """
     if isinstance(bucket, str) and bucket == RANGE:
-        spark = df.sparkSession
-        work_dir(spark)
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return df.repartitionByRange(n, F.col(key), *_order(order)) \
+        work_dir(df.sparkSession)
+        # No explicit count: AQE coalesces adjacent ranges to the advisory
+        # partition size, so the number of buckets follows the data volume
+        # (coalescing keeps the partition index monotone in the order).
+        return df.repartitionByRange(F.col(key), *_order(order)) \
             .withColumn("_bucket", F.spark_partition_id()).checkpoint(eager=False)
     return df.withColumn("_bucket", bucket)
 

@@ -425,12 +425,15 @@ class MarketTables(dict):
         return df
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
 def _write_table(spark: SparkSession, df: DataFrame, name: str, path: str,
-                 catalog: dict[str, str], tag: str) -> None:
+                 catalog: dict[str, str], tag: str, n_buckets: int = 8) -> None:
     """Write one table; the co-located ones as bucketed external tables."""
     col = CO_LOCATED.get(name)
     if col is not None:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = n_buckets
         tname = f"{tag}_{name}"
         try:
             # One writer per bucket (same hash as the bucketing), so each
@@ -456,8 +459,13 @@ def marketplace_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         lines_path = f"{base}/_lines"
         lines.write.mode("overwrite").parquet(lines_path)
         lines = spark.read.parquet(lines_path)
+        # Same bucket count for every co-located table, sized by row count
+        # (a footer-only count) and capped at the shuffle partitions.
+        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_buckets = max(8, min(cap, -(-lines.count() // ROWS_PER_BUCKET)))
         orders_path = f"{base}/orders"
-        _write_table(spark, orders_table(lines), "orders", orders_path, catalog, tag)
+        _write_table(spark, orders_table(lines), "orders", orders_path, catalog, tag,
+                     n_buckets)
         orders = (spark.table(catalog["orders"]) if "orders" in catalog
                   else spark.read.parquet(orders_path))
         people = _people(spark, sf_dir)
@@ -480,7 +488,7 @@ def marketplace_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         paths = {"orders": orders_path}
         for name, df in frames.items():
             p = f"{base}/{name}"
-            _write_table(spark, df, name, p, catalog, tag)
+            _write_table(spark, df, name, p, catalog, tag, n_buckets)
             paths[name] = p
         _cache[key] = paths
         _catalog[key] = catalog
