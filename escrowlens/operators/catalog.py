@@ -99,12 +99,16 @@ def _sort_keys(sort: str) -> list[Column]:
 
 def catalog(t: Tables, category: str | None = None, sub: str | None = None,
             search: str | None = None, sort: str = "latest", limit: int | None = None,
-            rows: DataFrame | None = None) -> DataFrame:
+            rows: DataFrame | None = None, trim_search: bool = False) -> DataFrame:
     """Filters -> sort (-> limit).  Choosing a subcategory forces category 'game'.
 
     Search is a case-insensitive literal substring of the title or the seller
-    label (``%`` and ``_`` are ordinary characters; no ``like``).
+    label (``%`` and ``_`` are ordinary characters; no ``like``).  The page's
+    own search box uses the text as typed; the header search box trims it
+    first (``trim_search``), and an empty result of trimming means no search.
     """
+    if trim_search and search is not None:
+        search = search.strip()
     if sub:
         category = "game"
     df = rows if rows is not None else catalog_rows(t)

@@ -103,6 +103,13 @@ def catalog_search(t):
     return c.catalog(t, search="Ring")
 
 
+@register("catalog_search_header", _rows_query(
+    "contains(lower(title), 'ring') OR contains(lower(seller), 'ring')", NEWEST))
+def catalog_search_header(t):
+    """Header search: the text is trimmed before the same substring search."""
+    return c.catalog(t, search="  Ring ", trim_search=True)
+
+
 @register("catalog_search_literal", _rows_query(
     "contains(lower(title), 'r_d') OR contains(lower(seller), 'r_d')", NEWEST))
 def catalog_search_literal(t):
