@@ -91,7 +91,7 @@ class Outputs(dict):
         return self._builders.keys()
 
 
-def _day(c: str = "requested_at"):
+def _split():
     """Bucket for the two-level running operators: balanced range buckets, so
     a hot seller or wallet (even on one day) is split across tasks."""
     return RANGE
@@ -193,7 +193,7 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
         "_bal0", F.coalesce("_bal0", F.lit(0).cast("bigint")))
 
     def ledger():
-        r = running_sum(a, "p_seller", ORDER, "seller_net", "_run", bucket=_day())
+        r = running_sum(a, "p_seller", ORDER, "seller_net", "_run", bucket=_split())
         return r.select(
             "wallet_id", F.lit("escrow_release").alias("type"),
             F.col("seller_net").alias("amount"),
@@ -293,7 +293,7 @@ def apply_status_v1(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
            .when(F.col("_old0").isNull(), F.lit(ERR_ORDER_NOT_FOUND)))
     c = c.withColumn("error", err).withColumn("ok", F.col("error").isNull())
     okc = previous_value(c.filter("ok"), "order_id", ORDER, "new_status", "_prev",
-                         bucket=_day())
+                         bucket=_split())
     okc = okc.withColumn("from_status", F.coalesce("_prev", "_old0"))
     outcomes = c.filter(~F.col("ok")).select(
         "cmd_id", "order_id", "ok", "error", F.lit(None).cast("string").alias("from_status"),
@@ -346,7 +346,7 @@ def confirm_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     a = okc.join(w, "seller_id").withColumn("_neg_total", -F.col("total_amount"))
 
     def ledger():
-        r = running_sum(a, "seller_id", ORDER, "seller_receives", "_run", bucket=_day())
+        r = running_sum(a, "seller_id", ORDER, "seller_receives", "_run", bucket=_split())
         return r.select("wallet_id", F.lit("escrow_release").alias("type"),
                         F.col("seller_receives").alias("amount"),
                         (F.col("_bal0") + F.col("_run")).alias("balance_after"),
@@ -359,7 +359,7 @@ def confirm_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     def wallets():
         # Balance and total_in only add up; only the escrow floor needs order.
         r = running_clamped(a, "seller_id", ORDER, "_neg_total", "escrow_after",
-                            start=F.col("_esc0"), bucket=_day())
+                            start=F.col("_esc0"), bucket=_split())
         return r.groupBy(F.col("seller_id").alias("user_id"), "wallet_id").agg(
             (F.first("_bal0") + F.sum("seller_receives")).alias("balance"),
             F.max_by("escrow_after", F.struct(*ORDER)).alias("escrow_hold"),
@@ -419,7 +419,7 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     reason_sfx = F.coalesce(F.concat(F.lit(" ("), "reason", F.lit(")")), F.lit(""))
 
     def ledger():
-        r = running_sum(b, "user_id", ORDER, "total_amount", "_run", bucket=_day())
+        r = running_sum(b, "user_id", ORDER, "total_amount", "_run", bucket=_split())
         return r.select("wallet_id", F.lit("refund").alias("type"),
                         F.col("total_amount").alias("amount"),
                         (F.col("_bal0") + F.col("_run")).alias("balance_after"),
@@ -439,7 +439,7 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
              .withColumn("_esc0", F.coalesce("_esc0", zero)) \
              .withColumn("_neg_total", -F.col("total_amount"))
         s = running_clamped(s, "user_id", ORDER, "_neg_total", "escrow_after",
-                            start=F.col("_esc0"), bucket=_day())
+                            start=F.col("_esc0"), bucket=_split())
         sellers = s.groupBy("user_id", "wallet_id").agg(
             F.max_by("escrow_after", F.struct(*ORDER)).alias("escrow_hold"))
         both = buyers.join(sellers, ["user_id", "wallet_id"], "full")
@@ -545,7 +545,7 @@ def suspend_users(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     c = c.withColumn("error", F.when(~F.col("is_admin"), F.lit(ERR_NOT_ADMIN))
                      .when(~found, F.lit(ERR_USER_NOT_FOUND))) \
          .withColumn("ok", F.col("error").isNull())
-    okc = previous_value(c.filter("ok"), "user_id", ORDER, "suspend", "_prev", bucket=_day())
+    okc = previous_value(c.filter("ok"), "user_id", ORDER, "suspend", "_prev", bucket=_split())
     okc = okc.withColumn("was_suspended", F.coalesce("_prev", "_flag0"))
     outcomes = c.filter(~F.col("ok")).select("cmd_id", "user_id", "ok", "error",
                                              F.lit(None).cast("boolean").alias("was_suspended"))
@@ -581,7 +581,7 @@ def change_roles(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
                            F.lit(ERR_BAD_ROLE))
                      .when(F.col("_role0").isNull(), F.lit(ERR_USER_NOT_FOUND))) \
          .withColumn("ok", F.col("error").isNull())
-    okc = previous_value(c.filter("ok"), "user_id", ORDER, "new_role", "_prev", bucket=_day())
+    okc = previous_value(c.filter("ok"), "user_id", ORDER, "new_role", "_prev", bucket=_split())
     okc = okc.withColumn("from_role", F.coalesce("_prev", "_role0"))
     outcomes = c.filter(~F.col("ok")).select(
         "cmd_id", "user_id", "ok", "error", F.lit(None).cast("string").alias("from_role"),
