@@ -163,16 +163,17 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     """
     rate = F.broadcast(effective_rate(t))
     aw = F.broadcast(t["admin_wallet"].agg(F.count(F.lit(1)).alias("_n_aw")))
-    c = commands.crossJoin(one_row(rate, aw))
     o = t["orders"].select(F.col("id").alias("order_id"), "total_amount", "product_id")
     p = t["products"].select(F.col("id").alias("product_id"),
                              F.col("seller_id").alias("p_seller"))
     settled = t["platform_commission"].filter(F.col("status") == "settled") \
         .select("order_id", F.lit(True).alias("_already"))
-    # Order-id joins first (orders and commission share a bucketed layout);
-    # an order whose product is gone keeps p_seller null -> "not found".
-    c = c.join(o, "order_id", "left").join(settled, "order_id", "left") \
-        .join(p, "product_id", "left")
+    # Order-id joins first, directly on the scans (orders and commission share
+    # a bucketed layout, and commands projected from orders keep it); the
+    # one-row settings come after, so they do not hide that layout.  An order
+    # whose product is gone keeps p_seller null -> "not found".
+    c = commands.join(o, "order_id", "left").join(settled, "order_id", "left") \
+        .crossJoin(one_row(rate, aw)).join(p, "product_id", "left")
     err = (F.when(F.col("p_seller").isNull(), F.lit(ERR_ORDER_NOT_FOUND_SETTLE))
            .when(F.col("_n_aw") == 0, F.lit(ERR_NO_ADMIN_WALLET)))
     c = c.withColumn("error", err).withColumn("ok", F.col("error").isNull())

@@ -61,3 +61,24 @@ def test_only_one_row_frames_are_broadcast_explicitly(spark):
     tree = plan.split("\n\n")[0]       # node tree only, not the details
     # The settings lookup (one row) is the only broadcast left.
     assert tree.count("BroadcastExchange") == 1
+
+
+def test_settlement_joins_commands_orders_commission_without_exchange(spark):
+    from escrowlens.operators import commands as cm
+    from escrowlens.sources import commands as src
+    t = load_marketplace(spark, SF_SMALL)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            cm.settle_commission(t, src.settle_commands(t))["outcomes"].explain()
+        plan = buf.getvalue()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # The innermost order-id join reads three bucketed scans directly.
+    lines = plan.splitlines()
+    scans = [i for i, l in enumerate(lines) if "FileScan parquet" in l
+             and ("_orders[" in l or "_platform_commission[" in l)]
+    assert len(scans) >= 3
+    assert all("Bucketed: true" in lines[i] for i in scans[:3])
