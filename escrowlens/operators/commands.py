@@ -281,12 +281,11 @@ def apply_status_v1(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     commands: cmd_id, order_id, new_status, note, actor_id, requested_at.
     """
     from escrowlens.functions.labels import ORDER_STATUSES
-    c = _with_admin(commands, t)
     o = t["orders"].select(F.col("id").alias("order_id"), F.col("status").alias("_old0"),
                            F.col("delivery_note").alias("_note0"),
                            F.col("delivered_at").alias("_del0"),
                            F.col("completed_at").alias("_comp0"))
-    c = c.join(o, "order_id", "left")
+    c = _with_admin(commands.join(o, "order_id", "left"), t)
     err = (F.when(~F.col("new_status").isin(*ORDER_STATUSES) | F.col("new_status").isNull(),
                   F.concat(F.lit('invalid input value for enum order_status: "'),
                            F.coalesce("new_status", F.lit("")), F.lit('"')))
@@ -393,10 +392,10 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     escrow drops by the total (floored at zero), the buyer's balance and
     total_in grow by it.
     """
-    c = _with_admin(commands, t)
     o = t["orders"].select(F.col("id").alias("order_id"), "buyer_id", "seller_id", "status",
                            "total_amount", "product_title")
-    c = c.join(o, "order_id", "left")
+    # Order-id join first (co-located with the orders layout), admins after.
+    c = _with_admin(commands.join(o, "order_id", "left"), t)
     found = F.col("buyer_id").isNotNull()
     refundable = F.col("status").isin(*REFUNDABLE_STATUSES)
     elig = F.col("is_admin") & found & F.coalesce(refundable, F.lit(False))
