@@ -43,30 +43,46 @@ def _viewer_rows(t: Tables) -> DataFrame:
                 "p.viewer_id", "p.other_user_id")
 
 
-def inbox_unread(t: Tables) -> DataFrame:
-    """Unread messages per (conversation, viewer): not read and not sent by the viewer."""
-    unread = t["messages"].filter(~F.col("is_read"))
-    total = unread.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("_all"))
-    mine = unread.groupBy("conversation_id", F.col("sender_id").alias("viewer_id")).agg(
-        F.count(F.lit(1)).alias("_mine"))
+def _message_summary(t: Tables) -> DataFrame:
+    """One pass over messages: per (conversation, sender) the unread count and
+    the latest message as a struct (created_at, id, body) - a partial
+    aggregate whose output is tiny next to the messages table.  Everything the
+    inbox needs per conversation or per viewer rolls up from it."""
+    return t["messages"].groupBy("conversation_id", "sender_id").agg(
+        F.count_if(~F.col("is_read")).alias("_unread"),
+        F.max(F.struct("created_at", "id", "body")).alias("_last"))
+
+
+def _unread_for_viewers(t: Tables, summary: DataFrame) -> DataFrame:
+    total = summary.groupBy("conversation_id").agg(F.sum("_unread").alias("_all"))
+    mine = summary.select("conversation_id", F.col("sender_id").alias("viewer_id"),
+                          F.col("_unread").alias("_mine"))
     v = _viewer_rows(t).select("conversation_id", "viewer_id")
     zero = F.lit(0).cast("bigint")
     return (v.join(total, "conversation_id", "left")
             .join(mine, ["conversation_id", "viewer_id"], "left")
             .select("conversation_id", "viewer_id",
                     (F.coalesce("_all", zero) - F.coalesce("_mine", zero))
-                    .alias("unread_count")))
+                    .cast("bigint").alias("unread_count")))
+
+
+def inbox_unread(t: Tables) -> DataFrame:
+    """Unread messages per (conversation, viewer): not read and not sent by the
+    viewer, i.e. all unread minus the viewer's own unread."""
+    return _unread_for_viewers(t, _message_summary(t))
 
 
 def inbox(t: Tables, newest_first: bool = False) -> DataFrame:
     """Every participant's inbox rows, with the other user, product and unread count.
 
     last_message / last_message_at are what the insert trigger maintains:
-    the latest message of the conversation, else the stored values.
+    the latest message of the conversation, else the stored values.  The
+    messages table is read once (``_message_summary``).
     """
+    summary = _message_summary(t)
+    last = summary.groupBy("conversation_id").agg(F.max("_last").alias("_l")).select(
+        "conversation_id", F.col("_l.body").alias("_lm"), F.col("_l.created_at").alias("_lma"))
     v = _viewer_rows(t)
-    last = conversation_last_message(t).withColumnRenamed("last_message", "_lm") \
-        .withColumnRenamed("last_message_at", "_lma")
     v = v.join(last, "conversation_id", "left").select(
         "conversation_id", "product_id", "viewer_id", "other_user_id",
         F.coalesce("_lm", "last_message").alias("last_message"),
@@ -77,7 +93,7 @@ def inbox(t: Tables, newest_first: bool = False) -> DataFrame:
     prod = t["products"].select(F.col("id").alias("product_id"),
                                 F.col("title").alias("product_title"),
                                 F.col("icon").alias("product_icon"))
-    unread = inbox_unread(t)
+    unread = _unread_for_viewers(t, summary)
     j = (v.join(other, "other_user_id")
          .join(prod, "product_id", "left")
          .join(unread, ["conversation_id", "viewer_id"], "left"))
