@@ -133,18 +133,28 @@ def conversation_page(t: Tables, k: int = PAGE_SIZE) -> DataFrame:
 def mark_read(t: Tables, reads: DataFrame) -> DataFrame:
     """Messages after a batch of 'viewer opened the conversation at read_at'
     events: an incoming message (sent by the other participant) created up to
-    the viewer's latest open becomes read."""
+    the viewer's latest open becomes read.
+
+    The reads are first folded onto the (small) conversations table as one
+    row per conversation with each participant's latest open, so the messages
+    table takes part in a single join on the conversation id.
+    """
     last_open = reads.groupBy("conversation_id", "viewer_id").agg(
         F.max("read_at").alias("_read_at"))
     c = t["conversations"].select(F.col("id").alias("conversation_id"), "user_a_id",
                                   "user_b_id")
-    m = t["messages"].join(c, "conversation_id", "left")
-    other = F.when(F.col("sender_id") == F.col("user_a_id"), F.col("user_b_id")) \
-        .when(F.col("sender_id") == F.col("user_b_id"), F.col("user_a_id"))
-    m = m.withColumn("viewer_id", other)
-    j = m.join(last_open, ["conversation_id", "viewer_id"], "left")
-    hit = F.coalesce(F.col("created_at") <= F.col("_read_at"), F.lit(False))
-    return j.select("id", "conversation_id", "sender_id", "created_at",
+    a = last_open.select("conversation_id", F.col("viewer_id").alias("user_a_id"),
+                         F.col("_read_at").alias("_a_read"))
+    b = last_open.select("conversation_id", F.col("viewer_id").alias("user_b_id"),
+                         F.col("_read_at").alias("_b_read"))
+    opens = c.join(a, ["conversation_id", "user_a_id"], "left") \
+        .join(b, ["conversation_id", "user_b_id"], "left")
+    m = t["messages"].join(opens, "conversation_id", "left")
+    # The other participant's latest open decides for an incoming message.
+    read_by_other = (F.when(F.col("sender_id") == F.col("user_a_id"), F.col("_b_read"))
+                     .when(F.col("sender_id") == F.col("user_b_id"), F.col("_a_read")))
+    hit = F.coalesce(F.col("created_at") <= read_by_other, F.lit(False))
+    return m.select("id", "conversation_id", "sender_id", "created_at",
                     (F.col("is_read") | hit).alias("is_read"))
 
 
