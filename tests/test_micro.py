@@ -260,3 +260,40 @@ def test_adjust_guards(spark):
     fin = {x["user_id"]: x for x in r["wallets"].collect()}
     assert fin["U"]["balance"] == 40 and fin["U"]["total_out"] == 60
     assert fin["N"]["wallet_id"] == "W-N" and fin["N"]["balance"] == 5
+
+
+def test_quality_rules_find_each_bad_row(spark):
+    from escrowlens.operators import quality as qa
+    t = {
+        "profiles": table(spark, "profiles", [
+            {"id": "B1", "role": "pembeli", "username": "same"},
+            {"id": "B2", "role": "boss", "username": "same"}]),
+        "accounts": spark.createDataFrame([("B1", "ok@mail.test"), ("B2", "not an email")],
+                                          "id string, email string"),
+        "wallets": table(spark, "wallets", [
+            {"id": "W1", "user_id": "B1", "balance": 5},
+            {"id": "W2", "user_id": "B9", "balance": -1}]),
+        "products": table(spark, "products", [{"id": 1, "price": 0}]),
+        "orders": table(spark, "orders", [
+            {"id": "o1", "buyer_id": "B1", "seller_id": "S7", "status": "paid",
+             "product_price": 10, "quantity": 3, "total_amount": 31, "platform_fee": 1,
+             "seller_receives": 30}]),
+        "reviews": table(spark, "reviews", [{"id": "r1", "order_id": "o1", "rating": 6},
+                                            {"id": "r2", "order_id": "o1", "rating": 5}]),
+        "conversations": table(spark, "conversations", [
+            {"id": "c1", "user_a_id": "S1", "user_b_id": "B1"}]),
+        "messages": table(spark, "messages", [{"id": "m1", "body": "   "}]),
+        "wallet_transactions": table(spark, "wallet_transactions", [
+            {"id": "t1", "wallet_id": "W404", "type": "bonus", "amount": 5}]),
+    }
+    got = {(r["rule"], r["row_key"]) for r in qa.quality_violations(t).collect()}
+    assert got == {
+        ("profiles_role_check", "B2"), ("profiles_username_key", "same"),
+        ("accounts_email_format", "B2"),
+        ("wallets_balance_check", "W2"), ("wallets_user_id_fkey", "W2"),
+        ("products_price_check", "1"),
+        ("orders_total_is_price_x_qty", "o1"), ("orders_seller_id_fkey", "o1"),
+        ("reviews_rating_check", "r1"), ("reviews_order_id_key", "o1"),
+        ("ordered_pair", "c1"), ("messages_body_check", "m1"),
+        ("wallet_tx_wallet_id_fkey", "t1"), ("wallet_tx_type_enum", "t1"),
+    }
