@@ -2,6 +2,7 @@
 
 import __spark_entry__ as se
 from conftest import SF_SMALL
+from escrowlens import registry
 
 
 def test_entry_flagship(spark):
@@ -19,8 +20,9 @@ def test_entry_flagship(spark):
 
 
 def test_every_query_has_a_callable_and_most_an_oracle():
-    qs, sql = se.queries(), se.oracle_sql()
+    qs, sql = registry.queries(), registry.oracle_sql()
     assert len(qs) >= 100
+    assert set(qs) <= set(se.queries()) and set(sql) <= set(se.oracle_sql())
     assert set(sql) <= set(qs)
     missing = set(qs) - set(sql)
     assert not missing, f"queries without oracle SQL: {sorted(missing)}"

@@ -4,11 +4,11 @@ repeats this on sf0.01)."""
 import duckdb
 import pytest
 
-import __spark_entry__ as se
 from conftest import SF_SMALL
+from escrowlens import registry
 from tools.check_oracle import TABLES, rows_key
 
-QUERIES = sorted(se.queries())
+QUERIES = sorted(registry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -21,9 +21,9 @@ def con():
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_matches_oracle(spark, con, name):
-    df = se.queries()[name](spark, SF_SMALL)
+    df = registry.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
-    sql = se.oracle_sql()[name]
+    sql = registry.oracle_sql()[name]
     res = con.execute(sql)
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
