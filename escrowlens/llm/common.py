@@ -64,3 +64,15 @@ def maybe_in(df: DataFrame, table: DataFrame, cols: list[str], bits: int, flag:
     hit = F.expr("coalesce(shiftright(_mask, cast(_slot % 64 as int)) & 1L, 0L) = 1L")
     return (slotted.join(F.broadcast(table), "_word", "left").withColumn(flag, hit)
             .drop("_word", "_slot", "_mask"))
+
+
+def without(df: DataFrame, gone: DataFrame, cols: list[str], bits: int) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``gone`` (exact; keys never null there).
+
+    Most rows pass straight from the scan; only those that the bit table can't
+    clear are shuffled and joined.
+    """
+    flagged = maybe_in(df, bit_table(gone, cols, bits), cols, bits, "_maybe")
+    clear = flagged.filter("not _maybe").drop("_maybe")
+    met = flagged.filter("_maybe").drop("_maybe").join(gone, cols, "left_anti")
+    return clear.unionByName(met.select(*clear.columns))

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escrowlens.llm import bpe, exact, mixing, sketch
+from escrowlens.llm import bpe, exact, minhash, mixing, sketch, substring
 from escrowlens.llm.common import lower_ascii, text_or_empty
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -20,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents (similarity 0.75 or more)."""
+    return minhash.near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every text, and the round trip back to bytes."""
     coded = bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
@@ -91,6 +96,31 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words under repeated 35-word windows removed from all documents."""
+    return (substring.remove_repeats(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35)),
+twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM twice),
+kept AS (
+  SELECT w.doc_id, string_agg(w.words[u.k], ' ' ORDER BY u.k) AS kept, count(*) AS n
+  FROM w, unnest(range(1, len(w.words) + 1)) AS u(k)
+  WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = w.doc_id AND c.k = u.k) GROUP BY 1)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, with three likenesses."""
     rows = sketch.with_next(_table(spark, sf_dir, "documents"))
@@ -110,9 +140,11 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_source_mix": op4_source_mix,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_scaled_sketch": op10_scaled_sketch,
 }
-SQL = {"op4_source_mix": OP4_SQL, "op5_exact_dedup": OP5_SQL}
+SQL = {"op4_source_mix": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL}
