@@ -76,3 +76,19 @@ def without(df: DataFrame, gone: DataFrame, cols: list[str], bits: int) -> DataF
     clear = flagged.filter("not _maybe").drop("_maybe")
     met = flagged.filter("_maybe").drop("_maybe").join(gone, cols, "left_anti")
     return clear.unionByName(met.select(*clear.columns))
+
+
+def looked_up(df: DataFrame, table: DataFrame, cols: list[str], bits: int) -> DataFrame:
+    """``df`` left-joined with ``table`` on ``cols``, its other columns null where
+    there is no match.
+
+    Rows that the bit table clears get their nulls in the scan; the others meet
+    the table in a join whose hot keys the adaptive skew join can split.
+    """
+    flagged = maybe_in(df, bit_table(table, cols, bits), cols, bits, "_maybe")
+    clear = flagged.filter("not _maybe").drop("_maybe")
+    for f in table.schema.fields:
+        if f.name not in cols:
+            clear = clear.withColumn(f.name, F.lit(None).cast(f.dataType))
+    met = flagged.filter("_maybe").drop("_maybe").join(table, cols, "left")
+    return clear.unionByName(met.select(*clear.columns))

@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escrowlens.llm import bpe, exact, minhash, mixing, sketch, substring
+from escrowlens.llm import (bpe, exact, langid, lines, minhash, mixing, quality, sketch,
+                            substring, warc)
 from escrowlens.llm.common import lower_ascii, text_or_empty
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,6 +33,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated multi-line chunks removed from all documents."""
+    return (lines.line_dedup(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256")))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 5, 2, 1, repeating; at most three times each."""
     return (mixing.mix_sources(_table(spark, sf_dir, "documents"))
@@ -96,6 +103,39 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back through the index."""
+    index, folder = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return (warc.read_records(index, folder, with_payload=False)
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, strlen(body)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY body) AS last,
+         array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + (((('0x' || substr(hex, 1 + 5 * (k // 4), 5))::BIGINT) >> (15 - 5 * (k % 4))) & 31)::INT, 1)
+           FOR k IN range(0, 32)], '') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM d
+"""
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all texts, learned from two thirds of the ids."""
+    docs = _table(spark, sf_dir, "documents")
+    held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3) == 1
+    model = langid.fit(docs.filter(~held).select("text", "lang"))
+    return (langid.predict(docs, model)
+            .select("doc_id", held.alias("held_out"), "lang_pred", "score",
+                    F.size("spans").alias("n_spans")))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under repeated 35-word windows removed from all documents."""
     return (substring.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -121,6 +161,11 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighted against the good ones and drawn by Gumbel top-k."""
+    return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, with three likenesses."""
     rows = sketch.with_next(_table(spark, sf_dir, "documents"))
@@ -139,12 +184,8 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketch.containment(own, changed).alias("contained_in_edited"))
 
 
-QUERIES = {
-    "op1_minhash_dedup": op1_minhash_dedup,
-    "op2_byte_bpe": op2_byte_bpe,
-    "op4_source_mix": op4_source_mix,
-    "op5_exact_dedup": op5_exact_dedup,
-    "op8_substring_dedup": op8_substring_dedup,
-    "op10_scaled_sketch": op10_scaled_sketch,
-}
-SQL = {"op4_source_mix": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL}
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_dedup, op2_byte_bpe, op3_line_dedup, op4_source_mix, op5_exact_dedup, op6_warc_index,
+    op7_language_id, op8_substring_dedup, op9_importance_resampling, op10_scaled_sketch)}
+SQL = {"op4_source_mix": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_warc_index": OP6_SQL,
+       "op8_substring_dedup": OP8_SQL}
