@@ -36,7 +36,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def slot_of(cols: list[str], bits: int) -> Column:

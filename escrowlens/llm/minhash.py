@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escrowlens.llm.common import bit_table, maybe_in, staged, without
+from escrowlens.llm.common import bit_table, maybe_in, staged, whole_row, without
 from escrowlens.llm.graph import components
 from escrowlens.llm.shingles import mixed, powers, shingle_set, word_list
 
@@ -312,5 +312,5 @@ def drop_near(docs: DataFrame) -> DataFrame:
     """``docs`` with all columns, only the rows of the smallest id of each
     component."""
     gone = near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    rows = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     return without(rows, staged(gone, "near-gone"), ["_id"], TABLE_BITS).select("_row.*")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from escrowlens.llm.common import staged, text_or_empty, words_of
+from escrowlens.llm.common import staged, text_or_empty, whole_row, words_of
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -140,10 +140,9 @@ def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_
     """
     thin = staged(sized(docs), "mix-sizes")
     plan = _plan(thin, weights, max_repeat, share)
-    columns = docs.columns
     copies = F.col("_copies") + (F.col("_h") <= F.col("_up_to")).cast("long")
     copies = F.when(F.col("source_size") > 0, F.least(copies, F.lit(max_repeat))).otherwise(0)
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col("source").alias("_source"),
+    rows = docs.select(whole_row(docs).alias("_row"), F.col("source").alias("_source"),
                        hash40("doc_id").alias("_h"))
     return (rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
             .withColumn("_n", copies.cast("int")).filter("_n > 0")

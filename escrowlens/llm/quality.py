@@ -139,8 +139,10 @@ def _key(weight: np.ndarray, noise: np.ndarray) -> np.ndarray:
 
 
 def kth_largest(keys: DataFrame, k: int) -> int:
-    """The k-th largest ``key`` (0 if there are fewer); at most 1,024 bucket
-    counts come to the driver for each ten bits."""
+    """The k-th largest ``key`` (0 if there are fewer, above all keys if k is 0);
+    at most 1,024 bucket counts come to the driver for each ten bits."""
+    if k <= 0:
+        return 2 * _MIDDLE
     path, left = 0, k
     for level in range(1, _LEVELS + 1):
         shift = (_LEVELS - level) * _LEVEL_BITS
@@ -199,8 +201,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     """The selected rows of ``docs``, all columns."""
     ratio, cut, _ = _model_and_cut(docs, labels, fit_rows, share)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    columns = docs.columns
-    place = len(columns)
+    place = len(docs.columns)
 
     def run(batches):
         for batch in batches:
@@ -208,5 +209,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
             key = _key(weight, batch.column(place + 1).to_numpy(zero_copy_only=False))
             yield batch.select(range(place)).filter(pa.array(key >= cut))
 
-    return (docs.select(*columns, F.col("text").alias("_text"), gumbel().alias("_noise"))
+    return (docs.select("*", F.col("text").alias("_text"), gumbel().alias("_noise"))
             .mapInArrow(run, docs.schema))
