@@ -5,7 +5,8 @@ labelled good, the raw one from all rows.  N-grams are the character trigrams
 of the lower-cased text and its word bigrams, in which a word that repeats the
 word before is replaced by a mark, so that repetition is one n-gram and not as
 many as there are words.  A row's weight is the log ratio of the two models over
-its n-grams; adding Gumbel noise, drawn from a hash of the id, makes taking the
+its n-grams, per ``PER_GRAMS`` of them, so that not the length of a text decides;
+adding Gumbel noise, drawn from a hash of the id, makes taking the
 k largest keys a draw without replacement by those weights.
 
 The k-th largest key is found by histograms that split only the bucket holding
@@ -14,7 +15,7 @@ of the rows or, without one, as many rows as reach the key that best parts good
 labels from bad ones, so that good text is not thinned out.
 
 The raw counts cover all rows; the target model is fitted on at most ``FIT_ROWS``
-labelled rows.  Either is a vector of ``2**SLOT_BITS`` sums, whatever the corpus.
+labelled rows.  Either is a vector of ``SLOTS`` sums, whatever the corpus.
 
 Defined results
 * a null or empty text has no n-grams and weight 0, the neutral weight;
@@ -38,7 +39,9 @@ from escrowlens.llm.chars import code_points, trigram_slots
 from escrowlens.llm.common import staged
 from escrowlens.llm.shingles import mixed, word_hashes, word_list
 
-SLOT_BITS = 17  # half for trigrams, half for word bigrams
+TRIGRAM_BITS, BIGRAM_BITS = 16, 12
+SLOTS = (1 << TRIGRAM_BITS) + (1 << BIGRAM_BITS)
+PER_GRAMS = 100  # weights are log ratios per so many n-grams
 SMOOTHING = 1.0
 KEY_STEP = 1e-6
 FIT_ROWS = 20_000
@@ -53,14 +56,19 @@ def ngram_slots(text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, np.int64)
     low = text.lower()
-    grams = trigram_slots(code_points(low), SLOT_BITS - 1)
+    grams = trigram_slots(code_points(low), TRIGRAM_BITS)
     words = word_hashes(word_list(low, lower=False))
     if len(words) < 2:
         return grams
     second = np.where(words[1:] == words[:-1], _REPEAT, words[1:])
     first = np.where(words[1:] == words[:-1], _REPEAT, words[:-1])
-    pair = mixed(first * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(64 - SLOT_BITS + 1)
-    return np.concatenate([grams, pair.astype(np.int64) + (1 << (SLOT_BITS - 1))])
+    pair = mixed(first * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(64 - BIGRAM_BITS)
+    return np.concatenate([grams, pair.astype(np.int64) + (1 << TRIGRAM_BITS)])
+
+
+def weights(found: list[np.ndarray], ratio: np.ndarray) -> np.ndarray:
+    """Log weight of each text from its n-gram slots."""
+    return np.array([ratio[f].sum() * PER_GRAMS / max(1, len(f)) for f in found])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray | None:
@@ -76,10 +84,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndar
     sample = (known.filter("good = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
               .select("doc_id", F.lit(True).alias("target")))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left")  # at most fit_rows
-    slots = 1 << SLOT_BITS
 
     def run(batches):
-        sums = np.zeros((2, slots), np.int64)
+        sums = np.zeros((2, SLOTS), np.int64)
         for batch in batches:
             for text, target in zip(batch.column(0), batch.column(1), strict=True):
                 found = ngram_slots(text.as_py())
@@ -93,11 +100,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndar
 
     counts = (rows.select("text", "target").mapInArrow(run, "slot int, raw long, target long")
               .groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-              .toArrow())  # at most 2**SLOT_BITS rows
-    table = np.full((2, slots), SMOOTHING)
+              .toArrow())  # at most SLOTS rows
+    table = np.full((2, SLOTS), SMOOTHING)
     for k, name in enumerate(("raw", "target")):
         table[k, counts.column("slot").to_numpy()] += counts.column(name).to_numpy()
-    half = slots >> 1  # trigrams and word bigrams are distributions of their own
+    half = 1 << TRIGRAM_BITS  # trigrams and word bigrams are distributions of their own
     log_p = np.concatenate([np.log(t / t.sum(axis=1, keepdims=True))
                             for t in (table[:, :half], table[:, half:])], axis=1)
     return log_p[1] - log_p[0]
@@ -118,12 +125,12 @@ def gumbel(doc_id: str = "doc_id") -> Column:
 
 def scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_grams, log_weight, key (in KEY_STEPs)."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)  # 2**SLOT_BITS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)  # SLOTS numbers
 
     def run(batches):
         for batch in batches:
             found = [ngram_slots(t.as_py()) for t in batch.column(1)]
-            weight = np.array([shared.value[f].sum() for f in found])
+            weight = weights(found, shared.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(weight),
                  pa.array(_key(weight, batch.column(2).to_numpy(zero_copy_only=False)))],
@@ -186,7 +193,7 @@ def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 def _model_and_cut(docs, labels, fit_rows, share) -> tuple[np.ndarray, int, DataFrame]:
     ratio = fit(docs, labels, fit_rows)
     if ratio is None:
-        ratio = np.zeros(1 << SLOT_BITS)
+        ratio = np.zeros(SLOTS)
         return ratio, 0, scored(docs, ratio)
     thin = staged(scored(docs, ratio), "quality-scores")
     if share is None:
@@ -205,7 +212,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
     def run(batches):
         for batch in batches:
-            weight = np.array([shared.value[ngram_slots(t.as_py())].sum() for t in batch.column(place)])
+            weight = weights([ngram_slots(t.as_py()) for t in batch.column(place)], shared.value)
             key = _key(weight, batch.column(place + 1).to_numpy(zero_copy_only=False))
             yield batch.select(range(place)).filter(pa.array(key >= cut))
 
