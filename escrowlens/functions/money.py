@@ -1,8 +1,9 @@
 """Money arithmetic as JVM-side column expressions (no Python UDF).
 
-Money is whole rupiah in ``bigint``.  Rates are ``decimal(5,4)``; fee products
-are taken in exact decimal arithmetic before flooring or rounding, so binary
-floating point never decides a rupiah.
+Money is whole rupiah in ``bigint``.  A rate setting is text; it is used with
+all its digits (``EXACT_RATE``: up to 17 decimals), and only the stored ``rate``
+column is ``decimal(5,4)``.  Fee products are exact decimals before flooring or
+rounding, so binary floating point never decides a rupiah.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ from pyspark.sql import functions as F
 # Fixed values of the source system.
 DEFAULT_COMMISSION_RATE = "0.05"          # fallback rate and seed value
 COMMISSION_RATE_KEY = "commission_rate"   # app_settings key
-RATE_TYPE = "decimal(5,4)"
+RATE_TYPE = "decimal(5,4)"                # the stored column
+EXACT_RATE = "decimal(18,17)"
+AMOUNT_TYPE = "decimal(19,0)"             # any bigint; times EXACT_RATE it fits 38 digits
+ERR_BAD_NUMBER = 'invalid input syntax for type numeric: "'
+ERR_OVERFLOW = "numeric field overflow"
 
 
 def col_(c) -> Column:
@@ -26,15 +31,29 @@ def cents(x) -> Column:
 
 
 def parse_rate(text) -> Column:
-    """Text setting to a rate; a missing or unparsable value gives the default."""
-    return F.coalesce(F.expr(f"try_cast({_sql(text)} as {RATE_TYPE})"),
-                      F.lit(DEFAULT_COMMISSION_RATE).cast(RATE_TYPE))
+    """Buyer-side rate of a text setting: as the page does, a missing or
+    unparsable value gives the default."""
+    return F.coalesce(F.expr(f"try_cast({_sql(text)} as {EXACT_RATE})"),
+                      F.lit(DEFAULT_COMMISSION_RATE).cast(EXACT_RATE))
+
+
+def rate_error(text) -> Column:
+    """Why settlement refuses a text setting (null if it doesn't): only a missing
+    value has a default; what is no number, doesn't fit the stored column or has
+    more than 17 decimals is refused."""
+    t = _sql(text)
+    return (F.when(F.expr(f"{t} is null"), F.lit(None).cast("string"))
+            .when(F.expr(f"try_cast({t} as double) is null"),
+                  F.concat(F.lit(ERR_BAD_NUMBER), F.col(text), F.lit('"')))
+            .when(F.expr(f"try_cast({t} as {EXACT_RATE}) is null"
+                         f" or try_cast(try_cast({t} as {EXACT_RATE}) as {RATE_TYPE}) is null"
+                         f" or try_cast({t} as decimal(38,30)) <> try_cast({t} as {EXACT_RATE})"),
+                  F.lit(ERR_OVERFLOW)))
 
 
 def seller_fee(total, rate) -> Column:
     """Seller-side fee: ``floor(total * rate)`` in exact decimal, as bigint."""
-    prod = col_(total).cast("decimal(20,0)") * col_(rate).cast(RATE_TYPE)
-    return F.floor(prod).cast("bigint")
+    return F.floor(col_(total).cast(AMOUNT_TYPE) * col_(rate).cast(EXACT_RATE)).cast("bigint")
 
 
 def buyer_fee(price, rate, cap=None) -> Column:
@@ -44,7 +63,7 @@ def buyer_fee(price, rate, cap=None) -> Column:
     positive, so half-up decimal rounding gives the same integer without the
     binary-float drift of ``rate * 100``.
     """
-    fee = F.round(col_(price).cast("decimal(20,0)") * col_(rate).cast(RATE_TYPE), 0)
+    fee = F.round(col_(price).cast(AMOUNT_TYPE) * col_(rate).cast(EXACT_RATE), 0)
     fee = fee.cast("bigint")
     if cap is not None:
         cap_c = col_(cap).cast("bigint")
@@ -54,7 +73,7 @@ def buyer_fee(price, rate, cap=None) -> Column:
 
 def percent_label(rate) -> Column:
     """``round(rate * 100)`` as an integer, e.g. 0.05 -> 5."""
-    return F.round(col_(rate).cast(RATE_TYPE) * F.lit(100), 0).cast("bigint")
+    return F.round(col_(rate).cast(EXACT_RATE) * F.lit(100), 0).cast("bigint")
 
 
 def thousands(n) -> Column:

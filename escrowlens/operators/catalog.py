@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escrowlens.functions import labels as L
-from escrowlens.functions.money import (COMMISSION_RATE_KEY, RATE_TYPE, buyer_fee,
-                                        parse_rate, rupiah)
+from escrowlens.functions.money import COMMISSION_RATE_KEY, buyer_fee, parse_rate, rupiah
 
 Tables = dict[str, DataFrame]
 
@@ -145,12 +144,16 @@ def checkout_eligible(t: Tables) -> DataFrame:
                                                                            "stock")
 
 
-def effective_rate(t: Tables) -> DataFrame:
-    """One row: the commission rate setting, default 0.05 when missing/unparsable."""
+def rate_setting(t: Tables) -> DataFrame:
+    """One row: the text of the commission rate setting (null when missing)."""
     s = t["app_settings"].filter(F.col("key") == COMMISSION_RATE_KEY)
     # LIMIT 1 without an order in the source; pinned to the latest update.
-    one = s.agg(F.max_by("value", "updated_at").alias("value"))
-    return one.select(parse_rate("value").alias("rate"))
+    return s.agg(F.max_by("value", "updated_at").alias("value"))
+
+
+def effective_rate(t: Tables) -> DataFrame:
+    """One row: the buyer-side rate, default 0.05 when missing or unparsable."""
+    return rate_setting(t).select(parse_rate("value").alias("rate"))
 
 
 def catalog_priced(t: Tables, fee_cap: int = 0) -> DataFrame:
@@ -159,7 +162,7 @@ def catalog_priced(t: Tables, fee_cap: int = 0) -> DataFrame:
     rate = F.broadcast(effective_rate(t))   # one row by construction
     p = catalog_scan(t).select("id", "price").crossJoin(rate)
     fee = buyer_fee(F.col("price"), F.col("rate"), F.lit(fee_cap))
-    return p.select("id", "price", F.col("rate").cast(RATE_TYPE).alias("rate"),
+    return p.select("id", "price", "rate",
                     fee.alias("fee"), (F.col("price") + fee).alias("buyer_total"))
 
 

@@ -18,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from escrowlens.functions.labels import REFUNDABLE_STATUSES, ROLES
-from escrowlens.functions.money import RATE_TYPE, percent_label, seller_fee, thousands
-from escrowlens.operators.catalog import effective_rate
+from escrowlens.functions.labels import ORDER_STATUSES, REFUNDABLE_STATUSES, ROLES
+from escrowlens.functions.money import (RATE_TYPE, parse_rate, percent_label, rate_error,
+                                        seller_fee, thousands)
+from escrowlens.operators.catalog import rate_setting
 from escrowlens.plans.fold import ordered_guarded_fold
 from escrowlens.plans.joins import one_row
 from escrowlens.plans.prefix import RANGE, previous_value, running_clamped, running_sum
@@ -45,6 +46,9 @@ ERR_SELF_CHAT = "Tidak bisa membuat percakapan dengan diri sendiri."
 ERR_ZERO_AMOUNT = "Jumlah tidak boleh nol."
 ERR_NO_REASON = "Alasan wajib diisi untuk audit."
 ERR_NO_WALLET = "Dompet pengguna tidak ditemukan."
+ERR_BAD_STATUS = ('invalid input value for enum order_status: "', '"')
+# A null amount makes the balance null, which the wallets table refuses.
+ERR_NULL_AMOUNT = 'null value in column "balance" of relation "wallets" violates not-null constraint'
 # The wallets table constraint (balance >= 0) fires before the procedure's own
 # negative-balance test, so a refused debit reports the constraint.
 ERR_NEGATIVE = 'new row for relation "wallets" violates check constraint "wallets_balance_check"'
@@ -72,11 +76,7 @@ BODY_SUSPENDED = "Akun kamu disuspend oleh admin."
 
 
 class Outputs(dict):
-    """The frames an operator returns, each built on first access.
-
-    Building a range-bucketed running value samples the data (a Spark job),
-    so an output nobody asks for must not be built at all.
-    """
+    """The frames an operator returns, each built on first access."""
 
     def __init__(self, **builders):
         super().__init__()
@@ -103,11 +103,22 @@ def _json(**fields) -> Column:
                      {"ignoreNullFields": "false"})
 
 
+ACTOR_SALTS = 32
+
+
 def _with_admin(cmds: DataFrame, t: Tables) -> DataFrame:
+    """Commands with ``is_admin``.
+
+    A batch may name one actor throughout.  The admins are few, so the join is
+    a broadcast whenever their measured size allows; beyond it, they are
+    repeated for every salt and the commands of one actor go to as many tasks.
+    """
     admins = t["profiles"].filter(F.col("role") == "admin").select(
-        F.col("id").alias("actor_id"), F.lit(True).alias("_admin"))
-    return cmds.join(admins, "actor_id", "left").withColumn(
-        "is_admin", F.coalesce("_admin", F.lit(False))).drop("_admin")
+        F.col("id").alias("actor_id"), F.lit(True).alias("_admin"),
+        F.explode(F.sequence(F.lit(0), F.lit(ACTOR_SALTS - 1))).alias("_salt"))
+    salted = cmds.withColumn("_salt", F.pmod(F.xxhash64(*cmds.columns), F.lit(ACTOR_SALTS)).cast("int"))
+    return salted.join(admins, ["actor_id", "_salt"], "left").withColumn(
+        "is_admin", F.coalesce("_admin", F.lit(False))).drop("_admin", "_salt")
 
 
 def _first_per(df: DataFrame, key: str, cond: Column | None = None, out: str = "is_first"
@@ -157,31 +168,41 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     """Settle commission for completed orders (idempotent per order).
 
     commands: cmd_id, order_id, requested_at.  fee = floor(total * rate) with
-    the rate from settings (default 0.05); the seller is the product's.  An
+    the rate from settings, all its digits; a missing setting means 0.05, one
+    that is no rate refuses every command.  The seller is the product's.  An
     order already settled, or settled by an earlier command of the batch, is
-    reported ok but not credited again (``applied`` = false).
+    reported ok but not credited again (``applied`` = false).  The fees go to
+    the oldest admin wallet row.
     """
-    rate = F.broadcast(effective_rate(t))
-    aw = F.broadcast(t["admin_wallet"].agg(F.count(F.lit(1)).alias("_n_aw")))
+    rate = rate_setting(t).select(parse_rate("value").alias("rate"),
+                                  rate_error("value").alias("_rate_error"))
+    aw = t["admin_wallet"].agg(F.count(F.lit(1)).alias("_n_aw"))
     o = t["orders"].select(F.col("id").alias("order_id"), "total_amount", "product_id")
     p = t["products"].select(F.col("id").alias("product_id"),
                              F.col("seller_id").alias("p_seller"))
     settled = t["platform_commission"].filter(F.col("status") == "settled") \
         .select("order_id", F.lit(True).alias("_already"))
-    # Order-id joins first, directly on the scans (orders and commission share
-    # a bucketed layout, and commands projected from orders keep it); the
+    # Whether a command can succeed depends on its order and the settings only,
+    # so the first command of an order is found on the commands alone.  All
+    # order-id joins come first, directly on the scans (orders and commission
+    # share a bucketed layout, and commands projected from orders keep it); the
     # one-row settings come after, so they do not hide that layout.  An order
     # whose product is gone keeps p_seller null -> "not found".
-    c = commands.join(o, "order_id", "left").join(settled, "order_id", "left") \
-        .crossJoin(one_row(rate, aw)).join(p, "product_id", "left")
-    err = (F.when(F.col("p_seller").isNull(), F.lit(ERR_ORDER_NOT_FOUND_SETTLE))
+    c = _first_per(commands, "order_id").join(o, "order_id", "left") \
+        .join(settled, "order_id", "left").crossJoin(F.broadcast(one_row(rate, aw)))
+    # Orders without a product meet nothing: a key of their own spreads them.
+    c = c.withColumn("_product", F.coalesce("product_id", -F.abs(F.xxhash64("order_id")) - 1))
+    c = c.join(p.withColumnRenamed("product_id", "_product"), "_product", "left").drop("_product") \
+        .withColumn("p_seller", F.when(F.col("product_id").isNotNull(), F.col("p_seller")))
+    err = (F.when(F.col("_rate_error").isNotNull(), F.col("_rate_error"))
+           .when(F.col("p_seller").isNull(), F.lit(ERR_ORDER_NOT_FOUND_SETTLE))
            .when(F.col("_n_aw") == 0, F.lit(ERR_NO_ADMIN_WALLET)))
     c = c.withColumn("error", err).withColumn("ok", F.col("error").isNull())
-    c = _first_per(c, "order_id", F.col("ok"))
     fee = seller_fee("total_amount", "rate")
     c = c.withColumn("fee", F.when(F.col("ok"), fee)) \
          .withColumn("seller_net", F.col("total_amount") - F.col("fee")) \
-         .withColumn("applied", F.col("is_first") & ~F.coalesce("_already", F.lit(False)))
+         .withColumn("applied", F.col("ok") & F.col("is_first")
+                     & ~F.coalesce("_already", F.lit(False)))
     outcomes = c.select("cmd_id", "order_id", "ok", "error",
                         F.when(F.col("ok"), F.col("total_amount")).alias("gross"),
                         "fee", "seller_net", "applied")
@@ -211,51 +232,70 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
             F.sum("seller_net").alias("credited")).withColumn(
             "balance_after", F.col("balance_before") + F.col("credited"))
 
-    new = applied.select(
-        "order_id", F.col("total_amount").alias("gross_amount"), "rate",
-        F.col("fee").alias("fee_amount"), "seller_net",
-        F.lit("settled").alias("status"), F.col("requested_at").alias("settled_at"),
-        F.col("requested_at").alias("_created"))
-    pc = t["platform_commission"]
-    old = pc.select("order_id", F.col("id").alias("_old_id"),
-                    F.col("gross_amount").alias("_old_gross"), F.col("rate").alias("_old_rate"),
-                    F.col("created_at").alias("_old_created"))
-    upd = new.join(old, "order_id", "left").select(
-        F.coalesce("_old_id", F.concat(F.lit("PC-"), "order_id")).alias("id"), "order_id",
-        F.coalesce("_old_gross", "gross_amount").alias("gross_amount"),
-        F.coalesce("_old_rate", "rate").cast(RATE_TYPE).alias("rate"),
-        "fee_amount", "seller_net", "status", "settled_at",
-        F.coalesce("_old_created", "_created").alias("created_at"))
-    commission = pc.join(new.select("order_id"), "order_id", "left_anti") \
-        .select(*upd.columns).unionByName(upd)
-
-    fees = applied.agg(F.coalesce(F.sum("fee"), F.lit(0).cast("bigint")).alias("_fees"))
-    admin_wallet = t["admin_wallet"].crossJoin(F.broadcast(fees)).select(
-        "id", (F.col("balance") + F.col("_fees")).alias("balance"), "created_at", "updated_at")
-    orders_upd = applied.select("order_id", F.col("fee").alias("platform_fee"),
-                                F.col("rate").alias("commission_rate"),
-                                F.col("seller_net").alias("seller_payout"))
+    def commission():
+        new = applied.select("order_id", F.col("total_amount").alias("_gross"), F.col("rate").alias("_rate"),
+                             F.col("fee").alias("_fee"), F.col("seller_net").alias("_net"),
+                             F.col("requested_at").alias("_at"))
+        both = t["platform_commission"].join(new, "order_id", "full")
+        fresh = F.col("_at").isNotNull()
+        return both.select(
+            F.coalesce("id", F.concat(F.lit("PC-"), "order_id")).alias("id"), "order_id",
+            F.coalesce("gross_amount", "_gross").alias("gross_amount"),
+            F.coalesce("rate", F.col("_rate").cast(RATE_TYPE)).cast(RATE_TYPE).alias("rate"),
+            F.when(fresh, F.col("_fee")).otherwise(F.col("fee_amount")).alias("fee_amount"),
+            F.when(fresh, F.col("_net")).otherwise(F.col("seller_net")).alias("seller_net"),
+            F.when(fresh, F.lit("settled")).otherwise(F.col("status")).alias("status"),
+            F.when(fresh, F.col("_at")).otherwise(F.col("settled_at")).alias("settled_at"),
+            F.when(F.col("id").isNull(), F.col("_at")).otherwise(F.col("created_at"))
+            .alias("created_at"))
+
+    def admin_wallet():
+        fees = applied.agg(F.sum("fee").alias("_fees"), F.max("requested_at").alias("_at"))
+        oldest = t["admin_wallet"].agg(F.min_by("id", F.struct(
+            F.col("created_at").isNull().alias("n"), "created_at", "id")).alias("_oldest"))
+        hit = (F.col("id") == F.col("_oldest")) & F.col("_fees").isNotNull()
+        return t["admin_wallet"].crossJoin(F.broadcast(one_row(fees, oldest))).select(
+            "id", F.when(hit, F.col("balance") + F.col("_fees")).otherwise(F.col("balance")).alias("balance"),
+            "created_at", F.when(hit, F.col("_at")).otherwise(F.col("updated_at")).alias("updated_at"))
+
+    def orders():
+        return applied.select("order_id", F.col("fee").alias("platform_fee"),
+                              F.col("rate").cast(RATE_TYPE).alias("commission_rate"),
+                              F.col("seller_net").alias("seller_payout"))
+
     return Outputs(outcomes=lambda: outcomes, ledger=ledger, wallets=wallets,
-                   commission=lambda: commission, admin_wallet=lambda: admin_wallet,
-                   orders=lambda: orders_upd)
+                   commission=commission, admin_wallet=admin_wallet, orders=orders)
 
 
 # ---------------------------------------------------------------- J5 status
 
 
+def _bad_status() -> Column:
+    """Refusal of a status outside the domain (null inside it)."""
+    text = F.coalesce("new_status", F.lit(""))
+    return F.when(~F.coalesce(F.col("new_status").isin(*ORDER_STATUSES), F.lit(False)),
+                  F.concat(F.lit(ERR_BAD_STATUS[0]), text, F.lit(ERR_BAD_STATUS[1])))
+
+
 def apply_status(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     """Admin status changes (current version): a change to 'completed' settles
     commission first and is refused, status unchanged, when settlement fails.
 
-    commands: cmd_id, order_id, new_status, note, actor_id, requested_at.
+    commands: cmd_id, order_id, new_status, note, actor_id, requested_at.  The
+    rate setting is read before anything is changed, so one that is no rate
+    refuses every command.  The settlement's ledger rows, wallets, commission
+    table, admin wallet and order fees come with the status changes.
     """
-    c = _with_admin(commands, t)
+    rate = rate_setting(t).select(rate_error("value").alias("_rate_error"))
+    c = _with_admin(commands, t).crossJoin(F.broadcast(rate))  # one row
     to_settle = c.filter(F.col("is_admin") & (F.col("new_status") == "completed")) \
         .select("cmd_id", "order_id", "requested_at")
     s = settle_commission(t, to_settle)
     so = s["outcomes"].select("cmd_id", F.col("ok").alias("_sok"), F.col("error").alias("_serr"))
     c = c.join(so, "cmd_id", "left")
     err = (F.when(~F.col("is_admin"), F.lit(ERR_NOT_ADMIN))
+           .when(F.col("_rate_error").isNotNull(), F.col("_rate_error"))
+           .when(_bad_status().isNotNull(), _bad_status())
            .when((F.col("new_status") == "completed") & ~F.coalesce("_sok", F.lit(False)),
                  F.concat(F.lit(ERR_SETTLE_PREFIX), F.coalesce("_serr", F.lit("")))))
     c = c.withColumn("error", err).withColumn("ok", F.col("error").isNull())
@@ -270,7 +310,9 @@ def apply_status(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
                    _json(new_status=F.col("new_status"), note=F.col("note")))
     return Outputs(outcomes=lambda: outcomes, orders=lambda: orders_after,
                    audit=lambda: audit, settlement=lambda: s["outcomes"],
-                   settle_wallets=lambda: s["wallets"])
+                   ledger=lambda: s["ledger"], wallets=lambda: s["wallets"],
+                   commission=lambda: s["commission"], admin_wallet=lambda: s["admin_wallet"],
+                   order_fees=lambda: s["orders"])
 
 
 def apply_status_v1(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
@@ -280,15 +322,12 @@ def apply_status_v1(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
 
     commands: cmd_id, order_id, new_status, note, actor_id, requested_at.
     """
-    from escrowlens.functions.labels import ORDER_STATUSES
     o = t["orders"].select(F.col("id").alias("order_id"), F.col("status").alias("_old0"),
                            F.col("delivery_note").alias("_note0"),
                            F.col("delivered_at").alias("_del0"),
                            F.col("completed_at").alias("_comp0"))
     c = _with_admin(commands.join(o, "order_id", "left"), t)
-    err = (F.when(~F.col("new_status").isin(*ORDER_STATUSES) | F.col("new_status").isNull(),
-                  F.concat(F.lit('invalid input value for enum order_status: "'),
-                           F.coalesce("new_status", F.lit("")), F.lit('"')))
+    err = (F.when(_bad_status().isNotNull(), _bad_status())
            .when(~F.col("is_admin"), F.lit(ERR_NOT_ADMIN))
            .when(F.col("_old0").isNull(), F.lit(ERR_ORDER_NOT_FOUND)))
     c = c.withColumn("error", err).withColumn("ok", F.col("error").isNull())
@@ -484,30 +523,31 @@ def adjust_wallets(t: Tables, commands: DataFrame, create_missing: bool = True
     """
     c = _with_admin(commands, t)
     w = t["wallets"].select("user_id", F.col("id").alias("_wid"),
-                            F.col("balance").alias("start_balance"),
-                            F.col("total_in").alias("_in0"), F.col("total_out").alias("_out0"))
+                            F.col("balance").alias("start_balance"))
     c = c.join(w, "user_id", "left")
     pre = (F.when(~F.col("is_admin"), F.lit(ERR_NOT_ADMIN))
            .when(F.col("amount") == 0, F.lit(ERR_ZERO_AMOUNT))
            .when(F.col("reason").isNull() | (F.trim("reason") == ""), F.lit(ERR_NO_REASON)))
     if not create_missing:
         pre = pre.when(F.col("_wid").isNull(), F.lit(ERR_NO_WALLET))
+    pre = pre.when(F.col("amount").isNull(), F.lit(ERR_NULL_AMOUNT))
     c = c.withColumn("pre_error", pre).withColumn(
         "start_balance", F.coalesce("start_balance", F.lit(0).cast("bigint")))
-    c = c.withColumn("wallet_id", _wallet_id(F.col("user_id"), F.col("_wid")))
+    c = c.withColumn("wallet_id", _wallet_id(F.col("user_id"), F.col("_wid"))).drop("_wid")
     f = ordered_guarded_fold(c, "user_id", ["seq"], refusal=ERR_NEGATIVE)
     outcomes = f.select("seq", "user_id", "amount", "ok", "error",
                         F.when(F.col("ok"), F.col("new_balance")).alias("new_balance"))
     acc = f.filter("ok")
     zero = F.lit(0).cast("bigint")
-    final = acc.groupBy("user_id", "wallet_id").agg(
+    moved = acc.groupBy("user_id", "wallet_id").agg(
         F.max_by("new_balance", "seq").alias("balance"),
-        (F.coalesce(F.first("_in0"), zero)
-         + F.sum(F.when(F.col("amount") > 0, F.col("amount")).otherwise(zero)))
-        .alias("total_in"),
-        (F.coalesce(F.first("_out0"), zero)
-         + F.sum(F.when(F.col("amount") < 0, -F.col("amount")).otherwise(zero)))
-        .alias("total_out"))
+        F.sum(F.when(F.col("amount") > 0, F.col("amount")).otherwise(zero)).alias("_in"),
+        F.sum(F.when(F.col("amount") < 0, -F.col("amount")).otherwise(zero)).alias("_out"))
+    old = t["wallets"].select("user_id", F.col("total_in").alias("_in0"),
+                              F.col("total_out").alias("_out0"))
+    final = moved.join(old, "user_id", "left").select(
+        "user_id", "wallet_id", "balance", (F.coalesce("_in0", zero) + F.col("_in")).alias("total_in"),
+        (F.coalesce("_out0", zero) + F.col("_out")).alias("total_out"))
     acc_r = acc.withColumn("requested_at", F.col("created_at")) \
         .withColumn("cmd_id", F.concat(F.lit("AJ-"), F.col("seq").cast("string")))
     ledger = acc_r.select("wallet_id",

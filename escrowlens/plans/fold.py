@@ -6,14 +6,17 @@ later commands see the balance *without* the refused ones.  The step function
 commands has no bounded summary and no exact parallel-prefix form exists:
 the commands of one wallet must be applied in order.
 
-This is done without collecting any group: rows are hash-partitioned by key
-and sorted within each partition by (key, order) - an external sort that
-spills - and ``mapInPandas`` streams the Arrow batches of each partition
-through the fold, carrying only the current key and balance across batch
-boundaries.  Memory per task is one batch whatever the size of a key.  Runs
-of a key whose running balance never goes below zero (the common case) are
-applied with one vectorised cumulative sum; only runs with a refusal fall
-back to a row loop.
+Only what follows a possible refusal needs that.  Up to the first place where
+the plain running balance of a key would go below zero nothing is refused for
+its balance, and the running sum (``plans.prefix``, which splits a hot key over
+range buckets) is the balance.  Keys that never get there, the common case, are
+done without Python and without one task per key.  From that place on, the rows
+of a key are folded: hash-partitioned by key and sorted within each partition
+by (key, order) - an external sort that spills - ``mapInArrow`` streams the
+batches of each partition through the fold, carrying only the current key and
+balance across batch boundaries.  Nothing is collected; memory per task is one
+batch whatever the size of a key.  Amounts stay 64-bit integers throughout, and
+the other columns pass as they are.
 """
 
 from __future__ import annotations
@@ -21,70 +24,72 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from escrowlens.plans.prefix import RANGE, running_sum
+
 FOLD_SCHEMA_EXTRA = "ok boolean, error string, balance_before long, new_balance long"
+LARGEST = 2 ** 63 - 1
+ERR_RANGE = "bigint out of range"
 
 
-def _fold_batches(key: str, refusal: str, batches: Iterator[pd.DataFrame]
-                  ) -> Iterator[pd.DataFrame]:
-    cur_key = None
-    bal = 0
-    for pdf in batches:
-        n = len(pdf)
+def _fold_batches(key: str, refusal: str, batches: Iterator[pa.RecordBatch]
+                  ) -> Iterator[pa.RecordBatch]:
+    cur_key, bal = object(), 0  # no key is equal to a fresh object
+    for batch in batches:
+        n = len(batch)
         if n == 0:
             continue
-        keys = pdf[key].to_numpy()
-        amount = pdf["amount"].to_numpy(dtype=np.int64)
-        start = pdf["start_balance"].to_numpy(dtype=np.int64)
-        pre_err = pdf["pre_error"].to_numpy(dtype=object)
-        ok = np.zeros(n, dtype=bool)
-        before = np.zeros(n, dtype=np.int64)
-        after = np.zeros(n, dtype=np.int64)
-        err = np.empty(n, dtype=object)
-        # Boundaries of runs of equal keys inside this batch.
-        change = np.empty(n, dtype=bool)
-        change[0] = True
-        if n > 1:
-            change[1:] = keys[1:] != keys[:-1]
-        starts = np.flatnonzero(change)
-        ends = np.append(starts[1:], n)
-        for s, e in zip(starts, ends):
-            k = keys[s]
-            if k != cur_key:
-                cur_key, bal = k, int(start[s])
-            a = amount[s:e]
-            valid = np.array([x is None for x in pre_err[s:e]], dtype=bool)
-            contrib = np.where(valid, a, 0)
-            run = bal + np.cumsum(contrib)
-            if run.size == 0 or run.min() >= 0:
-                # No refusal for balance in this run: vectorised.
+        keys = batch.column(key).to_pylist()
+        amount = batch.column("amount").fill_null(0).to_numpy(zero_copy_only=False)
+        start = batch.column("start_balance").to_pylist()
+        errors = batch.column("pre_error").to_pylist()
+        ok, before, after = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        s = 0
+        while s < n:
+            e = s + 1
+            while e < n and keys[e] == keys[s]:
+                e += 1
+            if keys[s] != cur_key:
+                cur_key, bal = keys[s], start[s]
+            valid = np.array([x is None for x in errors[s:e]])
+            steps = np.where(valid, amount[s:e], 0)
+            small = abs(bal) + float(np.abs(steps.astype(float)).sum()) < 2 ** 62
+            run = bal + np.cumsum(steps) if small else None
+            if run is not None and run.min() >= 0:
                 prev = np.concatenate(([bal], run[:-1]))
-                before[s:e] = prev
-                ok[s:e] = valid
-                after[s:e] = np.where(valid, run, prev)
-                err[s:e] = np.where(valid, None, pre_err[s:e])
+                before[s:e], after[s:e], ok[s:e] = prev, np.where(valid, run, prev), valid
                 bal = int(run[-1])
-                continue
-            for i in range(s, e):
-                before[i] = bal
-                if pre_err[i] is not None:
-                    ok[i], err[i], after[i] = False, pre_err[i], bal
-                    continue
-                nb = bal + int(amount[i])
-                if nb < 0:
-                    ok[i], err[i], after[i] = False, refusal, bal
-                else:
-                    ok[i], err[i], after[i] = True, None, nb
-                    bal = nb
-        out = pdf.drop(columns=["start_balance", "pre_error"])
-        out["ok"] = ok
-        out["error"] = err
-        out["balance_before"] = before
-        out["new_balance"] = after
-        yield out
+            else:
+                for i in range(s, e):
+                    before[i] = bal
+                    new = bal + int(amount[i])
+                    if errors[i] is None:
+                        if 0 <= new <= LARGEST:
+                            ok[i], bal = True, new
+                        else:
+                            errors[i] = refusal if new < 0 else ERR_RANGE
+                    after[i] = bal
+            s = e
+        kept = [c for c in batch.schema.names if c not in ("start_balance", "pre_error")]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in kept), pa.array(ok), pa.array(errors, pa.string()),
+             pa.array(before), pa.array(after)],
+            names=[*kept, "ok", "error", "balance_before", "new_balance"])
+
+
+def _folded(rows: DataFrame, key: str, order: list[str], refusal: str,
+            num_partitions: int | None) -> DataFrame:
+    # Without an explicit count AQE may coalesce whole hash partitions (a key
+    # never splits), so small inputs do not pay for hundreds of tasks.
+    parts = (rows.repartition(num_partitions, F.col(key)) if num_partitions
+             else rows.repartition(F.col(key))).sortWithinPartitions(key, *order)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields
+              if f.name not in ("start_balance", "pre_error")]
+    schema = ", ".join(fields) + ", " + FOLD_SCHEMA_EXTRA
+    return parts.mapInArrow(lambda it: _fold_batches(key, refusal, it), schema)
 
 
 def ordered_guarded_fold(commands: DataFrame, key: str, order: list[str],
@@ -92,17 +97,28 @@ def ordered_guarded_fold(commands: DataFrame, key: str, order: list[str],
                          num_partitions: int | None = None) -> DataFrame:
     """Apply signed ``amount`` commands per ``key`` in ``order`` with a floor.
 
-    ``commands`` must carry ``amount`` (bigint), ``start_balance`` (bigint,
-    constant per key) and ``pre_error`` (string; a non-null value refuses the
-    row before the balance test).  Adds ok, error (``refusal`` when the
-    balance would go below zero), balance_before and new_balance (the balance
-    after the row, unchanged when refused).
+    ``commands`` must carry ``amount`` (bigint), ``start_balance`` (bigint, not
+    null, constant per key) and ``pre_error`` (string; a non-null value refuses
+    the row before the balance test; rows with a null amount must have one).
+    Adds ok, error (``refusal`` when the balance would go below zero),
+    balance_before and new_balance (the balance after the row, unchanged when
+    refused).  A null key is a key like any other.
     """
-    # Without an explicit count AQE may coalesce whole hash partitions (a key
-    # never splits), so small inputs do not pay for hundreds of tasks.
-    parts = (commands.repartition(num_partitions, F.col(key)) if num_partitions
-             else commands.repartition(F.col(key))).sortWithinPartitions(key, *order)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in commands.schema.fields
-              if f.name not in ("start_balance", "pre_error")]
-    schema = ", ".join(fields) + ", " + FOLD_SCHEMA_EXTRA
-    return parts.mapInPandas(lambda it: _fold_batches(key, refusal, it), schema)
+    columns = [c for c in commands.columns if c not in ("start_balance", "pre_error")]
+    wide = "decimal(38,0)"  # running sums beyond a bigint must not wrap
+    step = F.when(F.col("pre_error").isNull(), F.coalesce("amount", F.lit(0))).otherwise(0)
+    d = commands.withColumn("_step", step.cast(wide))
+    d = running_sum(d, key, order, "_step", "_run", bucket=RANGE)
+    d = d.withColumn("_run", (F.col("_run") + F.col("start_balance")).cast(wide))
+    place = F.struct(*order)
+    stuck = (d.filter((F.col("_run") < 0) | (F.col("_run") > LARGEST)).groupBy(F.col(key).alias("_key"))
+             .agg(F.min(place).alias("_from"),
+                  F.min_by(F.col("_run") - F.col("_step"), place).alias("_held")))
+    d = d.join(stuck, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    plain = d.filter(F.col("_from").isNull() | (place < F.col("_from"))).select(
+        *columns, F.col("pre_error").isNull().alias("ok"), F.col("pre_error").alias("error"),
+        (F.col("_run") - F.col("_step")).cast("bigint").alias("balance_before"),
+        F.col("_run").cast("bigint").alias("new_balance"))
+    rest = d.filter(place >= F.col("_from")).withColumn("start_balance", F.col("_held").cast("bigint"))
+    return plain.unionByName(_folded(rest.select(*columns, "start_balance", "pre_error"),
+                                     key, order, refusal, num_partitions))

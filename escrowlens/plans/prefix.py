@@ -17,12 +17,14 @@ tasks as it has buckets; the join with the offsets is on the same columns and
 reuses that partitioning.
 
 A day can itself be hot (one key, one day, a third of all rows).  Passing
-``bucket=RANGE`` instead derives the bucket from the data: the rows are
-range-partitioned on (key, order) - Spark samples the sort key and cuts it into
-partitions of about equal size, splitting even a single key and a single
-timestamp by the tie-break column - and the partition index is the bucket.
-It is non-decreasing in the order by construction, so the result is exact;
-the price is one sampling pass, one more shuffle and a checkpoint write.
+``bucket=RANGE`` instead cuts the rows at quantiles of (key, order), so even a
+single key and a single timestamp are split by the tie-break column.  The cuts
+come from a sample of fixed size, the rows with the smallest hashes of (key,
+order): it is a function of the data alone, so every branch of a plan finds the
+same cuts, and the bucket of a row is a binary search in a one-row broadcast.
+It is non-decreasing in the order by construction, so the result is exact; the
+price is one more pass over the key and order columns.  Nothing runs while the
+DataFrame is built and nothing is written.
 
 Floor at zero (``e_i = max(e_{i-1} + d_i, 0)``, ``e_0 = w0``) has the closed
 form ``e_i = S_i - least(-w0, min_{j<=i} S_j)`` with ``S`` the running sum of
@@ -35,35 +37,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from escrowlens.session import work_dir
-
-
 RANGE = "range"
+MOST_BUCKETS = 1024
+SAMPLES_PER_BUCKET = 20
 
 
 def _order(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _cuts(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """One row: at most ``n - 1`` points (key, order) that cut the rows into
+    about equal parts, in order."""
+    sample = (df.select(F.struct(key, *order).alias("_k")).withColumn("_h", F.xxhash64("_k"))
+              .orderBy("_h", "_k").limit(SAMPLES_PER_BUCKET * n))
+    every = sample.agg(F.array_sort(F.collect_list("_k")).alias("_all"))
+    at = lambda i: F.get("_all", (i * F.size("_all") / n).cast("int"))
+    return every.select(F.array_compact(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.lit(max(1, n - 1))), at))).alias("_cuts"))
+
+
 def bucketed(df: DataFrame, key: str, order: list, bucket) -> DataFrame:
     """``df`` with a ``_bucket`` column that is non-decreasing in (key, order).
 
-    Range buckets are the partition index after ``repartitionByRange``.  The
-    bucketed frame feeds two branches (bucket totals and local windows), and
-    each re-planned exchange would sample its own boundaries, so the frame is
-    pinned with a lazy reliable ``checkpoint``: both branches read one RDD
-    (one shuffle, one set of boundaries), written to the checkpoint folder.
+    A range bucket is the number of cuts up to the row.  There are as many
+    buckets as shuffle partitions, at most ``MOST_BUCKETS`` (the cuts travel in
+    one broadcast row).
     """
     if isinstance(bucket, str) and bucket == RANGE:
-        work_dir(df.sparkSession)
-        # No explicit count: AQE coalesces adjacent ranges to the advisory
-        # partition size, so the number of buckets follows the data volume
-        # (coalescing keeps the partition index monotone in the order).
-        return df.repartitionByRange(F.col(key), *_order(order)) \
-            .withColumn("_bucket", F.spark_partition_id()).checkpoint(eager=False)
+        n = min(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        jumps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+        point = F.struct(key, *order)
+        place = F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(
+            F.get("_cuts", at + jump - 1) <= point, at + jump).otherwise(at))
+        return (df.crossJoin(F.broadcast(_cuts(df, key, order, n)))  # one row by construction
+                .withColumn("_bucket", place).drop("_cuts"))
     return df.withColumn("_bucket", bucket)
 
 
+def _on_bucket(rows: DataFrame, per_bucket: DataFrame, key: str) -> DataFrame:
+    """Rows with the values of their bucket; a null key matches itself."""
+    other = per_bucket.withColumnsRenamed({key: "_k2", "_bucket": "_b2"})
+    match = F.col(key).eqNullSafe(F.col("_k2")) & (F.col("_bucket") == F.col("_b2"))
+    return rows.join(other, match).drop("_k2", "_b2")
+
+
 def running_sum(df: DataFrame, key: str, order: list, value: str, out: str,
                 bucket: Column | None = None) -> DataFrame:
     """Add ``out`` = running sum of ``value`` per ``key`` in ``order``."""
@@ -72,16 +90,16 @@ def running_sum(df: DataFrame, key: str, order: list, value: str, out: str,
             Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(w))
     b = "_bucket"
+    kind = "bigint" if df.schema[value].dataType.typeName() == "long" else df.schema[value].dataType
     d = bucketed(df, key, order, bucket)
     totals = d.groupBy(key, b).agg(F.sum(value).alias("_bsum"))
     wb = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, b, F.coalesce(F.sum("_bsum").over(wb), F.lit(0))
-                            .cast("bigint").alias("_off"))
+    offsets = totals.select(key, b, F.coalesce(F.sum("_bsum").over(wb), F.lit(0)).alias("_off"))
     wl = Window.partitionBy(key, b).orderBy(*_order(order)).rowsBetween(
         Window.unboundedPreceding, 0)
     local = d.withColumn("_local", F.sum(value).over(wl))
-    return (local.join(offsets, [key, b])
-            .withColumn(out, F.col("_local") + F.col("_off"))
+    return (_on_bucket(local, offsets, key)
+            .withColumn(out, (F.col("_local") + F.col("_off")).cast(kind))
             .drop("_local", "_off", b))
 
 
@@ -111,7 +129,7 @@ def running_clamped(df: DataFrame, key: str, order: list, delta: str, out: str,
                                  .cast("bigint"))
         # Lowest running sum reached in any earlier bucket of the key.
         per_b = per_b.withColumn("_pmin", F.min(F.col("_off") + F.col("_bmin")).over(wb))
-        d = d.join(per_b.select(key, b, "_off", "_pmin"), [key, b])
+        d = _on_bucket(d, per_b.select(key, b, "_off", "_pmin"), key)
         d = d.withColumn("_s", F.col("_ls") + F.col("_off"))
         m = F.col("_lm") + F.col("_off")
         d = d.withColumn("_m", F.when(F.col("_pmin").isNull(), m)
@@ -142,6 +160,6 @@ def previous_value(df: DataFrame, key: str, order: list, value: str, out: str,
     wl = Window.partitionBy(key, b).orderBy(*ordc)
     d = d.withColumn("_edge", shift(F.lit(1)).over(wl).isNull()) \
          .withColumn("_local", shift(value).over(wl))
-    d = d.join(last, [key, b])
+    d = _on_bucket(d, last, key)
     return d.withColumn(out, F.when(F.col("_edge"), F.col("_bnext"))
                         .otherwise(F.col("_local"))).drop("_edge", "_local", "_bnext", b)

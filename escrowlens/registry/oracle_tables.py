@@ -236,8 +236,8 @@ m_settle_cmds AS (
 ),
 m_status_cmds AS (
   SELECT 'SS-' || id AS cmd_id, id AS order_id,
-         CASE status WHEN 'delivered' THEN 'completed' WHEN 'paid' THEN 'processing'
-              ELSE 'delivered' END AS new_status,
+         CASE WHEN quantity = 17 THEN 'not_a_status' WHEN status = 'delivered' THEN 'completed'
+              WHEN status = 'paid' THEN 'processing' ELSE 'delivered' END AS new_status,
          'batch ' || status AS note,
          CASE WHEN quantity = 13 THEN 'B2' ELSE 'B0' END AS actor_id,
          updated_at AS requested_at

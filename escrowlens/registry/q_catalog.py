@@ -199,8 +199,8 @@ WHERE is_active AND (stock IS NULL OR stock > 0)
 
 register("catalog_priced", """
 , r AS (SELECT coalesce(try_cast((SELECT value FROM m_settings WHERE key = 'commission_rate'
-                                  ORDER BY updated_at DESC LIMIT 1) AS DECIMAL(5,4)),
-                        CAST(0.05 AS DECIMAL(5,4))) AS rate)
+                                  ORDER BY updated_at DESC LIMIT 1) AS DECIMAL(18,17)),
+                        CAST(0.05 AS DECIMAL(18,17))) AS rate)
 SELECT p.id, p.price, CAST(r.rate AS DOUBLE) AS rate,
        CAST(round(p.price * r.rate) AS BIGINT) AS fee,
        p.price + CAST(round(p.price * r.rate) AS BIGINT) AS buyer_total

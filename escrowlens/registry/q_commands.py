@@ -15,23 +15,31 @@ from escrowlens.registry.core import register
 from escrowlens.sources import commands as src
 from escrowlens.sources.schemas import ensure_columns, ORDER_EVOLUTION
 
-RATE = ("(SELECT coalesce(try_cast((SELECT value FROM m_settings WHERE key = "
-        "'commission_rate' ORDER BY updated_at DESC LIMIT 1) AS DECIMAL(5,4)), "
-        "CAST(0.05 AS DECIMAL(5,4))))")
+SETTING = "(SELECT value FROM m_settings WHERE key = 'commission_rate' ORDER BY updated_at DESC LIMIT 1)"
 ADMIN_ERR = "'Tidak punya akses admin.'"
 RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
-def settle_ctes(source: str) -> str:
+def settle_ctes(source: str, setting: str = SETTING) -> str:
+    """Settlement of the commands in ``source`` under the text of a rate setting."""
     return f"""
-, s_op AS (SELECT o.id AS order_id, o.total_amount, p.seller_id AS p_seller
+, s_set AS (SELECT {setting} AS txt),
+s_rate AS (SELECT coalesce(try_cast(txt AS DECIMAL(18,17)), CAST(0.05 AS DECIMAL(18,17))) AS rate,
+                  CASE WHEN txt IS NULL THEN NULL
+                       WHEN try_cast(txt AS DOUBLE) IS NULL
+                         THEN 'invalid input syntax for type numeric: "' || txt || '"'
+                       WHEN abs(try_cast(txt AS DOUBLE)) >= 9.99995 THEN 'numeric field overflow'
+                  END AS rate_error
+           FROM s_set),
+s_op AS (SELECT o.id AS order_id, o.total_amount, p.seller_id AS p_seller
            FROM m_orders o JOIN m_products p ON p.id = o.product_id),
 s_c AS (SELECT c.cmd_id, c.order_id, c.requested_at, s_op.total_amount, s_op.p_seller,
-               {RATE} AS rate, (SELECT count(*) FROM m_admin_wallet) AS n_aw,
+               rate, rate_error, (SELECT count(*) FROM m_admin_wallet) AS n_aw,
                c.order_id IN (SELECT order_id FROM m_commission WHERE status = 'settled')
                  AS already
-        FROM {source} c LEFT JOIN s_op ON s_op.order_id = c.order_id),
-s_e AS (SELECT *, CASE WHEN p_seller IS NULL THEN 'Order tidak ditemukan'
+        FROM {source} c CROSS JOIN s_rate LEFT JOIN s_op ON s_op.order_id = c.order_id),
+s_e AS (SELECT *, CASE WHEN rate_error IS NOT NULL THEN rate_error
+                       WHEN p_seller IS NULL THEN 'Order tidak ditemukan'
                        WHEN n_aw = 0 THEN 'admin_wallet belum ada row sama sekali.' END
                     AS error
         FROM s_c),
@@ -52,17 +60,7 @@ s_a AS (SELECT s_f.*, total_amount - fee AS net, coalesce(w.balance, 0) AS bal0,
 """
 
 
-SETTLE = settle_ctes("m_settle_cmds")
-
-
-def _cmds(t):
-    return src.settle_commands(t)
-
-
-register("settle_commission", SETTLE + "SELECT * FROM s_out")(
-    lambda t: cm.settle_commission(t, _cmds(t))["outcomes"])
-
-register("settle_ledger", SETTLE + f"""
+SETTLED_LEDGER = f"""
 SELECT wallet_id, 'escrow_release' AS type, net AS amount,
        bal0 + CAST(sum(net) OVER (PARTITION BY p_seller ORDER BY requested_at, cmd_id {RUN})
                    AS BIGINT) AS balance_after,
@@ -70,17 +68,15 @@ SELECT wallet_id, 'escrow_release' AS type, net AS amount,
          || CAST(round(rate * 100) AS BIGINT) || '%)' AS description,
        order_id AS ref_order_id, requested_at AS created_at, cmd_id AS source_cmd
 FROM s_a
-""")(lambda t: cm.settle_commission(t, _cmds(t))["ledger"])
-
-register("settle_wallets", SETTLE + """
+"""
+SETTLED_WALLETS = """
 SELECT p_seller AS user_id, wallet_id, bal0 AS balance_before,
        CAST(sum(net) AS BIGINT) AS credited, bal0 + CAST(sum(net) AS BIGINT) AS balance_after
 FROM s_a GROUP BY p_seller, wallet_id, bal0
-""")(lambda t: cm.settle_commission(t, _cmds(t))["wallets"])
-
-register("commission_upsert", SETTLE + """
-, n AS (SELECT order_id, total_amount AS gross_amount, rate, fee AS fee_amount,
-               net AS seller_net, requested_at FROM s_a)
+"""
+SETTLED_COMMISSION = """
+, n AS (SELECT order_id, total_amount AS gross_amount, CAST(rate AS DECIMAL(5,4)) AS rate,
+               fee AS fee_amount, net AS seller_net, requested_at FROM s_a)
 SELECT id, order_id, gross_amount, CAST(rate AS DOUBLE) AS rate, fee_amount, seller_net,
        status, settled_at, created_at
 FROM m_commission WHERE order_id NOT IN (SELECT order_id FROM n)
@@ -90,13 +86,66 @@ SELECT coalesce(o.id, 'PC-' || n.order_id), n.order_id,
        n.fee_amount, n.seller_net, 'settled', n.requested_at,
        coalesce(o.created_at, n.requested_at)
 FROM n LEFT JOIN m_commission o ON o.order_id = n.order_id
-""")(lambda t: cm.settle_commission(t, _cmds(t))["commission"])
+"""
+SETTLED_ADMIN_WALLET = """
+, a_all AS (SELECT * FROM m_admin_wallet {more}),
+a_hit AS (SELECT id FROM a_all ORDER BY created_at NULLS LAST, id LIMIT 1),
+a_sum AS (SELECT CAST(sum(fee) AS BIGINT) AS fees, max(requested_at) AS done_at FROM s_a)
+SELECT a_all.id, CASE WHEN a_all.id = a_hit.id THEN balance + coalesce(fees, 0) ELSE balance END AS balance,
+       created_at, CASE WHEN a_all.id = a_hit.id THEN coalesce(done_at, updated_at) ELSE updated_at END AS updated_at
+FROM a_all, a_hit, a_sum
+"""
+
+
+SETTLE = settle_ctes("m_settle_cmds")
+
+
+def _cmds(t):
+    return src.settle_commands(t)
+
+
+register("settle_commission", SETTLE + "SELECT * FROM s_out")(
+    lambda t: cm.settle_commission(t, _cmds(t))["outcomes"])
+
+register("settle_ledger", SETTLE + SETTLED_LEDGER)(
+    lambda t: cm.settle_commission(t, _cmds(t))["ledger"])
 
-register("settle_admin_wallet", SETTLE + """
-SELECT id, balance + (SELECT CAST(coalesce(sum(fee), 0) AS BIGINT) FROM s_a) AS balance,
-       created_at, updated_at
-FROM m_admin_wallet
-""")(lambda t: cm.settle_commission(t, _cmds(t))["admin_wallet"])
+register("settle_wallets", SETTLE + SETTLED_WALLETS)(
+    lambda t: cm.settle_commission(t, _cmds(t))["wallets"])
+
+register("commission_upsert", SETTLE + SETTLED_COMMISSION)(
+    lambda t: cm.settle_commission(t, _cmds(t))["commission"])
+
+register("settle_admin_wallet", SETTLE + SETTLED_ADMIN_WALLET.format(more=""))(
+    lambda t: cm.settle_commission(t, _cmds(t))["admin_wallet"])
+
+
+def _with_setting(t, value):
+    """The tables with another text in the rate setting."""
+    return {**{k: t[k] for k in ("orders", "products", "wallets", "platform_commission", "admin_wallet")},
+            "app_settings": t["app_settings"].withColumn("value", F.lit(value))}
+
+
+def _two_admin_wallets(t):
+    """The tables with a younger admin wallet row beside the first."""
+    young = t["admin_wallet"].select(
+        F.lit("AW-0").alias("id"), F.lit(7).cast("bigint").alias("balance"),
+        F.timestamp_add("DAY", F.lit(1), F.col("created_at")).alias("created_at"), "updated_at")
+    return {**_with_setting(t, "0.00125"), "admin_wallet": t["admin_wallet"].unionByName(young)}
+
+
+register("settle_exact_rate", settle_ctes("m_settle_cmds", "'0.00125'") + "SELECT * FROM s_out")(
+    lambda t: cm.settle_commission(_with_setting(t, "0.00125"), _cmds(t))["outcomes"])
+
+register("settle_exact_rate_commission", settle_ctes("m_settle_cmds", "'0.00125'") + SETTLED_COMMISSION)(
+    lambda t: cm.settle_commission(_with_setting(t, "0.00125"), _cmds(t))["commission"])
+
+register("settle_bad_rate", settle_ctes("m_settle_cmds", "'abc'") + "SELECT * FROM s_out")(
+    lambda t: cm.settle_commission(_with_setting(t, "abc"), _cmds(t))["outcomes"])
+
+register("settle_oldest_admin_wallet", settle_ctes("m_settle_cmds", "'0.00125'") + SETTLED_ADMIN_WALLET.format(
+    more="UNION ALL SELECT 'AW-0', 7, created_at + INTERVAL 1 DAY, updated_at FROM m_admin_wallet"))(
+    lambda t: cm.settle_commission(_two_admin_wallets(t), _cmds(t))["admin_wallet"])
 
 # ---------------------------------------------------------------- J5
 
@@ -107,10 +156,15 @@ sc AS (SELECT cmd_id, order_id, requested_at FROM st
        WHERE is_admin AND new_status = 'completed')
 {settle_ctes("sc")}
 , st_o AS (SELECT st.*, CASE WHEN NOT st.is_admin THEN {ADMIN_ERR}
+                             WHEN s_rate.rate_error IS NOT NULL THEN s_rate.rate_error
+                             WHEN st.new_status IS NULL OR st.new_status NOT IN (
+                               'pending_payment', 'paid', 'processing', 'delivered', 'completed',
+                               'cancelled', 'disputed', 'refunded')
+                             THEN 'invalid input value for enum order_status: "' || coalesce(st.new_status, '') || '"'
                              WHEN st.new_status = 'completed' AND NOT coalesce(s_out.ok, false)
                              THEN 'Gagal proses komisi: ' || coalesce(s_out.error, '') END
                           AS error
-           FROM st LEFT JOIN s_out ON s_out.cmd_id = st.cmd_id)
+           FROM st CROSS JOIN s_rate LEFT JOIN s_out ON s_out.cmd_id = st.cmd_id)
 """
 
 register("apply_status", STATUS + """
@@ -126,6 +180,12 @@ SELECT o.id AS order_id, o.status AS old_status, l.new_status AS status
 FROM m_orders o JOIN l ON l.order_id = o.id AND l.rn = 1
 """)(lambda t: cm.apply_status(t, src.status_commands(t))["orders"])
 
+for _name, _sql in (("ledger", SETTLED_LEDGER), ("wallets", SETTLED_WALLETS),
+                    ("commission", SETTLED_COMMISSION),
+                    ("admin_wallet", SETTLED_ADMIN_WALLET.format(more=""))):
+    register(f"apply_status_{_name}", STATUS + _sql)(
+        lambda t, _name=_name: cm.apply_status(t, src.status_commands(t))[_name])
+
 # ---------------------------------------------------------------- J6
 
 CONFIRM = """
@@ -297,7 +357,9 @@ ADJUST = f"""
 aj_p AS (SELECT *, CASE WHEN NOT is_admin THEN {ADMIN_ERR}
                         WHEN amount = 0 THEN 'Jumlah tidak boleh nol.'
                         WHEN reason IS NULL OR trim(reason) = ''
-                          THEN 'Alasan wajib diisi untuk audit.' END AS pre_error
+                          THEN 'Alasan wajib diisi untuk audit.'
+                        WHEN amount IS NULL THEN 'null value in column "balance" of relation '
+                          || '"wallets" violates not-null constraint' END AS pre_error
          FROM aj),
 aj_r AS (
   SELECT user_id, rn, seq,
@@ -347,6 +409,36 @@ SELECT user_id, wallet_id, arg_max(bal, seq) AS balance,
 FROM aj_x WHERE error IS NULL GROUP BY user_id, wallet_id
 """)(lambda t: cm.adjust_wallets(t, t["wallet_commands"])["wallets"])
 
+WIDE = """
+, wide AS (SELECT * REPLACE (CASE WHEN seq % 97 = 0 THEN NULL WHEN seq % 89 = 0
+                                  THEN amount + 9007199254740993 ELSE amount END AS amount)
+           FROM m_wallet_commands)
+"""
+ADJUST_WIDE = WIDE + ADJUST.replace("FROM m_wallet_commands c", "FROM wide c")
+
+
+def _wide(t):
+    """The wallet commands with null amounts and amounts beyond 2**53 among them."""
+    seq, amount = F.col("seq"), F.col("amount")
+    return t["wallet_commands"].withColumn("amount", F.when(seq % 97 == 0, F.lit(None)).when(
+        seq % 89 == 0, amount + F.lit(9007199254740993)).otherwise(amount))
+
+
+register("adjust_wallets_wide", "RECURSIVE" + ADJUST_WIDE + """
+SELECT seq, user_id, amount, error IS NULL AS ok, error,
+       CASE WHEN error IS NULL THEN bal END AS new_balance
+FROM aj_x
+""")(lambda t: cm.adjust_wallets(t, _wide(t))["outcomes"])
+
+register("adjust_wallets_wide_final", "RECURSIVE" + ADJUST_WIDE + """
+SELECT user_id, wallet_id, arg_max(bal, seq) AS balance,
+       CAST(coalesce(any_value(in0), 0) + sum(CASE WHEN amount > 0 THEN amount ELSE 0 END)
+            AS BIGINT) AS total_in,
+       CAST(coalesce(any_value(out0), 0) + sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END)
+            AS BIGINT) AS total_out
+FROM aj_x WHERE error IS NULL GROUP BY user_id, wallet_id
+""")(lambda t: cm.adjust_wallets(t, _wide(t))["wallets"])
+
 register("adjust_ledger", "RECURSIVE" + ADJUST + """
 SELECT wallet_id, CASE WHEN amount > 0 THEN 'topup' ELSE 'withdrawal' END AS type,
        abs(amount) AS amount, bal AS balance_after,
@@ -701,10 +793,8 @@ LEFT JOIN lnote ON lnote.order_id = g.order_id
 """)(lambda t: cm.apply_status_v1(t, src.status_commands(t))["orders"])
 
 ADJUST_V1 = ADJUST.replace(
-    "THEN 'Alasan wajib diisi untuk audit.' END AS pre_error",
-    "THEN 'Alasan wajib diisi untuk audit.'\n"
-    "                        WHEN wid IS NULL THEN 'Dompet pengguna tidak ditemukan.' END"
-    " AS pre_error")
+    "WHEN amount IS NULL THEN",
+    "WHEN wid IS NULL THEN 'Dompet pengguna tidak ditemukan.' WHEN amount IS NULL THEN")
 assert ADJUST_V1 != ADJUST
 
 register("adjust_wallets_v1", "RECURSIVE" + ADJUST_V1 + """

@@ -29,7 +29,8 @@ def settle_commands(t: Tables) -> DataFrame:
 
 def status_commands(t: Tables) -> DataFrame:
     o = t["orders"].filter(F.col("status").isin("delivered", "paid", "processing"))
-    new = (F.when(F.col("status") == "delivered", "completed")
+    new = (F.when(F.col("quantity") == 17, "not_a_status")
+           .when(F.col("status") == "delivered", "completed")
            .when(F.col("status") == "paid", "processing").otherwise("delivered"))
     return o.select(F.concat(F.lit("SS-"), "id").alias("cmd_id"), F.col("id").alias("order_id"),
                     new.alias("new_status"), F.concat(F.lit("batch "), "status").alias("note"),

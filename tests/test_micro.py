@@ -94,10 +94,15 @@ def test_settle_twice_is_idempotent_and_reports_errors(spark):
     again = dict(base, platform_commission=r["commission"])
     o2 = cm.settle_commission(again, cmds.filter("cmd_id = 'c1'"))["outcomes"].collect()
     assert o2[0]["ok"] and not o2[0]["applied"]
-    # Unparsable rate falls back to 0.05.
-    bad = dict(base, app_settings=_settings(spark, "abc"))
-    o3 = cm.settle_commission(bad, cmds.filter("cmd_id = 'c1'"))["outcomes"].collect()
-    assert o3[0]["fee"] == 500
+    # Only a missing rate has a default; one that is no rate refuses the command.
+    for value, error in (("abc", 'invalid input syntax for type numeric: "abc"'),
+                         ("12.5", "numeric field overflow"), ("1e9", "numeric field overflow")):
+        bad = dict(base, app_settings=_settings(spark, value))
+        o3 = cm.settle_commission(bad, cmds.filter("cmd_id = 'c1'"))
+        row = o3["outcomes"].collect()[0]
+        assert not row["ok"] and row["error"] == error and row["fee"] is None
+        assert o3["ledger"].count() == o3["wallets"].count() == 0
+        assert o3["admin_wallet"].collect()[0]["balance"] == 0
     nine = dict(base, app_settings=_settings(spark, "0.07"))
     o4 = cm.settle_commission(nine, cmds.filter("cmd_id = 'c1'"))["outcomes"].collect()
     assert o4[0]["fee"] == 700  # floor(10001 * 0.07) = 700
@@ -240,6 +245,70 @@ def test_page_of_201_returns_oldest_200(spark):
     assert sorted(r["position"] for r in page) == list(range(1, 201))
 
 
+def test_settle_uses_every_digit_and_the_oldest_admin_wallet(spark):
+    t = {"orders": table(spark, "orders", [{"id": "O1", "product_id": 1, "total_amount": 1_000_000_000},
+                                           {"id": "O2", "product_id": 1, "total_amount": 2**62}]),
+         "products": table(spark, "products", [{"id": 1, "seller_id": "S9"}]),
+         "wallets": table(spark, "wallets", []), "platform_commission": table(spark, "platform_commission", []),
+         "app_settings": _settings(spark, "0.00125"),
+         "admin_wallet": spark.createDataFrame(
+             [("AW-2", 5, ts("2024-02-01 00:00:00"), None), ("AW-1", 7, ts(T0), None), ("AW-0", 9, None, None)],
+             "id string, balance long, created_at timestamp_ntz, updated_at timestamp_ntz")}
+    cmds = spark.createDataFrame([("c1", "O1", ts(T0)), ("c2", "O2", ts("2024-01-02 00:00:00"))],
+                                 "cmd_id string, order_id string, requested_at timestamp_ntz")
+    r = cm.settle_commission(t, cmds)
+    fees = {x["order_id"]: x["fee"] for x in r["outcomes"].collect()}
+    assert fees == {"O1": 1_250_000, "O2": 2**62 * 125 // 100_000}
+    aw = {x["id"]: x for x in r["admin_wallet"].collect()}
+    assert {k: x["balance"] for k, x in aw.items()} == {"AW-1": 7 + sum(fees.values()), "AW-2": 5, "AW-0": 9}
+    assert aw["AW-1"]["updated_at"] == ts("2024-01-02 00:00:00") and aw["AW-2"]["updated_at"] is None
+    assert str(r["commission"].filter("order_id = 'O1'").collect()[0]["rate"]) == "0.0013"
+
+
+def test_status_change_settles_and_checks_the_domain(spark):
+    t = {"orders": table(spark, "orders", [{"id": f"O{k}", "product_id": 1 if k < 3 else None, "total_amount": 1000,
+                                            "status": "delivered"} for k in (1, 2, 3)]),
+         "products": table(spark, "products", [{"id": 1, "seller_id": "S"}]),
+         "profiles": table(spark, "profiles", [{"id": "A", "role": "admin"}]),
+         "wallets": table(spark, "wallets", []), "platform_commission": table(spark, "platform_commission", []),
+         "admin_wallet": _admin_wallet(spark), "app_settings": _settings(spark, None)}
+    rows = [("c1", "O1", "completed", "A"), ("c2", "O2", "not_a_status", "A"), ("c3", "O3", "completed", "A"),
+            ("c4", "O2", "completed", "X"), ("c5", "O2", None, "A"), ("c6", "O2", "paid", "A")]
+    cmds = spark.createDataFrame([(*r, None, ts(T0)) for r in rows], "cmd_id string, order_id string, "
+                                 "new_status string, actor_id string, note string, requested_at timestamp_ntz")
+    r = cm.apply_status(t, cmds)
+    out = {x["cmd_id"]: x["error"] for x in r["outcomes"].collect()}
+    assert out == {"c1": None, "c2": 'invalid input value for enum order_status: "not_a_status"',
+                   "c3": cm.ERR_SETTLE_PREFIX + cm.ERR_ORDER_NOT_FOUND_SETTLE, "c4": cm.ERR_NOT_ADMIN,
+                   "c5": 'invalid input value for enum order_status: ""', "c6": None}
+    assert {x["order_id"]: x["status"] for x in r["orders"].collect()} == {"O1": "completed", "O2": "paid"}
+    assert [(x["wallet_id"], x["amount"], x["balance_after"]) for x in r["ledger"].collect()] == [("W-S", 950, 950)]
+    assert r["commission"].collect()[0]["fee_amount"] == 50 and r["admin_wallet"].collect()[0]["balance"] == 50
+    assert r["order_fees"].collect()[0]["seller_payout"] == 950 and r["wallets"].collect()[0]["balance_after"] == 950
+    bad = cm.apply_status(dict(t, app_settings=_settings(spark, "abc")), cmds)
+    errors = {x["cmd_id"]: x["error"] for x in bad["outcomes"].collect()}
+    assert errors["c6"] == errors["c1"] == 'invalid input syntax for type numeric: "abc"'
+    assert errors["c4"] == cm.ERR_NOT_ADMIN and bad["orders"].count() == 0
+
+
+def test_adjust_keeps_every_unit_and_refuses_null_amounts(spark):
+    big = 2**53 + 1
+    prof = table(spark, "profiles", [{"id": "A", "role": "admin"}])
+    wal = table(spark, "wallets", [{"id": "W-U", "user_id": "U", "balance": big, "total_in": big, "total_out": 0}])
+    rows = [(1, "U", 2, "x"), (2, "N", 5, "no wallet yet"), (3, "U", None, "null"), (4, "U", -(big + 10), "too much"),
+            (5, "U", -1, "fits"), (6, "U", 2**63 - 1, "too large"), (7, None, 5, "nobody")]
+    cmds = spark.createDataFrame([(s, "A", u, a, r, ts(T0)) for s, u, a, r in rows],
+                                 "seq long, actor_id string, user_id string, amount long, reason string, "
+                                 "created_at timestamp_ntz")
+    r = cm.adjust_wallets({"profiles": prof, "wallets": wal}, cmds)
+    out = {x["seq"]: (x["new_balance"], x["error"]) for x in r["outcomes"].collect()}
+    assert out == {1: (big + 2, None), 2: (5, None), 3: (None, cm.ERR_NULL_AMOUNT), 4: (None, cm.ERR_NEGATIVE),
+                   5: (big + 1, None), 6: (None, "bigint out of range"), 7: (5, None)}
+    fin = {x["user_id"]: x for x in r["wallets"].collect()}
+    assert (fin["U"]["balance"], fin["U"]["total_in"], fin["U"]["total_out"]) == (big + 1, big + 2, 1)
+    assert (fin["N"]["total_in"], fin["N"]["total_out"]) == (5, 0)
+
+
 def test_adjust_guards(spark):
     prof = table(spark, "profiles", [{"id": "A", "role": "admin"}, {"id": "U", "role": "pembeli"}])
     wal = table(spark, "wallets", [{"id": "W-U", "user_id": "U", "balance": 100,

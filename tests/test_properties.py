@@ -172,3 +172,18 @@ def test_guarded_fold_carries_state_across_arrow_batches(spark):
         else:
             exp[seq] = (False, b)
     assert got == exp
+
+
+def test_fold_of_a_hot_key_is_split_until_its_first_refusal(spark):
+    """One wallet over many range buckets: Python sees only what follows a refusal."""
+    rows = [("hot", i, 5 if i % 2 else -4) for i in range(3000)] + [("bad", i, -1) for i in range(3000, 3020)]
+    df = spark.createDataFrame(rows, "k string, seq long, amount long").select(
+        "*", F.when(F.col("k") == "hot", 10).otherwise(3).cast("bigint").alias("start_balance"),
+        F.lit(None).cast("string").alias("pre_error"))
+    out = ordered_guarded_fold(df, "k", ["seq"])
+    got = {r["seq"]: (r["ok"], r["new_balance"]) for r in out.collect()}
+    bal = {"hot": 10, "bad": 3}
+    for k, seq, v in rows:
+        ok = bal[k] + v >= 0
+        bal[k] += v if ok else 0
+        assert got[seq] == (ok, bal[k])
