@@ -29,17 +29,25 @@ def catalog_scan(t: Tables) -> DataFrame:
     return t["products"].select(*SCAN_COLUMNS).filter(F.col("is_active"))
 
 
+def _ratings(t: Tables) -> DataFrame:
+    """Per rated product: rating_sum, rating_count and the exact average."""
+    return t["reviews"].filter(F.col("product_id").isNotNull()).groupBy(
+        F.col("product_id").alias("id")).agg(
+        F.sum("rating").alias("rating_sum"), F.count(F.lit(1)).alias("rating_count")) \
+        .withColumn("_exact", F.col("rating_sum") / F.col("rating_count"))
+
+
+def _exact_rating() -> Column:
+    return F.coalesce("_exact", F.lit(float(L.DEFAULT_RATING)))
+
+
 def product_rating(t: Tables) -> DataFrame:
     """rating_sum, rating_count and rating per product (5 when unrated)."""
-    r = t["reviews"].filter(F.col("product_id").isNotNull()).groupBy(
-        F.col("product_id").alias("id")).agg(F.sum("rating").alias("rating_sum"),
-                                             F.count(F.lit(1)).alias("rating_count"))
-    p = t["products"].select("id").join(r, "id", "left")
-    n = F.coalesce(F.col("rating_count"), F.lit(0).cast("bigint"))
-    s = F.coalesce(F.col("rating_sum"), F.lit(0).cast("bigint"))
-    return p.select("id", s.alias("rating_sum"), n.alias("rating_count"),
-                    F.when(n > 0, F.round(s / n, 4)).otherwise(F.lit(float(L.DEFAULT_RATING)))
-                    .alias("rating"))
+    zero = F.lit(0).cast("bigint")
+    return t["products"].select("id").join(_ratings(t), "id", "left").select(
+        "id", F.coalesce("rating_sum", zero).alias("rating_sum"),
+        F.coalesce("rating_count", zero).alias("rating_count"),
+        F.round(_exact_rating(), 4).alias("rating"))
 
 
 def product_sold(t: Tables, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -56,11 +64,19 @@ def product_sold(t: Tables, since: str | None = None, until: str | None = None)
 def catalog_rows(t: Tables, sold_since: str | None = None, sold_until: str | None = None
                  ) -> DataFrame:
     """Card rows: active products with seller label, rating and units sold."""
-    p = catalog_scan(t)
+    return _cards(t, catalog_scan(t), sold_since, sold_until).drop("_exact")
+
+
+def _cards(t: Tables, p: DataFrame, since: str | None = None, until: str | None = None
+           ) -> DataFrame:
+    """Card rows of the products ``p``, which may carry ``_exact`` (rating) or
+    ``sold`` already; ``_exact`` stays, for sorting on the unrounded rating."""
     seller = t["profiles"].select(F.col("id").alias("seller_id"), "full_name", "username")
-    rating = product_rating(t).select("id", "rating")
-    sold = product_sold(t, sold_since, sold_until)
-    j = p.join(seller, "seller_id", "left").join(rating, "id", "left").join(sold, "id", "left")
+    j = p.join(seller, "seller_id", "left")
+    if "_exact" not in p.columns:
+        j = j.join(_ratings(t).select("id", "_exact"), "id", "left")
+    if "sold" not in p.columns:
+        j = j.join(product_sold(t, since, until), "id", "left")
     grad = F.when(F.col("grad_start").isNotNull() & F.col("grad_end").isNotNull()
                   & (F.col("grad_start") != "") & (F.col("grad_end") != ""),
                   F.array("grad_start", "grad_end")).otherwise(
@@ -69,7 +85,7 @@ def catalog_rows(t: Tables, sold_since: str | None = None, sold_until: str | Non
         "id", "title", "price", F.col("category").alias("cat"),
         F.col("subcategory").alias("sub"), "seller_id",
         L.seller_label("username", "full_name").alias("seller"),
-        F.coalesce("rating", F.lit(float(L.DEFAULT_RATING))).alias("rating"),
+        F.round(_exact_rating(), 4).alias("rating"), _exact_rating().alias("_exact"),
         F.coalesce("sold", F.lit(0).cast("bigint")).alias("sold"),
         F.coalesce(L.blank_to_null("icon"), F.lit(L.DEFAULT_ICON)).alias("icon"),
         grad.alias("grad"),
@@ -86,7 +102,7 @@ def _sort_keys(sort: str) -> list[Column]:
     main = {
         "latest": [],
         "popular": [F.col("sold").desc()],
-        "rating": [F.col("rating").desc()],
+        "rating": [F.col("_exact").desc()],
         "price-asc": [F.col("price").asc()],
         "price-desc": [F.col("price").desc()],
     }
@@ -98,28 +114,42 @@ def _sort_keys(sort: str) -> list[Column]:
 
 def catalog(t: Tables, category: str | None = None, sub: str | None = None,
             search: str | None = None, sort: str = "latest", limit: int | None = None,
-            rows: DataFrame | None = None, trim_search: bool = False) -> DataFrame:
+            trim_search: bool = False, sold_since: str | None = None,
+            sold_until: str | None = None) -> DataFrame:
     """Filters -> sort (-> limit).  Choosing a subcategory forces category 'game'.
 
     Search is a case-insensitive literal substring of the title or the seller
     label (``%`` and ``_`` are ordinary characters; no ``like``).  The page's
     own search box uses the text as typed; the header search box trims it
     first (``trim_search``), and an empty result of trimming means no search.
+
+    A limited list without a search is cut before the joins: only the table
+    that its sort needs is read for all products.
     """
     if trim_search and search is not None:
         search = search.strip()
     if sub:
         category = "game"
-    df = rows if rows is not None else catalog_rows(t)
+    keys = _sort_keys(sort)
+    p = catalog_scan(t)
     if category:
-        df = df.filter(F.col("cat") == category)
+        p = p.filter(F.col("category") == category)
     if sub:
-        df = df.filter(F.col("sub") == sub)
+        p = p.filter(F.col("subcategory") == sub)
+    if limit is not None and not search:
+        if sort == "popular":
+            p = p.join(product_sold(t, sold_since, sold_until), "id", "left").withColumn(
+                "sold", F.coalesce("sold", F.lit(0).cast("bigint")))
+        elif sort == "rating":
+            p = p.join(_ratings(t).select("id", "_exact"), "id", "left").withColumn(
+                "_exact", _exact_rating())
+        p = p.orderBy(*keys).limit(limit)
+    df = _cards(t, p, sold_since, sold_until)
     if search:
         q = search.lower()
         df = df.filter(F.lower("title").contains(q) | F.lower("seller").contains(q))
-    df = df.orderBy(*_sort_keys(sort))
-    return df.limit(limit) if limit is not None else df
+    df = df.orderBy(*keys)
+    return (df.limit(limit) if limit is not None else df).drop("_exact")
 
 
 def catalog_count(t: Tables, **filters) -> DataFrame:
@@ -133,8 +163,8 @@ def home_popular_24h(t: Tables, asof: str) -> DataFrame:
     import datetime as _dt
     until = _dt.datetime.fromisoformat(asof)
     since = (until - _dt.timedelta(days=1)).isoformat(sep=" ")
-    rows = catalog_rows(t, sold_since=since, sold_until=until.isoformat(sep=" "))
-    return catalog(t, sort="popular", limit=HOME_SIZE, rows=rows)
+    return catalog(t, sort="popular", limit=HOME_SIZE, sold_since=since,
+                   sold_until=until.isoformat(sep=" "))
 
 
 def checkout_eligible(t: Tables) -> DataFrame:

@@ -31,78 +31,68 @@ def conversation_last_message(t: Tables) -> DataFrame:
     return last
 
 
-def _viewer_rows(t: Tables) -> DataFrame:
-    c = t["conversations"]
-    pairs = F.array(F.struct(F.col("user_a_id").alias("viewer_id"),
-                             F.col("user_b_id").alias("other_user_id")),
-                    F.struct(F.col("user_b_id").alias("viewer_id"),
-                             F.col("user_a_id").alias("other_user_id")))
-    return c.select(F.col("id").alias("conversation_id"), "product_id", "last_message",
-                    "last_message_at", F.explode(pairs).alias("p")) \
-        .select("conversation_id", "product_id", "last_message", "last_message_at",
-                "p.viewer_id", "p.other_user_id")
-
-
-def _message_summary(t: Tables) -> DataFrame:
-    """One pass over messages: per (conversation, sender) the unread count and
-    the latest message as a struct (created_at, id, body) - a partial
-    aggregate whose output is tiny next to the messages table.  Everything the
-    inbox needs per conversation or per viewer rolls up from it."""
-    return t["messages"].groupBy("conversation_id", "sender_id").agg(
+def _per_conversation(t: Tables) -> DataFrame:
+    """One row per conversation: its columns, its latest message and what is
+    unread for either side.
+
+    Messages are read once: a partial aggregate per (conversation, sender) with
+    the unread count and the latest message, then one row per conversation.
+    "Unread and not sent by me" is all unread less those I sent, so messages
+    are never copied per viewer.
+    """
+    sent = t["messages"].filter(F.col("sender_id").isNotNull()).groupBy(
+        "conversation_id", "sender_id").agg(
         F.count_if(~F.col("is_read")).alias("_unread"),
         F.max(F.struct("created_at", "id", "body")).alias("_last"))
+    c = t["conversations"].select(F.col("id").alias("conversation_id"), "user_a_id", "user_b_id",
+                                  "product_id", "last_message", "last_message_at")
+    by = lambda side: F.coalesce(F.sum(F.when(F.col("sender_id") == F.col(side), F.col("_unread"))),
+                                 F.lit(0).cast("bigint"))
+    every = F.coalesce(F.sum("_unread"), F.lit(0).cast("bigint"))
+    return c.join(sent, "conversation_id", "left").groupBy(*c.columns).agg(
+        F.max("_last").alias("_l"), (every - by("user_a_id")).alias("_for_a"),
+        (every - by("user_b_id")).alias("_for_b"))
 
 
-def _unread_for_viewers(t: Tables, summary: DataFrame) -> DataFrame:
-    total = summary.groupBy("conversation_id").agg(F.sum("_unread").alias("_all"))
-    mine = summary.select("conversation_id", F.col("sender_id").alias("viewer_id"),
-                          F.col("_unread").alias("_mine"))
-    v = _viewer_rows(t).select("conversation_id", "viewer_id")
-    zero = F.lit(0).cast("bigint")
-    return (v.join(total, "conversation_id", "left")
-            .join(mine, ["conversation_id", "viewer_id"], "left")
-            .select("conversation_id", "viewer_id",
-                    (F.coalesce("_all", zero) - F.coalesce("_mine", zero))
-                    .cast("bigint").alias("unread_count")))
+def _viewer_rows(t: Tables) -> DataFrame:
+    """Two rows per conversation: the viewer, the other user, the viewer's unread."""
+    side = lambda me, other, unread: F.struct(
+        F.col(me).alias("viewer_id"), F.col(other).alias("other_user_id"),
+        F.col(unread).alias("unread_count"))
+    return _per_conversation(t).select(
+        "conversation_id", "product_id",
+        F.coalesce("_l.body", "last_message").alias("last_message"),
+        F.coalesce("_l.created_at", "last_message_at").alias("last_message_at"),
+        F.explode(F.array(side("user_a_id", "user_b_id", "_for_a"),
+                          side("user_b_id", "user_a_id", "_for_b"))).alias("_p")) \
+        .select("conversation_id", "product_id", "last_message", "last_message_at", "_p.*")
 
 
 def inbox_unread(t: Tables) -> DataFrame:
     """Unread messages per (conversation, viewer): not read and not sent by the
     viewer, i.e. all unread minus the viewer's own unread."""
-    return _unread_for_viewers(t, _message_summary(t))
+    return _viewer_rows(t).select("conversation_id", "viewer_id", "unread_count")
 
 
-def inbox(t: Tables, newest_first: bool = False) -> DataFrame:
-    """Every participant's inbox rows, with the other user, product and unread count.
+def inbox(t: Tables, newest_first: bool = True) -> DataFrame:
+    """Every participant's inbox rows, with the other user, product and unread
+    count, latest conversation first.
 
     last_message / last_message_at are what the insert trigger maintains:
-    the latest message of the conversation, else the stored values.  The
-    messages table is read once (``_message_summary``).
+    the latest message of the conversation, else the stored values.
     """
-    summary = _message_summary(t)
-    last = summary.groupBy("conversation_id").agg(F.max("_last").alias("_l")).select(
-        "conversation_id", F.col("_l.body").alias("_lm"), F.col("_l.created_at").alias("_lma"))
-    v = _viewer_rows(t)
-    v = v.join(last, "conversation_id", "left").select(
-        "conversation_id", "product_id", "viewer_id", "other_user_id",
-        F.coalesce("_lm", "last_message").alias("last_message"),
-        F.coalesce("_lma", "last_message_at").alias("last_message_at"))
     other = t["profiles"].select(F.col("id").alias("other_user_id"),
                                  display_name("full_name", "username").alias("other_name"),
                                  F.col("avatar_url").alias("other_avatar"))
     prod = t["products"].select(F.col("id").alias("product_id"),
                                 F.col("title").alias("product_title"),
                                 F.col("icon").alias("product_icon"))
-    unread = _unread_for_viewers(t, summary)
-    j = (v.join(other, "other_user_id")
-         .join(prod, "product_id", "left")
-         .join(unread, ["conversation_id", "viewer_id"], "left"))
+    j = _viewer_rows(t).join(other, "other_user_id").join(prod, "product_id", "left")
     out = j.select("viewer_id", "conversation_id", "last_message", "last_message_at",
                    "product_id", "product_title", "product_icon", "other_user_id",
-                   "other_name", "other_avatar",
-                   F.coalesce("unread_count", F.lit(0).cast("bigint")).alias("unread_count"))
+                   "other_name", "other_avatar", "unread_count")
     if newest_first:
-        out = out.orderBy(F.col("last_message_at").desc_nulls_last(), "conversation_id")
+        out = out.orderBy(F.col("last_message_at").desc_nulls_last(), "conversation_id", "viewer_id")
     return out
 
 

@@ -17,8 +17,8 @@ rows AS (
   SELECT p.id, p.title, p.price, p.category AS cat, p.subcategory AS sub, p.seller_id,
          CASE WHEN s.username IS NOT NULL AND s.username <> '' THEN '@' || s.username
               ELSE coalesce(nullif(s.full_name, ''), 'Penjual') END AS seller,
-         CASE WHEN coalesce(rt.rc, 0) > 0 THEN round(rt.rs / rt.rc, 4) ELSE 5.0 END
-           AS rating,
+         CASE WHEN coalesce(rt.rc, 0) > 0 THEN rt.rs / rt.rc ELSE 5.0 END AS exact,
+         round(exact, 4) AS rating,
          CAST(coalesce(sd.sold, 0) AS BIGINT) AS sold,
          coalesce(nullif(p.icon, ''), '📦') AS icon,
          CAST(to_json(CASE WHEN p.grad_start IS NOT NULL AND p.grad_end IS NOT NULL
@@ -42,7 +42,7 @@ NEWEST = "created_at DESC NULLS LAST, id"
 
 
 def _rows_query(where: str = "", order: str = "", limit: str = "") -> str:
-    q = ALL_ROWS + "SELECT * FROM rows"
+    q = ALL_ROWS + "SELECT * EXCLUDE (exact) FROM rows"
     if where:
         q += f" WHERE {where}"
     if order:
@@ -117,6 +117,13 @@ def catalog_search_literal(t):
     return c.catalog(t, search="R_D")
 
 
+@register("catalog_search_punctuation", _rows_query(
+    "contains(lower(title), 'supplier#') OR contains(lower(seller), 'supplier#')", NEWEST))
+def catalog_search_punctuation(t):
+    """Search text with punctuation matches literally, and hits."""
+    return c.catalog(t, search="Supplier#")
+
+
 FULL_WHERE = ("cat = 'digital' AND (contains(lower(title), 'ed') "
               "OR contains(lower(seller), 'ed'))")
 
@@ -146,7 +153,7 @@ def catalog_popular(t):
     return c.catalog(t, sort="popular")
 
 
-@register("catalog_top_rated", _rows_query(order="rating DESC, " + NEWEST))
+@register("catalog_top_rated", _rows_query(order="exact DESC, " + NEWEST))
 def catalog_top_rated(t):
     """Whole catalogue, highest rated first (unrated count as 5)."""
     return c.catalog(t, sort="rating")
@@ -170,7 +177,7 @@ def home_latest(t):
     return c.catalog(t, sort="latest", limit=c.HOME_SIZE)
 
 
-@register("home_recommended", _rows_query(order="rating DESC, " + NEWEST, limit="8"))
+@register("home_recommended", _rows_query(order="exact DESC, " + NEWEST, limit="8"))
 def home_recommended(t):
     """Home page: 8 highest rated products."""
     return c.catalog(t, sort="rating", limit=c.HOME_SIZE)
@@ -185,7 +192,7 @@ def home_popular(t):
 @register("home_popular_24h", ROWS.format(
     sold_filter=f"AND completed_at >= TIMESTAMP '{ASOF}' - INTERVAL 1 DAY "
                 f"AND completed_at <= TIMESTAMP '{ASOF}'")
-    + "SELECT * FROM rows ORDER BY sold DESC, " + NEWEST + " LIMIT 8")
+    + "SELECT * EXCLUDE (exact) FROM rows ORDER BY sold DESC, " + NEWEST + " LIMIT 8")
 def home_popular_24h(t):
     """Home page: 8 best-selling products over the last 24 hours."""
     return c.home_popular_24h(t, ASOF)

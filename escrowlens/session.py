@@ -8,6 +8,7 @@ runs and tests) does it create a folder of its own and register it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,7 +25,7 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Remove RDD checkpoint files (range buckets) once their RDD is unreachable.
+    # Remove RDD checkpoint files once their RDD is unreachable.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -44,17 +45,17 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def sized_conf(input_bytes: int, target_partition_mb: int = 256,
-               min_partitions: int = 8, max_partitions: int = 100_000) -> dict[str, str]:
+               min_partitions: int = 8) -> dict[str, str]:
     """Partition sizing for a job that reads about ``input_bytes``.
 
     Shuffle partitions are chosen so one partition holds about the target
     size (AQE then coalesces small ones and splits skewed ones); scan splits
     use the same target, so a task's input and its shuffle output both fit
     comfortably in executor memory and spill stays the exception.  At 100 TB
-    and 256 MB this gives the 100,000-partition cap.
+    and 256 MB this gives 409,600 partitions.
     """
     target = target_partition_mb * 1024 * 1024
-    n = max(min_partitions, min(max_partitions, -(-input_bytes // target)))
+    n = max(min_partitions, -(-input_bytes // target))
     return {
         "spark.sql.shuffle.partitions": str(n),
         "spark.sql.files.maxPartitionBytes": str(target),
@@ -64,7 +65,11 @@ def sized_conf(input_bytes: int, target_partition_mb: int = 256,
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of this session (created if unset)."""
+    """The shared checkpoint folder of this session.
+
+    Where the setting is missing, a local session gets a folder of its own; on
+    a cluster that would be a different disk on every machine, so it fails.
+    """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not path:
@@ -73,7 +78,8 @@ def work_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(path)
             path = sc.getCheckpointDir() or path
     if not path:
-        # Unset: local run or test.  A cluster always names a shared folder.
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="escrowlens-ckpt-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir() or path

@@ -438,15 +438,12 @@ def _write_table(spark: SparkSession, df: DataFrame, name: str, path: str,
     if col is not None:
         n = n_buckets
         tname = f"{tag}_{name}"
-        try:
-            # One writer per bucket (same hash as the bucketing), so each
-            # bucket is a single sorted file and joins skip the sort too.
-            (df.repartition(n, F.col(col)).write.mode("overwrite")
-             .bucketBy(n, col).sortBy(col).option("path", path).saveAsTable(tname))
-            catalog[name] = tname
-            return
-        except Exception:  # noqa: BLE001 - a catalog without table support
-            pass           # falls back to a plain folder below
+        # One writer per bucket (same hash as the bucketing), so each bucket is
+        # a single sorted file and joins skip the sort too.
+        (df.repartition(n, F.col(col)).write.mode("overwrite")
+         .bucketBy(n, col).sortBy(col).option("path", path).saveAsTable(tname))
+        catalog[name] = tname
+        return
     df.write.mode("overwrite").parquet(path)
 
 
@@ -463,9 +460,8 @@ def marketplace_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         lines.write.mode("overwrite").parquet(lines_path)
         lines = spark.read.parquet(lines_path)
         # Same bucket count for every co-located table, sized by row count
-        # (a footer-only count) and capped at the shuffle partitions.
-        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        n_buckets = max(8, min(cap, -(-lines.count() // ROWS_PER_BUCKET)))
+        # (a footer-only count), so a bucket stays near a million rows.
+        n_buckets = max(8, -(-lines.count() // ROWS_PER_BUCKET))
         orders_path = f"{base}/orders"
         _write_table(spark, orders_table(lines), "orders", orders_path, catalog, tag,
                      n_buckets)

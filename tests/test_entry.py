@@ -39,5 +39,5 @@ def test_status_counts_match_fixture_table(spark):
 def test_sized_conf_scales_partitions():
     from escrowlens.session import sized_conf
     assert sized_conf(10 * 1024 ** 2)["spark.sql.shuffle.partitions"] == "8"
-    assert sized_conf(100 * 1024 ** 4)["spark.sql.shuffle.partitions"] == "100000"
+    assert sized_conf(100 * 1024 ** 4)["spark.sql.shuffle.partitions"] == "409600"
     assert sized_conf(1024 ** 4)["spark.sql.shuffle.partitions"] == "4096"
