@@ -106,3 +106,79 @@ def quality_violations(t: Tables) -> DataFrame:
                               F.lit("conversations").alias("table_name"),
                               F.concat_ws("|", "user_a_id", "user_b_id").alias("row_key")))
     return reduce(DataFrame.unionByName, parts)
+
+
+# Fixed values of the source's tables: columns declared NOT NULL, references
+# and value lists that the first report doesn't have.
+NOT_NULL = {
+    "profiles": ["role", "is_suspended"],
+    "wallets": ["user_id", "balance", "escrow_hold", "total_in", "total_out"],
+    "wallet_transactions": ["wallet_id", "type", "amount", "balance_after", "created_at"],
+    "products": ["seller_id", "title", "category", "price", "is_active", "created_at"],
+    "orders": ["buyer_id", "seller_id", "product_title", "product_price", "quantity", "total_amount",
+               "platform_fee", "seller_receives", "status", "created_at"],
+    "reviews": ["order_id", "buyer_id", "seller_id", "rating", "created_at"],
+    "conversations": ["user_a_id", "user_b_id", "created_at"],
+    "messages": ["conversation_id", "sender_id", "body", "is_read", "created_at"],
+    "forum_messages": ["room_id", "sender_id", "body", "created_at"],
+    "admin_logs": ["admin_id", "action", "target_type", "target_id", "created_at"],
+    "platform_commission": ["order_id", "gross_amount", "rate", "fee_amount", "seller_net", "status",
+                            "created_at"],
+    "admin_wallet": ["balance"],
+}
+REFERENCES = [  # (table, column, table referred to)
+    ("products", "seller_id", "profiles"), ("orders", "product_id", "products"),
+    ("reviews", "order_id", "orders"), ("reviews", "buyer_id", "profiles"),
+    ("reviews", "seller_id", "profiles"), ("reviews", "product_id", "products"),
+    ("conversations", "user_a_id", "profiles"), ("conversations", "user_b_id", "profiles"),
+    ("conversations", "product_id", "products"), ("messages", "conversation_id", "conversations"),
+    ("messages", "sender_id", "profiles"), ("forum_messages", "sender_id", "profiles"),
+    ("admin_logs", "admin_id", "profiles"), ("wallet_transactions", "ref_order_id", "orders"),
+    ("platform_commission", "order_id", "orders"),
+]
+VALUES = {
+    ("forum_messages", "sender_role"): ["pembeli", "penjual"],
+    ("platform_commission", "status"): ["pending", "settled", "refunded"],
+    ("notifications", "type"): ["info", "success", "warning", "error"],
+}
+
+
+def _declared_rules(table: str) -> dict[str, Column]:
+    rules = {f"{table}_{c}_not_null": F.col(c).isNull() for c in NOT_NULL.get(table, [])}
+    return rules | {f"{table}_{c}_check": ~F.col(c).isin(*v) for (of, c), v in VALUES.items() if of == table}
+
+
+def integrity_violations(t: Tables) -> DataFrame:
+    """NOT NULL, value-list and remaining foreign-key rules.
+
+    Row rules take one scan per table; references into the same table share one
+    anti join, whatever tables they come from.
+    """
+    parts = [_row_rules(t[name], name, "id", _declared_rules(name)) for name in NOT_NULL]
+    for parent in dict.fromkeys(p for _, _, p in REFERENCES):
+        refs = []
+        for table in dict.fromkeys(c for c, _, p in REFERENCES if p == parent):
+            cols = [c for x, c, p in REFERENCES if (x, p) == (table, parent)]
+            each = F.array(*[F.struct(F.lit(f"{table}_{c}_fkey").alias("rule"),
+                                      F.col(c).cast("string").alias("ref")) for c in cols])
+            refs.append(t[table].select(F.lit(table).alias("table_name"), F.col("id").cast("string").alias("row_key"),
+                                        F.explode(each).alias("_r"))
+                        .select("table_name", "row_key", "_r.rule", "_r.ref").filter("ref is not null"))
+        known = t[parent].select(F.col("id").cast("string").alias("ref"))
+        parts.append(reduce(DataFrame.unionByName, refs).join(known, "ref", "left_anti")
+                     .select("rule", "table_name", "row_key"))
+    twice = t["platform_commission"].groupBy("order_id").count().filter("count > 1 and order_id is not null")
+    parts.append(twice.select(F.lit("platform_commission_order_id_key").alias("rule"),
+                              F.lit("platform_commission").alias("table_name"),
+                              F.col("order_id").alias("row_key")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def notification_violations(t: Tables, notifications: DataFrame) -> DataFrame:
+    """The rules of notifications (source_cmd, user_id, title, body, type, ref_order_id)."""
+    n = notifications.withColumn("id", F.concat_ws("|", "source_cmd", "user_id"))
+    needed = {f"notifications_{c}_not_null": F.col(c).isNull() for c in ("user_id", "title", "body", "type")}
+    return reduce(DataFrame.unionByName, [
+        _row_rules(n, "notifications", "id", needed | _declared_rules("notifications")),
+        _orphans(n, "notifications_user_id_fkey", "notifications", "id", "user_id", t["profiles"], "id"),
+        _orphans(n, "notifications_ref_order_id_fkey", "notifications", "id", "ref_order_id", t["orders"], "id")])

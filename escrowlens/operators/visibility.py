@@ -9,6 +9,8 @@ than admins x rows, which would copy every table once per admin.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +94,60 @@ def messages_rejected(t: Tables, attempts: DataFrame) -> DataFrame:
               .when(F.col("_member").isNull(), F.lit("caller is not a participant")))
     return j.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(
         "attempt_id", "caller_id", "sender_id", "conversation_id", "reason")
+
+
+def messages_accepted(t: Tables, attempts: DataFrame) -> DataFrame:
+    """The attempts that pass the insert check of messages."""
+    gone = messages_rejected(t, attempts).select("attempt_id")
+    return attempts.join(gone, "attempt_id", "left_anti").select(
+        "attempt_id", "sender_id", "conversation_id", "body", "created_at")
+
+
+def forum_inserts(attempts: DataFrame) -> DataFrame:
+    """Insert check of the forum: the sender must be the caller.
+
+    attempts: attempt_id, caller_id, sender_id; adds ``accepted``.
+    """
+    same = F.coalesce(F.col("sender_id") == F.col("caller_id"), F.lit(False))
+    return attempts.select("attempt_id", "caller_id", "sender_id", same.alias("accepted"))
+
+
+def visible_conversations(t: Tables) -> DataFrame:
+    """Either participant sees the conversation (and may open it)."""
+    c = explode_parties(t["conversations"].select("id", "user_a_id", "user_b_id"), "id",
+                        ["user_a_id", "user_b_id"], "viewer_id")
+    return _known(_grant(c, "viewer_id", "id"), t)
+
+
+# What the source's policies give besides the joins above.
+OWNER_POLICIES = [  # (policy, table, owner column, what the owner may do)
+    ("profiles_update_own", "profiles", "id", "update"),
+    ("wallets_own", "wallets", "user_id", "all"),
+    ("products_manage_own", "products", "seller_id", "all"),
+    ("reviews_own", "reviews", "buyer_id", "all"),
+    ("forum_delete_own", "forum_messages", "sender_id", "delete"),
+]
+READ_BY_ALL = ["profiles", "products", "reviews", "forum_messages"]
+ADMIN_TABLES = ["profiles", "orders", "products", "wallets", "wallet_transactions", "reviews",
+                "notifications", "admin_logs", "platform_commission", "admin_wallet", "app_settings"]
+
+
+def owner_rows(t: Tables) -> DataFrame:
+    """Who owns which row: policy, table_name, command, viewer_id, row_id."""
+    frames = [t[table].select(F.lit(policy).alias("policy"), F.lit(table).alias("table_name"),
+                              F.lit(command).alias("command"), F.col(owner).alias("viewer_id"),
+                              F.col("id").cast("string").alias("row_id"))
+              for policy, table, owner, command in OWNER_POLICIES]
+    return _known(reduce(DataFrame.unionByName, frames), t).select(
+        "policy", "table_name", "command", "viewer_id", "row_id")
+
+
+def table_grants(t: Tables) -> DataFrame:
+    """Whole tables a viewer may use: all viewers read the public tables (one
+    row with a null viewer), every admin does everything with the admin tables."""
+    names = lambda tables: F.explode(F.array(*map(F.lit, tables))).alias("table_name")
+    admins = t["profiles"].filter(F.col("role") == "admin").select(
+        F.col("id").alias("viewer_id"), names(ADMIN_TABLES), F.lit("all").alias("command"))
+    public = t["profiles"].sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("viewer_id"), names(READ_BY_ALL), F.lit("select").alias("command"))
+    return admins.unionByName(public)

@@ -137,25 +137,71 @@ def visible_notifications(t):
     return vis.visible_notifications(t, notes)
 
 
-@register("messages_rejected", """
+ATTEMPTS = """
 , ma AS (SELECT 'MA-' || event_id AS attempt_id, 'B' || user_id AS caller_id,
                 CASE WHEN event_type = 'error' THEN 'B' || (user_id + 1)
                      ELSE 'B' || user_id END AS sender_id,
-                'C' || (event_id % (SELECT count(*) FROM m_conversations)) AS conversation_id
-         FROM m_events WHERE event_type IN ('view', 'error'))
-SELECT attempt_id, caller_id, sender_id, conversation_id,
-       CASE WHEN sender_id <> caller_id THEN 'sender is not the caller'
-            ELSE 'caller is not a participant' END AS reason
-FROM ma
-WHERE sender_id <> caller_id
-   OR NOT EXISTS (SELECT 1 FROM m_conversations c WHERE c.id = ma.conversation_id
-                  AND (c.user_a_id = ma.caller_id OR c.user_b_id = ma.caller_id))
-""")
+                'C' || (event_id % (SELECT count(*) FROM m_conversations)) AS conversation_id,
+                props AS body, ts AS created_at
+         FROM m_events WHERE event_type IN ('view', 'error')),
+refused AS (
+  SELECT attempt_id, caller_id, sender_id, conversation_id,
+         CASE WHEN sender_id <> caller_id THEN 'sender is not the caller'
+              ELSE 'caller is not a participant' END AS reason
+  FROM ma
+  WHERE sender_id <> caller_id
+     OR NOT EXISTS (SELECT 1 FROM m_conversations c WHERE c.id = ma.conversation_id
+                    AND (c.user_a_id = ma.caller_id OR c.user_b_id = ma.caller_id)))
+"""
+
+
+@register("messages_rejected", ATTEMPTS + "SELECT * FROM refused")
 def messages_rejected(t):
     """Message inserts refused by the insert check (sender is caller and participant)."""
     return vis.messages_rejected(t, src.message_attempts(t, t["events"]))
 
 
+@register("messages_accepted", ATTEMPTS + """
+SELECT attempt_id, sender_id, conversation_id, body, created_at FROM ma
+WHERE attempt_id NOT IN (SELECT attempt_id FROM refused)
+""")
+def messages_accepted(t):
+    """Message inserts that pass the insert check."""
+    return vis.messages_accepted(t, src.message_attempts(t, t["events"]))
+
+
+@register("forum_inserts", ATTEMPTS + """
+SELECT attempt_id, caller_id, sender_id, sender_id = caller_id AS accepted FROM ma
+""")
+def forum_inserts(t):
+    """Forum inserts by the rule that the sender is the caller."""
+    return vis.forum_inserts(src.message_attempts(t, t["events"]))
+
+
+register("visible_conversations", f"""
+SELECT who AS viewer_id, id AS row_id, false AS all_rows
+FROM (SELECT id, unnest(list_distinct([user_a_id, user_b_id])) AS who FROM m_conversations)
+WHERE who IN {PROFILE_IDS}
+""")(vis.visible_conversations)
+
+_OWNED = [("profiles_update_own", "profiles", "m_profiles", "id", "update"),
+          ("wallets_own", "wallets", "m_wallets", "user_id", "all"),
+          ("products_manage_own", "products", "m_products", "seller_id", "all"),
+          ("reviews_own", "reviews", "m_reviews", "buyer_id", "all"),
+          ("forum_delete_own", "forum_messages", "m_forum", "sender_id", "delete")]
+register("owner_rows", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{p}' AS policy, '{n}' AS table_name, '{c}' AS command, {o} AS viewer_id, id::VARCHAR AS row_id FROM {m}"
+    for p, n, m, o, c in _OWNED) + f") WHERE viewer_id IN {PROFILE_IDS}")(vis.owner_rows)
+
+register("table_grants", """
+SELECT id AS viewer_id, unnest(['admin_logs', 'admin_wallet', 'app_settings', 'notifications', 'orders',
+         'platform_commission', 'products', 'profiles', 'reviews', 'wallet_transactions', 'wallets']) AS table_name,
+       'all' AS command
+FROM m_profiles WHERE role = 'admin'
+UNION ALL SELECT NULL, unnest(['forum_messages', 'products', 'profiles', 'reviews']), 'select'
+""")(vis.table_grants)
+
+
 def _r(rule, table, key, src_, where):
     return (f"SELECT '{rule}' AS rule, '{table}' AS table_name, CAST({key} AS VARCHAR) "
             f"AS row_key FROM {src_} WHERE coalesce({where}, false)")
@@ -224,3 +270,58 @@ FROM m_messages
 def message_labels(t):
     """Chat time labels: HH.mm on the as-of day, else day, month and time."""
     return ch.message_labels(t, CHAT_ASOF)
+
+
+# table: its CTE, columns that may not be null
+_NEEDED = {
+    "profiles": ("m_profiles", "role is_suspended"),
+    "wallets": ("m_wallets", "user_id balance escrow_hold total_in total_out"),
+    "wallet_transactions": ("m_ledger", "wallet_id type amount balance_after created_at"),
+    "products": ("m_products", "seller_id title category price is_active created_at"),
+    "orders": ("m_orders", "buyer_id seller_id product_title product_price quantity total_amount "
+                           "platform_fee seller_receives status created_at"),
+    "reviews": ("m_reviews", "order_id buyer_id seller_id rating created_at"),
+    "conversations": ("m_conversations", "user_a_id user_b_id created_at"),
+    "messages": ("m_messages", "conversation_id sender_id body is_read created_at"),
+    "forum_messages": ("m_forum", "room_id sender_id body created_at"),
+    "admin_logs": ("m_admin_logs", "admin_id action target_type target_id created_at"),
+    "platform_commission": ("m_commission", "order_id gross_amount rate fee_amount seller_net status created_at"),
+    "admin_wallet": ("m_admin_wallet", "balance"),
+}
+_REFERS = """products.seller_id>profiles orders.product_id>products reviews.order_id>orders
+reviews.buyer_id>profiles reviews.seller_id>profiles reviews.product_id>products
+conversations.user_a_id>profiles conversations.user_b_id>profiles conversations.product_id>products
+messages.conversation_id>conversations messages.sender_id>profiles forum_messages.sender_id>profiles
+admin_logs.admin_id>profiles wallet_transactions.ref_order_id>orders platform_commission.order_id>orders"""
+
+
+def _integrity() -> str:
+    parts = [_r(f"{t}_{c}_not_null", t, "id", cte, f"{c} IS NULL")
+             for t, (cte, cols) in _NEEDED.items() for c in cols.split()]
+    for ref in _REFERS.split():
+        child, parent = ref.split(">")
+        table, col = child.split(".")
+        parts.append(_o(f"{table}_{col}_fkey", table, "id", _NEEDED[table][0], col, _NEEDED[parent][0], "id"))
+    parts.append(_r("forum_messages_sender_role_check", "forum_messages", "id", "m_forum",
+                    "sender_role NOT IN ('penjual', 'pembeli')"))
+    parts.append(_r("platform_commission_status_check", "platform_commission", "id", "m_commission",
+                    "status NOT IN ('refunded', 'settled', 'pending')"))
+    parts.append(_d("platform_commission_order_id_key", "platform_commission", "order_id", "m_commission"))
+    return " UNION ALL ".join(parts)
+
+
+register("integrity_violations", _integrity())(qa.integrity_violations)
+
+
+@register("notification_violations", CONFIRM + f"""
+, n AS (SELECT source_cmd || '|' || user_id AS id, * FROM ({CONFIRM_NOTES}))
+SELECT 'notifications_user_id_fkey' AS rule, 'notifications' AS table_name, id AS row_key
+FROM n WHERE user_id NOT IN {PROFILE_IDS}
+UNION ALL
+SELECT 'notifications_type_check', 'notifications', id FROM n
+WHERE type NOT IN ('info', 'success', 'warning', 'error')
+""")
+def notification_violations(t):
+    """Rules of the notifications that order confirmations write."""
+    notes = cm.confirm_orders(t, src.confirm_commands(t))["notifications"]
+    return qa.notification_violations(t, notes)

@@ -366,3 +366,57 @@ def test_quality_rules_find_each_bad_row(spark):
         ("ordered_pair", "c1"), ("messages_body_check", "m1"),
         ("wallet_tx_wallet_id_fkey", "t1"), ("wallet_tx_type_enum", "t1"),
     }
+
+
+def test_integrity_rules_find_each_bad_row(spark):
+    from escrowlens.operators import quality as qa
+    from escrowlens.sources.schemas import SCHEMAS
+    good = {"profiles": {"id": "P", "role": "penjual", "is_suspended": False}}
+    t = {name: table(spark, name, [good[name]] if name in good else []) for name in SCHEMAS}
+    assert qa.integrity_violations(t).count() == 0
+    t["wallets"] = table(spark, "wallets", [{"id": "W", "user_id": "P", "balance": None, "escrow_hold": 0,
+                                             "total_in": 0, "total_out": 0}])
+    t["products"] = table(spark, "products", [{"id": 1, "seller_id": "gone", "title": "x", "category": "game",
+                                               "price": 1, "is_active": True, "created_at": ts(T0)}])
+    t["messages"] = table(spark, "messages", [{"id": "m", "conversation_id": "c?", "sender_id": "P", "body": "x",
+                                               "is_read": None, "created_at": ts(T0)}])
+    t["forum_messages"] = table(spark, "forum_messages", [
+        {"id": "f", "room_id": "r", "sender_id": "P", "sender_role": "admin", "body": "x", "created_at": ts(T0)}])
+    row = {"order_id": "o?", "gross_amount": 1, "fee_amount": 1, "seller_net": 0, "status": "odd", "created_at": ts(T0)}
+    t["platform_commission"] = table(spark, "platform_commission", [{"id": "c1", **row}, {"id": "c2", **row}])
+    got = sorted((r["rule"], r["row_key"]) for r in qa.integrity_violations(t).collect())
+    each = lambda rule: [(f"platform_commission_{rule}", k) for k in ("c1", "c2")]
+    assert got == sorted([
+        ("wallets_balance_not_null", "W"), ("products_seller_id_fkey", "1"),
+        ("messages_conversation_id_fkey", "m"), ("messages_is_read_not_null", "m"),
+        ("forum_messages_sender_role_check", "f"), ("platform_commission_order_id_key", "o?"),
+        *each("rate_not_null"), *each("order_id_fkey"), *each("status_check")])
+
+
+def test_inbox_order_and_unread_sides(spark):
+    from escrowlens.operators import chat as ch
+    t = {"conversations": table(spark, "conversations", [
+            {"id": "c1", "user_a_id": "A", "user_b_id": "B"}, {"id": "c2", "user_a_id": "A", "user_b_id": "C"},
+            {"id": "c3", "user_a_id": "A", "user_b_id": "B", "last_message": "stored", "last_message_at": ts(T0)}]),
+         "messages": table(spark, "messages", [
+            {"id": str(k), "conversation_id": c, "sender_id": s, "body": f"b{k}", "is_read": r,
+             "created_at": ts(f"2024-03-0{k} 00:00:00")}
+            for k, (c, s, r) in enumerate([("c1", "A", False), ("c1", "A", False), ("c1", "B", False),
+                                           ("c2", "C", True), ("c2", "C", False), ("c1", None, False)], 1)]),
+         "profiles": table(spark, "profiles", [{"id": x, "full_name": x} for x in "ABC"]),
+         "products": table(spark, "products", [])}
+    rows = ch.inbox(t).collect()
+    assert [r["conversation_id"] for r in rows] == ["c2", "c2", "c1", "c1", "c3", "c3"]
+    got = {(r["conversation_id"], r["viewer_id"]): (r["last_message"], r["unread_count"]) for r in rows}
+    assert got == {("c1", "A"): ("b3", 1), ("c1", "B"): ("b3", 2), ("c2", "A"): ("b5", 1), ("c2", "C"): ("b5", 0),
+                   ("c3", "A"): ("stored", 0), ("c3", "B"): ("stored", 0)}
+
+
+def test_close_ratings_are_no_ties(spark):
+    t = _catalog_tables(spark)
+    rows = [(1, 5)] * 99_999 + [(1, 4)] + [(2, 5)] * 66_666 + [(2, 4)]
+    t["reviews"] = spark.createDataFrame([(f"r{k}", p, r) for k, (p, r) in enumerate(rows)],
+                                         "id string, product_id long, rating long")
+    got = cat.catalog(t, sort="rating", limit=4).collect()
+    order = [r["id"] for r in got if r["id"] in (1, 2)]
+    assert order == [1, 2] and {r["rating"] for r in got if r["id"] in (1, 2)} == {5.0}
