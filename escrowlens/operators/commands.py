@@ -56,6 +56,7 @@ ERR_NEGATIVE = 'new row for relation "wallets" violates check constraint "wallet
 DESC_SALE = ("Penjualan order #", " (komisi ", "%)")
 DESC_RELEASE = "Dana rekber cair — "
 DESC_REFUND = "Refund admin - "
+DESC_REFUND_V1 = "Refund admin — "
 DESC_ADJUST = "Penyesuaian admin — "
 # Notification titles and body pieces.
 TITLE_RELEASED = "✅ Dana rekber cair!"
@@ -67,6 +68,10 @@ TITLE_REFUND_BUYER = "Dana Dikembalikan"
 BODY_REFUND_BUYER = ('Pesanan "', '" direfund oleh admin.')
 TITLE_REFUND_SELLER = "Pesanan Direfund Admin"
 BODY_REFUND_SELLER = ('Pesanan "', '" direfund ke pembeli oleh admin.')
+TITLE_REFUND_BUYER_V1 = "💸 Dana Dikembalikan"
+TITLE_REFUND_SELLER_V1 = "⚠️ Pesanan Direfund Admin"
+ERR_NO_LEDGER_WALLET = ('null value in column "wallet_id" of relation "wallet_transactions" '
+                        "violates not-null constraint")
 REASON_NOTE = " Alasan: "
 TITLE_TOPUP = "💰 Saldo Ditambahkan"
 TITLE_DEBIT = "⚠️ Saldo Dikurangi"
@@ -422,9 +427,14 @@ def confirm_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------- J7 refund
 
 
-def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
+def refund_orders(t: Tables, commands: DataFrame, first_version: bool = False
+                  ) -> dict[str, DataFrame]:
     """Admin force refund (current version).
 
+    ``first_version`` refunds as the first version did: other texts, and no
+    wallet is created - a buyer without one makes the ledger insert fail, which
+    refuses the command, and a seller without one keeps none.
+
     commands: cmd_id, order_id, reason, actor_id, requested_at.  Guards:
     admin, order exists, status refundable (a second refund in the batch sees
     'refunded').  Buyer and seller wallets are created on demand; the seller's
@@ -433,22 +443,30 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     """
     o = t["orders"].select(F.col("id").alias("order_id"), "buyer_id", "seller_id", "status",
                            "total_amount", "product_title")
-    # Order-id join first (co-located with the orders layout), admins after.
-    c = _with_admin(commands.join(o, "order_id", "left"), t)
+    # Which command of an order comes first among those of admins is known from
+    # the commands; whether it can be refunded, from the order.
+    c = _first_per(_with_admin(commands, t), "order_id", F.col("is_admin"))
+    c = c.join(o, "order_id", "left")
     found = F.col("buyer_id").isNotNull()
     refundable = F.col("status").isin(*REFUNDABLE_STATUSES)
-    elig = F.col("is_admin") & found & F.coalesce(refundable, F.lit(False))
-    c = _first_per(c, "order_id", elig, "ok")
     err = (F.when(~F.col("is_admin"), F.lit(ERR_NOT_ADMIN))
            .when(~found, F.lit(ERR_ORDER_NOT_FOUND))
            .when(~refundable, F.concat(F.lit(ERR_NOT_REFUNDABLE), "status", F.lit(").")))
-           .when(~F.col("ok"), F.lit(ERR_NOT_REFUNDABLE + "refunded).")))
-    c = c.withColumn("error", err)
+           )
+    if first_version:
+        owners = t["wallets"].select(F.col("user_id").alias("buyer_id"), F.lit(True).alias("_owns"))
+        c = c.join(owners, "buyer_id", "left")
+        err = err.when(F.col("_owns").isNull(), F.lit(ERR_NO_LEDGER_WALLET))
+    c = c.withColumn("error", err.when(~F.col("is_first"), F.lit(ERR_NOT_REFUNDABLE + "refunded).")))
+    c = c.withColumn("ok", F.col("error").isNull())
     outcomes = c.select("cmd_id", "order_id", "ok", "error")
     okc = c.filter("ok")
     wl = t["wallets"].select(F.col("user_id"), F.col("id").alias("_wid"),
                              F.col("balance").alias("_bal0"), F.col("escrow_hold").alias("_esc0"),
                              F.col("total_in").alias("_in0"))
+    description = DESC_REFUND_V1 if first_version else DESC_REFUND
+    titles = ((TITLE_REFUND_BUYER_V1, TITLE_REFUND_SELLER_V1) if first_version
+              else (TITLE_REFUND_BUYER, TITLE_REFUND_SELLER))
     zero = F.lit(0).cast("bigint")
     # Buyer side: balance and total_in grow.
     b = okc.withColumnRenamed("buyer_id", "user_id").join(wl, "user_id", "left")
@@ -462,7 +480,7 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
         return r.select("wallet_id", F.lit("refund").alias("type"),
                         F.col("total_amount").alias("amount"),
                         (F.col("_bal0") + F.col("_run")).alias("balance_after"),
-                        F.concat(F.lit(DESC_REFUND), "product_title", reason_sfx)
+                        F.concat(F.lit(description), "product_title", reason_sfx)
                         .alias("description"), F.col("order_id").alias("ref_order_id"),
                         F.col("requested_at").alias("created_at"),
                         F.col("cmd_id").alias("source_cmd"))
@@ -473,7 +491,8 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
             (F.first("_bal0") + F.sum("total_amount")).alias("balance"),
             (F.first("_in0") + F.sum("total_amount")).alias("total_in"))
         # Sellers: escrow released in order, floored at zero.
-        s = okc.withColumnRenamed("seller_id", "user_id").join(wl, "user_id", "left")
+        s = okc.withColumnRenamed("seller_id", "user_id").join(
+            wl, "user_id", "inner" if first_version else "left")
         s = s.withColumn("wallet_id", _wallet_id(F.col("user_id"), F.col("_wid"))) \
              .withColumn("_esc0", F.coalesce("_esc0", zero)) \
              .withColumn("_neg_total", -F.col("total_amount"))
@@ -492,11 +511,11 @@ def refund_orders(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
             F.coalesce("total_in", "_i", zero).alias("total_in"))
 
     reason_note = F.coalesce(F.concat(F.lit(REASON_NOTE), "reason"), F.lit(""))
-    notes = _notice(okc, F.col("buyer_id"), F.lit(TITLE_REFUND_BUYER),
+    notes = _notice(okc, F.col("buyer_id"), F.lit(titles[0]),
                     F.concat(F.lit(BODY_REFUND_BUYER[0]), "product_title",
                              F.lit(BODY_REFUND_BUYER[1]), reason_note),
                     "info", F.col("order_id")).unionByName(
-        _notice(okc, F.col("seller_id"), F.lit(TITLE_REFUND_SELLER),
+        _notice(okc, F.col("seller_id"), F.lit(titles[1]),
                 F.concat(F.lit(BODY_REFUND_SELLER[0]), "product_title",
                          F.lit(BODY_REFUND_SELLER[1]), reason_note),
                 "warning", F.col("order_id")))

@@ -82,6 +82,21 @@ def wallet_totals(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n_tx"))
 
 
+def wallet_running_totals(t: Tables, split: str = "range") -> DataFrame:
+    """Money in and money out of the wallet up to and including each ledger row."""
+    led = t["wallet_transactions"].select("id", "wallet_id", "type", "created_at", "amount")
+    zero = F.lit(0).cast("bigint")
+    side = lambda kinds: F.when(F.col("type").isin(*kinds), F.col("amount")).otherwise(zero)
+    led = led.withColumns({"_in": side(INFLOW_TYPES), "_out": side(OUTFLOW_TYPES)})
+    bucket = split_bucket(split)
+    if bucket is not None:
+        led = bucketed(led, "wallet_id", LEDGER_ORDER, bucket).withColumnRenamed("_bucket", "_b")
+        bucket = F.col("_b")
+    led = running_sum(led, "wallet_id", LEDGER_ORDER, "_in", "total_in", bucket=bucket)
+    led = running_sum(led, "wallet_id", LEDGER_ORDER, "_out", "total_out", bucket=bucket)
+    return led.select("id", "wallet_id", "type", "created_at", "amount", "total_in", "total_out")
+
+
 def escrow_running(t: Tables, split: str = "range") -> DataFrame:
     """Escrow held per wallet after each movement, floored at zero at every step.
 

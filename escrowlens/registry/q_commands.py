@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from escrowlens.operators import commands as cm
 from escrowlens.registry.core import register
 from escrowlens.sources import commands as src
-from escrowlens.sources.schemas import ensure_columns, ORDER_EVOLUTION
+from escrowlens.sources.schemas import ORDER_EVOLUTION, conform, ensure_columns
+from escrowlens.sources.sinks import append_rows, publish_version
 
 SETTING = "(SELECT value FROM m_settings WHERE key = 'commission_rate' ORDER BY updated_at DESC LIMIT 1)"
 ADMIN_ERR = "'Tidak punya akses admin.'"
@@ -147,6 +148,26 @@ register("settle_oldest_admin_wallet", settle_ctes("m_settle_cmds", "'0.00125'")
     more="UNION ALL SELECT 'AW-0', 7, created_at + INTERVAL 1 DAY, updated_at FROM m_admin_wallet"))(
     lambda t: cm.settle_commission(_two_admin_wallets(t), _cmds(t))["admin_wallet"])
 
+
+@register("commission_published", SETTLE + SETTLED_COMMISSION, needs_session=True)
+def commission_published(t, spark, sf_dir):
+    """The commission table after settlement, published as a new version and read back."""
+    path = publish_version(cm.settle_commission(t, _cmds(t))["commission"], "commission")
+    return spark.read.parquet(path)
+
+
+@register("ledger_appended", SETTLE + """
+SELECT id, wallet_id, type, amount, balance_after, description, ref_order_id, created_at FROM m_ledger
+UNION ALL
+SELECT source_cmd, wallet_id, type, amount, balance_after, description, ref_order_id, created_at
+FROM (""" + SETTLED_LEDGER + ")", needs_session=True)
+def ledger_appended(t, spark, sf_dir):
+    """The ledger with the settlement's rows appended, as the table's readers see it."""
+    path = publish_version(t["wallet_transactions"], "ledger")
+    new = cm.settle_commission(t, _cmds(t))["ledger"].withColumnRenamed("source_cmd", "id")
+    append_rows(conform(new, "wallet_transactions", "2001-08-01 00:00:00"), path)
+    return spark.read.parquet(path)
+
 # ---------------------------------------------------------------- J5
 
 STATUS = f"""
@@ -345,6 +366,31 @@ register("refund_notifications", REFUND + REFUND_NOTES)(
 register("refund_audit", REFUND + REFUND_AUDIT)(
     lambda t: cm.refund_orders(t, src.refund_commands(t))["audit"])
 
+REFUND_V1 = REFUND.replace("rf_o AS (SELECT *, CASE", """rf_w AS (SELECT rf_f.*, EXISTS (SELECT 1 FROM m_wallets w
+                WHERE w.user_id = rf_f.buyer_id) AS owns FROM rf_f),
+rf_o AS (SELECT * REPLACE (ok AND owns AS ok), CASE""").replace(
+    "                        WHEN NOT ok THEN", """                        WHEN NOT owns THEN 'null value in column "wallet_id" of relation '
+                          || '"wallet_transactions" violates not-null constraint'
+                        WHEN NOT ok THEN""").replace("FROM rf_f),\nrb AS", "FROM rf_w),\nrb AS")
+
+register("refund_orders_v1", REFUND_V1 + "SELECT cmd_id, order_id, ok, error FROM rf_o")(
+    lambda t: cm.refund_orders(t, src.refund_commands(t), first_version=True)["outcomes"])
+
+register("refund_ledger_v1", REFUND_V1 + f"""
+SELECT wallet_id, 'refund' AS type, total_amount AS amount,
+       bal0 + CAST(sum(total_amount) OVER (PARTITION BY buyer_id
+                                           ORDER BY requested_at, cmd_id {RUN}) AS BIGINT)
+         AS balance_after,
+       concat('Refund admin — ', product_title, ' (' || reason || ')') AS description,
+       order_id AS ref_order_id, requested_at AS created_at, cmd_id AS source_cmd
+FROM rb
+""")(lambda t: cm.refund_orders(t, src.refund_commands(t), first_version=True)["ledger"])
+
+register("refund_notifications_v1", REFUND_V1 + REFUND_NOTES.replace(
+    "'Dana Dikembalikan'", "'💸 Dana Dikembalikan'").replace(
+    "'Pesanan Direfund Admin'", "'⚠️ Pesanan Direfund Admin'"))(
+    lambda t: cm.refund_orders(t, src.refund_commands(t), first_version=True)["notifications"])
+
 # ---------------------------------------------------------------- J8
 
 NEG = 'new row for relation "wallets" violates check constraint "wallets_balance_check"'

@@ -52,3 +52,12 @@ rec AS (
   FROM rec JOIN c ON c.user_id = rec.user_id AND c.rn = rec.rn + 1)
 SELECT seq, user_id, amount, created_at, CAST(escrow_after AS BIGINT) AS escrow_after FROM rec
 """)(lg.escrow_running)
+
+
+register("wallet_running_totals", """
+SELECT id, wallet_id, type, created_at, amount,
+       CAST(sum(CASE WHEN type IN ('escrow_release', 'refund', 'topup') THEN amount ELSE 0 END) OVER w AS BIGINT) AS total_in,
+       CAST(sum(CASE WHEN type IN ('escrow_hold', 'withdrawal') THEN amount ELSE 0 END) OVER w AS BIGINT) AS total_out
+FROM m_ledger
+WINDOW w AS (PARTITION BY wallet_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)
+""")(lg.wallet_running_totals)

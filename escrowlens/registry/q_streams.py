@@ -4,7 +4,11 @@ returns its sink; the oracle is the batch result the stream must converge to."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from escrowlens.registry.core import register
+from escrowlens.session import scratch_path
+from escrowlens.sources import commands as src
 from escrowlens.sources.marketplace import marketplace_paths
 from escrowlens.streaming import streams as st
 
@@ -21,8 +25,19 @@ WHERE trim(body) <> ''
 """, needs_session=True)
 def stream_messages(t, spark, sf_dir):
     """Change feed of new messages for all conversations (dedup by id, no blanks)."""
-    p = _paths(spark, sf_dir)
-    return st.run_append(st.new_messages(st.message_feed(spark, p["messages"])), "messages")
+    feed = st.not_blank(st.message_feed(spark, _paths(spark, sf_dir)["messages"]))
+    return _all(st.run_dedup(feed, "id", "created_at", "messages"))
+
+
+def _all(parts):
+    """Rows and dead letters together, once each (the caller wants nothing lost)."""
+    rows, late = parts
+    return rows.unionByName(late).distinct()
+
+
+def _status_events(spark, sf_dir, name):
+    feed = st.status_feed(spark, _paths(spark, sf_dir)["status_events"])
+    return _all(st.run_dedup(feed, "event_id", "ts", name))
 
 
 @register("stream_dedup", """
@@ -30,8 +45,7 @@ SELECT DISTINCT event_id, order_key, status, ts FROM m_status_events
 """, needs_session=True)
 def stream_dedup(t, spark, sf_dir):
     """At-least-once status notifications reduced to one per event id."""
-    p = _paths(spark, sf_dir)
-    return st.run_append(st.dedup_events(st.status_feed(spark, p["status_events"])), "dedup")
+    return _status_events(spark, sf_dir, "status")
 
 
 @register("stream_dispute_alerts", """
@@ -40,9 +54,8 @@ WHERE status = 'disputed'
 """, needs_session=True)
 def stream_dispute_alerts(t, spark, sf_dir):
     """One alert per notification moving an order to disputed."""
-    p = _paths(spark, sf_dir)
-    return st.run_append(st.dispute_alerts(st.status_feed(spark, p["status_events"])),
-                         "disputes")
+    feed = st.status_feed(spark, _paths(spark, sf_dir)["status_events"]).filter("status = 'disputed'")
+    return _all(st.run_dedup(feed, "event_id", "ts", "disputes"))
 
 
 @register("stream_last_message", """
@@ -52,26 +65,35 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id
       FROM m_messages) WHERE rn = 1
 """, needs_session=True)
 def stream_last_message(t, spark, sf_dir):
-    """Running last message per conversation, compacted from the update log."""
-    p = _paths(spark, sf_dir)
-    return st.run_upsert(st.last_message_updates(st.message_feed(spark, p["messages"])),
-                         ["conversation_id"], "last-message")
+    """Last message per conversation, merged from the micro-batches."""
+    feed = st.message_feed(spark, _paths(spark, sf_dir)["messages"])
+    last = st.run_merged(feed, st.last_message_partial, st.merge_last_message, "last-message")
+    return last.select("conversation_id", "last.body", "last.created_at").toDF(
+        "conversation_id", "last_message", "last_message_at").withColumn(
+        "last_message_at", F.col("last_message_at").cast("timestamp_ntz"))
 
 
 @register("stream_unread", """
-SELECT c.id AS conversation_id, v.viewer_id, count(*) AS unread_count
-FROM m_conversations c,
-     LATERAL (SELECT c.user_a_id AS viewer_id UNION ALL SELECT c.user_b_id) v
-JOIN m_messages m ON m.conversation_id = c.id
+, rd AS (SELECT id AS conversation_id, user_a_id AS viewer_id, created_at + INTERVAL 3 MINUTE AS read_at
+         FROM m_conversations
+         UNION ALL SELECT id, user_b_id, created_at + INTERVAL 5 MINUTE FROM m_conversations)
+SELECT m.conversation_id, v.viewer_id, count(*) AS unread_count
+FROM m_messages m
+JOIN (SELECT id, unnest([user_a_id, user_b_id]) AS viewer_id FROM m_conversations) v ON v.id = m.conversation_id
 WHERE NOT m.is_read AND m.sender_id <> v.viewer_id
+  AND NOT EXISTS (SELECT 1 FROM rd WHERE rd.conversation_id = m.conversation_id
+                  AND rd.viewer_id = v.viewer_id AND rd.read_at >= m.created_at)
 GROUP BY 1, 2
 """, needs_session=True)
 def stream_unread(t, spark, sf_dir):
-    """Live unread count per (conversation, viewer)."""
-    p = _paths(spark, sf_dir)
-    return st.run_upsert(st.unread_updates(st.message_feed(spark, p["messages"]),
-                                           t["conversations"]),
-                         ["conversation_id", "viewer_id"], "unread")
+    """Live unread count per (conversation, viewer): inserts minus reads."""
+    messages = _all(st.run_dedup(st.message_feed(spark, _paths(spark, sf_dir)["messages"]),
+                                 "id", "created_at", "unread-messages"))
+    path = scratch_path(spark, "feed-reads")
+    src.conversation_reads(t).write.parquet(path)
+    feed = st.feed(spark, path, "conversation_id string, viewer_id string, read_at timestamp_ntz", "read_at")
+    reads = st.run_merged(feed, st.read_partial, st.merge_reads, "unread-reads")
+    return st.live_unread(messages, reads, t["conversations"])
 
 
 @register("stream_forum", """
@@ -81,9 +103,8 @@ FROM m_forum GROUP BY 1, 2, 3
 """, needs_session=True)
 def stream_forum(t, spark, sf_dir):
     """Forum messages per room per hour from the forum change feed."""
-    p = _paths(spark, sf_dir)
-    return st.run_upsert(st.forum_window_counts(st.forum_feed(spark, p["forum_messages"])),
-                         ["room_id", "window_start", "window_end"], "forum")
+    feed = st.forum_feed(spark, _paths(spark, sf_dir)["forum_messages"])
+    return st.run_merged(feed, st.forum_window_partial, st.merge_forum_windows, "forum")
 
 
 @register("stream_order_status", """
@@ -95,10 +116,24 @@ SELECT order_key,
 FROM d GROUP BY order_key
 """, needs_session=True)
 def stream_order_status(t, spark, sf_dir):
-    """Latest status per order from de-duplicated payment notifications."""
-    p = _paths(spark, sf_dir)
-    return st.run_upsert(st.order_status_updates(st.status_feed(spark, p["status_events"])),
-                         ["order_key"], "order-status")
+    """Latest status per order from de-duplicated notifications, late ones too."""
+    return st.latest_status(_status_events(spark, sf_dir, "order-status"))
+
+
+@register("stream_payments", """
+, pn AS (SELECT id AS order_id, CASE WHEN quantity % 4 = 0 THEN 'expired' ELSE 'paid' END AS status,
+                created_at + to_hours(CASE WHEN quantity % 5 = 0 THEN -24 ELSE 1 END) AS ts
+         FROM m_orders WHERE status IN ('pending_payment', 'paid', 'cancelled'))
+SELECT o.id AS order_id, o.status AS old_status, pn.ts AS updated_at, 'paid' AS status
+FROM m_orders o JOIN pn ON pn.order_id = o.id
+WHERE o.status = 'pending_payment' AND pn.status = 'paid' AND pn.ts >= o.created_at
+""", needs_session=True)
+def stream_payments(t, spark, sf_dir):
+    """Orders that payment notices move from pending_payment to paid."""
+    path = scratch_path(spark, "feed-payments")
+    src.payment_notices(t).write.parquet(path)
+    feed = st.feed(spark, path, "event_id string, order_id string, status string, ts timestamp_ntz", "ts")
+    return st.apply_payments(t["orders"], _all(st.run_dedup(feed, "event_id", "ts", "payments")))
 
 
 @register("orders_auto_complete_due", f"""

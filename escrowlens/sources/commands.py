@@ -143,3 +143,14 @@ def message_attempts(t: Tables, events: DataFrame) -> DataFrame:
                     .alias("conversation_id"),
                     F.col("props").alias("body"),
                     F.col("ts").cast("timestamp_ntz").alias("created_at"))
+
+
+def payment_notices(t: Tables) -> DataFrame:
+    """Payment notices of orders, some delivered twice, some older than the order."""
+    o = t["orders"].filter(F.col("status").isin("pending_payment", "paid", "cancelled"))
+    hours = F.when(F.col("quantity") % 5 == 0, -24).otherwise(1)
+    once = o.select(F.concat(F.lit("PN-"), "id").alias("event_id"), F.col("id").alias("order_id"),
+                    F.when(F.col("quantity") % 4 == 0, "expired").otherwise("paid").alias("status"),
+                    F.timestamp_add("HOUR", hours, F.col("created_at")).alias("ts"))
+    return once.unionByName(once.join(o.filter(F.col("quantity") % 3 == 0).select(
+        F.col("id").alias("order_id")), "order_id", "left_semi").select(*once.columns))

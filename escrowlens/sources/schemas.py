@@ -68,3 +68,39 @@ def ensure_columns(df: DataFrame, spec) -> DataFrame:
     present = set(df.columns)
     missing = {n: F.lit(d).cast(t) for n, t, d in spec if n not in present}
     return df.withColumns(missing) if missing else df
+
+
+# The defaults of the source's tables, as SQL text; "now" is the
+# time given by the caller.
+DEFAULTS = {
+    "profiles": {"role": "'pembeli'", "is_suspended": "false"},
+    "wallets": {"balance": "0", "escrow_hold": "0", "total_in": "0", "total_out": "0"},
+    "wallet_transactions": {"created_at": "now"},
+    "products": {"stock": "1", "badge": "'Instan'", "grad_start": "'#16A37A'", "grad_end": "'#0E7C5B'",
+                 "is_active": "true", "rating_sum": "0", "rating_count": "0", "sold_count": "0",
+                 "created_at": "now"},
+    "orders": {"quantity": "1", "platform_fee": "0", "status": "'pending_payment'",
+               "commission_rate": "0.05", "seller_payout": "0", "created_at": "now", "updated_at": "now"},
+    "notifications": {"type": "'info'", "created_at": "now"},
+    "reviews": {"created_at": "now"},
+    "admin_logs": {"created_at": "now"},
+    "conversations": {"last_message_at": "now", "created_at": "now"},
+    "messages": {"is_read": "false", "created_at": "now"},
+    "forum_messages": {"sender_role": "'pembeli'", "body": "''", "created_at": "now"},
+    "platform_commission": {"rate": "0.05", "status": "'pending'", "created_at": "now"},
+    "admin_wallet": {"balance": "0", "updated_at": "now"},
+}
+
+
+def conform(df: DataFrame, table: str, now: str) -> DataFrame:
+    """Rows as an insert into ``table`` makes them: the declared columns in
+    order and type, a column that the frame lacks set to its default."""
+    cols = []
+    for f in schema(table).fields:
+        if f.name in df.columns:
+            value = F.col(f.name)
+        else:
+            text = DEFAULTS.get(table, {}).get(f.name, "null")
+            value = F.lit(now) if text == "now" else F.expr(text)
+        cols.append(value.cast(f.dataType).alias(f.name))
+    return df.select(*cols)

@@ -11,10 +11,13 @@ stream or, in tests, on a static frame.  ``run_*`` helpers start a query with
 ``trigger(availableNow=True)``, sink into the session's checkpoint folder and
 return the sink as a batch DataFrame:
 
-* append results go to a Parquet file sink (exactly-once via its log);
-* update-mode aggregates go through ``foreachBatch`` into an upsert log (one
-  folder per micro-batch id); reading compacts it by taking, per key, the row
-  of the latest batch, so a replayed batch after a failure is harmless.
+* ``run_dedup`` writes each id once and puts rows later than the horizon in a
+  dead-letter folder instead of dropping them;
+* ``run_merged`` writes a partial aggregate per micro-batch and merges partials
+  by key when read: no state in the stream, nothing is dropped, and every
+  ``COMPACT_EVERY`` batches the partials so far are folded into one;
+* both write folders named by the batch id, with overwrite, and read only
+  earlier ones, so a batch replayed after a failure writes the same again.
 
 Event time must be ``timestamp`` (not ``timestamp_ntz``) for watermarks; the
 feeds are cast on read, with the session time zone pinned to UTC.
@@ -22,6 +25,7 @@ feeds are cast on read, with the session time zone pinned to UTC.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +33,11 @@ from pyspark.sql import types as T
 from escrowlens.session import scratch_path
 from escrowlens.sources.schemas import SCHEMAS
 
-# Late-data policy: events later than this behind the newest seen are dropped
-# by the stateful operators.
+# Late-data policy: ids are compared with those of this much event time before
+# the newest seen; older events go to the dead letters (``run_dedup``), or are
+# dropped by the state-store forms (``dedup_events`` and its like).
 DEFAULT_DELAY = "1 day"
+COMPACT_EVERY = 20
 STATUS_EVENT_SCHEMA = "event_id bigint, order_key bigint, status string, ts timestamp_ntz"
 
 
@@ -63,11 +69,14 @@ def status_feed(spark: SparkSession, path: str, **kw) -> DataFrame:
 # ---------------------------------------------------------------- transformations
 
 
+def not_blank(messages: DataFrame) -> DataFrame:
+    return messages.filter(F.trim("body") != "")
+
+
 def new_messages(messages: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     """I1 + I2: every conversation's new messages, blank bodies skipped and
     re-deliveries of the same message id dropped."""
-    m = messages.filter(F.trim("body") != "")
-    return m.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
+    return not_blank(messages).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
 def dedup_events(events: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
@@ -80,45 +89,74 @@ def dispute_alerts(events: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     return dedup_events(events, delay).filter(F.col("status") == "disputed")
 
 
-def last_message_updates(messages: DataFrame) -> DataFrame:
-    """I3: running last message per conversation (update mode).  Uses event
-    time (created_at, id) where the source trigger used arrival order."""
+def last_message_partial(messages: DataFrame) -> DataFrame:
+    """I3: latest message per conversation, to be merged.  Uses event time
+    (created_at, id) where the source trigger used arrival order."""
     return messages.groupBy("conversation_id").agg(
-        F.max_by("body", F.struct("created_at", "id")).alias("last_message"),
-        F.max("created_at").alias("last_message_at"))
+        F.max(F.struct("created_at", "id", "body")).alias("last"))
 
 
-def unread_updates(messages: DataFrame, conversations: DataFrame) -> DataFrame:
-    """I4: live unread count per (conversation, viewer): a stream-static join
-    to the two participants, then a running count (update mode)."""
-    c = conversations.select(
-        F.col("id").alias("conversation_id"),
-        F.explode(F.array("user_a_id", "user_b_id")).alias("viewer_id"))
-    m = messages.filter(~F.col("is_read")).join(c, "conversation_id")
-    m = m.filter(F.col("viewer_id") != F.col("sender_id"))
-    return m.groupBy("conversation_id", "viewer_id").agg(
-        F.count(F.lit(1)).alias("unread_count"))
+def merge_last_message(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("conversation_id").agg(F.max("last").alias("last"))
 
 
-def forum_window_counts(forum: DataFrame, size: str = "1 hour",
-                        delay: str = DEFAULT_DELAY) -> DataFrame:
-    """I6 addition: messages per room per tumbling window (update mode)."""
-    f = forum.withWatermark("created_at", delay)
-    return f.groupBy("room_id", F.window("created_at", size).alias("w")).agg(
+def forum_window_partial(forum: DataFrame, size: str = "1 hour") -> DataFrame:
+    """I6 addition: messages per room per tumbling window, to be merged."""
+    return forum.groupBy("room_id", F.window("created_at", size).alias("w")).agg(
         F.count(F.lit(1)).alias("messages")).select(
         "room_id", F.col("w.start").alias("window_start"),
         F.col("w.end").alias("window_end"), "messages")
 
 
-def order_status_updates(events: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """I7: latest status per order from de-duplicated notifications (update mode)."""
-    d = dedup_events(events, delay)
-    return d.groupBy("order_key").agg(
+def merge_forum_windows(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("room_id", "window_start", "window_end").agg(
+        F.sum("messages").alias("messages"))
+
+
+def read_partial(reads: DataFrame) -> DataFrame:
+    """I4: when each viewer last opened each conversation, to be merged."""
+    return reads.groupBy("conversation_id", "viewer_id").agg(F.max("read_at").alias("read_at"))
+
+
+def merge_reads(parts: DataFrame) -> DataFrame:
+    return read_partial(parts)
+
+
+def live_unread(messages: DataFrame, reads: DataFrame, conversations: DataFrame) -> DataFrame:
+    """I4: unread messages per (conversation, viewer) from the sinks of the two
+    feeds: inserted unread, not sent by the viewer, and newer than the viewer's
+    last opening of the conversation.  Every message counts once."""
+    c = conversations.select(
+        F.col("id").alias("conversation_id"),
+        F.explode(F.array("user_a_id", "user_b_id")).alias("viewer_id"))
+    m = messages.filter(~F.col("is_read")).select("conversation_id", "sender_id", "created_at")
+    seen = c.join(reads, ["conversation_id", "viewer_id"], "left")
+    j = m.join(seen, "conversation_id").filter(
+        (F.col("viewer_id") != F.col("sender_id"))
+        & (F.col("read_at").isNull() | (F.col("created_at") > F.col("read_at"))))
+    return j.groupBy("conversation_id", "viewer_id").agg(F.count(F.lit(1)).alias("unread_count"))
+
+
+def latest_status(events: DataFrame) -> DataFrame:
+    """I7: latest status per order of notifications that occur once each."""
+    return events.groupBy("order_key").agg(
         F.max_by("status", F.struct("ts", "event_id")).alias("status"),
         F.max("ts").alias("status_at"),
         F.count(F.lit(1)).alias("notifications"))
 
 
+def apply_payments(orders: DataFrame, notices: DataFrame) -> DataFrame:
+    """I7: the orders that payment notices change.  Only a 'paid' notice moves
+    an order, only from pending_payment, and only if it isn't older than the
+    order; repeats and stale notices change nothing."""
+    paid = notices.filter(F.col("status") == "paid").select("order_id", F.col("ts").alias("paid_at"))
+    waiting = orders.filter(F.col("status") == "pending_payment").select(
+        F.col("id").alias("order_id"), F.col("status").alias("old_status"), "created_at")
+    return waiting.join(paid, "order_id").filter(F.col("paid_at") >= F.col("created_at")) \
+        .groupBy("order_id", "old_status").agg(F.min("paid_at").alias("updated_at")) \
+        .withColumn("status", F.lit("paid"))
+
+
 # ---------------------------------------------------------------- runners
 
 
@@ -141,25 +179,91 @@ def run_append(df: DataFrame, name: str) -> DataFrame:
     return _ntz(spark.read.schema(df.schema).parquet(out))
 
 
-def run_upsert(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Run an update-mode aggregate; return the compacted final state."""
-    spark = df.sparkSession
-    out = scratch_path(spark, f"upsert-{name}")
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("bigint")) \
-            .write.mode("append").parquet(f"{out}/b{batch_id}")
-
-    q = (df.writeStream.outputMode("update").foreachBatch(write_batch)
-         .option("checkpointLocation", out + "-ckpt")
+def _run(df: DataFrame, step, base: str) -> None:
+    q = (df.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/ckpt")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    schema = T.StructType(list(df.schema.fields) + [T.StructField("_batch", T.LongType())])
-    log = spark.read.schema(schema).parquet(f"{out}/*")
-    vals = [c for c in df.columns if c not in keys]
-    latest = log.groupBy(*keys).agg(
-        F.max_by(F.struct(*vals), "_batch").alias("_v"))
-    return _ntz(latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals]))
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The batch folders under ``path`` (none yet: no rows), with ``b``."""
+    fields = [f for f in schema.fields if f.name != "b"]
+    wanted = T.StructType([*fields, T.StructField("b", T.LongType())])
+    try:
+        return spark.read.schema(wanted).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], wanted)
+
+
+def dedup_step(base: str, id_col: str, ts_col: str, horizon_hours: int):
+    """The work of one micro-batch of ``run_dedup``, as a foreachBatch function."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        meta = T.StructType([T.StructField("newest", T.TimestampType())])
+        old = F.col("b") < batch_id
+        newest = _stored(spark, f"{base}/newest", meta).filter(old).agg(F.max("newest").alias("newest"))
+        edge = newest.select((F.col("newest") - F.make_dt_interval(
+            F.lit(0), F.lit(horizon_hours))).alias("_edge"))
+        rows = batch.persist()  # read once, written three times
+        edged = rows.crossJoin(F.broadcast(edge))  # one row
+        is_late = F.coalesce(F.col(ts_col) < F.col("_edge"), F.lit(False))
+        known = _stored(spark, f"{base}/rows", batch.schema).filter(old).crossJoin(F.broadcast(edge)) \
+            .filter(F.col(ts_col) >= F.col("_edge")).select(id_col)
+        fresh = edged.filter(~is_late).drop("_edge").dropDuplicates([id_col]).join(known, id_col, "left_anti")
+        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{base}/rows/b={batch_id}")
+        edged.filter(is_late).drop("_edge").write.mode("overwrite").parquet(f"{base}/late/b={batch_id}")
+        rows.agg(F.max(ts_col).alias("newest")).write.mode("overwrite").parquet(f"{base}/newest/b={batch_id}")
+        rows.unpersist()
+    return step
+
+
+def run_dedup(df: DataFrame, id_col: str, ts_col: str, name: str, horizon_hours: int = 24
+              ) -> tuple[DataFrame, DataFrame]:
+    """Run a feed to the end of the available input; each id is written once.
+
+    An id is compared with the ids written in the last ``horizon_hours`` of
+    event time.  Rows older than that when they arrive are not dropped: they are
+    the second result, the dead letters, for the caller to look at or to count.
+    """
+    base = scratch_path(df.sparkSession, f"dedup-{name}")
+    _run(df, dedup_step(base, id_col, ts_col, horizon_hours), base)
+    rows, late = (_ntz(_stored(df.sparkSession, f"{base}/{kind}", df.schema).drop("b"))
+                  for kind in ("rows", "late"))
+    return rows, late
+
+
+def merged_step(base: str, partial, merge, compact_every: int = COMPACT_EVERY):
+    """The work of one micro-batch of ``run_merged``, as a foreachBatch function."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        part = partial(batch)
+        part.write.mode("overwrite").parquet(f"{base}/part/b={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            so_far = _merged(batch.sparkSession, base, part.schema, merge, compact_every, batch_id)
+            so_far.write.mode("overwrite").parquet(f"{base}/full/b={batch_id}")
+    return step
+
+
+def _merged(spark, base, schema, merge, compact_every, last: int | None = None) -> DataFrame:
+    """All partials up to ``last`` merged: the newest full table before it and
+    the partials since."""
+    full, part = (_stored(spark, f"{base}/{kind}", schema) for kind in ("full", "part"))
+    if last is not None:
+        full, part = full.filter(F.col("b") < last), part.filter(F.col("b") <= last)
+    newest = full.agg(F.max("b").alias("_at"))
+    at = F.coalesce("_at", F.lit(-1).cast("bigint"))
+    rows = full.crossJoin(F.broadcast(newest)).filter(F.col("b") == at).unionByName(
+        part.crossJoin(F.broadcast(newest)).filter(F.col("b") > at))  # one row
+    return merge(rows.drop("b", "_at"))
+
+
+def run_merged(df: DataFrame, partial, merge, name: str, compact_every: int = COMPACT_EVERY
+               ) -> DataFrame:
+    """Run a feed to the end of the available input; return the merged partials."""
+    base = scratch_path(df.sparkSession, f"merged-{name}")
+    _run(df, merged_step(base, partial, merge, compact_every), base)
+    return _ntz(_merged(df.sparkSession, base, partial(df).schema, merge, compact_every))
 
 
 # ---------------------------------------------------------------- I8 (batch form)

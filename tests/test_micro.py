@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import table, ts
@@ -420,3 +422,53 @@ def test_close_ratings_are_no_ties(spark):
     got = cat.catalog(t, sort="rating", limit=4).collect()
     order = [r["id"] for r in got if r["id"] in (1, 2)]
     assert order == [1, 2] and {r["rating"] for r in got if r["id"] in (1, 2)} == {5.0}
+
+
+def test_refund_v1_needs_the_buyers_wallet(spark):
+    t = {"orders": table(spark, "orders", [
+            {"id": f"O{k}", "buyer_id": b, "seller_id": "S", "status": "paid", "total_amount": 100, "product_title": "x"}
+            for k, b in ((1, "B"), (2, "N"))]),
+         "profiles": table(spark, "profiles", [{"id": "A", "role": "admin"}]),
+         "wallets": table(spark, "wallets", [{"id": "W-B", "user_id": "B", "balance": 5, "escrow_hold": 0,
+                                              "total_in": 0, "total_out": 0}])}
+    cmds = spark.createDataFrame([(f"c{k}", f"O{k}", "why", "A", ts(T0)) for k in (1, 2)],
+                                 "cmd_id string, order_id string, reason string, actor_id string, "
+                                 "requested_at timestamp_ntz")
+    r = cm.refund_orders(t, cmds, first_version=True)
+    assert {x["cmd_id"]: x["error"] for x in r["outcomes"].collect()} == {"c1": None, "c2": cm.ERR_NO_LEDGER_WALLET}
+    assert [x["description"] for x in r["ledger"].collect()] == ["Refund admin — x (why)"]
+    assert {x["user_id"] for x in r["wallets"].collect()} == {"B"}
+    assert {x["title"] for x in r["notifications"].collect()} == {cm.TITLE_REFUND_BUYER_V1, cm.TITLE_REFUND_SELLER_V1}
+    later = cm.refund_orders(t, cmds)
+    assert later["outcomes"].filter("ok").count() == 2 and later["wallets"].count() == 3
+
+
+def test_inserted_rows_get_the_declared_defaults(spark):
+    from escrowlens.sources.schemas import conform, schema
+    rows = spark.createDataFrame([("m", "c", "A", "hi")], "id string, conversation_id string, sender_id string, body string")
+    out = conform(rows, "messages", T0)
+    assert out.schema.simpleString() == schema("messages").simpleString()
+    row = out.collect()[0]
+    assert row["is_read"] is False and row["created_at"] == ts(T0)
+    assert conform(rows.select("id"), "wallets", T0).collect()[0]["balance"] == 0
+
+
+def test_work_folder_must_be_shared_on_a_cluster():
+    from escrowlens import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.work_dir(Session())

@@ -82,3 +82,54 @@ def test_settlement_joins_commands_orders_commission_without_exchange(spark):
              and ("_orders[" in l or "_platform_commission[" in l)]
     assert len(scans) >= 3
     assert all("Bucketed: true" in lines[i] for i in scans[:3])
+
+
+def _executed(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_range_buckets_write_nothing_and_run_nothing_when_built(spark):
+    from escrowlens.operators import ledger
+    from escrowlens.sources.marketplace import load_marketplace
+    t = load_marketplace(spark, SF_SMALL)
+    t["wallet_commands"]  # opening a table reads its footers
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None) or [])
+    df = ledger.escrow_running(t)
+    assert set(tracker.getJobIdsForGroup(None) or []) == before
+    plan = _executed(df)
+    assert "ExistingRDD" not in plan and "RDDScan" not in plan and "Checkpoint" not in plan
+
+
+def _scans(plan: str, column: str) -> int:
+    """Scans in the executed plan that read ``column``."""
+    final = plan.split("== Initial Plan ==")[0]
+    return sum(1 for line in final.splitlines() if "FileScan parquet" in line and f"{column}#" in line)
+
+
+def test_inbox_and_home_lists_read_each_table_once(spark):
+    from escrowlens.operators import catalog, chat
+    from escrowlens.sources.marketplace import load_marketplace
+    t = load_marketplace(spark, SF_SMALL)
+    assert _scans(_executed(chat.inbox(t)), "is_read") == 1
+    latest = _executed(catalog.catalog(t, sort="latest", limit=8))
+    assert _scans(latest, "subcategory") == 1
+    # the list is cut to eight rows before anything is joined
+    assert latest.index("TakeOrderedAndProject", latest.index("Join")) > 0
+
+
+def test_no_join_shuffles_commands_by_their_actor(spark):
+    from escrowlens.operators import commands as cm
+    from escrowlens.sources import commands as src
+    from escrowlens.sources.marketplace import load_marketplace
+    t = load_marketplace(spark, SF_SMALL)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (cm.refund_orders(t, src.refund_commands(t)), cm.settle_commission(t, src.settle_commands(t))):
+            plan = _plan(made["outcomes"])
+            assert "CartesianProduct" not in plan
+            assert not [x for x in plan.splitlines() if "hashpartitioning(actor_id" in x and "_salt" not in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

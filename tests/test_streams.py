@@ -6,6 +6,8 @@ import datetime as dt
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from escrowlens.streaming import streams as st
 
 SCHEMA = st.STATUS_EVENT_SCHEMA
@@ -36,22 +38,81 @@ def test_duplicate_and_late_events(spark):
     assert got == [1, 2, 4]
 
 
-def test_update_log_compaction_equals_batch(spark):
+def _files(spark, rows_of_files, schema, prefix):
+    base = tempfile.mkdtemp(prefix=prefix)
+    for i, rows in enumerate(rows_of_files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(base, f"f{i}"))
+    return base + "/*"
+
+
+def test_dedup_keeps_late_rows_as_dead_letters(spark):
+    t0, day = dt.datetime(2024, 1, 10), dt.timedelta(days=1)
+    files = [[(1, 7, "paid", t0), (2, 7, "processing", t0 + day / 2), (2, 7, "processing", t0 + day / 2)],
+             [(2, 7, "processing", t0 + day / 2), (3, 8, "paid", t0 + 5 * day)],
+             [(3, 8, "paid", t0 + 5 * day), (4, 9, "paid", t0 - day), (1, 7, "paid", t0)]]
+    feed = st.feed(spark, _files(spark, files, SCHEMA, "feed-"), SCHEMA, "ts", max_files=1)
+    rows, late = st.run_dedup(feed, "event_id", "ts", "t-dedup")
+    assert sorted(r["event_id"] for r in rows.collect()) == [1, 2, 3]
+    assert sorted(r["event_id"] for r in late.collect()) == [1, 4]
+
+
+def test_replayed_micro_batches_write_the_same_again(spark):
+    t0 = dt.datetime(2024, 1, 10)
+    schema = SCHEMA.replace("timestamp_ntz", "timestamp")
+    batches = [spark.createDataFrame([(k, k, "paid", t0 + dt.timedelta(hours=k)), (0, 0, "paid", t0)], schema)
+               for k in (1, 2, 3)]
+    base = tempfile.mkdtemp(prefix="steps-")
+    dedup = st.dedup_step(base, "event_id", "ts", 24)
+    merged = st.merged_step(base, lambda b: b.groupBy("status").count(),
+                            lambda p: p.groupBy("status").agg(F.sum("count").alias("count")), compact_every=2)
+    for k in (0, 0, 1, 2, 1, 2):  # the first is replayed, then the last two
+        dedup(batches[k], k)
+        merged(batches[k], k)
+    got = spark.read.parquet(base + "/rows").select("event_id", "b").collect()
+    assert sorted((r["event_id"], r["b"]) for r in got) == [(0, 0), (1, 0), (2, 1), (3, 2)]
+    total = st._merged(spark, base, spark.read.parquet(base + "/part").drop("b").schema,
+                       lambda p: p.groupBy("status").agg(F.sum("count").alias("count")), 2)
+    assert [r["count"] for r in total.collect()] == [6]
+
+
+def test_last_message_merged_over_batches_equals_batch(spark):
     from escrowlens.operators.chat import conversation_last_message
-    rows = [("m1", "C1", "a", "hi", False, dt.datetime(2024, 1, 1, 1)),
-            ("m2", "C1", "b", "yo", False, dt.datetime(2024, 1, 1, 2)),
-            ("m3", "C2", "a", "x", True, dt.datetime(2024, 1, 1, 3))]
+    rows = [(f"m{k}", f"C{k % 3}", "a", f"text {k}", False, dt.datetime(2024, 1, 1, (k * 7) % 24)) for k in range(9)]
     schema = ("id string, conversation_id string, sender_id string, body string, "
               "is_read boolean, created_at timestamp_ntz")
-    base = tempfile.mkdtemp(prefix="msgs-")
-    for i, r in enumerate(rows):
-        spark.createDataFrame([r], schema).write.parquet(os.path.join(base, f"f{i}"))
-    feed = st.feed(spark, base + "/*", schema, "created_at", max_files=1)
-    got = st.run_upsert(st.last_message_updates(feed), ["conversation_id"], "t-last")
+    path = _files(spark, [[r] for r in rows], schema, "msgs-")
+    feed = st.feed(spark, path, schema, "created_at", max_files=1)
+    got = st.run_merged(feed, st.last_message_partial, st.merge_last_message, "t-last", compact_every=4)
+    got = got.select("conversation_id", "last.body", F.col("last.created_at").cast("timestamp_ntz"))
     exp = conversation_last_message({"messages": spark.createDataFrame(rows, schema)})
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
 
 
+def test_live_unread_is_inserts_minus_reads(spark):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    messages = spark.createDataFrame(
+        [("m1", "c", "A", False, at(1)), ("m2", "c", "A", False, at(3)), ("m3", "c", "B", False, at(4)),
+         ("m4", "c", "A", True, at(5))], "id string, conversation_id string, sender_id string, is_read boolean, "
+        "created_at timestamp_ntz")
+    reads = spark.createDataFrame([("c", "B", at(2))], "conversation_id string, viewer_id string, read_at timestamp_ntz")
+    conv = spark.createDataFrame([("c", "A", "B")], "id string, user_a_id string, user_b_id string")
+    got = {r["viewer_id"]: r["unread_count"] for r in st.live_unread(messages, reads, conv).collect()}
+    assert got == {"A": 1, "B": 1}
+
+
+def test_payment_notices_are_guarded(spark):
+    at = lambda d: dt.datetime(2024, 1, d)
+    orders = spark.createDataFrame([("o1", "pending_payment", at(5)), ("o2", "processing", at(5)),
+                                    ("o3", "pending_payment", at(5)), ("o4", "pending_payment", at(5))],
+                                   "id string, status string, created_at timestamp_ntz")
+    notices = spark.createDataFrame([("o1", "paid", at(7)), ("o1", "paid", at(6)), ("o2", "paid", at(6)),
+                                     ("o3", "paid", at(4)), ("o4", "expired", at(6))],
+                                    "order_id string, status string, ts timestamp_ntz")
+    got = st.apply_payments(orders, notices).collect()
+    assert [(r["order_id"], r["old_status"], r["status"], r["updated_at"]) for r in got] == [
+        ("o1", "pending_payment", "paid", at(6))]
+
+
 def test_auto_complete_timers_across_batches(spark):
     """Both timer implementations over three micro-batches equal the rule
     'delivered, then no status change for 3 days, and the watermark passed'."""
