@@ -66,9 +66,10 @@ def ngram_slots(text: str | None) -> np.ndarray:
     return np.concatenate([grams, pair.astype(np.int64) + (1 << TRIGRAM_BITS)])
 
 
-def weights(found: list[np.ndarray], ratio: np.ndarray) -> np.ndarray:
-    """Log weight of each text from its n-gram slots."""
-    return np.array([ratio[f].sum() * PER_GRAMS / max(1, len(f)) for f in found])
+def weigh(text: str | None, ratio: np.ndarray) -> tuple[int, float]:
+    """Number of n-grams and log weight of a text."""
+    found = ngram_slots(text)
+    return len(found), float(ratio[found].sum()) * PER_GRAMS / max(1, len(found))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray | None:
@@ -129,10 +130,11 @@ def scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [ngram_slots(t.as_py()) for t in batch.column(1)]
-            weight = weights(found, shared.value)
+            # text by text: the n-grams of a whole batch would be many times its size
+            found = [weigh(t.as_py(), shared.value) for t in batch.column(1)]
+            weight = np.array([w for _, w in found])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(weight),
+                [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(weight),
                  pa.array(_key(weight, batch.column(2).to_numpy(zero_copy_only=False)))],
                 names=["doc_id", "n_grams", "log_weight", "key"])
 
@@ -212,7 +214,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
     def run(batches):
         for batch in batches:
-            weight = weights([ngram_slots(t.as_py()) for t in batch.column(place)], shared.value)
+            weight = np.array([weigh(t.as_py(), shared.value)[1] for t in batch.column(place)])
             key = _key(weight, batch.column(place + 1).to_numpy(zero_copy_only=False))
             yield batch.select(range(place)).filter(pa.array(key >= cut))
 
