@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escrowlens.llm.chars import code_points, trigram_slots
-from escrowlens.llm.common import staged
+from escrowlens.llm.common import staged, whole_row
 from escrowlens.llm.shingles import mixed, word_hashes, word_list
 
 TRIGRAM_BITS, BIGRAM_BITS = 16, 12
@@ -210,13 +210,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     """The selected rows of ``docs``, all columns."""
     ratio, cut, _ = _model_and_cut(docs, labels, fit_rows, share)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    place = len(docs.columns)
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            weight = np.array([weigh(t.as_py(), shared.value)[1] for t in batch.column(place)])
-            key = _key(weight, batch.column(place + 1).to_numpy(zero_copy_only=False))
-            yield batch.select(range(place)).filter(pa.array(key >= cut))
+            weight = np.array([weigh(t.as_py(), shared.value)[1] for t in batch.column(1)])
+            key = _key(weight, batch.column(2).to_numpy(zero_copy_only=False))
+            kept = batch.column(0).filter(pa.array(key >= cut))
+            yield pa.RecordBatch.from_arrays(kept.flatten(), names=names)
 
-    return (docs.select("*", F.col("text").alias("_text"), gumbel().alias("_noise"))
+    return (docs.select(whole_row(docs).alias("_row"), F.col("text"), gumbel().alias("_noise"))
             .mapInArrow(run, docs.schema))
