@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escrowlens.llm.common import bit_table, lower_ascii, maybe_in, staged
+from escrowlens.llm.common import bit_table, lower_ascii, maybe_in, staged, whole_row
 
 PREFIX_CHARS = 64
 TABLE_BITS = 22  # 4 million slots, at most 65,536 broadcast rows
@@ -51,10 +51,14 @@ KEY = ["_len", "_prefix", "_full"]
 
 
 def _groups(keyed: DataFrame) -> DataFrame:
-    """Groups of two or more equal texts: the id that stays and the size."""
-    return (keyed.filter("_full is not null").groupBy(*KEY)
-            .agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-            .filter("_n > 1"))
+    """Groups of two or more equal texts: the id that stays and the size.
+
+    A table of its own, so that the join back shuffles both sides and the rows
+    of a hot group can be split by the adaptive skew join.
+    """
+    return staged(keyed.filter("_full is not null").groupBy(*KEY)
+                  .agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
+                  .filter("_n > 1"), "exact-groups")
 
 
 def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS,
@@ -77,8 +81,7 @@ def drop_copies(docs: DataFrame, prefix_chars: int = PREFIX_CHARS,
     Rows that no other row can equal pass straight from the scan; only rows
     with a full hash meet their group's row.
     """
-    columns = docs.columns
-    inner = docs.select(F.col("doc_id"), F.col("text"), F.struct(*columns).alias("_row"))
+    inner = docs.select("doc_id", "text", whole_row(docs).alias("_row"))
     keyed = _keyed(inner, prefix_chars, bits)
     thin = staged(keyed.filter("_full is not null").select("doc_id", *KEY), "exact-drop")
     alone = keyed.filter("_full is null")
