@@ -247,7 +247,7 @@ def test_next_document_and_edited_digest(spark, tmp_path):
         cut = len(text[i]) // 3
         edited = text[i][: len(text[i]) - cut] + text[order[(k + 1) % len(order)]][:cut]
         assert got[i]["edited_sha256"] == sha(edited) and got[i]["n_chars"] == len(text[i])
-    assert got[7]["fingerprint"] == got[8]["fingerprint"] == got[9]["fingerprint"] != got[10]["fingerprint"]
+    assert got[7]["fingerprint"] == got[8]["fingerprint"] == got[9]["fingerprint"] != got[12]["fingerprint"]
 
 
 @pytest.mark.parametrize("buckets", [1, 3, 50])
