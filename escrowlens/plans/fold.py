@@ -6,17 +6,17 @@ later commands see the balance *without* the refused ones.  The step function
 commands has no bounded summary and no exact parallel-prefix form exists:
 the commands of one wallet must be applied in order.
 
-Only what follows a possible refusal needs that.  Up to the first place where
-the plain running balance of a key would go below zero nothing is refused for
-its balance, and the running sum (``plans.prefix``, which splits a hot key over
-range buckets) is the balance.  Keys that never get there, the common case, are
-done without Python and without one task per key.  From that place on, the rows
-of a key are folded: hash-partitioned by key and sorted within each partition
-by (key, order) - an external sort that spills - ``mapInArrow`` streams the
-batches of each partition through the fold, carrying only the current key and
-balance across batch boundaries.  Nothing is collected; memory per task is one
-batch whatever the size of a key.  Amounts stay 64-bit integers throughout, and
-the other columns pass as they are.
+Only what follows a possible refusal needs that.  Commands are cut into range
+buckets (``plans.prefix``); sums and lowest running sums per bucket tell, for
+each key, the first bucket in which the plain running balance goes below zero.
+Rows of earlier buckets, and all rows of keys without such a bucket, have the
+running sum as their balance and are dealt out by (key, bucket), so a hot key is
+split.  Rows from that bucket on are dealt out by key and folded: sorted within
+each partition by (key, order) - an external sort that spills - ``mapInArrow``
+streams the batches through the fold, carrying only the current key and balance
+across batch boundaries.  Nothing is collected; memory per task is one batch
+whatever the size of a key.  Amounts stay 64-bit integers throughout, and the
+other columns pass as they are.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from escrowlens.plans.prefix import RANGE, running_sum
+from escrowlens.plans.prefix import RANGE, bucketed
 
 FOLD_SCHEMA_EXTRA = "ok boolean, error string, balance_before long, new_balance long"
 LARGEST = 2 ** 63 - 1
@@ -44,10 +44,15 @@ def _fold_batches(key: str, refusal: str, batches: Iterator[pa.RecordBatch]
             continue
         keys = batch.column(key).to_pylist()
         amount = batch.column("amount").fill_null(0).to_numpy(zero_copy_only=False)
-        start = batch.column("start_balance").to_pylist()
+        start = batch.column("_held").to_pylist()
+        fold = batch.column("_fold").to_numpy(zero_copy_only=False)
+        plain = batch.column("_run").to_numpy(zero_copy_only=False)
         errors = batch.column("pre_error").to_pylist()
         ok, before, after = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        s = 0
+        s = int(n - fold.sum())  # plain rows come first
+        ok[:s] = [x is None for x in errors[:s]]
+        after[:s] = plain[:s]
+        before[:s] = plain[:s] - np.where(ok[:s], amount[:s], 0)
         while s < n:
             e = s + 1
             while e < n and keys[e] == keys[s]:
@@ -73,25 +78,13 @@ def _fold_batches(key: str, refusal: str, batches: Iterator[pa.RecordBatch]
                             errors[i] = refusal if new < 0 else ERR_RANGE
                     after[i] = bal
             s = e
-        kept = [c for c in batch.schema.names if c not in ("start_balance", "pre_error")]
+        kept = [c for c in batch.schema.names if c not in ("pre_error", "_held", "_fold", "_run")]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in kept), pa.array(ok), pa.array(errors, pa.string()),
              pa.array(before), pa.array(after)],
             names=[*kept, "ok", "error", "balance_before", "new_balance"])
 
 
-def _folded(rows: DataFrame, key: str, order: list[str], refusal: str,
-            num_partitions: int | None) -> DataFrame:
-    # Without an explicit count AQE may coalesce whole hash partitions (a key
-    # never splits), so small inputs do not pay for hundreds of tasks.
-    parts = (rows.repartition(num_partitions, F.col(key)) if num_partitions
-             else rows.repartition(F.col(key))).sortWithinPartitions(key, *order)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields
-              if f.name not in ("start_balance", "pre_error")]
-    schema = ", ".join(fields) + ", " + FOLD_SCHEMA_EXTRA
-    return parts.mapInArrow(lambda it: _fold_batches(key, refusal, it), schema)
-
-
 def ordered_guarded_fold(commands: DataFrame, key: str, order: list[str],
                          refusal: str = "balance below zero",
                          num_partitions: int | None = None) -> DataFrame:
@@ -107,18 +100,28 @@ def ordered_guarded_fold(commands: DataFrame, key: str, order: list[str],
     columns = [c for c in commands.columns if c not in ("start_balance", "pre_error")]
     wide = "decimal(38,0)"  # running sums beyond a bigint must not wrap
     step = F.when(F.col("pre_error").isNull(), F.coalesce("amount", F.lit(0))).otherwise(0)
-    d = commands.withColumn("_step", step.cast(wide))
-    d = running_sum(d, key, order, "_step", "_run", bucket=RANGE)
-    d = d.withColumn("_run", (F.col("_run") + F.col("start_balance")).cast(wide))
-    place = F.struct(*order)
-    stuck = (d.filter((F.col("_run") < 0) | (F.col("_run") > LARGEST)).groupBy(F.col(key).alias("_key"))
-             .agg(F.min(place).alias("_from"),
-                  F.min_by(F.col("_run") - F.col("_step"), place).alias("_held")))
-    d = d.join(stuck, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    plain = d.filter(F.col("_from").isNull() | (place < F.col("_from"))).select(
-        *columns, F.col("pre_error").isNull().alias("ok"), F.col("pre_error").alias("error"),
-        (F.col("_run") - F.col("_step")).cast("bigint").alias("balance_before"),
-        F.col("_run").cast("bigint").alias("new_balance"))
-    rest = d.filter(place >= F.col("_from")).withColumn("start_balance", F.col("_held").cast("bigint"))
-    return plain.unionByName(_folded(rest.select(*columns, "start_balance", "pre_error"),
-                                     key, order, refusal, num_partitions))
+    d = bucketed(commands.withColumn("_step", step.cast(wide)), key, order, RANGE)
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_sum", F.sum("_step").over(inside))
+    per = d.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_b")).agg(
+        F.sum("_step").alias("_all"), F.min("_sum").alias("_low"), F.max("_sum").alias("_high"),
+        F.first("start_balance").alias("_start"))
+    earlier = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    at = (F.col("_start") + F.coalesce(F.sum("_all").over(earlier), F.lit(0))).cast(wide)
+    per = per.withColumn("_at", at)
+    stuck = (F.col("_at") + F.col("_low") < 0) | (F.col("_at") + F.col("_high") > LARGEST)
+    first = F.min(F.when(stuck, F.struct("_b", "_at"))).over(Window.partitionBy("_key"))
+    per = per.select("_key", "_b", "_at", first.alias("_first"))
+    d = d.join(per, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
+    fold = F.coalesce(F.col("_b") >= F.col("_first._b"), F.lit(False))
+    rows = d.select(*columns, "pre_error", F.col("_first._at").cast("bigint").alias("_held"),
+                    fold.alias("_fold"), "_b",
+                    F.when(fold, F.lit(0)).otherwise(F.col("_at") + F.col("_sum")).cast("bigint").alias("_run"))
+    place = F.xxhash64(key, F.when(F.col("_fold"), F.lit(-1)).otherwise(F.col("_b")))
+    # Without an explicit count AQE may coalesce whole hash partitions (what is
+    # folded of a key never splits), so small inputs don't pay for many tasks.
+    parts = (rows.repartition(num_partitions, place) if num_partitions else rows.repartition(place))
+    parts = parts.sortWithinPartitions("_fold", key, *order).drop("_b")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in commands.schema.fields
+                       if f.name in columns) + ", " + FOLD_SCHEMA_EXTRA
+    return parts.mapInArrow(lambda it: _fold_batches(key, refusal, it), schema)
