@@ -113,10 +113,16 @@ def thresholds(thin: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def _plan(thin: DataFrame, weights, max_repeat, share) -> DataFrame:
+    """One row per source: target, copies and threshold.
+
+    A table of its own: its measured size lets Spark broadcast it, so documents
+    are not shuffled by source; were there too many sources for that, both sides
+    of the join are shuffles whose hot sources the adaptive skew join can split.
+    """
     goals = staged(targets(thin, weights, max_repeat, share), "mix-goals")
     cuts = thresholds(thin, goals).withColumnRenamed("source", "_s2")
-    return (goals.join(cuts, F.col("source").eqNullSafe(F.col("_s2"))).drop("_s2")
-            .withColumnRenamed("source", "_s"))
+    return staged(goals.join(cuts, F.col("source").eqNullSafe(F.col("_s2"))).drop("_s2")
+                  .withColumnRenamed("source", "_s"), "mix-plan")
 
 
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT,
