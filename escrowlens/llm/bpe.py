@@ -33,8 +33,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 2_000_000
-CACHE_PIECES = 400_000
+from escrowlens.llm.common import bounded_batches
+
+SLICE_BYTES = 1_000_000
+CACHE_PIECES = 200_000
 LONG_PIECE = 1024
 NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -251,6 +253,7 @@ def _encode(docs: DataFrame, path: str, pattern: str, decode: bool) -> DataFrame
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decode
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

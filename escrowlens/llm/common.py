@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from escrowlens.session import scratch_path
@@ -39,6 +39,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let rows with whole texts go to Python 500 at a time, unless the session
+    has its own number: Spark's 10,000 rows are tens of megabytes of text, held
+    several times over in every worker of an executor."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "500")
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of ``df`` as one struct, whatever their names."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escrowlens.llm.common import bit_table, maybe_in, staged, whole_row, without
+from escrowlens.llm.common import bit_table, bounded_batches, maybe_in, staged, whole_row, without
 from escrowlens.llm.graph import components
 from escrowlens.llm.shingles import mixed, powers, shingle_set, word_list
 
@@ -272,6 +272,7 @@ def _bucket_links(members: DataFrame, roots: DataFrame, sets: DataFrame) -> Data
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = staged(_sketches(base), "near-sketch")
     named = sketch.filter("n > 0 and doc_id is not null")

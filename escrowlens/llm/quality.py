@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escrowlens.llm.chars import code_points, trigram_slots
-from escrowlens.llm.common import staged, whole_row
+from escrowlens.llm.common import bounded_batches, staged, whole_row
 from escrowlens.llm.shingles import mixed, word_hashes, word_list
 
 TRIGRAM_BITS, BIGRAM_BITS = 16, 12
@@ -193,6 +193,7 @@ def resample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
 
 def _model_and_cut(docs, labels, fit_rows, share) -> tuple[np.ndarray, int, DataFrame]:
+    bounded_batches(docs.sparkSession)
     ratio = fit(docs, labels, fit_rows)
     if ratio is None:
         ratio = np.zeros(SLOTS)
