@@ -1,12 +1,18 @@
 """Line dedup by content-defined chunks (operator 3).
 
-A text is cut at line feeds.  A rolling hash over the hashes of the last
-``ROLL`` lines ends a chunk where it is 0 modulo ``EVERY``, so a chunk's ends
-depend on the lines around them and not on their place in the text: inserted or
-missing lines elsewhere shift the chunks and leave them the same.  Chunks of at
-least ``LEAST_LINES`` lines that occur more than once in the table are removed
-wherever they occur but once: the occurrence in the smallest ``doc_id`` (and
-there the earliest) stays.
+A text is cut at line feeds.  Two kinds of chunks are compared, and both depend on
+their own lines alone and not on their place in the text:
+
+* the finest: every ``LEAST_LINES`` consecutive lines.  A repeated run of that many
+  lines or more is covered by them from end to end, wherever it begins and ends;
+* coarser ones, for the inside of stretches of blank lines, which the finest leave
+  out: a rolling hash over the hashes of the last ``ROLL`` lines ends a chunk where it
+  is 0 modulo ``EVERY``.  Only texts with ``LEAST_LINES`` blank lines in a row are cut.
+
+Chunks that occur more than once in the table are removed wherever they occur but
+once: the occurrence in the smallest ``doc_id`` (and there the earliest) stays.  A
+line goes if any chunk over it goes, so the lines of a run go where each
+``LEAST_LINES`` of them occur before; the first occurrence of a line always stays.
 
 Chunk hashes are counted first, aggregated map-side; only chunks whose hash
 occurs twice go on, and these are grouped by their bytes, which is the byte
@@ -17,6 +23,7 @@ Defined results
   empty line; the other lines are joined by line feeds again, and a text that
   loses all its lines becomes empty;
 * chunks of blank lines only are never removed;
+* a run of one line over and over keeps its first line;
 * of rows with the same ``doc_id``, null last, the order of their texts decides;
   rows equal in both come out alike: their chunks count, and where the first
   occurrence is theirs it stays in each;
@@ -37,10 +44,11 @@ from escrowlens.llm.shingles import window_hashes
 ROLL, EVERY, LEAST_LINES = 2, 4, 2
 TABLE_BITS = 22  # at most 65,536 broadcast rows
 DOCS_AT_ONCE = 200
+HELD_BYTES = 8_000_000  # of chunks that a task holds at once
 
 
 def chunk_ends(lines: list[bytes], roll: int = ROLL, every: int = EVERY) -> list[int]:
-    """Ends (exclusive) of the chunks of a list of lines."""
+    """Ends (exclusive) of the coarser chunks of a list of lines."""
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
     rolled = window_hashes(hashes, roll)
     ends = (np.flatnonzero(rolled % np.uint64(every) == 0) + roll).tolist()
@@ -52,8 +60,16 @@ def chunks(text: str | None, roll: int, every: int, least: int) -> list[tuple[in
     if text is None:
         return []
     lines = text.encode().split(b"\n")
+    found = [(a, least, b"\n".join(lines[a:a + least])) for a in range(len(lines) - least + 1)]
+    empty = {a for a, _, raw in found if not raw.strip()}
+    if not empty:
+        return found
     ends = chunk_ends(lines, roll, every)
-    found = [(a, b - a, b"\n".join(lines[a:b])) for a, b in zip([0, *ends], ends) if b - a >= least]
+    blank = np.zeros(len(lines) + 1, np.int64)
+    blank[[a + 1 for a in empty]] = 1
+    blank = np.cumsum(blank)  # all-blank finest chunks before each line
+    found += [(a, b - a, b"\n".join(lines[a:b])) for a, b in zip([0, *ends], ends)
+              if b - a > least and blank[b - least + 1] > blank[a]]
     return [c for c in found if c[2].strip()]
 
 
@@ -61,39 +77,61 @@ def _key(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
+def _chunk_keys(rows: DataFrame, roll: int, every: int, least: int) -> DataFrame:
+    """h of every chunk."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), DOCS_AT_ONCE):
+                keys = [_key(raw) for text in batch.slice(at, DOCS_AT_ONCE).column(0).to_pylist()
+                        for _, _, raw in chunks(text, roll, every, least)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["h"])
+
+    return rows.select("text").mapInArrow(run, "h long")
+
+
 def _chunk_rows(rows: DataFrame, roll: int, every: int, least: int) -> DataFrame:
-    """h, t1, t2 (text), doc_id, line, raw (bytes) of every chunk."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    names = ["h", "t1", "t2", "doc_id", "line", "raw"]
+    """h, t1, t2 (text), doc_id, line, n (lines), raw (bytes) of every chunk."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["h", "t1", "t2", "doc_id", "line", "n", "raw"]
+
+    def made(out):
+        cols = zip(*out, strict=True) if out else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches):
         for batch in batches:
+            out, held = [], 0
             for at in range(0, len(batch), DOCS_AT_ONCE):
-                out = [(_key(raw), t1, t2, doc_id, line, raw)
-                       for t1, t2, doc_id, text in zip(*(c.to_pylist() for c in
-                                                         batch.slice(at, DOCS_AT_ONCE).columns), strict=True)
-                       for line, _, raw in chunks(text, roll, every, least)]
-                cols = zip(*out, strict=True) if out else [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                for t1, t2, doc_id, text in zip(*(c.to_pylist() for c in
+                                                  batch.slice(at, DOCS_AT_ONCE).columns), strict=True):
+                    for line, n, raw in chunks(text, roll, every, least):
+                        out.append((_key(raw), t1, t2, doc_id, line, n, raw))
+                        held += len(raw)
+                        if held > HELD_BYTES:
+                            yield made(out)
+                            out, held = [], 0
+            yield made(out)
 
     return rows.select("t1", "t2", "doc_id", "text").mapInArrow(
-        run, "h long, t1 long, t2 long, doc_id long, line int, raw binary")
+        run, "h long, t1 long, t2 long, doc_id long, line int, n int, raw binary")
 
 
-def _without_chunks(rows: DataFrame, roll: int, every: int) -> DataFrame:
+def _without_chunks(rows: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text from the text and the chunks to remove."""
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 part = batch.slice(at, DOCS_AT_ONCE)
                 size, gone, texts = [], [], []
-                for text, first in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     lines = [] if text is None else text.encode().split(b"\n")
                     kept = lines
-                    if first:
-                        first, ends = set(first), chunk_ends(lines, roll, every)
-                        kept = [x for a, b in zip([0, *ends], ends) if a not in first for x in lines[a:b]]
+                    if found:
+                        keep = np.ones(len(lines), bool)
+                        for c in found:
+                            keep[c["line"]:c["line"] + c["n"]] = False
+                        kept = [lines[k] for k in np.flatnonzero(keep).tolist()]
                     size.append(len(lines))
                     gone.append(len(lines) - len(kept))
                     texts.append(None if text is None else b"\n".join(kept).decode())
@@ -101,7 +139,7 @@ def _without_chunks(rows: DataFrame, roll: int, every: int) -> DataFrame:
                     [part.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()),
                      pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_removed", "text"])
 
-    return rows.select("doc_id", "text", "lines").mapInArrow(
+    return rows.select("doc_id", "text", "found").mapInArrow(
         run, "doc_id long, n_lines long, n_removed long, text string")
 
 
@@ -111,7 +149,7 @@ def line_dedup(docs: DataFrame, roll: int = ROLL, every: int = EVERY,
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
     rows = _chunk_rows(base, roll, every, least)
-    twice = staged(rows.groupBy("h").count().filter("count > 1").select("h"), "line-twice")
+    twice = staged(_chunk_keys(base, roll, every, least).groupBy("h").count().filter("count > 1").select("h"), "line-twice")
     some = maybe_in(rows, bit_table(twice, ["h"], TABLE_BITS), ["h"], TABLE_BITS, "_maybe")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "line")
     found = staged(some.filter("_maybe").drop("_maybe"), "line-found")
@@ -119,8 +157,8 @@ def line_dedup(docs: DataFrame, roll: int = ROLL, every: int = EVERY,
     first = staged(found.groupBy("h", "raw").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
                    .filter("_n > 1").drop("_n"), "line-first")
     gone = (found.join(first, ["h", "raw"]).filter(~place.eqNullSafe(F.col("_first")))
-            .select("doc_id", "t1", "t2", "line").distinct())
+            .select("doc_id", "t1", "t2", "line", "n").distinct())
     gone = staged(gone.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"),
-                               "t1", "t2").agg(F.collect_list("line").alias("lines")), "line-gone")  # by text
+                               "t1", "t2").agg(F.collect_list(F.struct("line", "n")).alias("found")), "line-gone")  # by text
     keyed = base.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
-    return _without_chunks(looked_up(keyed, gone, ["_id", "_none", "t1", "t2"], TABLE_BITS), roll, every)
+    return _without_chunks(looked_up(keyed, gone, ["_id", "_none", "t1", "t2"], TABLE_BITS))

@@ -246,6 +246,47 @@ def test_lines_match_brute_force(spark):
     assert lines.line_dedup(empty_docs(spark)).count() == 0
 
 
+def earlier_runs(rows):
+    """Lines under a run of two or more lines, not all blank, that occurs before."""
+    seen, out = set(), []
+    for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
+        have, under = rows[k][1].split("\n"), set()
+        for a in range(len(have) - 1):
+            pair = tuple(have[a:a + 2])
+            if "".join(pair).strip():
+                under |= {a, a + 1} if pair in seen else set()
+                seen.add(pair)
+        out.append((rows[k][0], len(have), len(under),
+                    "\n".join(x for a, x in enumerate(have) if a not in under)))
+    return sorted(out)
+
+
+def test_lines_of_all_repeated_runs_go(spark):
+    rng = random.Random(11)
+    rows = [(i, "\n".join(f"own {i} {k}" for k in range(9))) for i in range(8)]
+    for i in range(8, 90):
+        body = [f"own {i} {k}" for k in range(rng.randrange(4))]
+        a, n = rng.randrange(8), rng.randrange(1, 9)  # a run from anywhere in an earlier text
+        run = rows[rng.randrange(8)][1].split("\n")[a:a + n]
+        at = rng.randrange(len(body) + 1)
+        rows.append((i, "\n".join(body[:at] + run + body[at:])))
+    rows += [(90, "la\n" * 5 + "end"), (91, "new\nla\nla\nother")]
+    want = earlier_runs(rows)
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == want
+    assert sum(r[2] for r in want) > 150
+    assert want[90][3] == "la\nend" and want[91][3] == "new\nother"
+
+
+def test_lines_blank_stretches(spark):
+    passage = "a\nb\n\n\n\n\nc\nd"
+    rows = [(1, passage), (2, passage), (3, "\n\n\n"), (4, "\n\n\n")]
+    got = {r["doc_id"]: r for r in
+           lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == passage and got[2]["text"].strip() == ""
+    assert got[3]["n_removed"] == got[4]["n_removed"] == 0
+
+
 def test_chunk_ends_shift_with_the_text():
     rng = random.Random(6)
     body = [f"line {rng.random()}".encode() for _ in range(400)]
