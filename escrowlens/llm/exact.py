@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escrowlens.llm.common import bit_table, lower_ascii, maybe_in, staged, whole_row
+from escrowlens.llm.common import bit_table, lower_ascii, maybe_in, staged, text_or_empty, whole_row
 
 PREFIX_CHARS = 64
 TABLE_BITS = 22  # 4 million slots, at most 65,536 broadcast rows
@@ -62,15 +62,19 @@ def _groups(keyed: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS,
-                bits: int = TABLE_BITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept."""
-    thin = staged(_keyed(docs.select("doc_id", "text"), prefix_chars, bits).drop("text"),
-                  "exact-keys")
+                bits: int = TABLE_BITS, digest: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept; and, if
+    ``digest`` names it, a column with the SHA-256 of the row's lower-cased text."""
+    keyed = _keyed(docs.select("doc_id", "text"), prefix_chars, bits)
+    more = [] if digest is None else [digest]
+    for name in more:  # from the row itself: its doc_id may be null or another row's too
+        keyed = keyed.withColumn(name, F.sha2(lower_ascii(text_or_empty()), 256))
+    thin = staged(keyed.drop("text"), "exact-keys")
     return (thin.join(_groups(thin), KEY, "left")
             .select("doc_id",
                     F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
                     .alias("keep_id"),
-                    F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"))
+                    F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), *more)
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))))
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from escrowlens.llm import (bpe, exact, langid, lines, minhash, mixing, quality, sketch,
                             substring, warc)
-from escrowlens.llm.common import lower_ascii, text_or_empty
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -86,10 +85,12 @@ JOIN once o ON o.source IS NOT DISTINCT FROM d.source AND o.h = d.h
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact dedup of every document; the digest column covers all texts."""
-    docs = _table(spark, sf_dir, "documents")
-    digests = docs.select("doc_id", F.sha2(lower_ascii(text_or_empty()), 256).alias("text_sha256"))
-    return exact.exact_dedup(docs).join(digests.dropDuplicates(["doc_id"]), "doc_id")
+    """Exact dedup of every document; the digest column covers all texts.
+
+    As in the SQL, ``kept`` is null where ``doc_id`` is null.
+    """
+    return (exact.exact_dedup(_table(spark, sf_dir, "documents"), digest="text_sha256")
+            .withColumn("kept", F.col("doc_id") == F.col("keep_id")))
 
 
 OP5_SQL = """

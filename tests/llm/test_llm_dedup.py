@@ -355,6 +355,17 @@ def test_queries_match_sql_on_edge_rows(spark, tmp_path, name):
     assert key(got, names) == key(want, names)
 
 
+def test_exact_query_matches_sql_on_null_and_repeated_ids(spark, tmp_path):
+    rows = edge_rows()
+    rows += [(i, t, *rows[0][2:]) for i, t in
+             [(8, "another text"), (8, BASE + "!"), (None, BASE), (None, "alone"), (None, "Alone")]]
+    spark.createDataFrame(rows, edge_docs(spark).schema).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.asDict() for r in queries.op5_exact_dedup(spark, str(tmp_path)).collect()]
+    want = sql_rows(queries.OP5_SQL, rows)
+    assert len(got) == len(rows) and sorted(got[0]) == sorted(want[0])
+    assert key(got, sorted(want[0])) == key(want, sorted(want[0]))
+
+
 def test_digest_is_of_the_whole_text(spark, tmp_path):
     edge_docs(spark).filter("doc_id is not null").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["text_sha256"] for r in queries.op5_exact_dedup(spark, str(tmp_path)).collect()}
