@@ -42,6 +42,7 @@ UNKNOWN = "und"
 RULED_OUT = -50.0  # a word's score under a language that lacks its script
 SLICE_CHARS = 1_000_000
 SIDE_BY_SIDE = 256
+GRID_WORDS = 200_000  # texts side by side x words of the longest
 
 
 @dataclass
@@ -142,6 +143,17 @@ def viterbi(scores: list[np.ndarray], penalty: float = SWITCH_PENALTY) -> list[n
     return [path[:n, k] for k, n in enumerate(size)]
 
 
+def _side_by_side(sizes: list[int]) -> list[tuple[int, int]]:
+    """Runs (first, end) of ascending sizes whose number times their largest stays
+    within ``GRID_WORDS``; a text beyond that goes alone."""
+    runs, first = [], 0
+    for k, n in enumerate(sizes):
+        if k > first and (k - first == SIDE_BY_SIDE or (k - first + 1) * n > GRID_WORDS):
+            runs.append((first, k))
+            first = k
+    return [*runs, (first, len(sizes))] if sizes else []
+
+
 def _labelled(model: Model, texts: list[str | None]) -> list[tuple]:
     """lang_pred, score, spans of each text."""
     out: list = [(UNKNOWN, 0.0, [])] * len(texts)
@@ -154,19 +166,15 @@ def _labelled(model: Model, texts: list[str | None]) -> list[tuple]:
         return out
     scores, letters = word_scores(model, list(seen))
     todo = sorted((k for k in range(len(texts)) if letters[where[k]].any()), key=lambda k: len(where[k]))
-    at = 0
-    while at < len(todo):
-        # texts of like length; fewer at once if they are very long
-        step = max(1, min(SIDE_BY_SIDE, 200_000 // len(where[todo[at]])))
-        group = todo[at:at + step]
-        at += step
+    for first, end in _side_by_side([len(where[k]) for k in todo]):
+        group = todo[first:end]
         for k, path in zip(group, viterbi([scores[where[k]] for k in group]), strict=True):
             weight = np.bincount(path, weights=letters[where[k]], minlength=len(model.languages))
             top = int(weight.argmax())
             cut = np.flatnonzero(np.diff(path)) + 1
-            first = np.concatenate([[0], cut])
+            starts = np.concatenate([[0], cut])
             spans = [{"first_word": int(a), "words": int(b - a), "lang": model.languages[path[a]]}
-                     for a, b in zip(first, np.concatenate([cut, [len(path)]]), strict=True)]
+                     for a, b in zip(starts, np.concatenate([cut, [len(path)]]), strict=True)]
             out[k] = (model.languages[top], float(weight[top] / weight.sum()), spans)
     return out
 

@@ -203,6 +203,22 @@ def test_viterbi_is_the_best_path():
         assert value(path) == pytest.approx(best)
 
 
+def test_viterbi_goes_over_long_texts_alone(monkeypatch):
+    model = langid.Model(["de", "en"], np.log(np.full((2, 1 << langid.SLOT_BITS), 0.5)),
+                         np.ones((2, len(langid.SCRIPT_NAMES))))
+    texts = ["a b c"] * 255 + ["x y " * 75_000, "a b " * 120_000]
+    cells, best = [], langid.viterbi
+
+    def watched(scores):
+        cells.append((len(scores), len(scores) * max(map(len, scores))))
+        return best(scores)
+
+    monkeypatch.setattr(langid, "viterbi", watched)
+    got = langid._labelled(model, texts)
+    assert all(n == 1 or size <= 200_000 for n, size in cells) and sum(n for n, _ in cells) == 257
+    assert [r[2][0]["words"] for r in got] == [3] * 255 + [150_000, 240_000]
+
+
 # ---- quality
 
 def test_quality_parts_good_from_bad(spark):
