@@ -38,11 +38,23 @@ def script_table() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """1 for letters, 2 for marks, 0 for the other code points."""
+    kinds = (unicodedata.category(chr(c))[0] if not 0xD800 <= c < 0xE000 else "C" for c in range(0x110000))
+    return np.fromiter((" LM".find(k) if k in "LM" else 0 for k in kinds), np.uint8, 0x110000)
+
+
 @functools.cache
 def letter_table() -> np.ndarray:
     """Whether each code point is a letter or a mark."""
-    kinds = (unicodedata.category(chr(c))[0] if not 0xD800 <= c < 0xE000 else "C" for c in range(0x110000))
-    return np.fromiter((k in "LM" for k in kinds), bool, 0x110000)
+    return _kinds() > 0
+
+
+@functools.cache
+def mark_table() -> np.ndarray:
+    """Whether each code point is a mark."""
+    return _kinds() == 2
 
 
 def code_points(text: str) -> np.ndarray:

@@ -15,7 +15,8 @@ most letters; the score is its share of the letters.
 
 Defined results
 * a null text or one without a letter is ``und`` with score 0 and no spans, as is
-  any text if nothing was learned;
+  any text if nothing was learned; marks count as letters in trigrams and shares,
+  but a text of marks alone has no letter;
 * equal shares go to the first language in code-point order;
 * training ignores rows with a null text or language; extra columns are ignored;
 * repeated rows count and come out as often as they are given; an empty table
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escrowlens.llm.chars import (SCRIPT_NAMES, code_points, letter_table, script_table,
-                                  trigram_slots)
+from escrowlens.llm.chars import (SCRIPT_NAMES, code_points, letter_table, mark_table,
+                                  script_table, trigram_slots)
 
 SLOT_BITS = 16
 SMOOTHING = 0.5
@@ -98,14 +99,16 @@ def fit(rows: DataFrame) -> Model:
                  letters / np.maximum(letters.sum(axis=1, keepdims=True), 1))
 
 
-def word_scores(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Scores (words x languages) and letters of each word."""
+def word_scores(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores (words x languages) and letters of each word, and whether not all are marks."""
     n, langs = len(words), len(model.languages)
     text = " ".join(words)
     place, slots, scripts = _letter_slots(text)
     ends = np.cumsum([len(w.lower()) + 1 for w in words])
     owner = np.searchsorted(ends, place, side="right")
     letters = np.bincount(owner, minlength=n)
+    marks = mark_table()[code_points(text.lower())[place]]
+    real = np.bincount(owner[~marks], minlength=n) > 0
     scores = np.empty((n, langs))
     for k in range(langs):
         scores[:, k] = np.bincount(owner, weights=model.log_p[k, slots], minlength=n)
@@ -113,7 +116,7 @@ def word_scores(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]
     first[owner[::-1]] = scripts[::-1]  # a word's first letter has its script
     fits = np.concatenate([model.uses >= LEAST_SHARE, np.ones((langs, 1), bool)], axis=1).T[first]
     fits |= ~fits.any(axis=1, keepdims=True)
-    return np.where(fits, scores, scores + RULED_OUT), letters
+    return np.where(fits, scores, scores + RULED_OUT), letters, real
 
 
 def viterbi(scores: list[np.ndarray], penalty: float = SWITCH_PENALTY) -> list[np.ndarray]:
@@ -164,8 +167,8 @@ def _labelled(model: Model, texts: list[str | None]) -> list[tuple]:
              if t else np.empty(0, np.int64) for t in texts]
     if not seen:
         return out
-    scores, letters = word_scores(model, list(seen))
-    todo = sorted((k for k in range(len(texts)) if letters[where[k]].any()), key=lambda k: len(where[k]))
+    scores, letters, real = word_scores(model, list(seen))
+    todo = sorted((k for k in range(len(texts)) if real[where[k]].any()), key=lambda k: len(where[k]))
     for first, end in _side_by_side([len(where[k]) for k in todo]):
         group = todo[first:end]
         for k, path in zip(group, viterbi([scores[where[k]] for k in group]), strict=True):

@@ -219,6 +219,15 @@ def test_viterbi_goes_over_long_texts_alone(monkeypatch):
     assert [r[2][0]["words"] for r in got] == [3] * 255 + [150_000, 240_000]
 
 
+def test_texts_of_marks_without_letters_are_unknown():
+    model = langid.Model(["de", "en"], np.log(np.full((2, 1 << langid.SLOT_BITS), 0.5)),
+                         np.ones((2, len(langid.SCRIPT_NAMES))))
+    none = ["\U0001f642\ufe0f", "1\u0301 2", "\u0301"]
+    got = langid._labelled(model, [*none, "e\u0301", "\u0301 x"])
+    assert got[:3] == [("und", 0.0, [])] * 3
+    assert [r[:2] for r in got[3:]] == [("de", 1.0)] * 2
+
+
 # ---- quality
 
 def test_quality_parts_good_from_bad(spark):
