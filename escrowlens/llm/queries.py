@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escrowlens.llm import (bpe, exact, langid, lines, minhash, mixing, quality, sketch,
-                            substring, warc)
+from escrowlens.llm import (audit, bpe, exact, langid, lines, minhash, mixing, multi_index,
+                            quality, sketch, substring, warc)
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -185,8 +185,62 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketch.containment(own, changed).alias("contained_in_edited"))
 
 
+def op11_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each hundredth vector, through an index over all vectors."""
+    return multi_index.nearest_neighbours(_table(spark, sf_dir, "embeddings"),
+                                          F.col("vec_id") % 100 == 0, k=10)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in all 120 orders, per source."""
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+m AS (
+  SELECT part, (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+       + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+       + CASE WHEN 100 * len(regexp_extract_all(body, '[A-Z]')) > 2 * length(body) THEN 4 ELSE 0 END
+       + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+       + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 16 ELSE 0 END) AS mask,
+       doc_id IN (FROM good) AS good, doc_id IN (FROM toxic) AS toxic FROM t),
+c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x
+  FROM m GROUP BY part, mask),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT [a.l, b.l, c.l, d.l, e.l] AS ls, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps AS (
+  SELECT array_to_string(ls, '') AS filter_order, k AS step, bits[k] AS bit,
+         coalesce(list_sum(bits[1:k - 1]), 0)::INT AS before
+  FROM orders, unnest(range(1, 6)) AS u(k)),
+pairs AS (SELECT DISTINCT bit, before FROM steps),
+sums AS (
+  SELECT part, bit, before,
+         coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(g) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(x) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM c, pairs GROUP BY part, bit, before)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM steps JOIN sums USING (bit, before)
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_dedup, op2_byte_bpe, op3_line_dedup, op4_source_mix, op5_exact_dedup, op6_warc_index,
-    op7_language_id, op8_substring_dedup, op9_importance_resampling, op10_scaled_sketch)}
+    op7_language_id, op8_substring_dedup, op9_importance_resampling, op10_scaled_sketch,
+    op11_inverted_multi_index, op13_filter_audit)}
 SQL = {"op4_source_mix": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_warc_index": OP6_SQL,
-       "op8_substring_dedup": OP8_SQL}
+       "op8_substring_dedup": OP8_SQL, "op13_filter_audit": OP13_SQL}
