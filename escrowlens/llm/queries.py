@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from escrowlens.llm import (audit, bpe, exact, langid, lines, minhash, mixing, multi_index,
-                            quality, sketch, substring, warc)
+                            negatives, quality, sketch, substring, warc)
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -191,6 +191,36 @@ def op11_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           F.col("vec_id") % 100 == 0, k=10)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each hundredth vector, exact, from blocks chosen by zone maps."""
+    rows = negatives.quantised(_table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id))::INT AS rank,
+       n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n USING (anchor_id)
+WHERE NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) <= 10
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters over all documents, in all 120 orders, per source."""
     return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -241,6 +271,7 @@ FROM steps JOIN sums USING (bit, before)
 QUERIES = {f.__name__: f for f in (
     op1_minhash_dedup, op2_byte_bpe, op3_line_dedup, op4_source_mix, op5_exact_dedup, op6_warc_index,
     op7_language_id, op8_substring_dedup, op9_importance_resampling, op10_scaled_sketch,
-    op11_inverted_multi_index, op13_filter_audit)}
+    op11_inverted_multi_index, op12_hard_negatives, op13_filter_audit)}
 SQL = {"op4_source_mix": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_warc_index": OP6_SQL,
-       "op8_substring_dedup": OP8_SQL, "op13_filter_audit": OP13_SQL}
+       "op8_substring_dedup": OP8_SQL, "op12_hard_negatives": OP12_SQL,
+       "op13_filter_audit": OP13_SQL}
