@@ -52,6 +52,7 @@ ROUNDS = 10              # of k-means
 PROBES = 100
 RECALL = 0.96
 SLICE = 256              # queries measured side by side
+WALKS = 128              # queries that one task walks for
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -245,6 +246,8 @@ def needed(index: Index, rows: DataFrame, queries: DataFrame, k: int, recall: fl
     """How many rows a walk must hold to reach ``recall`` of the true neighbours of
     at most ``PROBES`` queries, found among all rows."""
     probes = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(PROBES).toArrow()
+    if not probes.num_rows:
+        return 1
     own, qs = probes["query_id"].to_numpy(), matrix(probes["vec"], index.dims)
     shared = rows.sparkSession.sparkContext.broadcast((own, qs))
 
@@ -314,7 +317,9 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, recall: flo
                      pa.array(np.concatenate(blocks))], names=["query_id", "vec", "chunk", "reach", "block"])
 
     kind = rows.schema["vec"].dataType.simpleString()
-    asked = queries.withColumn("chunk", chunk_of("query_id", queries.count(), dims))
+    n_queries = queries.count()
+    asked = (queries.withColumn("chunk", chunk_of("query_id", n_queries, dims))
+             .repartition(-(-n_queries // WALKS) or 1, "query_id"))
     routed = staged(asked.mapInArrow(
         route, f"query_id long, vec {kind}, chunk int, reach double, block long"), "walks")
     found = meet(entries, routed, rerank(k, shared), FOUND)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_VALUES = 1 << 19  # 8,192 rows of 64 components
+BLOCK_VALUES = 1 << 17  # 2,048 rows of 64 components
 CHUNK_VALUES = 1 << 18
 
 
