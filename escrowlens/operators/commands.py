@@ -554,40 +554,48 @@ def adjust_wallets(t: Tables, commands: DataFrame, create_missing: bool = True
         "start_balance", F.coalesce("start_balance", F.lit(0).cast("bigint")))
     c = c.withColumn("wallet_id", _wallet_id(F.col("user_id"), F.col("_wid"))).drop("_wid")
     f = ordered_guarded_fold(c, "user_id", ["seq"], refusal=ERR_NEGATIVE)
-    outcomes = f.select("seq", "user_id", "amount", "ok", "error",
-                        F.when(F.col("ok"), F.col("new_balance")).alias("new_balance"))
     acc = f.filter("ok")
     zero = F.lit(0).cast("bigint")
-    moved = acc.groupBy("user_id", "wallet_id").agg(
-        F.max_by("new_balance", "seq").alias("balance"),
-        F.sum(F.when(F.col("amount") > 0, F.col("amount")).otherwise(zero)).alias("_in"),
-        F.sum(F.when(F.col("amount") < 0, -F.col("amount")).otherwise(zero)).alias("_out"))
-    old = t["wallets"].select("user_id", F.col("total_in").alias("_in0"),
-                              F.col("total_out").alias("_out0"))
-    final = moved.join(old, "user_id", "left").select(
-        "user_id", "wallet_id", "balance", (F.coalesce("_in0", zero) + F.col("_in")).alias("total_in"),
-        (F.coalesce("_out0", zero) + F.col("_out")).alias("total_out"))
-    acc_r = acc.withColumn("requested_at", F.col("created_at")) \
-        .withColumn("cmd_id", F.concat(F.lit("AJ-"), F.col("seq").cast("string")))
-    ledger = acc_r.select("wallet_id",
-                          F.when(F.col("amount") > 0, "topup").otherwise("withdrawal")
-                          .alias("type"), F.abs("amount").alias("amount"),
-                          F.col("new_balance").alias("balance_after"),
-                          F.concat(F.lit(DESC_ADJUST), "reason").alias("description"),
-                          F.lit(None).cast("string").alias("ref_order_id"),
-                          F.col("requested_at").alias("created_at"),
-                          F.col("cmd_id").alias("source_cmd"))
-    audit = _audit(acc_r, F.lit("adjust_wallet"), "wallet", "wallet_id",
-                   _json(amount=F.col("amount"), reason=F.col("reason"),
-                         new_balance=F.col("new_balance")))
-    notes = _notice(acc_r, F.col("user_id"),
-                    F.when(F.col("amount") > 0, F.lit(TITLE_TOPUP))
-                    .otherwise(F.lit(TITLE_DEBIT)),
-                    F.concat(F.lit(BODY_ADJUST[0]), thousands(F.abs("amount")),
-                             F.lit(BODY_ADJUST[1]), "reason"),
-                    "info")
-    return {"outcomes": outcomes, "wallets": final, "ledger": ledger, "audit": audit,
-            "notifications": notes}
+
+    def outcomes():
+        return f.selectExpr("seq", "user_id", "amount", "ok", "error", "if(ok, new_balance, null) as new_balance")
+
+    def final():
+        moved = acc.groupBy("user_id", "wallet_id").agg(
+            F.max_by("new_balance", "seq").alias("balance"),
+            F.sum(F.when(F.col("amount") > 0, F.col("amount")).otherwise(zero)).alias("_in"),
+            F.sum(F.when(F.col("amount") < 0, -F.col("amount")).otherwise(zero)).alias("_out"))
+        old = t["wallets"].select("user_id", F.col("total_in").alias("_in0"),
+                                  F.col("total_out").alias("_out0"))
+        return moved.join(old, "user_id", "left").select(
+            "user_id", "wallet_id", "balance", (F.coalesce("_in0", zero) + F.col("_in")).alias("total_in"),
+            (F.coalesce("_out0", zero) + F.col("_out")).alias("total_out"))
+
+    def accepted():
+        return acc.withColumns({"requested_at": F.col("created_at"),
+                                "cmd_id": F.concat(F.lit("AJ-"), F.col("seq").cast("string"))})
+
+    def ledger():
+        return accepted().select("wallet_id",
+                                 F.when(F.col("amount") > 0, "topup").otherwise("withdrawal").alias("type"),
+                                 F.abs("amount").alias("amount"), F.col("new_balance").alias("balance_after"),
+                                 F.concat(F.lit(DESC_ADJUST), "reason").alias("description"),
+                                 F.lit(None).cast("string").alias("ref_order_id"),
+                                 F.col("requested_at").alias("created_at"),
+                                 F.col("cmd_id").alias("source_cmd"))
+
+    def audit():
+        return _audit(accepted(), F.lit("adjust_wallet"), "wallet", "wallet_id",
+                      _json(amount=F.col("amount"), reason=F.col("reason"), new_balance=F.col("new_balance")))
+
+    def notes():
+        return _notice(accepted(), F.col("user_id"),
+                       F.when(F.col("amount") > 0, F.lit(TITLE_TOPUP)).otherwise(F.lit(TITLE_DEBIT)),
+                       F.concat(F.lit(BODY_ADJUST[0]), thousands(F.abs("amount")),
+                                F.lit(BODY_ADJUST[1]), "reason"),
+                       "info")
+
+    return Outputs(outcomes=outcomes, wallets=final, ledger=ledger, audit=audit, notifications=notes)
 
 
 # ---------------------------------------------------------------- J9 suspend

@@ -2,92 +2,109 @@
 
 A wallet adjustment is refused when it would take the balance below zero, and
 later commands see the balance *without* the refused ones.  The step function
-``b -> b + a if b + a >= 0 else b`` is not monotone, so composing a run of
-commands has no bounded summary and no exact parallel-prefix form exists:
-the commands of one wallet must be applied in order.
-
-Only what follows a possible refusal needs that.  Commands are cut into range
-buckets (``plans.prefix``); sums and lowest running sums per bucket tell, for
-each key, the first bucket in which the plain running balance goes below zero.
-Rows of earlier buckets, and all rows of keys without such a bucket, have the
-running sum as their balance and are dealt out by (key, bucket), so a hot key is
-split.  Rows from that bucket on are dealt out by key and folded: sorted within
-each partition by (key, order) - an external sort that spills - ``mapInArrow``
-streams the batches through the fold, carrying only the current key and balance
-across batch boundaries.  Nothing is collected; memory per task is one batch
-whatever the size of a key.  Amounts stay 64-bit integers throughout, and the
-other columns pass as they are.
+``b -> b + a if b + a >= 0 else b`` is not monotone, so a run of commands has no
+bounded summary and which commands are refused has to be found in order.  But
+only that: a refused command adds its amount back to the plain running balance of
+everything after it, so
+
+    balance = opening + running sum + correction
+
+where the correction is the total of the refused amounts so far.  The rows with
+their columns never leave the JVM; what is found in order is a few bits.
+
+1. Commands are cut into range buckets (``plans.prefix``), so a hot key is split.
+   Sum and lowest running sum per (key, bucket) and a window over the buckets give
+   each bucket's plain opening balance.
+2. A correction never falls, so a bucket whose plain balance stays at zero or more
+   has no refusal whatever came before: it is skipped by its sum alone.  (Where a
+   key's credits could pass the bigint range, all its buckets are opened.)
+3. The other buckets are packed, in the JVM, into arrays of at most ``SEGMENT``
+   amounts.  Arrays and skipped sums of a key go through one sequential pass
+   (``mapInArrow``): it jumps over skipped buckets and folds the arrays, and
+   returns per array the correction before it and a bit per refused command.
+4. Rows of opened buckets join their segment's bits, dealt out by (key, bucket,
+   segment); rows of skipped buckets take the correction of their bucket.  Keys
+   without a possible refusal take no part in 3, and nothing runs in Python.
+
+The bucketed commands and the bucket table are written once to the session's
+shared folder, so the commands' own plan runs once however many outputs use the
+fold.  A hot wallet with refusals throughout thus costs one task 8 bytes and some tens
+of nanoseconds a command in step 3; the work on its rows is spread evenly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from escrowlens.plans.prefix import RANGE, bucketed
+from escrowlens.session import scratch_path
 
-FOLD_SCHEMA_EXTRA = "ok boolean, error string, balance_before long, new_balance long"
 LARGEST = 2 ** 63 - 1
 ERR_RANGE = "bigint out of range"
+SEGMENT = 512  # commands per array: eight 64-bit words of refusal bits
+WIDE = "decimal(38,0)"  # sums beyond a bigint must not wrap
+
+
+def opened(balance: int, amounts: list[int]) -> tuple[int, int, list[int]]:
+    """Fold one array: the balance after it, the total of the refused amounts
+    (with the sign turned) and the places refused."""
+    refused, added = [], 0
+    for place, amount in enumerate(amounts):
+        new = balance + amount
+        if 0 <= new <= LARGEST:
+            balance = new
+        else:
+            refused.append(place)
+            added -= amount
+    return balance, added, refused
+
 
+def refusal_bits(refused: list[int]) -> np.ndarray:
+    """Places as 64-bit words."""
+    bits = np.zeros(SEGMENT, np.uint8)
+    bits[refused] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
-def _fold_batches(key: str, refusal: str, batches: Iterator[pa.RecordBatch]
-                  ) -> Iterator[pa.RecordBatch]:
-    cur_key, bal = object(), 0  # no key is equal to a fresh object
+
+def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, bucket, segment, opening, total, amounts) of each key in order ->
+    (key, bucket, segment, correction before it, refusal bits)."""
+    current, balance, added = object(), 0, 0  # no key is equal to a fresh object
+    wide = pa.decimal128(38, 0)
     for batch in batches:
-        n = len(batch)
-        if n == 0:
-            continue
-        keys = batch.column(key).to_pylist()
-        amount = batch.column("amount").fill_null(0).to_numpy(zero_copy_only=False)
-        start = batch.column("_held").to_pylist()
-        fold = batch.column("_fold").to_numpy(zero_copy_only=False)
-        plain = batch.column("_run").to_numpy(zero_copy_only=False)
-        errors = batch.column("pre_error").to_pylist()
-        ok, before, after = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        s = int(n - fold.sum())  # plain rows come first
-        ok[:s] = [x is None for x in errors[:s]]
-        after[:s] = plain[:s]
-        before[:s] = plain[:s] - np.where(ok[:s], amount[:s], 0)
-        while s < n:
-            e = s + 1
-            while e < n and keys[e] == keys[s]:
-                e += 1
-            if keys[s] != cur_key:
-                cur_key, bal = keys[s], start[s]
-            valid = np.array([x is None for x in errors[s:e]])
-            steps = np.where(valid, amount[s:e], 0)
-            small = abs(bal) + float(np.abs(steps.astype(float)).sum()) < 2 ** 62
-            run = bal + np.cumsum(steps) if small else None
-            if run is not None and run.min() >= 0:
-                prev = np.concatenate(([bal], run[:-1]))
-                before[s:e], after[s:e], ok[s:e] = prev, np.where(valid, run, prev), valid
-                bal = int(run[-1])
+        before, words = [], []
+        amounts = batch.column("_amounts")
+        for at, (name, opening, total) in enumerate(zip(
+                *(batch.column(c).to_pylist() for c in ("_k", "_opening", "_total")), strict=True)):
+            if name != current:
+                current, balance, added = name, opening, 0
+            before.append(Decimal(added))
+            if amounts[at].is_valid:
+                balance, more, refused = opened(balance, amounts[at].values.to_pylist())
+                added += more
+                words.append(refusal_bits(refused) if refused else None)
             else:
-                for i in range(s, e):
-                    before[i] = bal
-                    new = bal + int(amount[i])
-                    if errors[i] is None:
-                        if 0 <= new <= LARGEST:
-                            ok[i], bal = True, new
-                        else:
-                            errors[i] = refusal if new < 0 else ERR_RANGE
-                    after[i] = bal
-            s = e
-        kept = [c for c in batch.schema.names if c not in ("pre_error", "_held", "_fold", "_run")]
+                balance += total
+                words.append(None)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in kept), pa.array(ok), pa.array(errors, pa.string()),
-             pa.array(before), pa.array(after)],
-            names=[*kept, "ok", "error", "balance_before", "new_balance"])
+            [*(batch.column(c) for c in ("_k", "_b", "_segment")), pa.array(before, wide),
+             pa.array(words, pa.list_(pa.int64()))], names=["_k3", "_b3", "_s3", "_added", "_bits"])
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ordered_guarded_fold(commands: DataFrame, key: str, order: list[str],
-                         refusal: str = "balance below zero",
-                         num_partitions: int | None = None) -> DataFrame:
+                         refusal: str = "balance below zero") -> DataFrame:
     """Apply signed ``amount`` commands per ``key`` in ``order`` with a floor.
 
     ``commands`` must carry ``amount`` (bigint), ``start_balance`` (bigint, not
@@ -97,31 +114,55 @@ def ordered_guarded_fold(commands: DataFrame, key: str, order: list[str],
     balance_before and new_balance (the balance after the row, unchanged when
     refused).  A null key is a key like any other.
     """
-    columns = [c for c in commands.columns if c not in ("start_balance", "pre_error")]
-    wide = "decimal(38,0)"  # running sums beyond a bigint must not wrap
-    step = F.when(F.col("pre_error").isNull(), F.coalesce("amount", F.lit(0))).otherwise(0)
-    d = bucketed(commands.withColumn("_step", step.cast(wide)), key, order, RANGE)
-    inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_sum", F.sum("_step").over(inside))
-    per = d.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_b")).agg(
-        F.sum("_step").alias("_all"), F.min("_sum").alias("_low"), F.max("_sum").alias("_high"),
-        F.first("start_balance").alias("_start"))
-    earlier = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    at = (F.col("_start") + F.coalesce(F.sum("_all").over(earlier), F.lit(0))).cast(wide)
-    per = per.withColumn("_at", at)
-    stuck = (F.col("_at") + F.col("_low") < 0) | (F.col("_at") + F.col("_high") > LARGEST)
-    first = F.min(F.when(stuck, F.struct("_b", "_at"))).over(Window.partitionBy("_key"))
-    per = per.select("_key", "_b", "_at", first.alias("_first"))
-    d = d.join(per, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
-    fold = F.coalesce(F.col("_b") >= F.col("_first._b"), F.lit(False))
-    rows = d.select(*columns, "pre_error", F.col("_first._at").cast("bigint").alias("_held"),
-                    fold.alias("_fold"), "_b",
-                    F.when(fold, F.lit(0)).otherwise(F.col("_at") + F.col("_sum")).cast("bigint").alias("_run"))
-    place = F.xxhash64(key, F.when(F.col("_fold"), F.lit(-1)).otherwise(F.col("_b")))
-    # Without an explicit count AQE may coalesce whole hash partitions (what is
-    # folded of a key never splits), so small inputs don't pay for many tasks.
-    parts = (rows.repartition(num_partitions, place) if num_partitions else rows.repartition(place))
-    parts = parts.sortWithinPartitions("_fold", key, *order).drop("_b")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in commands.schema.fields
-                       if f.name in columns) + ", " + FOLD_SCHEMA_EXTRA
-    return parts.mapInArrow(lambda it: _fold_batches(key, refusal, it), schema)
+    columns = [f"`{c}`" for c in commands.columns if c not in ("start_balance", "pre_error")]
+    k, by = f"`{key}`", ", ".join(f"`{c}`" for c in order)
+    d = bucketed(commands.withColumn("_step", F.expr("if(pre_error is null, coalesce(amount, 0L), 0L)")),
+                 key, order, RANGE)
+    inside = f"over (partition by {k}, _bucket order by {by} rows unbounded preceding)"
+    placed = _written(d.selectExpr(
+        *columns, "start_balance", "pre_error", "_bucket", "_step",
+        f"sum(cast(_step as {WIDE})) {inside} as _sum", f"row_number() {inside} - 1 as _place"), "fold-rows")
+
+    # 1. and 2.: buckets, their plain opening balance, and which to open
+    per = placed.groupBy(F.expr(f"{k} as _k"), F.expr("_bucket as _b")).agg(F.expr(f"""struct(
+        sum(cast(_step as {WIDE})) as total, min(_sum) as low, first(start_balance) as start,
+        sum(cast(greatest(_step, 0L) as {WIDE})) as credits)""").alias("s")).select("_k", "_b", "s.*")
+    per = per.selectExpr(
+        "_k", "_b", "total", "low", f"start + sum(credits) over (partition by _k) > {LARGEST} as wide",
+        f"""cast(start + coalesce(sum(total) over (partition by _k order by _b
+            rows between unbounded preceding and 1 preceding), 0) as {WIDE}) as _at""")
+    per = per.selectExpr("_k", "_b", "total", "_at", "wide or _at + low < 0 as _open")
+    per = _written(per.selectExpr("*", "min(if(_open, _b, null)) over (partition by _k) as _first"), "fold-buckets")
+
+    # 3.: arrays of the opened buckets and sums of the skipped ones, in order
+    skipped = per.filter("_b >= _first and not _open").selectExpr(
+        "_k", "_b", "-1 as _segment", "cast(_at as bigint) as _opening", "cast(total as bigint) as _total",
+        "cast(null as array<bigint>) as _amounts")
+    opening = per.filter("_open").selectExpr("_k", "_b", "cast(if(_b = _first, _at, null) as bigint) as _opening")
+    packed = (placed.selectExpr(f"{k} as _k1", "_bucket", "_place", "_step")
+              .join(opening, F.expr("_k1 <=> _k and _bucket = _b"))
+              .groupBy("_k", "_b", F.expr(f"cast(_place div {SEGMENT} as int) as _segment"))
+              .agg(F.expr("max(_opening) as _opening"), F.expr("0L as _total"), F.expr(
+                  "transform(array_sort(collect_list(struct(_place, _step))), x -> x._step) as _amounts")))
+    kind = commands.schema[key].dataType.simpleString()
+    found = (skipped.unionByName(packed).repartition("_k").sortWithinPartitions("_k", "_b", "_segment")
+             .mapInArrow(_corrections, f"_k3 {kind}, _b3 int, _s3 int, _added {WIDE}, _bits array<bigint>"))
+
+    # 4.: rows before any possible refusal of their key, and those after it
+    rows = placed.join(per.select("_k", "_b", "_at", "_open", "_first"), F.expr(f"{k} <=> _k and _bucket = _b"))
+    kept = [*columns, "pre_error", "_at + _sum as _plain"]
+    before_any = rows.filter("_first is null or _b < _first").selectExpr(
+        *kept, f"cast(0 as {WIDE}) as _added", "false as _refused")
+    after = (rows.filter("_b >= _first")
+             .withColumn("_segment", F.expr(f"if(_open, cast(_place div {SEGMENT} as int), -1)"))
+             .join(found, F.expr("_k <=> _k3 and _b = _b3 and _segment = _s3"))
+             .withColumn("_refused", F.expr(f"""coalesce(shiftright(get(_bits, cast(_place % {SEGMENT} div 64 as int)),
+                                                cast(_place % 64 as int)) & 1L = 1L, false)""")))
+    after = after.selectExpr(*kept, f"""cast(_added - sum(cast(if(_refused, _step, 0L) as {WIDE})) over (
+        partition by _k, _b, _segment order by _place rows unbounded preceding) as {WIDE}) as _added""", "_refused")
+    told = refusal.replace("\\", "\\\\").replace("'", "\\'")
+    every = before_any.unionByName(after).withColumn("new_balance", F.expr("cast(_plain + _added as bigint)"))
+    every = every.withColumn("error", F.expr(f"""coalesce(pre_error, if(_refused,
+        if(cast(new_balance as {WIDE}) + amount < 0, '{told}', '{ERR_RANGE}'), null))"""))
+    return every.selectExpr(*columns, "error is null as ok", "error",
+                            "if(error is null, new_balance - amount, new_balance) as balance_before", "new_balance")

@@ -17,14 +17,16 @@ tasks as it has buckets; the join with the offsets is on the same columns and
 reuses that partitioning.
 
 A day can itself be hot (one key, one day, a third of all rows).  Passing
-``bucket=RANGE`` instead cuts the rows at quantiles of (key, order), so even a
-single key and a single timestamp are split by the tie-break column.  The cuts
-come from a sample of fixed size, the rows with the smallest hashes of (key,
-order): it is a function of the data alone, so every branch of a plan finds the
-same cuts, and the bucket of a row is a binary search in a one-row broadcast.
-It is non-decreasing in the order by construction, so the result is exact; the
-price is one more pass over the key and order columns.  Nothing runs while the
-DataFrame is built and nothing is written.
+``bucket=RANGE`` instead cuts the rows of a key at some of its own rows: those
+whose hash of (key, order) is 0 modulo ``SPLIT_ROWS``.  So a bucket holds about
+``SPLIT_ROWS`` rows whatever the key's size, a small key is one bucket, and even a
+single timestamp is split by the tie-break column.  Which rows are cuts is a
+function of the rows alone, so every branch of a plan finds the same ones.  At most
+``MOST_CUTS`` of them (the smallest hashes) travel in one broadcast: beyond
+``SPLIT_ROWS * MOST_CUTS`` rows buckets grow, to a 65,536th of the table.  A row's
+bucket is a binary search in the cuts of its key, non-decreasing in the order by
+construction, so the result is exact; the price is one more pass over the key and
+order columns.  Nothing runs while the DataFrame is built and nothing is written.
 
 Floor at zero (``e_i = max(e_{i-1} + d_i, 0)``, ``e_0 = w0``) has the closed
 form ``e_i = S_i - least(-w0, min_{j<=i} S_j)`` with ``S`` the running sum of
@@ -38,40 +40,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE = "range"
-MOST_BUCKETS = 1024
-SAMPLES_PER_BUCKET = 20
+SPLIT_ROWS = 1 << 15
+MOST_CUTS = 1 << 16
 
 
 def _order(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _cuts(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
-    """One row: at most ``n - 1`` points (key, order) that cut the rows into
-    about equal parts, in order."""
-    sample = (df.select(F.struct(key, *order).alias("_k")).withColumn("_h", F.xxhash64("_k"))
-              .orderBy("_h", "_k").limit(SAMPLES_PER_BUCKET * n))
-    every = sample.agg(F.array_sort(F.collect_list("_k")).alias("_all"))
-    at = lambda i: F.get("_all", (i * F.size("_all") / n).cast("int"))
-    return every.select(F.array_compact(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.lit(max(1, n - 1))), at))).alias("_cuts"))
+def _cuts(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """_ck (key), _cuts (sorted points at which its rows are cut): at most
+    ``MOST_CUTS`` points in all."""
+    points = df.select(F.col(key).alias("_ck"), F.struct(*order).alias("_p"),
+                       F.xxhash64(key, *order).alias("_h"))
+    return (points.filter(F.pmod("_h", F.lit(SPLIT_ROWS)) == 0)
+            .orderBy("_h", "_ck", "_p").limit(MOST_CUTS)
+            .groupBy("_ck").agg(F.array_sort(F.collect_set("_p")).alias("_cuts")))
 
 
 def bucketed(df: DataFrame, key: str, order: list, bucket) -> DataFrame:
-    """``df`` with a ``_bucket`` column that is non-decreasing in (key, order).
-
-    A range bucket is the number of cuts up to the row.  There are as many
-    buckets as shuffle partitions, at most ``MOST_BUCKETS`` (the cuts travel in
-    one broadcast row).
-    """
+    """``df`` with a ``_bucket`` column that is non-decreasing in the order of each
+    key; a range bucket is the number of its key's cuts up to the row."""
     if isinstance(bucket, str) and bucket == RANGE:
-        n = min(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        jumps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
-        point = F.struct(key, *order)
-        place = F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(
-            F.get("_cuts", at + jump - 1) <= point, at + jump).otherwise(at))
-        return (df.crossJoin(F.broadcast(_cuts(df, key, order, n)))  # one row by construction
-                .withColumn("_bucket", place).drop("_cuts"))
+        jumps = ", ".join(str(1 << k) for k in reversed(range(MOST_CUTS.bit_length())))
+        point = "struct(" + ", ".join(f"`{c}`" for c in order) + ")"
+        place = F.expr(f"if(_cuts is null, 0, aggregate(array({jumps}), 0, (at, jump) -> "
+                       f"if(get(_cuts, at + jump - 1) <= {point}, at + jump, at)))")
+        cuts = F.broadcast(_cuts(df, key, order))  # at most MOST_CUTS points
+        return (df.join(cuts, F.col(key).eqNullSafe(F.col("_ck")), "left")
+                .withColumn("_bucket", place).drop("_ck", "_cuts"))
     return df.withColumn("_bucket", bucket)
 
 

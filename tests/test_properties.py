@@ -8,6 +8,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import pytest
+
+from escrowlens.plans import fold, prefix
 from escrowlens.plans.fold import ordered_guarded_fold
 from escrowlens.plans.prefix import RANGE, previous_value, running_clamped, running_sum
 
@@ -75,7 +78,7 @@ def test_guarded_fold_matches_sequential(spark, rows, start):
         "k", "seq", F.col("v").alias("amount"), F.lit(start).cast("bigint").alias("start_balance"),
         F.when(F.col("v") == 0, F.lit("zero")).alias("pre_error"))
     got = {r["seq"]: (r["ok"], r["new_balance"])
-           for r in ordered_guarded_fold(df, "k", ["seq"], num_partitions=3).collect()}
+           for r in ordered_guarded_fold(df, "k", ["seq"]).collect()}
 
     def step(b, v):
         if v == 0:
@@ -120,26 +123,18 @@ def test_range_buckets_match_fold(spark, rows, start):
     assert got == _python_by_key(rows, lambda prev, v: (v, prev), None)
 
 
-def test_range_buckets_split_one_hot_key_and_day(spark):
+def test_range_buckets_split_one_hot_key_and_day(spark, monkeypatch):
     """One key, one day, many rows: the range buckets spread it over tasks."""
     import datetime as _dt
     rows = [("hot", i, _dt.datetime(2024, 1, 1, 12), (i % 7) - 3) for i in range(4000)]
     rows += [("cold", i, _dt.datetime(2024, 1, 2), 1) for i in range(4000, 4010)]
     df = spark.createDataFrame(rows, "k string, seq long, ts timestamp_ntz, v long")
     from escrowlens.plans.prefix import bucketed
-    # AQE merges small ranges; at this toy size, switch that off as if the
-    # hot key were large, so the split itself is visible.
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        buckets = bucketed(df, "k", ["ts", "seq"], RANGE).filter("k = 'hot'") \
-            .select("_bucket").distinct().count()
-        got = running_clamped(df, "k", ["ts", "seq"], "v", "e", bucket=RANGE)
-        res = {r["seq"]: r["e"] for r in got.filter("k = 'hot'").collect()}
-    finally:
-        spark.conf.set(key, old)
-    assert buckets > 1
+    monkeypatch.setattr(prefix, "SPLIT_ROWS", 256)  # as if the hot key were large
+    buckets = bucketed(df, "k", ["ts", "seq"], RANGE).filter("k = 'hot'").select("_bucket").distinct().count()
+    got = running_clamped(df, "k", ["ts", "seq"], "v", "e", bucket=RANGE)
+    res = {r["seq"]: r["e"] for r in got.filter("k = 'hot'").collect()}
+    assert buckets > 4
     exp, b = {}, 0
     for k, seq, _, v in rows[:4000]:
         b = max(b + v, 0)
@@ -160,7 +155,7 @@ def test_guarded_fold_carries_state_across_arrow_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         got = {r["seq"]: (r["ok"], r["new_balance"])
-               for r in ordered_guarded_fold(df, "k", ["seq"], num_partitions=2).collect()}
+               for r in ordered_guarded_fold(df, "k", ["seq"]).collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     bal, exp = {}, {}
@@ -174,16 +169,70 @@ def test_guarded_fold_carries_state_across_arrow_batches(spark):
     assert got == exp
 
 
-def test_fold_of_a_hot_key_is_split_until_its_first_refusal(spark):
-    """One wallet over many range buckets: Python sees only what follows a refusal."""
-    rows = [("hot", i, 5 if i % 2 else -4) for i in range(3000)] + [("bad", i, -1) for i in range(3000, 3020)]
-    df = spark.createDataFrame(rows, "k string, seq long, amount long").select(
-        "*", F.when(F.col("k") == "hot", 10).otherwise(3).cast("bigint").alias("start_balance"),
-        F.lit(None).cast("string").alias("pre_error"))
-    out = ordered_guarded_fold(df, "k", ["seq"])
-    got = {r["seq"]: (r["ok"], r["new_balance"]) for r in out.collect()}
-    bal = {"hot": 10, "bad": 3}
+def _fold_frame(spark, rows, start=10):
+    return spark.createDataFrame(rows, "k string, seq long, amount long").select(
+        "*", F.lit(start).cast("bigint").alias("start_balance"), F.lit(None).cast("string").alias("pre_error"))
+
+
+def _fold_by_hand(rows, start=10):
+    bal, exp = {}, {}
     for k, seq, v in rows:
-        ok = bal[k] + v >= 0
-        bal[k] += v if ok else 0
-        assert got[seq] == (ok, bal[k])
+        b = bal.setdefault(k, start)
+        ok = 0 <= b + v < 2 ** 63
+        bal[k] = b + v if ok else b
+        exp[seq] = (ok, b, bal[k])
+    return exp
+
+
+def _folded(df):
+    return {r["seq"]: (r["ok"], r["balance_before"], r["new_balance"])
+            for r in ordered_guarded_fold(df, "k", ["seq"]).collect()}
+
+
+@pytest.mark.parametrize("split, segment", [(64, 64), (97, 128), (1 << 15, 512)])
+def test_hot_wallet_with_refusals_throughout_is_split(spark, monkeypatch, split, segment):
+    """A third of the rows in one wallet that refuses all the time: equal to the
+    sequential fold, over many buckets and segments."""
+    import random
+    monkeypatch.setattr(prefix, "SPLIT_ROWS", split)
+    monkeypatch.setattr(fold, "SEGMENT", segment)
+    rnd = random.Random(split)
+    rows = [("hot" if i % 3 == 0 else f"k{i % 40}", i, rnd.randint(-50, 30) if i % 9 else rnd.randint(0, 150))
+            for i in range(6000)]
+    rows += [("rich", 6000 + i, -3 if i % 2 else 5) for i in range(500)]  # never refused
+    rows += [(None, 7000 + i, 1 - 2 * (i % 2)) for i in range(20)]
+    exp = _fold_by_hand(rows)
+    assert sum(not ok for ok, _, _ in exp.values()) > 500
+    assert _folded(_fold_frame(spark, rows)) == exp
+    parts = prefix.bucketed(_fold_frame(spark, rows), "k", ["seq"], prefix.RANGE).groupBy("k", "_bucket").count()
+    sizes = [r["count"] for r in parts.filter("k = 'hot'").collect()]
+    assert sum(sizes) == 2000 and (len(sizes) > 8 or split > 2000)
+
+
+def test_fold_near_the_bigint_range(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "SPLIT_ROWS", 4)
+    top = 2 ** 63 - 1
+    rows = [("a", i, v) for i, v in enumerate([top - 10, 5, -top, top, 1, -3, -top, top - 20, 30, -9, top, -4])]
+    rows += [("b", 100 + i, v) for i, v in enumerate([-11, top, -5, 20, -top] * 5)]
+    assert _folded(_fold_frame(spark, rows)) == _fold_by_hand(rows)
+
+
+def test_rows_never_enter_python_and_keys_without_refusal_have_no_array(spark, monkeypatch):
+    """Only (key, bucket, segment, amounts) of opened buckets meet mapInArrow."""
+    monkeypatch.setattr(prefix, "SPLIT_ROWS", 50)
+    rows = [("hot", i, 5 if i % 2 else -4) for i in range(3000)] + [("bad", i, -1) for i in range(3000, 3020)]
+    out = ordered_guarded_fold(_fold_frame(spark, rows).withColumn("payload", F.lit("x")), "k", ["seq"])
+    assert {r["seq"]: (r["ok"], r["balance_before"], r["new_balance"]) for r in out.collect()} == _fold_by_hand(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    arrow = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert len(arrow) == 1 and "payload" not in arrow[0]
+    real = fold._corrections
+    monkeypatch.setattr(fold, "_corrections", lambda batches: real(passed_on(batches)))
+    count = spark.sparkContext.accumulator(0)
+
+    def passed_on(batches):
+        for b in batches:
+            count.add(b.num_rows)
+            yield b
+    ordered_guarded_fold(_fold_frame(spark, rows), "k", ["seq"]).collect()
+    assert count.value == 1  # one array: the wallet "bad"
