@@ -10,9 +10,21 @@ from escrowlens.registry.core import register
 from escrowlens.session import scratch_path
 from escrowlens.sources import commands as src
 from escrowlens.sources.marketplace import marketplace_paths
+from escrowlens.sources.versions import VersionedTable
 from escrowlens.streaming import streams as st
 
 ASOF = "2001-08-01 00:00:00"
+ORDERS_PER_PART = 20_000
+
+
+STEPS = 4
+
+
+def _in_steps(rows, order, name):
+    """Rows as a feed folder of ``STEPS`` files, one per micro-batch."""
+    path = scratch_path(rows.sparkSession, f"feed-{name}")
+    rows.repartitionByRange(STEPS, order).write.parquet(path)
+    return path
 
 
 def _paths(spark, sf_dir):
@@ -25,19 +37,21 @@ WHERE trim(body) <> ''
 """, needs_session=True)
 def stream_messages(t, spark, sf_dir):
     """Change feed of new messages for all conversations (dedup by id, no blanks)."""
-    feed = st.not_blank(st.message_feed(spark, _paths(spark, sf_dir)["messages"]))
-    return _all(st.run_dedup(feed, "id", "created_at", "messages"))
+    path = _in_steps(t["messages"], "created_at", "messages")
+    feed = st.not_blank(st.message_feed(spark, path, max_files=1))
+    return _all(st.run_dedup(feed, "id", "created_at", "messages"), "id")
 
 
-def _all(parts):
-    """Rows and dead letters together, once each (the caller wants nothing lost)."""
+def _all(parts, id_col):
+    """The written rows, as they are, and the dead letters that aren't among them."""
     rows, late = parts
-    return rows.unionByName(late).distinct()
+    lost = late.dropDuplicates([id_col]).join(rows.select(id_col), id_col, "left_anti")
+    return rows.unionByName(lost.select(*rows.columns))
 
 
 def _status_events(spark, sf_dir, name):
     feed = st.status_feed(spark, _paths(spark, sf_dir)["status_events"])
-    return _all(st.run_dedup(feed, "event_id", "ts", name))
+    return _all(st.run_dedup(feed, "event_id", "ts", name), "event_id")
 
 
 @register("stream_dedup", """
@@ -54,8 +68,9 @@ WHERE status = 'disputed'
 """, needs_session=True)
 def stream_dispute_alerts(t, spark, sf_dir):
     """One alert per notification moving an order to disputed."""
-    feed = st.status_feed(spark, _paths(spark, sf_dir)["status_events"]).filter("status = 'disputed'")
-    return _all(st.run_dedup(feed, "event_id", "ts", "disputes"))
+    path = _in_steps(t["status_events"], "ts", "disputes")
+    feed = st.status_feed(spark, path, max_files=1).filter("status = 'disputed'")
+    return _all(st.run_dedup(feed, "event_id", "ts", "disputes"), "event_id")
 
 
 @register("stream_last_message", """
@@ -66,8 +81,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id
 """, needs_session=True)
 def stream_last_message(t, spark, sf_dir):
     """Last message per conversation, merged from the micro-batches."""
-    feed = st.message_feed(spark, _paths(spark, sf_dir)["messages"])
-    last = st.run_merged(feed, st.last_message_partial, st.merge_last_message, "last-message")
+    feed = st.message_feed(spark, _in_steps(t["messages"], "created_at", "last-message"), max_files=1)
+    last = st.run_merged(feed, st.last_message_partial, st.merge_last_message, "last-message", compact_every=2)
     return last.select("conversation_id", "last.body", "last.created_at").toDF(
         "conversation_id", "last_message", "last_message_at").withColumn(
         "last_message_at", F.col("last_message_at").cast("timestamp_ntz"))
@@ -86,14 +101,14 @@ WHERE NOT m.is_read AND m.sender_id <> v.viewer_id
 GROUP BY 1, 2
 """, needs_session=True)
 def stream_unread(t, spark, sf_dir):
-    """Live unread count per (conversation, viewer): inserts minus reads."""
-    messages = _all(st.run_dedup(st.message_feed(spark, _paths(spark, sf_dir)["messages"]),
-                                 "id", "created_at", "unread-messages"))
-    path = scratch_path(spark, "feed-reads")
-    src.conversation_reads(t).write.parquet(path)
-    feed = st.feed(spark, path, "conversation_id string, viewer_id string, read_at timestamp_ntz", "read_at")
-    reads = st.run_merged(feed, st.read_partial, st.merge_reads, "unread-reads")
-    return st.live_unread(messages, reads, t["conversations"])
+    """Live unread count per (conversation, viewer): both feeds in one stream of
+    several micro-batches over an incrementally updated state."""
+    messages = _in_steps(t["messages"], "created_at", "unread-messages")
+    reads = _in_steps(src.conversation_reads(t), "read_at", "unread-reads")
+    return st.run_unread(
+        st.message_feed(spark, messages, max_files=1),
+        st.feed(spark, reads, "conversation_id string, viewer_id string, read_at timestamp_ntz", "read_at", max_files=1),
+        t["conversations"], "query", n_parts=4)
 
 
 @register("stream_forum", """
@@ -103,8 +118,8 @@ FROM m_forum GROUP BY 1, 2, 3
 """, needs_session=True)
 def stream_forum(t, spark, sf_dir):
     """Forum messages per room per hour from the forum change feed."""
-    feed = st.forum_feed(spark, _paths(spark, sf_dir)["forum_messages"])
-    return st.run_merged(feed, st.forum_window_partial, st.merge_forum_windows, "forum")
+    feed = st.forum_feed(spark, _in_steps(t["forum_messages"], "created_at", "forum"), max_files=1)
+    return st.run_merged(feed, st.forum_window_partial, st.merge_forum_windows, "forum", compact_every=2)
 
 
 @register("stream_order_status", """
@@ -120,20 +135,41 @@ def stream_order_status(t, spark, sf_dir):
     return st.latest_status(_status_events(spark, sf_dir, "order-status"))
 
 
-@register("stream_payments", """
+PAYMENTS_SQL = """
 , pn AS (SELECT id AS order_id, CASE WHEN quantity % 4 = 0 THEN 'expired' ELSE 'paid' END AS status,
                 created_at + to_hours(CASE WHEN quantity % 5 = 0 THEN -24 ELSE 1 END) AS ts
-         FROM m_orders WHERE status IN ('pending_payment', 'paid', 'cancelled'))
-SELECT o.id AS order_id, o.status AS old_status, pn.ts AS updated_at, 'paid' AS status
-FROM m_orders o JOIN pn ON pn.order_id = o.id
-WHERE o.status = 'pending_payment' AND pn.status = 'paid' AND pn.ts >= o.created_at
-""", needs_session=True)
+         FROM m_orders WHERE status IN ('pending_payment', 'paid', 'cancelled')),
+paid AS (SELECT o.id AS order_id, o.status AS old_status, pn.ts AS updated_at, 'paid' AS status
+         FROM m_orders o JOIN pn ON pn.order_id = o.id
+         WHERE o.status = 'pending_payment' AND pn.status = 'paid' AND pn.ts >= o.created_at)
+"""
+
+
+def _notices(t, spark, name):
+    path = _in_steps(src.payment_notices(t), "ts", name)
+    return st.feed(spark, path, "event_id string, order_id string, status string, ts timestamp_ntz", "ts", max_files=1)
+
+
+@register("stream_payments", PAYMENTS_SQL + "SELECT * FROM paid", needs_session=True)
 def stream_payments(t, spark, sf_dir):
     """Orders that payment notices move from pending_payment to paid."""
-    path = scratch_path(spark, "feed-payments")
-    src.payment_notices(t).write.parquet(path)
-    feed = st.feed(spark, path, "event_id string, order_id string, status string, ts timestamp_ntz", "ts")
-    return st.apply_payments(t["orders"], _all(st.run_dedup(feed, "event_id", "ts", "payments")))
+    notices = _all(st.run_dedup(_notices(t, spark, "payments"), "event_id", "ts", "payments", horizon_hours=24 * 60), "event_id")
+    return st.apply_payments(t["orders"], notices)
+
+
+@register("orders_after_payments", PAYMENTS_SQL + """
+SELECT o.id, o.buyer_id, o.total_amount, coalesce(p.status, o.status) AS status, o.created_at,
+       coalesce(p.updated_at, o.created_at) AS updated_at
+FROM m_orders o LEFT JOIN paid p ON p.order_id = o.id
+""", needs_session=True)
+def orders_after_payments(t, spark, sf_dir):
+    """The orders table itself after the payment notices: each micro-batch replaces
+    the orders it moves, in the ranges of order numbers that hold them."""
+    rows = t["orders"].select("id", "buyer_id", "total_amount", "status", "created_at",
+                              F.col("created_at").alias("updated_at"))
+    part = F.floor(F.split_part("id", F.lit("-"), F.lit(1)).cast("bigint") / ORDERS_PER_PART)
+    orders = VersionedTable.create(rows, "orders", ["id"], part)
+    return st.run_payments(_notices(t, spark, "paid-orders"), orders, "query")
 
 
 @register("orders_auto_complete_due", f"""

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from escrowlens.session import scratch_path
 from escrowlens.sources.schemas import SCHEMAS
+from escrowlens.sources.versions import VersionedTable, batches_in, exists, remove
 
 # Late-data policy: ids are compared with those of this much event time before
 # the newest seen; older events go to the dead letters (``run_dedup``), or are
@@ -197,24 +198,45 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], wanted)
 
 
+SEEN_SCHEMA = "newest timestamp, slots array<bigint>"
+
+
 def dedup_step(base: str, id_col: str, ts_col: str, horizon_hours: int):
-    """The work of one micro-batch of ``run_dedup``, as a foreachBatch function."""
+    """The work of one micro-batch of ``run_dedup``, as a foreachBatch function.
+
+    Rows lie below ``rows/slot=<event time by horizons>/b=<batch>``.  One row per
+    batch, in ``seen``, keeps the newest event time so far and the slots that still
+    reach into the horizon, so a batch reads those two or three folders and no others.
+    """
+    slot_of = lambda t: F.floor(F.unix_seconds(t) / (3600 * horizon_hours))
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        meta = T.StructType([T.StructField("newest", T.TimestampType())])
-        old = F.col("b") < batch_id
-        newest = _stored(spark, f"{base}/newest", meta).filter(old).agg(F.max("newest").alias("newest"))
-        edge = newest.select((F.col("newest") - F.make_dt_interval(
-            F.lit(0), F.lit(horizon_hours))).alias("_edge"))
+        before = [b for b in batches_in(spark, f"{base}/seen") if b < batch_id]
+        seen = (spark.read.schema(SEEN_SCHEMA).parquet(f"{base}/seen/b={before[-1]}")
+                .select(F.unix_micros("newest").alias("newest"), "slots").first() if before else None)  # one row
+        last = F.timestamp_micros(F.lit(seen["newest"] if seen else None).cast("bigint"))
+        edge = last - F.make_dt_interval(F.lit(0), F.lit(horizon_hours))
+        slots = seen["slots"] or [] if seen else []
         rows = batch.persist()  # read once, written three times
-        edged = rows.crossJoin(F.broadcast(edge))  # one row
-        is_late = F.coalesce(F.col(ts_col) < F.col("_edge"), F.lit(False))
-        known = _stored(spark, f"{base}/rows", batch.schema).filter(old).crossJoin(F.broadcast(edge)) \
-            .filter(F.col(ts_col) >= F.col("_edge")).select(id_col)
-        fresh = edged.filter(~is_late).drop("_edge").dropDuplicates([id_col]).join(known, id_col, "left_anti")
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{base}/rows/b={batch_id}")
-        edged.filter(is_late).drop("_edge").write.mode("overwrite").parquet(f"{base}/late/b={batch_id}")
-        rows.agg(F.max(ts_col).alias("newest")).write.mode("overwrite").parquet(f"{base}/newest/b={batch_id}")
+        is_late = F.coalesce(F.col(ts_col) < edge, F.lit(False))
+        fresh = rows.filter(~is_late).dropDuplicates([id_col])
+        held = [p for p in (f"{base}/rows/slot={k}" for k in slots) if exists(spark, p)]
+        if held:
+            wanted = T.StructType([*batch.schema.fields, T.StructField("b", T.LongType())])
+            known = (spark.read.schema(wanted).option("basePath", f"{base}/rows").parquet(*held)
+                     .filter((F.col("b") < batch_id) & (F.col(ts_col) >= edge)).select(id_col))
+            fresh = fresh.join(known, id_col, "left_anti")
+        placed = fresh.withColumns({"slot": slot_of(F.col(ts_col)), "b": F.lit(batch_id)})
+        (placed.repartition("slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("slot", "b").parquet(f"{base}/rows"))
+        rows.filter(is_late).write.mode("overwrite").parquet(f"{base}/late/b={batch_id}")
+        now = rows.agg(F.max(ts_col).alias("m"), F.collect_set(F.when(~is_late, slot_of(F.col(ts_col)))).alias("s"))
+        newest = F.greatest("m", last)
+        first = slot_of(newest - F.make_dt_interval(F.lit(0), F.lit(horizon_hours)))
+        every = F.array_union("s", F.array(*map(F.lit, slots)).cast("array<bigint>"))
+        (now.select(newest.alias("newest"), F.filter(every, lambda k: k >= first).alias("slots"))
+         .write.mode("overwrite").parquet(f"{base}/seen/b={batch_id}"))
         rows.unpersist()
     return step
 
@@ -224,38 +246,47 @@ def run_dedup(df: DataFrame, id_col: str, ts_col: str, name: str, horizon_hours:
     """Run a feed to the end of the available input; each id is written once.
 
     An id is compared with the ids written in the last ``horizon_hours`` of
-    event time.  Rows older than that when they arrive are not dropped: they are
+    event time, which is all that a micro-batch reads.  Rows older than that when they arrive are not dropped: they are
     the second result, the dead letters, for the caller to look at or to count.
     """
     base = scratch_path(df.sparkSession, f"dedup-{name}")
     _run(df, dedup_step(base, id_col, ts_col, horizon_hours), base)
-    rows, late = (_ntz(_stored(df.sparkSession, f"{base}/{kind}", df.schema).drop("b"))
+    rows, late = (_ntz(_stored(df.sparkSession, f"{base}/{kind}", df.schema).select(*df.columns))
                   for kind in ("rows", "late"))
     return rows, late
 
 
 def merged_step(base: str, partial, merge, compact_every: int = COMPACT_EVERY):
-    """The work of one micro-batch of ``run_merged``, as a foreachBatch function."""
+    """The work of one micro-batch of ``run_merged``, as a foreachBatch function.
+
+    Every ``compact_every`` batches the newest fold and the partials after it become
+    a fold; the partials and the fold before that one, which no replay can need any
+    more, are removed.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         part = partial(batch)
         part.write.mode("overwrite").parquet(f"{base}/part/b={batch_id}")
         if (batch_id + 1) % compact_every == 0:
-            so_far = _merged(batch.sparkSession, base, part.schema, merge, compact_every, batch_id)
-            so_far.write.mode("overwrite").parquet(f"{base}/full/b={batch_id}")
+            _merged(spark, base, part.schema, merge, batch_id).write.mode("overwrite").parquet(
+                f"{base}/full/b={batch_id}")
+            folded = batch_id - compact_every
+            for kind, last in (("part", folded), ("full", folded - 1)):
+                for b in batches_in(spark, f"{base}/{kind}"):
+                    if b <= last:
+                        remove(spark, f"{base}/{kind}/b={b}")
     return step
 
 
-def _merged(spark, base, schema, merge, compact_every, last: int | None = None) -> DataFrame:
-    """All partials up to ``last`` merged: the newest full table before it and
-    the partials since."""
-    full, part = (_stored(spark, f"{base}/{kind}", schema) for kind in ("full", "part"))
+def _merged(spark, base, schema, merge, last: int | None = None) -> DataFrame:
+    """All partials up to ``last`` merged: the newest fold before it and the
+    partials since, read by their paths."""
+    full, part = (batches_in(spark, f"{base}/{kind}") for kind in ("full", "part"))
     if last is not None:
-        full, part = full.filter(F.col("b") < last), part.filter(F.col("b") <= last)
-    newest = full.agg(F.max("b").alias("_at"))
-    at = F.coalesce("_at", F.lit(-1).cast("bigint"))
-    rows = full.crossJoin(F.broadcast(newest)).filter(F.col("b") == at).unionByName(
-        part.crossJoin(F.broadcast(newest)).filter(F.col("b") > at))  # one row
-    return merge(rows.drop("b", "_at"))
+        full, part = [b for b in full if b < last], [b for b in part if b <= last]
+    at = full[-1] if full else -1
+    paths = [f"{base}/full/b={b}" for b in full[-1:]] + [f"{base}/part/b={b}" for b in part if b > at]
+    return merge(spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema))
 
 
 def run_merged(df: DataFrame, partial, merge, name: str, compact_every: int = COMPACT_EVERY
@@ -263,7 +294,105 @@ def run_merged(df: DataFrame, partial, merge, name: str, compact_every: int = CO
     """Run a feed to the end of the available input; return the merged partials."""
     base = scratch_path(df.sparkSession, f"merged-{name}")
     _run(df, merged_step(base, partial, merge, compact_every), base)
-    return _ntz(_merged(df.sparkSession, base, partial(df).schema, merge, compact_every))
+    return _ntz(_merged(df.sparkSession, base, partial(df).schema, merge))
+
+
+# ---------------------------------------------------------------- I4 (live)
+
+ROOMS_PER_PART = 4096  # parts of the unread state are ranges of hashed conversations
+UNREAD_SCHEMA = ("conversation_id string, kind string, viewer_id string, id string, at timestamp")
+
+
+def unread_feed(messages: DataFrame, reads: DataFrame) -> DataFrame:
+    """I4: both feeds as one stream of (conversation_id, kind, viewer_id, id, at).  A
+    message names its sender as ``viewer_id``; messages inserted as read are left out."""
+    m = messages.filter(~F.col("is_read")).select(
+        "conversation_id", F.lit("message").alias("kind"), F.col("sender_id").alias("viewer_id"), "id",
+        F.col("created_at").alias("at"))
+    r = reads.select("conversation_id", F.lit("read").alias("kind"), "viewer_id",
+                     F.lit("").alias("id"), F.col("read_at").alias("at"))
+    return m.unionByName(r)
+
+
+def unread_state(spark: SparkSession, name: str, n_parts: int) -> VersionedTable:
+    """The state of live unread counts: per conversation and viewer the latest
+    opening, and the messages newer than it."""
+    empty = spark.createDataFrame([], UNREAD_SCHEMA)
+    part = F.pmod(F.xxhash64("conversation_id"), F.lit(n_parts))
+    return VersionedTable.create(empty, f"unread-{name}", ["conversation_id", "kind", "viewer_id", "id"], part)
+
+
+def unread_step(state: VersionedTable, conversations: DataFrame):
+    """One micro-batch of live unread counts, as a foreachBatch function.
+
+    New messages wait for the other participant; a viewer's latest opening removes
+    what it covers, whichever comes first.  A repeated message is either still
+    waiting (same key) or covered by the opening that removed it, so late and
+    repeated rows of either feed need no memory of ids.  Only the parts of the
+    conversations in the batch are read and written.
+    """
+    key = ["conversation_id", "kind", "viewer_id", "id"]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        new = batch.persist()
+        rooms = new.select("conversation_id").distinct()
+        sides = conversations.select(F.col("id").alias("conversation_id"),
+                                     F.explode(F.array("user_a_id", "user_b_id")).alias("_side"))
+        waiting = (new.filter("kind = 'message'").join(sides, "conversation_id")
+                   .filter("_side <> viewer_id").drop("viewer_id").withColumnRenamed("_side", "viewer_id"))
+        old = state.near(rooms, batch_id + 1).join(rooms, "conversation_id", "left_semi")
+        rows = (old.unionByName(waiting.select(*old.columns))
+                .unionByName(new.filter("kind = 'read'").select(*old.columns))
+                .groupBy(*key).agg(F.max("at").alias("at")))
+        opened = rows.filter("kind = 'read'").select("conversation_id", "viewer_id", F.col("at").alias("_read"))
+        kept = (rows.join(opened, ["conversation_id", "viewer_id"], "left")
+                .filter("kind = 'read' or _read is null or at > _read").select(*old.columns))
+        state.upsert(kept, batch_id + 1, gone=old)
+        new.unpersist()
+    return step
+
+
+def unread_now(state: VersionedTable) -> DataFrame:
+    """Unread messages per (conversation, viewer) after the newest micro-batch."""
+    return (state.read().filter("kind = 'message'").groupBy("conversation_id", "viewer_id")
+            .agg(F.count(F.lit(1)).alias("unread_count")))
+
+
+def run_unread(messages: DataFrame, reads: DataFrame, conversations: DataFrame, name: str,
+               n_parts: int | None = None) -> DataFrame:
+    """I4: run both feeds to the end of the available input; return the counts."""
+    spark = messages.sparkSession
+    n = n_parts or max(1, -(-conversations.count() // ROOMS_PER_PART))
+    state = unread_state(spark, name, n)
+    _run(unread_feed(messages, reads), unread_step(state, conversations), scratch_path(spark, f"unread-{name}"))
+    return unread_now(state)
+
+
+# ---------------------------------------------------------------- I7 (orders really change)
+
+
+def payment_step(orders: VersionedTable):
+    """One micro-batch of payment notices applied to the orders table, as a
+    foreachBatch function: the parts that hold the named orders are read, the orders
+    that the guard lets through are replaced.  A notice seen again finds its order
+    paid and changes nothing."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        notices = batch.persist()
+        named = notices.select(F.col("order_id").alias("id")).filter("id is not null").distinct()
+        near = orders.near(named, batch_id + 1)
+        paid = apply_payments(near, notices).select(
+            F.col("order_id").alias("id"), F.col("status").alias("_status"), F.col("updated_at").alias("_at"))
+        changed = near.join(paid, "id").withColumns(
+            {"status": F.col("_status"), "updated_at": F.col("_at").cast(near.schema["updated_at"].dataType)})
+        orders.upsert(changed.select(*near.columns), batch_id + 1)
+        notices.unpersist()
+    return step
+
+
+def run_payments(notices: DataFrame, orders: VersionedTable, name: str) -> DataFrame:
+    """I7: run the notices to the end of the available input; return the orders."""
+    _run(notices, payment_step(orders), scratch_path(notices.sparkSession, f"payments-{name}"))
+    return orders.read()
 
 
 # ---------------------------------------------------------------- I8 (batch form)

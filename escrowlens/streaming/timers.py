@@ -88,7 +88,10 @@ def run_auto_complete(events: DataFrame, name: str, after_days: int = 3,
     out_t = "order_id string, delivered_at timestamp, due_at timestamp"
     try:
         res = spark.read.schema(out_t).parquet(f"{base}/out/*")
-    except AnalysisException:      # no input at all: nothing fired
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # no input at all: nothing fired
         res = spark.createDataFrame([], out_t)
     return res.select("order_id", F.col("delivered_at").cast("timestamp_ntz"),
                       F.col("due_at").cast("timestamp_ntz"))

@@ -71,7 +71,7 @@ def test_replayed_micro_batches_write_the_same_again(spark):
     got = spark.read.parquet(base + "/rows").select("event_id", "b").collect()
     assert sorted((r["event_id"], r["b"]) for r in got) == [(0, 0), (1, 0), (2, 1), (3, 2)]
     total = st._merged(spark, base, spark.read.parquet(base + "/part").drop("b").schema,
-                       lambda p: p.groupBy("status").agg(F.sum("count").alias("count")), 2)
+                       lambda p: p.groupBy("status").agg(F.sum("count").alias("count")))
     assert [r["count"] for r in total.collect()] == [6]
 
 
@@ -88,6 +88,122 @@ def test_last_message_merged_over_batches_equals_batch(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
 
 
+def test_work_of_a_micro_batch_stays_constant_over_fifty_batches(spark, monkeypatch):
+    """Deduplication opens the folders of the horizon alone, merging the newest fold
+    and what follows it; older partials are gone."""
+    t0 = dt.datetime(2024, 1, 1)
+    schema = SCHEMA.replace("timestamp_ntz", "timestamp")
+    base = tempfile.mkdtemp(prefix="long-")
+    dedup = st.dedup_step(base, "event_id", "ts", 24)
+    total = lambda p: p.groupBy("status").agg(F.sum("count").alias("count"))
+    merged = st.merged_step(base, lambda b: b.groupBy("status").count(), total, compact_every=5)
+    opened, real = [], st.exists
+    monkeypatch.setattr(st, "exists", lambda s, p: opened[-1].append(p) or real(s, p))
+    for k in range(50):
+        rows = [(k, k, "paid", t0 + dt.timedelta(hours=8 * k)), (max(k - 1, 0), 0, "paid", t0 + dt.timedelta(hours=8 * max(k - 1, 0)))]
+        opened.append([])
+        batch = spark.createDataFrame(rows, schema).coalesce(1)
+        dedup(batch, k)
+        merged(batch, k)
+    assert max(map(len, opened)) <= 3 and len(opened[-1]) >= 2
+    rows = spark.read.parquet(base + "/rows").collect()
+    assert sorted(r["event_id"] for r in rows) == list(range(50))
+    assert len(st.batches_in(spark, base + "/part")) <= 10 and len(st.batches_in(spark, base + "/full")) <= 2
+    schema = spark.read.parquet(base + "/part").drop("b").schema
+    assert [r["count"] for r in st._merged(spark, base, schema, total).collect()] == [100]
+
+
+def _unread_by_hand(messages, reads, sides):
+    read = {}
+    for c, v, at in reads:
+        read[c, v] = max(read.get((c, v), at), at)
+    got = {}
+    for m in {m[0]: m for m in messages}.values():
+        i, c, sender, is_read, at = m
+        for v in sides[c]:
+            if not is_read and v != sender and at > read.get((c, v), dt.datetime.min):
+                got[c, v] = got.get((c, v), 0) + 1
+    return got
+
+
+def test_live_unread_after_each_of_five_micro_batches(spark):
+    """Both feeds move together; late and repeated rows of either; a replayed batch."""
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    m_schema = "id string, conversation_id string, sender_id string, is_read boolean, created_at timestamp"
+    r_schema = "conversation_id string, viewer_id string, read_at timestamp"
+    sides = {f"c{k}": (f"a{k}", f"b{k}") for k in range(6)}
+    conversations = spark.createDataFrame([(c, *v) for c, v in sides.items()], "id string, user_a_id string, user_b_id string")
+    import random
+    rnd = random.Random(4)
+    state = st.unread_state(spark, "t", 3)
+    step = st.unread_step(state, conversations)
+    messages, reads = [], []
+    for k in range(5):
+        new_m = [(f"m{k}-{i}", f"c{rnd.randrange(6)}", None, rnd.random() < 0.1, at(rnd.randint(max(0, 20 * k - 30), 20 * k + 20)))
+                 for i in range(30)]
+        new_m = [(i, c, sides[c][rnd.randrange(2)], r, t) for i, c, _, r, t in new_m]
+        new_m += rnd.sample(messages, min(len(messages), 15)) + new_m[:3]  # repeated
+        new_r = [(c, sides[c][rnd.randrange(2)], at(rnd.randint(max(0, 20 * k - 40), 20 * k + 15)))
+                 for c in rnd.sample(sorted(sides), 3)]
+        messages, reads = messages + new_m, reads + new_r
+        batch = st.unread_feed(spark.createDataFrame(new_m, m_schema), spark.createDataFrame(new_r, r_schema))
+        for _ in range(2 if k in (2, 4) else 1):  # the third and the last are replayed
+            step(batch, k)
+        got = {(r["conversation_id"], r["viewer_id"]): r["unread_count"] for r in st.unread_now(state).collect()}
+        assert got == _unread_by_hand(messages, reads, sides), k
+    assert got
+
+
+def test_payments_change_orders_and_a_replay_changes_nothing(spark):
+    from escrowlens.sources.versions import VersionedTable
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [(k, "pending_payment" if k % 3 else "processing", at(5), at(5)) for k in range(400)]
+    table = VersionedTable.create(spark.createDataFrame(rows, "id long, status string, created_at timestamp, updated_at timestamp"),
+                                  "t-orders", ["id"], F.floor(F.col("id") / 10))
+    step = st.payment_step(table)
+    notice = lambda *r: spark.createDataFrame(r, "order_id long, status string, ts timestamp")
+    first = notice((1, "paid", at(7)), (1, "paid", at(6)), (2, "expired", at(6)), (3, "paid", at(6)), (4, "paid", at(4)), (None, "paid", at(6)))
+    step(first, 0)
+    step(first, 0)  # replayed after a failure
+    step(notice((1, "paid", at(9)), (5, "paid", at(8))), 1)  # the first one delivered again
+    now = {r["id"]: (r["status"], r["updated_at"]) for r in table.read().collect()}
+    assert len(now) == 400
+    changed = {k: v for k, v in now.items() if v != (rows[k][1], at(5))}
+    assert changed == {1: ("paid", at(6)), 5: ("paid", at(8))}
+
+
+def test_upsert_rewrites_only_the_parts_of_a_batch(spark):
+    """A 1 % batch of neighbouring keys rewrites under 5 % of the files; a job that
+    dies half-way leaves the table as it was; the same batch again gives the same table."""
+    from escrowlens.sources.versions import VersionedTable, append_batch, appended, batches_in, remove
+    base = spark.range(10_000).selectExpr("id", "id * 2 as v")
+    table = VersionedTable.create(base, "t-upsert", ["id"], F.floor(F.col("id") / 100))
+    assert len(table._parts()) == 100
+    changes = spark.range(1_000, 1_100).selectExpr("id", "-id as v").unionByName(spark.range(20_000, 20_001).selectExpr("id", "id as v"))
+    gone = spark.range(50, 52)
+    table.upsert(changes, 1, gone=gone)
+    want = {k: 2 * k for k in range(10_000) if k not in (50, 51)} | {k: -k for k in range(1_000, 1_100)} | {20_000: 20_000}
+    read = lambda: {r["id"]: r["v"] for r in table.read().collect()}
+    assert read() == want and table.read().count() == len(want)
+    now = table._parts()
+    assert sum(b == 1 for b in now.values()) == 3 and len(now) == 101  # of 100 parts: 10, 0 and the new one
+    table.upsert(changes, 1, gone=gone)  # repeated
+    assert read() == want and table._parts() == now
+    # killed after its data and before its list: readers don't see it
+    table.upsert(spark.range(7, 8).selectExpr("id", "0L as v"), 2)
+    remove(spark, f"{table.base}/parts/b=2/_SUCCESS")
+    assert read() == want
+    table.upsert(spark.range(7, 8).selectExpr("id", "0L as v"), 2)
+    assert read() == want | {7: 0}
+    table.forget(keep=1)
+    assert read() == want | {7: 0} and batches_in(spark, f"{table.base}/parts") == [2]
+    log = tempfile.mkdtemp(prefix="append-")
+    rows = spark.range(3).selectExpr("id")
+    for b in (0, 1, 1, 0):
+        append_batch(rows, log, b)
+    assert appended(spark, log, rows.schema).count() == 6
+
+
 def test_live_unread_is_inserts_minus_reads(spark):
     at = lambda h: dt.datetime(2024, 1, 1, h)
     messages = spark.createDataFrame(
