@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from escrowlens.operators import commands as cm
 from escrowlens.registry.core import register
+from escrowlens.session import scratch_path
 from escrowlens.sources import commands as src
 from escrowlens.sources.schemas import ORDER_EVOLUTION, conform, ensure_columns
-from escrowlens.sources.sinks import append_rows, publish_version
+from escrowlens.sources.versions import VersionedTable, append_batch, appended
 
 SETTING = "(SELECT value FROM m_settings WHERE key = 'commission_rate' ORDER BY updated_at DESC LIMIT 1)"
 ADMIN_ERR = "'Tidak punya akses admin.'"
@@ -98,6 +99,7 @@ FROM a_all, a_hit, a_sum
 """
 
 
+ORDERS_PER_PART = 20_000
 SETTLE = settle_ctes("m_settle_cmds")
 
 
@@ -151,9 +153,18 @@ register("settle_oldest_admin_wallet", settle_ctes("m_settle_cmds", "'0.00125'")
 
 @register("commission_published", SETTLE + SETTLED_COMMISSION, needs_session=True)
 def commission_published(t, spark, sf_dir):
-    """The commission table after settlement, published as a new version and read back."""
-    path = publish_version(cm.settle_commission(t, _cmds(t))["commission"], "commission")
-    return spark.read.parquet(path)
+    """The commission table after settlement: only the ranges of order numbers with a
+    settled order are written anew; the batch is repeated, as after a failure."""
+    done = cm.settle_commission(t, _cmds(t))
+    rows = done["commission"]
+    part = F.floor(F.split_part("order_id", F.lit("-"), F.lit(1)).cast("bigint") / ORDERS_PER_PART)
+    before = t["platform_commission"].select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields])
+    table = VersionedTable.create(before, "commission", ["order_id"], part)
+    moved = done["ledger"].select(F.col("ref_order_id").alias("order_id")).distinct()
+    changes = rows.join(moved, "order_id", "left_semi")
+    for _ in range(2):
+        table.upsert(changes, 1)
+    return table.read()
 
 
 @register("ledger_appended", SETTLE + """
@@ -163,10 +174,13 @@ SELECT source_cmd, wallet_id, type, amount, balance_after, description, ref_orde
 FROM (""" + SETTLED_LEDGER + ")", needs_session=True)
 def ledger_appended(t, spark, sf_dir):
     """The ledger with the settlement's rows appended, as the table's readers see it."""
-    path = publish_version(t["wallet_transactions"], "ledger")
+    path = scratch_path(spark, "table-ledger")
+    old = t["wallet_transactions"]
+    append_batch(old, path, 0)
     new = cm.settle_commission(t, _cmds(t))["ledger"].withColumnRenamed("source_cmd", "id")
-    append_rows(conform(new, "wallet_transactions", "2001-08-01 00:00:00"), path)
-    return spark.read.parquet(path)
+    for _ in range(2):  # the job is repeated, its rows are not
+        append_batch(conform(new, "wallet_transactions", "2001-08-01 00:00:00").select(*old.columns), path, 1)
+    return appended(spark, path, old.schema)
 
 # ---------------------------------------------------------------- J5
 
@@ -782,7 +796,7 @@ FROM aj_x
 @register("export_csv", REFUND + REFUND_AUDIT)
 def export_csv(t):
     """Audit rows of a refund batch exported as CSV and read back."""
-    from escrowlens.sources.sinks import export_csv as export
+        from escrowlens.sources.sinks import export_csv as export
     audit = cm.refund_orders(t, src.refund_commands(t))["audit"]
     path = export(audit, "refund-audit")
     spark = audit.sparkSession

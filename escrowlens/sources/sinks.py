@@ -1,10 +1,4 @@
-"""Sinks: appends, CSV export and whole-table replacement (§2 A6, A7, A10).
-
-Plain Parquet has no MERGE; an upsert is computed as a DataFrame (anti join +
-union, see ``operators.commands.settle_commission``) and published by writing
-a new folder and switching readers to it - never by rewriting files in place,
-so a failed job leaves the previous version intact.
-"""
+"""CSV export (§2 A10); appends and upserts are in ``sources.versions``."""
 
 from __future__ import annotations
 
@@ -13,19 +7,6 @@ from pyspark.sql import DataFrame
 from escrowlens.session import scratch_path
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Append derived rows (ledger, audit, notifications) to a table folder."""
-    df.write.mode("append").parquet(path)
-
-
-def publish_version(df: DataFrame, name: str) -> str:
-    """Write a table version to a fresh folder under the checkpoint folder and
-    return its path (readers switch to it; old versions stay readable)."""
-    path = scratch_path(df.sparkSession, f"table-{name}")
-    df.write.mode("errorifexists").parquet(path)
-    return path
-
-
 def export_csv(df: DataFrame, name: str) -> str:
     """Export rows as CSV with a header (one folder of part files)."""
     path = scratch_path(df.sparkSession, f"export-{name}")

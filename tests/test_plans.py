@@ -133,3 +133,31 @@ def test_no_join_shuffles_commands_by_their_actor(spark):
             assert not [x for x in plan.splitlines() if "hashpartitioning(actor_id" in x and "_salt" not in x]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_orders_without_product_are_spread(spark):
+    """Their rows in the largest task of the view's joins, with broadcasts off."""
+    from pyspark.sql import functions as F
+
+    from escrowlens.operators import views
+    rows = [(f"o{k}", k % 50 if k % 3 else None, f"B{k % 90}") for k in range(9000)]
+    names = "created_at status quantity total_amount platform_fee seller_payout commission_rate".split()
+    orders = spark.createDataFrame(rows, "id string, product_id long, buyer_id string") \
+        .withColumns({n: F.lit(None).cast("string") for n in names})
+    t = {"orders": orders, "products": spark.range(50).selectExpr("id", "'t' as title", "'c' as category", "concat('S', id % 7) as seller_id"),
+         "profiles": spark.range(90).selectExpr("concat('B', id) as id", "'n' as full_name", "'u' as username"),
+         "wallets": spark.createDataFrame([], "user_id string, balance long"),
+         "platform_commission": spark.createDataFrame([], "order_id string, fee_amount long, status string")}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        view = views.admin_orders_v2(t)
+        sizes = view.filter("product_title is null").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert view.count() == 9000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    counts = [r["count"] for r in sizes]
+    assert sum(counts) == 3000 and max(counts) < 2 * 3000 / 8
