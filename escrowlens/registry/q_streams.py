@@ -27,6 +27,19 @@ def _in_steps(rows, order, name):
     return path
 
 
+def _in_order(rows, order, name):
+    """As ``_in_steps``, the files written one after the other, oldest rows first:
+    the state store's watermark drops what comes too late."""
+    path = scratch_path(rows.sparkSession, f"feed-{name}")
+    at = F.unix_millis(F.col(order).cast("timestamp"))
+    cuts = rows.select(at.cast("double").alias("at")).approxQuantile("at", [k / STEPS for k in range(1, STEPS)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.filter(at >= low)
+        part = part if high is None else part.filter(at < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def _paths(spark, sf_dir):
     return marketplace_paths(spark, sf_dir)
 
@@ -207,8 +220,23 @@ def stream_auto_complete(t, spark, sf_dir):
 
 @register("stream_auto_complete_state", AUTO_SQL, needs_session=True)
 def stream_auto_complete_state(t, spark, sf_dir):
-    """The same timers kept in the state store (applyInPandasWithState,
-    event-time timeout): one Python call per order per batch."""
-    p = _paths(spark, sf_dir)
-    return st.run_append(st.auto_complete_timers(st.order_event_feed(spark, p["order_events"])),
-                         "auto-complete-state")
+    """The same timers in a RocksDB state store (transformWithState, event time), over
+    several micro-batches."""
+    path = _in_order(t["order_events"], "ts", "order-events")
+    timers = st.auto_complete_timers(st.order_event_feed(spark, path, max_files=1))
+    return st.run_timers(timers, scratch_path(spark, "auto-complete-state"))
+
+
+@register("armed_timers", """
+, e AS (SELECT order_id, status, ts, lead(ts) OVER (PARTITION BY order_id ORDER BY ts, status) AS next_ts
+        FROM m_order_events),
+wm AS (SELECT max(ts) - INTERVAL 1 DAY AS watermark FROM m_order_events)
+SELECT order_id, ts AS delivered_at FROM e, wm
+WHERE status = 'delivered' AND next_ts IS NULL AND ts + INTERVAL 3 DAY >= wm.watermark
+""", needs_session=True)
+def armed_timers(t, spark, sf_dir):
+    """Audit of the timers still armed, read back from the state store."""
+    path = _in_order(t["order_events"], "ts", "armed-events")
+    base = scratch_path(spark, "armed-timers")
+    st.run_timers(st.auto_complete_timers(st.order_event_feed(spark, path, max_files=1)), base)
+    return st.armed_timers(spark, base)

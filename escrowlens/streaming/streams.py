@@ -29,6 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from escrowlens.session import scratch_path
 from escrowlens.sources.schemas import SCHEMAS
@@ -413,62 +414,93 @@ def auto_complete_due(orders: DataFrame, asof: str) -> DataFrame:
 
 ORDER_EVENT_SCHEMA = "order_id string, status string, ts timestamp_ntz"
 AUTO_COMPLETE_OUT = "order_id string, delivered_at timestamp, due_at timestamp"
-AUTO_COMPLETE_STATE = "delivered_at timestamp"
+ARMED = "armed"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def order_event_feed(spark: SparkSession, path: str, **kw) -> DataFrame:
     return feed(spark, path, ORDER_EVENT_SCHEMA, "ts", **kw)
 
 
+class _DeliveryTimer(StatefulProcessor):
+    """One armed timer per order: state is the delivery in milliseconds, kept until
+    the timer fires, a later event disarms it, or the state store's TTL ends it."""
+
+    def __init__(self, span_ms: int):
+        self.span = span_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.armed = handle.getValueState(ARMED, "delivered_ms long")
+
+    def _due(self, key, delivered: list[int]):
+        import pandas as pd
+        at = pd.to_datetime(pd.Series(delivered, dtype="int64"), unit="ms")
+        yield pd.DataFrame({"order_id": key[0], "delivered_at": at,
+                            "due_at": at + pd.Timedelta(milliseconds=self.span)})
+
+    def handleInputRows(self, key, rows, timerValues):
+        old = self.armed.get()[0] if self.armed.exists() else None
+        events = sorted((ms, status) for part in rows
+                        for ms, status in zip(part["ms"].tolist(), part["status"].tolist(), strict=True))
+        now, fired = old, []
+        for ms, status in events:
+            if now is not None and ms > now + self.span:
+                fired.append(now)  # would have fired before this event
+            now = ms if status == "delivered" else None
+        if now != old:
+            if old is not None:
+                self.handle.deleteTimer(old + self.span + 1)
+                self.armed.clear()
+            if now is not None:
+                self.armed.update((now,))
+                self.handle.registerTimer(now + self.span + 1)
+        if fired:
+            yield from self._due(key, fired)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        (delivered,) = self.armed.get()
+        self.armed.clear()
+        yield from self._due(key, [delivered])
+
+    def close(self) -> None:
+        pass
+
+
 def auto_complete_timers(events: DataFrame, after_days: int = AUTO_COMPLETE_AFTER_DAYS,
                          delay: str = DEFAULT_DELAY) -> DataFrame:
     """I8: an event-time timer per order.  A 'delivered' event arms a timer at
-    delivered_at + ``after_days``; any later status event of the order before
-    then disarms it; when the watermark passes the timer the order is emitted
-    as due for auto-completion.  State per order is one timestamp, kept in the
-    state store and partitioned by order id.
+    delivered_at + ``after_days``; any later status event of the order before then
+    disarms it; when the watermark passes the timer the order is emitted as due for
+    auto-completion.  Run it with ``run_timers``, whose state store holds the timers
+    by order id on disk.
     """
-    import pandas as pd
-
-    tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
-    span = pd.Timedelta(days=after_days)
-
-    def to_ms(t) -> int:
-        ts = pd.Timestamp(t)
-        ts = ts.tz_localize(tz) if ts.tzinfo is None else ts
-        return int(ts.value // 1_000_000)
-
-    def step(key, pdfs, state):
-        order_id = key[0]
-        if state.hasTimedOut:
-            (delivered_at,) = state.get
-            state.remove()
-            yield pd.DataFrame({"order_id": [order_id], "delivered_at": [delivered_at],
-                                "due_at": [delivered_at + span]})
-            return
-        pending = state.get[0] if state.exists else None
-        events = []
-        for p in pdfs:
-            events.extend(zip(p["ts"].tolist(), p["status"].tolist()))
-        if len(events) > 1:
-            events.sort()
-        fired = []
-        for ts, status in events:
-            if pending is not None and ts > pending + span:
-                fired.append(pending)     # would have fired before this event
-            pending = ts if status == "delivered" else None
-        if pending is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((pending,))
-            state.setTimeoutTimestamp(to_ms(pending + span))
-        if fired:
-            yield pd.DataFrame({"order_id": [order_id] * len(fired), "delivered_at": fired,
-                                "due_at": [f + span for f in fired]})
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    e = events.withWatermark("ts", delay)
-    return e.groupBy("order_id").applyInPandasWithState(
-        step, AUTO_COMPLETE_OUT, AUTO_COMPLETE_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    e = events.withWatermark("ts", delay).select("order_id", "status", "ts", F.unix_millis("ts").alias("ms"))
+    return e.groupBy("order_id").transformWithStateInPandas(
+        statefulProcessor=_DeliveryTimer(after_days * 86_400_000), outputStructType=AUTO_COMPLETE_OUT,
+        outputMode="append", timeMode="eventtime")
+
+
+def run_timers(df: DataFrame, base: str) -> DataFrame:
+    """Run timers to the end of the available input, with a RocksDB state store for
+    this query alone; ``base`` holds sink and checkpoint, so that a second run goes
+    on from the first.  Returns all rows fired so far."""
+    spark = df.sparkSession
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)  # read when the query starts
+    try:
+        q = (df.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+    q.awaitTermination()
+    return _ntz(spark.read.schema(df.schema).parquet(f"{base}/out"))
+
+
+def armed_timers(spark: SparkSession, base: str) -> DataFrame:
+    """The timers still armed after the last run below ``base``, read back from its
+    state store: order_id, delivered_at."""
+    state = (spark.read.format("statestore").option("path", f"{base}/ckpt").option("stateVarName", ARMED).load())
+    return state.select(F.col("key.order_id").alias("order_id"),
+                        F.timestamp_millis("value.delivered_ms").cast("timestamp_ntz").alias("delivered_at"))
