@@ -15,8 +15,10 @@ line goes if any chunk over it goes, so the lines of a run go where each
 ``LEAST_LINES`` of them occur before; the first occurrence of a line always stays.
 
 Chunk hashes are counted first, aggregated map-side; only chunks whose hash
-occurs twice go on, and these are grouped by their bytes, which is the byte
-comparison: chunks that merely share a hash fall into different groups.
+occurs twice go on.  They are grouped by a 128-bit hash, and the smallest and largest
+bytes of a group are compared, aggregated map-side too: that is the byte comparison.
+Where they are equal the hash stands for the bytes from there on, and only hashes and
+places travel; the chunks of a group with different bytes are grouped by their bytes.
 
 Defined results
 * a null text has no lines, stays null and loses nothing; an empty text has one
@@ -73,8 +75,8 @@ def chunks(text: str | None, roll: int, every: int, least: int) -> list[tuple[in
     return [c for c in found if c[2].strip()]
 
 
-def _key(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+def _key(raw: bytes, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63)
 
 
 def _chunk_keys(rows: DataFrame, roll: int, every: int, least: int) -> DataFrame:
@@ -89,15 +91,16 @@ def _chunk_keys(rows: DataFrame, roll: int, every: int, least: int) -> DataFrame
     return rows.select("text").mapInArrow(run, "h long")
 
 
-def _chunk_rows(rows: DataFrame, roll: int, every: int, least: int) -> DataFrame:
-    """h, t1, t2 (text), doc_id, line, n (lines), raw (bytes) of every chunk."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["h", "t1", "t2", "doc_id", "line", "n", "raw"]
+def _chunk_rows(rows: DataFrame, roll: int, every: int, least: int, with_bytes: bool) -> DataFrame:
+    """h, h2, t1, t2 (text), doc_id, line, n (lines) of every chunk, and raw (its bytes)."""
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary()]
+    names = ["h", "h2", "t1", "t2", "doc_id", "line", "n", "raw"]
+    width = len(names) if with_bytes else len(names) - 1
 
     def made(out):
-        cols = zip(*out, strict=True) if out else [()] * len(kinds)
+        cols = zip(*out, strict=True) if out else [()] * width
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            [pa.array(list(c), k) for c, k in zip(cols, kinds[:width], strict=True)], names=names[:width])
 
     def run(batches):
         for batch in batches:
@@ -106,15 +109,15 @@ def _chunk_rows(rows: DataFrame, roll: int, every: int, least: int) -> DataFrame
                 for t1, t2, doc_id, text in zip(*(c.to_pylist() for c in
                                                   batch.slice(at, DOCS_AT_ONCE).columns), strict=True):
                     for line, n, raw in chunks(text, roll, every, least):
-                        out.append((_key(raw), t1, t2, doc_id, line, n, raw))
-                        held += len(raw)
+                        out.append((_key(raw), _key(raw, 1), t1, t2, doc_id, line, n, raw)[:width])
+                        held += len(raw) if with_bytes else 100
                         if held > HELD_BYTES:
                             yield made(out)
                             out, held = [], 0
             yield made(out)
 
-    return rows.select("t1", "t2", "doc_id", "text").mapInArrow(
-        run, "h long, t1 long, t2 long, doc_id long, line int, n int, raw binary")
+    shape = "h long, h2 long, t1 long, t2 long, doc_id long, line int, n int"
+    return rows.select("t1", "t2", "doc_id", "text").mapInArrow(run, shape + (", raw binary" if with_bytes else ""))
 
 
 def _without_chunks(rows: DataFrame) -> DataFrame:
@@ -148,16 +151,31 @@ def line_dedup(docs: DataFrame, roll: int = ROLL, every: int = EVERY,
     """One row per row of ``docs``: doc_id, n_lines, n_removed, text."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
-    rows = _chunk_rows(base, roll, every, least)
     twice = staged(_chunk_keys(base, roll, every, least).groupBy("h").count().filter("count > 1").select("h"), "line-twice")
-    some = maybe_in(rows, bit_table(twice, ["h"], TABLE_BITS), ["h"], TABLE_BITS, "_maybe")
+    table = bit_table(twice, ["h"], TABLE_BITS)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "line")
-    found = staged(some.filter("_maybe").drop("_maybe"), "line-found")
-    # the byte comparison: chunks are grouped by their bytes
-    first = staged(found.groupBy("h", "raw").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
-                   .filter("_n > 1").drop("_n"), "line-first")
-    gone = (found.join(first, ["h", "raw"]).filter(~place.eqNullSafe(F.col("_first")))
-            .select("doc_id", "t1", "t2", "line", "n").distinct())
+
+    def candidates(with_bytes):
+        rows = _chunk_rows(base, roll, every, least, with_bytes)
+        return maybe_in(rows, table, ["h"], TABLE_BITS, "_maybe").filter("_maybe").drop("_maybe")
+
+    # the byte comparison: the ends of each group's bytes
+    first = staged(candidates(True).groupBy("h", "h2").agg(
+        F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"), F.min("raw").alias("_low"),
+        F.max("raw").alias("_high")).filter("_n > 1")
+        .select("h", "h2", "_first", (F.col("_low") == F.col("_high")).alias("_same")), "line-first")
+
+    def repeats(found, first, keys):
+        return (found.join(first, keys).filter(~place.eqNullSafe(F.col("_first")))
+                .select("doc_id", "t1", "t2", "line", "n").distinct())
+
+    gone = repeats(candidates(False), first.filter("_same"), ["h", "h2"])
+    mixed = first.filter("not _same").select("h", "h2")
+    if not mixed.isEmpty():  # equal hashes, different bytes
+        found = candidates(True).join(mixed, ["h", "h2"], "left_semi")
+        firsts = (found.groupBy("h", "h2", "raw").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+                  .filter("_n > 1").drop("_n"))
+        gone = gone.unionByName(repeats(found, firsts, ["h", "h2", "raw"])).distinct()
     gone = staged(gone.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"),
                                "t1", "t2").agg(F.collect_list(F.struct("line", "n")).alias("found")), "line-gone")  # by text
     keyed = base.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
