@@ -7,7 +7,7 @@ profile rows, so a join never multiplies fact rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from escrowlens.functions.labels import ACTIVE_STATUSES
@@ -204,3 +204,61 @@ def gmv_by_period(t: Tables, unit: str = "day") -> DataFrame:
         F.count(F.lit(1)).alias("orders"),
         F.sum("total_amount").alias("gmv"),
         F.sum("platform_fee").alias("fees"))
+
+
+def gmv_rollup(t: Tables) -> DataFrame:
+    """D14 with D1's and D2's groupings in one scan of orders: completed GMV by day, by
+    ISO week, by month, by seller, by month and seller, and in all (``level``).  Day
+    totals are formed first, so the sets are expanded over them and not over orders."""
+    o = t["orders"].filter(_is("completed"))
+    of_day = o.groupBy(F.to_date("created_at").alias("day"), "seller_id").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("total_amount").alias("gmv"),
+        F.sum("platform_fee").alias("fees"))
+    d = of_day.select("*", F.date_trunc("week", "day").cast("date").alias("week"),
+                      F.trunc("day", "month").alias("month"))
+    keys = [F.col(c) for c in ("day", "week", "month", "seller_id")]
+    day, week, month, seller = keys
+    sets = [[day], [week], [month], [seller], [month, seller], []]
+    g = d.groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("_g"), F.sum("orders").alias("orders"), F.sum("gmv").alias("gmv"),
+        F.sum("fees").alias("fees"))
+    # one bit per key, set where the key is left out
+    named = {0b0111: "day", 0b1011: "week", 0b1101: "month", 0b1110: "seller", 0b1100: "month, seller", 0b1111: "all"}
+    level = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
+    return g.select(level[F.col("_g").cast("int")].alias("level"), "day", "week", "month", "seller_id", "orders", "gmv", "fees")
+
+
+# ---------------------------------------------------------------- D7 over any dates
+
+NUMBER_BUCKETS = 4096
+
+
+def numbered(df: DataFrame, col: str) -> DataFrame:
+    """The distinct values of ``col`` (nulls left out) with a dense number ``n`` from 0.
+
+    Values are numbered inside hash buckets; the buckets' offsets come from a window
+    over at most ``NUMBER_BUCKETS`` counts, so no task sees all values.
+    """
+    one = df.select(col).filter(F.col(col).isNotNull()).distinct().withColumn(
+        "_b", F.pmod(F.xxhash64(col), F.lit(NUMBER_BUCKETS)))
+    sizes = one.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(col)) - 1
+    return (one.withColumn("_i", inside).join(F.broadcast(starts), "_b")  # at most NUMBER_BUCKETS rows
+            .select(col, (F.col("_at") + F.col("_i")).cast("bigint").alias("n")))
+
+
+def daily_buyers(t: Tables, numbers: DataFrame) -> DataFrame:
+    """D7 that can be merged: per day and block of 32,768 buyer numbers, a bitmap of
+    the buyers who ordered (day, block, buyers).  A day is added by its own rows."""
+    o = t["orders"].select("buyer_id", F.to_date("created_at").alias("day")).join(numbers, "buyer_id")
+    return o.groupBy("day", F.bitmap_bucket_number("n").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("buyers"))
+
+
+def distinct_buyers(daily: DataFrame, period: Column, name: str) -> DataFrame:
+    """Exact distinct buyers of each ``period`` (an expression over ``day``) from the
+    daily bitmaps alone: bitmaps are merged per block, then counted."""
+    merged = daily.groupBy(period.alias(name), "block").agg(F.bitmap_or_agg("buyers").alias("buyers"))
+    return merged.groupBy(name).agg(F.sum(F.bitmap_count("buyers")).alias("buyers"))

@@ -161,3 +161,21 @@ def test_orders_without_product_are_spread(spark):
             spark.conf.set(k, v)
     counts = [r["count"] for r in sizes]
     assert sum(counts) == 3000 and max(counts) < 2 * 3000 / 8
+
+
+def test_rollup_scans_orders_once_and_days_merge_to_any_period(spark):
+    from pyspark.sql import functions as F
+
+    from escrowlens.operators import dashboards as d
+    from escrowlens.sources.marketplace import load_marketplace
+    t = load_marketplace(spark, SF_SMALL)
+    assert _scans(_executed(d.gmv_rollup(t)), "total_amount") == 1
+    numbers = d.numbered(t["orders"], "buyer_id")
+    n = [r["n"] for r in numbers.collect()]
+    assert sorted(n) == list(range(len(n)))
+    # days kept in two parts, as if the second had been added later
+    early, late = (t | {"orders": t["orders"].filter(c)} for c in ("created_at < '1997-06-01'", "created_at >= '1997-06-01'"))
+    daily = d.daily_buyers(early, numbers).unionByName(d.daily_buyers(late, numbers))
+    got = {r["year"]: r["buyers"] for r in d.distinct_buyers(daily, F.year("day"), "year").collect()}
+    exp = t["orders"].groupBy(F.year("created_at").alias("year")).agg(F.countDistinct("buyer_id").alias("n")).collect()
+    assert got == {r["year"]: r["n"] for r in exp}
