@@ -152,6 +152,25 @@ def catalog(t: Tables, category: str | None = None, sub: str | None = None,
     return (df.limit(limit) if limit is not None else df).drop("_exact")
 
 
+def cards_of(t: Tables, p: DataFrame, sort: str = "latest", limit: int | None = None,
+             few: int = 2_000) -> DataFrame:
+    """Sorted card rows of ``p``, products (distinct ids) that a search has found.
+
+    Up to ``few`` of them (counted first) go into the scans of products, orders and
+    reviews as values; more are left to semi joins, which Catalyst sizes."""
+    found = p.select("id").limit(few + 1).collect()
+    if len(found) <= few:
+        ids = [r["id"] for r in found]
+        p = catalog_scan(t).filter(F.col("id").isin(ids))
+        near = lambda name: t[name].filter(F.col("product_id").isin(ids))
+    else:
+        ids = p.select(F.col("id").alias("product_id"))
+        near = lambda name: t[name].join(ids, "product_id", "left_semi")
+    only = {"profiles": t["profiles"], "orders": near("orders"), "reviews": near("reviews")}
+    df = _cards(only, p).orderBy(*_sort_keys(sort))
+    return (df.limit(limit) if limit is not None else df).drop("_exact")
+
+
 def catalog_count(t: Tables, **filters) -> DataFrame:
     """Result count of the catalogue query (no sort needed)."""
     df = catalog(t, **filters)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from escrowlens.operators import catalog as c
+from escrowlens.operators.search import CatalogIndex
 from escrowlens.registry.core import register
 
 ASOF = "2001-08-01 00:00:00"
@@ -235,3 +238,70 @@ FROM rows
 def catalog_labels(t):
     """Price, category, stock, rating and time labels of catalogue cards."""
     return c.catalog_labels(t, ASOF)
+
+
+# The search index of a session's tables, built once (as the tables themselves are).
+_indexes: dict[tuple, CatalogIndex] = {}
+
+
+def _index(t, spark, sf_dir) -> CatalogIndex:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _indexes:
+        _indexes[key] = CatalogIndex.build(t)
+    return _indexes[key]
+
+
+def _found(text: str, *more: str) -> str:
+    return " AND ".join([f"(contains(lower(title), '{text}') OR contains(lower(seller), '{text}'))", *more])
+
+
+@register("catalog_search_indexed", _rows_query(_found("ring"), NEWEST), needs_session=True)
+def catalog_search_indexed(t, spark, sf_dir):
+    """Header search through the trigram index: only the postings of its pieces are read."""
+    return _index(t, spark, sf_dir).search(t, "  Ring ", trim_search=True)
+
+
+@register("catalog_search_indexed_literal", _rows_query(_found("r_d"), NEWEST), needs_session=True)
+def catalog_search_indexed_literal(t, spark, sf_dir):
+    """Text with '_' through the index: an ordinary character."""
+    return _index(t, spark, sf_dir).search(t, "R_D")
+
+
+@register("catalog_search_indexed_punctuation", _rows_query(_found("supplier#"), NEWEST), needs_session=True)
+def catalog_search_indexed_punctuation(t, spark, sf_dir):
+    """A text that nearly every seller label holds, through the index."""
+    return _index(t, spark, sf_dir).search(t, "Supplier#")
+
+
+@register("catalog_full_indexed", _rows_query(_found("ring", "cat = 'digital'"), "price, " + NEWEST),
+          needs_session=True)
+def catalog_full_indexed(t, spark, sf_dir):
+    """Category, indexed search and price ascending."""
+    return _index(t, spark, sf_dir).search(t, "Ring", category="digital", sort="price-asc")
+
+
+RENAMED = "Toko Ringan"
+RENAMED_SQL = ALL_ROWS.replace("FROM m_products p", f"""
+  FROM (SELECT * REPLACE (CASE WHEN id % 11 = 3 THEN 'Kartu Stringer ' || id ELSE title END AS title)
+        FROM m_products) p""").replace("LEFT JOIN m_profiles s", f"""
+  LEFT JOIN (SELECT * REPLACE (CASE WHEN role = 'penjual' AND id LIKE '%7' THEN NULL ELSE username END AS username,
+                               CASE WHEN role = 'penjual' AND id LIKE '%7' THEN '{RENAMED}' ELSE full_name END
+                                 AS full_name) FROM m_profiles) s""")
+
+
+@register("catalog_search_renamed", RENAMED_SQL + f"""
+SELECT * EXCLUDE (exact) FROM rows WHERE {_found("ring")} ORDER BY {NEWEST}""", needs_session=True)
+def catalog_search_renamed(t, spark, sf_dir):
+    """Indexed search after a batch of renamed sellers and retitled products: only the
+    changed texts are indexed anew, and former texts no longer match."""
+    new_title = t["products"].filter("id % 11 = 3").withColumn(
+        "title", F.concat(F.lit("Kartu Stringer "), F.col("id").cast("string")))
+    change = (F.col("role") == "penjual") & F.col("id").endswith("7")
+    new_name = t["profiles"].filter(change).withColumns(
+        {"username": F.lit(None).cast("string"), "full_name": F.lit(RENAMED)})
+    index = CatalogIndex.build(t)
+    index.add(1, new_title, new_name)
+    now = {"products": t["products"].filter("not coalesce(id % 11 = 3, false)").unionByName(new_title),
+           "profiles": t["profiles"].filter(~F.coalesce(change, F.lit(False))).unionByName(new_name),
+           "orders": t["orders"], "reviews": t["reviews"]}
+    return index.search(now, "ring")
