@@ -3,6 +3,8 @@ C6-C8, D8, D13, F7-F9, I5, I6 batch side, J1, J13)."""
 
 from __future__ import annotations
 
+import re
+
 from escrowlens.operators import chat as ch
 from escrowlens.operators import commands as cm
 from escrowlens.operators import quality as qa
@@ -313,6 +315,31 @@ def _integrity() -> str:
 register("integrity_violations", _integrity())(qa.integrity_violations)
 
 
+# Rows that arrive and parents that never do, for the report on arrivals.
+_ARRIVING = "CAST(id AS STRING) LIKE '%3'"
+_LOST = {"profiles": "id LIKE '%41'", "products": "CAST(id AS STRING) LIKE '%5'"}
+_CHECKED = {n: cte for n, (cte, _) in _NEEDED.items()} | {"accounts": "m_accounts"}
+
+
+def _report_before_and_after() -> str:
+    report = QUALITY + " UNION ALL " + _integrity()
+    ctes = "".join(f""",
+{cte.replace("m_", "f_", 1)} AS (SELECT * FROM {cte} WHERE NOT coalesce({_LOST.get(n, "false")}, false)),
+{cte.replace("m_", "b_", 1)} AS (SELECT * FROM {cte.replace("m_", "f_", 1)} WHERE NOT coalesce({_ARRIVING}, false))"""
+                   for n, cte in _CHECKED.items())
+    of = lambda prefix: "(" + re.sub(r"\bm_(?=[a-z_]+\b)", prefix, report) + ")"
+    return ctes + f"\nSELECT * FROM {of('f_')} EXCEPT ALL SELECT * FROM {of('b_')}"
+
+
+@register("arrival_violations", _report_before_and_after())
+def arrival_violations(t):
+    """Rules that a tenth of every table, arriving as one batch, breaks: what the full
+    reports say after the batch and didn't before."""
+    kept = {n: t[n].filter(f"not coalesce({_LOST.get(n, 'false')}, false)") for n in _CHECKED}
+    old = {n: df.filter(f"not coalesce({_ARRIVING}, false)") for n, df in kept.items()}
+    return qa.arrival_violations(old, {n: df.filter(_ARRIVING) for n, df in kept.items()})
+
+
 @register("notification_violations", CONFIRM + f"""
 , n AS (SELECT source_cmd || '|' || user_id AS id, * FROM ({CONFIRM_NOTES}))
 SELECT 'notifications_user_id_fkey' AS rule, 'notifications' AS table_name, id AS row_key

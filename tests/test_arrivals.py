@@ -1,0 +1,94 @@
+"""Rules on arriving rows against the full reports before and after the batch."""
+
+import random
+from collections import Counter
+
+import pytest
+
+from conftest import table, ts
+from escrowlens.operators import quality as q
+from escrowlens.session import scratch_path
+from escrowlens.sources.schemas import SCHEMAS, schema
+from escrowlens.sources.versions import appended
+
+T0 = ts("2024-01-01 10:00:00")
+NAMES = [n for n in SCHEMAS if n not in ("notifications", "app_settings")]
+
+
+def _random(rnd, n, first):
+    person = lambda: rnd.choice([None, *[f"P{i}" for i in range(n + 6)]])
+    order = lambda: rnd.choice([None, *[f"O{i}" for i in range(n + 6)]])
+    ids = range(first, first + n)
+    return {
+        "profiles": [{"id": f"P{i}", "username": rnd.choice([None, "a", "b", f"u{i}"]), "role": "pembeli",
+                      "is_suspended": False} for i in ids],
+        "wallets": [{"id": f"W{i}", "user_id": person(), "balance": rnd.randrange(-1, 3)} for i in ids],
+        "orders": [{"id": f"O{i}", "buyer_id": person(), "seller_id": person(), "status": "paid",
+                    "product_id": rnd.randrange(9), "total_amount": 2, "product_price": rnd.randrange(1, 3),
+                    "quantity": 1} for i in ids],
+        "products": [{"id": i, "seller_id": person(), "title": "x", "price": i - 1} for i in ids],
+        "reviews": [{"id": f"R{i}", "order_id": order(), "buyer_id": person(), "rating": 6} for i in ids],
+        "conversations": [{"id": f"C{i}", "user_a_id": rnd.choice("PQ") + "1", "user_b_id": f"P{rnd.randrange(3)}"}
+                          for i in ids],
+        "platform_commission": [{"id": f"K{i}", "order_id": order(), "status": "settled"} for i in ids],
+        "wallet_transactions": [{"id": f"L{i}", "wallet_id": f"W{rnd.randrange(n + 4)}", "type": "topup",
+                                 "amount": 1, "ref_order_id": order()} for i in ids],
+        "messages": [{"id": f"M{i}", "conversation_id": f"C{rnd.randrange(n + 4)}", "sender_id": person(),
+                      "body": rnd.choice(["", " ", "hi", None])} for i in ids]}
+
+
+def _tables(spark, rows):
+    t = {n: table(spark, n, rows.get(n, [])) for n in NAMES}
+    t["accounts"] = spark.createDataFrame(rows.get("accounts", []), "id string, email string")
+    return t
+
+
+def _counts(*reports):
+    return Counter(tuple(r[c] for c in ("rule", "table_name", "row_key")) for d in reports for r in d.collect())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_arrivals_are_the_difference_of_the_full_reports(spark, seed):
+    rnd = random.Random(seed)
+    first, batch = _random(rnd, 8, 0), _random(rnd, 4, 8)
+    old, new = _tables(spark, first), _tables(spark, batch)
+    after = {n: old[n].unionByName(new[n]) for n in old}
+    full = lambda t: _counts(q.quality_violations(t), q.integrity_violations(t))
+    want = full(after) - full(old)
+    assert _counts(q.arrival_violations(old, new)) == want
+    assert {"reviews_rating_check", "orders_buyer_id_fkey"} & {r for r, _, _ in want}
+
+
+def test_keys_that_the_batch_doubles_and_parents_that_come_along(spark):
+    old = _tables(spark, {"profiles": [{"id": "P1", "username": "a"}, {"id": "P2", "username": "d"},
+                                       {"id": "P3", "username": "d"}]})
+    new = {"profiles": table(spark, "profiles", [
+        {"id": f"P{i}", "username": u, "role": "pembeli", "is_suspended": False}
+        for i, u in enumerate(["a", "d", "n", "n", None, None], 4)]),
+        "wallets": table(spark, "wallets", [{"id": "W1", "user_id": "P5", "balance": 0, "escrow_hold": 0,
+                                             "total_in": 0, "total_out": 0},
+                                            {"id": "W2", "user_id": "P99", "balance": 0, "escrow_hold": 0,
+                                             "total_in": 0, "total_out": 0}])}
+    # "d" was double before; a null name never is; P5 arrives with its wallet.
+    assert _counts(q.arrival_violations(old, new)) == Counter({
+        ("profiles_username_key", "profiles", "a"): 1, ("profiles_username_key", "profiles", "n"): 1,
+        ("wallets_user_id_fkey", "wallets", "W2"): 1})
+
+
+def test_empty_batch_and_only_row_rules(spark):
+    old = _tables(spark, _random(random.Random(5), 5, 0))
+    assert q.arrival_violations(old, {}).count() == 0
+    assert q.arrival_violations(old, {n: old[n].limit(0) for n in NAMES}).count() == 0
+    mail = spark.createDataFrame([("A1", "nobody"), ("A2", "x@y.zz")], "id string, email string")
+    assert _counts(q.arrival_violations(old, {"accounts": mail})) == Counter({
+        ("accounts_email_format", "accounts", "A1"): 1})
+
+
+def test_append_counts_in_the_same_pass(spark):
+    path = scratch_path(spark, "reviews")
+    rows = table(spark, "reviews", [{"id": f"R{i}", "order_id": "O1", "buyer_id": "P1", "seller_id": "P2",
+                                     "rating": i, "created_at": T0} for i in range(8)])
+    for _ in range(2):
+        seen = q.append_checked(rows, "reviews", path, 1)
+        assert seen["rows"] == 8 and seen["reviews_rating_check"] == 3 and seen["reviews_order_id_not_null"] == 0
+    assert appended(spark, path, schema("reviews")).count() == 8
