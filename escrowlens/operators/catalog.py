@@ -8,7 +8,7 @@ TakeOrderedAndProject (a per-partition top-k, then one small merge).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from escrowlens.functions import labels as L
@@ -186,6 +186,51 @@ def home_popular_24h(t: Tables, asof: str) -> DataFrame:
                    sold_until=until.isoformat(sep=" "))
 
 
+def popular_by_hour(t: Tables, k: int = HOME_SIZE, changes_only: bool = False) -> DataFrame:
+    """The ``home_popular_24h`` list (as_of, rank, id, sold) of every full hour at which the
+    last 24 hours hold a sale, or only of the hours at which the sums of any product change.
+
+    Each sale enters the window at the first full hour not before it and leaves it 24
+    hours later (25 where it lies on the hour: the window is closed on both sides).
+    Sales are first summed into hourly panes per product; the sum of a window is the
+    running sum of what entered and left, so no window adds its sales up again.  What
+    grows with products times hours is only the sums above zero, cut to the first ``k``
+    of an hour before its shuffle (rank pushed below it).  The ``k`` newest products
+    fill lists that are short of sales, as in the list of one hour.
+    """
+    hour = 3600
+    p = catalog_scan(t).select("id", "created_at")
+    sales = t["orders"].filter((F.col("status") == "completed") & F.col("product_id").isNotNull()
+                               & F.col("completed_at").isNotNull())
+    micros = F.unix_micros(F.col("completed_at").cast("timestamp"))
+    enters = F.ceil(micros / F.lit(hour * 1_000_000)).cast("bigint")
+    leaves = enters + F.when(micros % F.lit(hour * 1_000_000) == 0, 25).otherwise(24)
+    q = F.col("quantity")
+    steps = sales.select(F.col("product_id").alias("id"), F.explode(F.array(
+        F.struct(enters.alias("at"), q.alias("d"), F.lit(1).alias("n")),
+        F.struct(leaves.alias("at"), (-q).alias("d"), F.lit(-1).alias("n")))).alias("s")) \
+        .groupBy("id", F.col("s.at").alias("at")).agg(F.sum("s.d").alias("d"), F.sum("s.n").alias("n"))
+    steps = steps.join(p.select("id"), "id", "left_semi")
+    mine = Window.partitionBy("id").orderBy("at")
+    sums = steps.select("id", "at", F.sum("d").over(mine).alias("sold"), F.sum("n").over(mine).alias("held"),
+                        F.lead("at").over(mine).alias("until")).filter("held > 0")
+    sums = sums.select("id", "sold", F.explode(F.expr("sequence(at, until - 1)")).alias("at"))
+    if changes_only:   # hours of the calendar, whatever the number of sales
+        sums = sums.join(steps.select("at").distinct(), "at", "left_semi")
+    hours = sums.select("at").distinct()
+    newest = p.orderBy(F.col("created_at").desc_nulls_last(), "id").limit(k)
+    # ``k`` rows by construction, one for each hour; a product with a sum of its own drops out below.
+    fill = hours.crossJoin(F.broadcast(newest.select("id"))).withColumn("sold", F.lit(0).cast("bigint"))
+    order = [F.col("sold").desc(), F.col("created_at").desc_nulls_last(), F.col("id")]
+    rank = F.row_number().over(Window.partitionBy("at").orderBy(*order))
+    top = sums.join(p, "id").withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    short = fill.join(p, "id").select("at", "id", "sold", "created_at").unionByName(
+        top.select("at", "id", "sold", "created_at"))
+    one = short.groupBy("at", "id").agg(F.max("sold").alias("sold"), F.max("created_at").alias("created_at"))
+    as_of = F.timestamp_seconds(F.col("at") * hour).cast("timestamp_ntz")
+    return one.withColumn("rank", rank).filter(F.col("rank") <= k).select(as_of.alias("as_of"), "rank", "id", "sold")
+
+
 def checkout_eligible(t: Tables) -> DataFrame:
     """Active products that can be bought: stock unlimited (null) or positive."""
     p = catalog_scan(t)

@@ -201,6 +201,29 @@ def home_popular_24h(t):
     return c.home_popular_24h(t, ASOF)
 
 
+@register("home_popular_hourly", """
+, sale AS (SELECT product_id AS id, quantity, completed_at AS c FROM m_orders
+           WHERE status = 'completed' AND product_id IN (SELECT id FROM m_products WHERE is_active)),
+edge AS (SELECT DISTINCT id, unnest([
+           CASE WHEN date_trunc('hour', c) = c THEN c ELSE date_trunc('hour', c) + INTERVAL 1 HOUR END,
+           date_trunc('hour', c) + INTERVAL 25 HOUR]) AS as_of FROM sale),
+asofs AS (SELECT DISTINCT as_of FROM edge),
+held AS (SELECT as_of, id, sum(quantity) AS sold FROM asofs
+         JOIN sale ON c >= as_of - INTERVAL 24 HOUR AND c <= as_of GROUP BY as_of, id),
+newest AS (SELECT id FROM m_products WHERE is_active ORDER BY created_at DESC NULLS LAST, id LIMIT 8),
+listed AS (SELECT * FROM held UNION ALL
+           SELECT a.as_of, n.id, 0 FROM (SELECT DISTINCT as_of FROM held) a, newest n
+           WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.as_of = a.as_of AND h.id = n.id))
+SELECT as_of, row_number() OVER (PARTITION BY as_of ORDER BY sold DESC, created_at DESC NULLS LAST, l.id) AS rank,
+       l.id, CAST(sold AS BIGINT) AS sold
+FROM listed l JOIN m_products p ON p.id = l.id
+QUALIFY rank <= 8
+""")
+def home_popular_hourly(t):
+    """The 24-hour best sellers at every full hour at which a product's sum changes."""
+    return c.popular_by_hour(t, changes_only=True)
+
+
 register("checkout_eligible", """
 SELECT id, title, stock FROM m_products
 WHERE is_active AND (stock IS NULL OR stock > 0)

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from escrowlens.operators import audit_details as ad
 from escrowlens.operators import commands as cm
 from escrowlens.registry.core import register
 from escrowlens.session import scratch_path
 from escrowlens.sources import commands as src
-from escrowlens.sources.schemas import ORDER_EVOLUTION, conform, ensure_columns
+from escrowlens.sources.schemas import ORDER_EVOLUTION, conform, ensure_columns, read_evolved
 from escrowlens.sources.versions import VersionedTable, append_batch, appended
 
 SETTING = "(SELECT value FROM m_settings WHERE key = 'commission_rate' ORDER BY updated_at DESC LIMIT 1)"
@@ -769,6 +770,94 @@ def orders_evolved(t):
     return ensure_columns(base, ORDER_EVOLUTION)
 
 
+MIGRATED = "1996-01-01 00:00:00"
+
+
+@register("orders_mixed_files", f"""
+SELECT * EXCLUDE (platform_fee, commission_rate, seller_payout),
+       CASE WHEN created_at < TIMESTAMP '{MIGRATED}' THEN 0 ELSE nullif(platform_fee, 0) END AS platform_fee,
+       CASE WHEN created_at < TIMESTAMP '{MIGRATED}' THEN 0.05 ELSE CAST(commission_rate AS DOUBLE) END
+         AS commission_rate,
+       CASE WHEN created_at < TIMESTAMP '{MIGRATED}' THEN 0 ELSE seller_payout END AS seller_payout
+FROM m_orders
+WHERE created_at >= TIMESTAMP '{MIGRATED}' OR quantity > 5
+""")
+def orders_mixed_files(t):
+    """Orders in files from before and after the commission columns, read as one: older
+    files give the defaults, nulls of newer files stay."""
+    o = t["orders"].filter("created_at is not null")
+    before = F.col("created_at") < F.lit(MIGRATED).cast("timestamp_ntz")
+    path = scratch_path(o.sparkSession, "orders-files")
+    (o.filter(before & (F.col("quantity") > 5)).drop("platform_fee", "commission_rate", "seller_payout")
+     .withColumn("quantity", F.col("quantity").cast("int")).write.parquet(f"{path}/old"))
+    (o.filter(~before).withColumn("platform_fee", F.expr("nullif(platform_fee, 0)"))
+     .write.parquet(f"{path}/new"))
+    return read_evolved(o.sparkSession, "orders", f"{path}/old", f"{path}/new").select(*o.columns)
+
+
+# ---------------------------------------------------------------- H4, H5 audit details
+
+register("audit_details_typed", "RECURSIVE" + STATUS + REFUND + ADJUST + SUSPEND + ROLES + TOGGLE
+         + ", au AS (" + STATUS_AUDIT + " UNION ALL " + REFUND_AUDIT + " UNION ALL " + ADJUST_AUDIT
+         + " UNION ALL " + SUSPEND_AUDIT + " UNION ALL " + ROLES_AUDIT + " UNION ALL "
+         + TOGGLE_AUDIT + """)
+SELECT source_cmd, action, target_id, json_valid(detail) AS readable,
+       TRY_CAST(detail->>'$.amount' AS BIGINT) AS amount,
+       TRY_CAST(detail->>'$.new_balance' AS BIGINT) AS new_balance,
+       detail->>'$.reason' AS reason, detail->>'$.note' AS note,
+       detail->>'$.from' AS from_value,
+       coalesce(detail->>'$.to', detail->>'$.new_status') AS to_value,
+       TRY_CAST(detail->>'$.was_suspended' AS BOOLEAN) AS was_suspended
+FROM au""")(lambda t: ad.typed_details(_all_audit(t), "source_cmd"))
+
+# Audit rows with faults: cut texts, a number as text, no details at all.
+FAULTY_SQL = """
+CASE WHEN id LIKE '%3' THEN left(detail, 5)
+     WHEN id LIKE '%5' THEN '{"amount": "many", "reason": null, "new_balance": 7}'
+     WHEN id LIKE '%6' THEN '[1]'
+     WHEN id LIKE '%8' THEN NULL
+     WHEN id LIKE '%9' THEN '{"from": "a", "to": "b", "amount": 12.5, "reason": true}'
+     ELSE detail END"""
+
+
+@register("audit_detail_drift", f"""
+, l AS (SELECT id, action, {FAULTY_SQL} AS detail FROM m_admin_logs),
+j AS (SELECT id, action, CASE WHEN json_valid(detail) THEN detail END AS d, detail IS NULL AS none FROM l),
+o AS (SELECT id, action, d FROM j WHERE json_type(d) = 'OBJECT'),
+want(action, field, kind) AS (VALUES
+  ('update_order_status', 'note', 'STRING'), ('force_refund', 'amount', 'BIGINT'),
+  ('force_refund', 'reason', 'STRING'), ('adjust_wallet', 'amount', 'BIGINT'),
+  ('adjust_wallet', 'reason', 'STRING'), ('adjust_wallet', 'new_balance', 'BIGINT'),
+  ('suspend_user', 'reason', 'STRING'), ('suspend_user', 'was_suspended', 'BOOLEAN'),
+  ('unsuspend_user', 'reason', 'STRING'), ('unsuspend_user', 'was_suspended', 'BOOLEAN'),
+  ('change_role', 'from', 'STRING'), ('change_role', 'to', 'STRING'),
+  ('activate_product', 'reason', 'STRING'), ('deactivate_product', 'reason', 'STRING')),
+extra(action, field) AS (VALUES ('update_order_status', 'new_status'), ('update_order_status', 'from'),
+  ('update_order_status', 'to')),
+f AS (SELECT id, action, unnest(json_keys(d)) AS field, d FROM o),
+k AS (SELECT id, action, field,
+             CASE json_type(d, '$.' || field) WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT'
+                  WHEN 'NULL' THEN 'VOID' WHEN 'DOUBLE' THEN 'DECIMAL' ELSE json_type(d, '$.' || field) END AS kind
+      FROM f),
+x AS (SELECT action, CAST(NULL AS VARCHAR) AS field, 'no detail' AS problem FROM j WHERE none
+      UNION ALL SELECT action, NULL, 'unreadable' FROM j WHERE d IS NULL AND NOT none
+      UNION ALL SELECT action, NULL, 'no object' FROM j WHERE d IS NOT NULL AND json_type(d) <> 'OBJECT'
+      UNION ALL SELECT o.action, w.field, 'missing' FROM o JOIN want w USING (action)
+      WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.id = o.id AND k.field = w.field)
+      UNION ALL SELECT k.action, k.field, 'type ' || k.kind FROM k JOIN want w USING (action, field)
+      WHERE k.kind NOT IN (w.kind, 'VOID')
+      UNION ALL SELECT k.action, k.field, 'type ' || k.kind FROM k JOIN extra USING (action, field)
+      WHERE k.kind NOT IN ('STRING', 'VOID')
+      UNION ALL SELECT k.action, k.field, 'unexpected ' || k.kind FROM k
+      WHERE NOT EXISTS (SELECT 1 FROM want w WHERE w.action = k.action AND w.field = k.field)
+        AND NOT EXISTS (SELECT 1 FROM extra e WHERE e.action = k.action AND e.field = k.field))
+SELECT action, field, problem, count(*) AS n FROM x GROUP BY ALL
+""")
+def audit_detail_drift(t):
+    """Audit details that are not what their action writes, counted by field and fault."""
+    return ad.detail_drift(t["admin_logs"].withColumn("detail", F.expr(FAULTY_SQL)))
+
+
 # ---------------------------------------------------------------- J15, E3 key, A10
 
 @register("promote_admins", """

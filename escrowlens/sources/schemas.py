@@ -7,9 +7,9 @@ exists, with default" step of the source's migration scripts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 SCHEMAS = {
     "profiles": "id string, full_name string, username string, role string, "
@@ -70,6 +70,26 @@ def ensure_columns(df: DataFrame, spec) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
+def evolved_schema(name: str, added=ORDER_EVOLUTION) -> StructType:
+    """The declared schema with the added columns' defaults as column defaults for
+    files written before them (the metadata that ALTER TABLE ... ADD COLUMNS ... DEFAULT
+    keeps in a Spark table)."""
+    default = {n: f"CAST('{d}' AS {t})" for n, t, d in added}
+    return StructType([
+        StructField(f.name, f.dataType, True, {"CURRENT_DEFAULT": default[f.name], "EXISTS_DEFAULT": default[f.name]})
+        if f.name in default else f for f in schema(name).fields])
+
+
+def read_evolved(spark: SparkSession, name: str, *paths: str, added=ORDER_EVOLUTION) -> DataFrame:
+    """One read of Parquet folders with files from before and after the added columns.
+
+    A file that lacks an added column gives its default, a null that a newer file stores
+    stays null, and narrower integers of older files are widened.  Decided per file by
+    the scan, so no footer passes the driver, filters on the added columns are pushed
+    into the newer files, and nothing is unioned or rewritten."""
+    return spark.read.schema(evolved_schema(name, added)).parquet(*paths)
+
+
 # The defaults of the source's tables, as SQL text; "now" is the
 # time given by the caller.
 DEFAULTS = {
