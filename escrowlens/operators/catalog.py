@@ -218,9 +218,10 @@ def popular_by_hour(t: Tables, k: int = HOME_SIZE, changes_only: bool = False) -
     if changes_only:   # hours of the calendar, whatever the number of sales
         sums = sums.join(steps.select("at").distinct(), "at", "left_semi")
     hours = sums.select("at").distinct()
-    newest = p.orderBy(F.col("created_at").desc_nulls_last(), "id").limit(k)
-    # ``k`` rows by construction, one for each hour; a product with a sum of its own drops out below.
-    fill = hours.crossJoin(F.broadcast(newest.select("id"))).withColumn("sold", F.lit(0).cast("bigint"))
+    newest = [r["id"] for r in p.orderBy(F.col("created_at").desc_nulls_last(), "id").limit(k).collect()]  # k numbers
+    # A product with a sum of its own keeps that below.
+    fill = hours.select("at", F.explode(F.array(*map(F.lit, newest)).cast("array<bigint>")).alias("id"),
+                        F.lit(0).cast("bigint").alias("sold"))
     order = [F.col("sold").desc(), F.col("created_at").desc_nulls_last(), F.col("id")]
     rank = F.row_number().over(Window.partitionBy("at").orderBy(*order))
     top = sums.join(p, "id").withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
