@@ -50,16 +50,23 @@ def ledger_mismatches(t: Tables, split: str = "range") -> DataFrame:
     """Rows whose stored balance_after disagrees with the recomputed balance,
     or whose step from the previous row is not the row's own amount.  The
     running sum and the previous-row lookup share one bucketing pass."""
-    led = t["wallet_transactions"].select("id", "wallet_id", "type", "created_at",
-                                          signed_amount().alias("delta"), "balance_after")
+    return _mismatches(_recomputed(t["wallet_transactions"], split))
+
+
+def _recomputed(led: DataFrame, split: str, *carried: str) -> DataFrame:
+    led = led.select("id", "wallet_id", "type", "created_at",
+                     signed_amount().alias("delta"), "balance_after", *carried)
     bucket = split_bucket(split)
     if bucket is not None:
         led = bucketed(led, "wallet_id", LEDGER_ORDER, bucket).withColumnRenamed(
             "_bucket", "_b")
         bucket = F.col("_b")
     r = running_sum(led, "wallet_id", LEDGER_ORDER, "delta", "running_balance", bucket=bucket)
-    r = previous_value(r, "wallet_id", LEDGER_ORDER, "balance_after", "prev_stored",
-                       bucket=bucket)
+    return previous_value(r, "wallet_id", LEDGER_ORDER, "balance_after", "prev_stored",
+                          bucket=bucket)
+
+
+def _mismatches(r: DataFrame) -> DataFrame:
     step_bad = F.coalesce(F.col("balance_after") - F.col("prev_stored") != F.col("delta"),
                           F.col("balance_after") != F.col("delta"))
     out = r.select("id", "wallet_id", "type", "created_at", "delta",
