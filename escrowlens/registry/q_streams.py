@@ -18,6 +18,7 @@ ORDERS_PER_PART = 20_000
 
 
 STEPS = 4
+ROWS_PER_FILE = 1_000_000
 
 
 def _in_steps(rows, order, name):
@@ -28,16 +29,30 @@ def _in_steps(rows, order, name):
 
 
 def _in_order(rows, order, name):
-    """As ``_in_steps``, the files written one after the other, oldest rows first:
-    the state store's watermark drops what comes too late."""
+    """As ``_in_steps``, the files written one step after the other, oldest rows first:
+    the state store's watermark drops what comes too late.  Returns the folder and
+    the files of a step, the same number for each."""
     path = scratch_path(rows.sparkSession, f"feed-{name}")
     at = F.unix_millis(F.col(order).cast("timestamp"))
     cuts = rows.select(at.cast("double").alias("at")).approxQuantile("at", [k / STEPS for k in range(1, STEPS)], 0.01)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows if low is None else rows.filter(at >= low)
-        part = part if high is None else part.filter(at < high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+    sides = [(F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high)
+             for low, high in zip([None, *cuts], [*cuts, None], strict=True)]
+    sizes = rows.agg(*[F.count_if(side) for side in sides]).first()
+    # Rows are dealt round, far more than files, so no file of a step stays empty.
+    files = max(1, min([n for n in sizes if n], default=0) // ROWS_PER_FILE)
+    for side, n in zip(sides, sizes, strict=True):
+        if n or not any(sizes):
+            rows.filter(side).repartition(files).write.mode("append").parquet(path)
+    return path, files
+
+
+def _run_timers(t, spark, name, base):
+    """Run the delivery timers over the order events in steps."""
+    events = t["order_events"]
+    path, files = _in_order(events, "ts", name)
+    feed = st.order_event_feed(spark, path, max_files=files)
+    parts = max(1, -(-events.count() // ORDERS_PER_PART))
+    return st.run_timers(st.auto_complete_timers(feed, n_parts=parts), base, most_states=parts)
 
 
 def _paths(spark, sf_dir):
@@ -222,9 +237,7 @@ def stream_auto_complete(t, spark, sf_dir):
 def stream_auto_complete_state(t, spark, sf_dir):
     """The same timers in a RocksDB state store (transformWithState, event time), over
     several micro-batches."""
-    path = _in_order(t["order_events"], "ts", "order-events")
-    timers = st.auto_complete_timers(st.order_event_feed(spark, path, max_files=1))
-    return st.run_timers(timers, scratch_path(spark, "auto-complete-state"))
+    return _run_timers(t, spark, "order-events", scratch_path(spark, "auto-complete-state"))
 
 
 @register("armed_timers", """
@@ -236,7 +249,6 @@ WHERE status = 'delivered' AND next_ts IS NULL AND ts + INTERVAL 3 DAY >= wm.wat
 """, needs_session=True)
 def armed_timers(t, spark, sf_dir):
     """Audit of the timers still armed, read back from the state store."""
-    path = _in_order(t["order_events"], "ts", "armed-events")
     base = scratch_path(spark, "armed-timers")
-    st.run_timers(st.auto_complete_timers(st.order_event_feed(spark, path, max_files=1)), base)
+    _run_timers(t, spark, "armed-events", base)
     return st.armed_timers(spark, base)

@@ -415,7 +415,9 @@ def auto_complete_due(orders: DataFrame, asof: str) -> DataFrame:
 ORDER_EVENT_SCHEMA = "order_id string, status string, ts timestamp_ntz"
 AUTO_COMPLETE_OUT = "order_id string, delivered_at timestamp, due_at timestamp"
 ARMED = "armed"
+TIMER_PARTS = 64
 STORE = "spark.sql.streaming.stateStore.providerClass"
+STATES = "spark.sql.shuffle.partitions"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -423,77 +425,102 @@ def order_event_feed(spark: SparkSession, path: str, **kw) -> DataFrame:
     return feed(spark, path, ORDER_EVENT_SCHEMA, "ts", **kw)
 
 
-class _DeliveryTimer(StatefulProcessor):
-    """One armed timer per order: state is the delivery in milliseconds, kept until
-    the timer fires, a later event disarms it, or the state store's TTL ends it."""
+class _DeliveryTimers(StatefulProcessor):
+    """The armed timers of one part of the orders: state is their orders and deliveries
+    in milliseconds, each kept until its timer fires or a later event disarms it.  The
+    state store's own timer stands at the earliest of them."""
 
     def __init__(self, span_ms: int):
         self.span = span_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.armed = handle.getValueState(ARMED, "delivered_ms long")
+        self.armed = handle.getValueState(ARMED, "orders array<string>, delivered_ms array<long>")
 
-    def _due(self, key, delivered: list[int]):
+    def _held(self):
         import pandas as pd
-        at = pd.to_datetime(pd.Series(delivered, dtype="int64"), unit="ms")
-        yield pd.DataFrame({"order_id": key[0], "delivered_at": at,
+        orders, ms = self.armed.get() if self.armed.exists() else ([], [])
+        return pd.DataFrame({"order_id": pd.Series(orders, dtype=object), "ms": pd.Series(ms, dtype="int64")})
+
+    def _keep(self, old, now) -> None:
+        """Make ``now`` the armed timers instead of ``old``."""
+        before, after = (None if f.empty else int(f["ms"].min()) + self.span + 1 for f in (old, now))
+        if before is not None and before != after:
+            self.handle.deleteTimer(before)
+        if after is None:
+            self.armed.clear()
+        else:
+            self.armed.update((now["order_id"].tolist(), now["ms"].tolist()))
+            if before != after:
+                self.handle.registerTimer(after)
+
+    def _due(self, fired):
+        import pandas as pd
+        at = pd.to_datetime(fired["ms"].astype("int64"), unit="ms")
+        yield pd.DataFrame({"order_id": fired["order_id"], "delivered_at": at,
                             "due_at": at + pd.Timedelta(milliseconds=self.span)})
 
     def handleInputRows(self, key, rows, timerValues):
-        old = self.armed.get()[0] if self.armed.exists() else None
-        events = sorted((ms, status) for part in rows
-                        for ms, status in zip(part["ms"].tolist(), part["status"].tolist(), strict=True))
-        now, fired = old, []
-        for ms, status in events:
-            if now is not None and ms > now + self.span:
-                fired.append(now)  # would have fired before this event
-            now = ms if status == "delivered" else None
-        if now != old:
-            if old is not None:
-                self.handle.deleteTimer(old + self.span + 1)
-                self.armed.clear()
-            if now is not None:
-                self.armed.update((now,))
-                self.handle.registerTimer(now + self.span + 1)
-        if fired:
-            yield from self._due(key, fired)
+        import pandas as pd
+        old = self._held()
+        new = pd.concat([part[["order_id", "status", "ms"]] for part in rows], ignore_index=True)
+        # Of an order, its armed timer comes first, then its events in their order.
+        every = pd.concat([old.assign(status="delivered"), new.sort_values(["ms", "status"])], ignore_index=True)
+        number = pd.Series(pd.factorize(every["order_id"], use_na_sentinel=False)[0])
+        every = every.loc[number.sort_values(kind="stable").index]
+        number = number.loc[every.index]
+        last = number.ne(number.shift(-1))
+        delivered = every["status"] == "delivered"
+        fired = every[delivered & ~last & (every["ms"].shift(-1) > every["ms"] + self.span)]
+        self._keep(old, every[delivered & last])
+        if not fired.empty:  # would have fired before the next event
+            yield from self._due(fired)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        (delivered,) = self.armed.get()
-        self.armed.clear()
-        yield from self._due(key, [delivered])
+        old = self._held()
+        due = old["ms"] + self.span < timerValues.getCurrentWatermarkInMs()
+        self._keep(old, old[~due])
+        if due.any():
+            yield from self._due(old[due])
 
     def close(self) -> None:
         pass
 
 
 def auto_complete_timers(events: DataFrame, after_days: int = AUTO_COMPLETE_AFTER_DAYS,
-                         delay: str = DEFAULT_DELAY) -> DataFrame:
+                         delay: str = DEFAULT_DELAY, n_parts: int = TIMER_PARTS) -> DataFrame:
     """I8: an event-time timer per order.  A 'delivered' event arms a timer at
     delivered_at + ``after_days``; any later status event of the order before then
     disarms it; when the watermark passes the timer the order is emitted as due for
     auto-completion.  Run it with ``run_timers``, whose state store holds the timers
-    by order id on disk.
+    on disk.
+
+    Python is called once per part of the orders and batch, not once per order: the
+    orders are dealt over ``n_parts`` by hash.  Choose it for some ten thousand orders
+    a part; it stays the same for the life of a checkpoint.
     """
-    e = events.withWatermark("ts", delay).select("order_id", "status", "ts", F.unix_millis("ts").alias("ms"))
-    return e.groupBy("order_id").transformWithStateInPandas(
-        statefulProcessor=_DeliveryTimer(after_days * 86_400_000), outputStructType=AUTO_COMPLETE_OUT,
+    part = F.pmod(F.xxhash64("order_id"), F.lit(n_parts)).alias("part")
+    e = events.withWatermark("ts", delay).select(part, "order_id", "status", "ts", F.unix_millis("ts").alias("ms"))
+    return e.groupBy("part").transformWithStateInPandas(
+        statefulProcessor=_DeliveryTimers(after_days * 86_400_000), outputStructType=AUTO_COMPLETE_OUT,
         outputMode="append", timeMode="eventtime")
 
 
-def run_timers(df: DataFrame, base: str) -> DataFrame:
+def run_timers(df: DataFrame, base: str, most_states: int | None = None) -> DataFrame:
     """Run timers to the end of the available input, with a RocksDB state store for
-    this query alone; ``base`` holds sink and checkpoint, so that a second run goes
-    on from the first.  Returns all rows fired so far."""
+    this query alone, cut into at most ``most_states`` states; ``base`` holds sink and
+    checkpoint, so that a second run goes on from the first.  Returns all rows fired
+    so far."""
     spark = df.sparkSession
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)  # read when the query starts
+    before, n_states = spark.conf.get(STORE, None), spark.conf.get(STATES)
+    spark.conf.set(STORE, ROCKS)  # both read when the query starts
+    spark.conf.set(STATES, str(min(int(n_states), most_states or int(n_states))))
     try:
         q = (df.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
              .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     finally:
         spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+        spark.conf.set(STATES, n_states)
     q.awaitTermination()
     return _ntz(spark.read.schema(df.schema).parquet(f"{base}/out"))
 
@@ -502,5 +529,7 @@ def armed_timers(spark: SparkSession, base: str) -> DataFrame:
     """The timers still armed after the last run below ``base``, read back from its
     state store: order_id, delivered_at."""
     state = (spark.read.format("statestore").option("path", f"{base}/ckpt").option("stateVarName", ARMED).load())
-    return state.select(F.col("key.order_id").alias("order_id"),
-                        F.timestamp_millis("value.delivered_ms").cast("timestamp_ntz").alias("delivered_at"))
+    timer = F.explode(F.arrays_zip("value.orders", "value.delivered_ms")).alias("t")
+    return state.select(timer).select(
+        F.col("t.orders").alias("order_id"),
+        F.timestamp_millis("t.delivered_ms").cast("timestamp_ntz").alias("delivered_at"))

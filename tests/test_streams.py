@@ -259,3 +259,18 @@ def test_auto_complete_timers_across_batches(spark):
     armed = st.armed_timers(spark, out).collect()
     assert [(r["order_id"], r["delivered_at"]) for r in armed] == [("e", d + dt.timedelta(days=20))]
     assert spark.conf.get(st.STORE, "") != st.ROCKS
+
+
+def test_timers_call_python_once_per_part_not_per_order(spark, tmp_path):
+    d, src, out = dt.datetime(2024, 1, 1), str(tmp_path / "feed"), str(tmp_path / "run")
+    rows = [(f"o{k}", "delivered", d + dt.timedelta(hours=k)) for k in range(300)]
+    rows += [(f"o{k}", "completed", d + dt.timedelta(hours=k, days=1 if k % 2 else 5)) for k in range(100)]
+    spark.createDataFrame(rows, st.ORDER_EVENT_SCHEMA).write.parquet(src)
+    fired = st.run_timers(st.auto_complete_timers(st.order_event_feed(spark, src), n_parts=3), out, most_states=2)
+    newest = 299 - 24
+    assert sorted(r["order_id"] for r in fired.collect()) == sorted(
+        [f"o{k}" for k in range(0, 100, 2)] + [f"o{k}" for k in range(100, 300) if k + 72 < newest])
+    assert {r["order_id"] for r in st.armed_timers(spark, out).collect()} == {
+        f"o{k}" for k in range(100, 300) if k + 72 >= newest}
+    state = spark.read.format("statestore").option("path", f"{out}/ckpt").option("stateVarName", st.ARMED).load()
+    assert state.count() <= 3  # one value a part
