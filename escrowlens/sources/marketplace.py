@@ -5,10 +5,11 @@ written down in FIXTURES.md §2); it does none of the operators' work.  On a
 real deployment the marketplace tables are the base tables and this module is
 replaced by plain ``spark.read`` calls.
 
-``load_marketplace`` materialises the mapped tables once per session and
-source folder, as Parquet under the session's checkpoint folder, so every
-operator starts from a written table (short lineage, survives executor loss)
-instead of re-running the fixture joins.  ``orders`` and
+``load_marketplace`` materialises a mapped table when it is first used, once per
+session and source folder, as Parquet under the session's checkpoint folder, so
+every operator starts from a written table (short lineage, survives executor loss)
+instead of re-running the fixture joins, and a job writes only the tables that it
+reads.  ``orders`` and
 ``platform_commission`` are written as bucketed, sorted external tables on the
 order id (same bucket count), so joins on the order id read co-located
 buckets.
@@ -39,9 +40,8 @@ ADMIN_ACTIONS = [("suspend_user", "user"), ("change_role", "user"),
                  ("update_order_status", "order"), ("force_refund", "order"),
                  ("adjust_wallet", "wallet"), ("deactivate_product", "product")]
 
-_cache: dict[tuple, dict[str, str]] = {}
+_cache: dict[tuple, MarketPaths] = {}
 _frames: dict[tuple, dict[str, DataFrame]] = {}
-_catalog: dict[tuple, dict[str, str]] = {}
 
 # Storage layout: tables joined on the order id are bucketed (hash on the
 # order id, same bucket count) and sorted, so those joins read co-located
@@ -78,8 +78,8 @@ def order_status(o_status, l_status, rflag) -> F.Column:
                   .otherwise("disputed")))
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One marketplace order per line item (plus the line number, for reviews)."""
+def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined line items, numbers as numbers: what ``order_lines`` derives from."""
     li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_linestatus"])
@@ -87,19 +87,27 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              "o_orderdate"])
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-    qty = F.col("l_quantity").cast("bigint")
-    total = cents("l_extendedprice")
-    j = j.select(
-        F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey"),
-                    _s("l_suppkey"), _s(qty), _s(total)).alias("id"),
+    return j.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "o_orderdate", "p_name",
+        F.col("l_quantity").cast("bigint").alias("quantity"), cents("l_extendedprice").alias("total_amount"),
+        order_status("o_orderstatus", "l_linestatus", "l_returnflag").alias("status"))
+
+
+def line_id() -> F.Column:
+    return F.concat_ws("-", *map(_s, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                      "quantity", "total_amount")))
+
+
+def order_lines(rows: DataFrame) -> DataFrame:
+    """One marketplace order per line item (plus the line number, for reviews)."""
+    j = rows.select(
+        line_id().alias("id"),
         F.concat(F.lit("B"), _s("o_custkey")).alias("buyer_id"),
         F.concat(F.lit("S"), _s("l_suppkey")).alias("seller_id"),
         F.when(F.col("l_linenumber") == DELETED_PRODUCT_LINE, _null("bigint"))
          .otherwise(F.col("l_partkey")).alias("product_id"),
         F.col("p_name").alias("product_title"),
-        qty.alias("quantity"),
-        total.alias("total_amount"),
-        order_status("o_orderstatus", "l_linestatus", "l_returnflag").alias("status"),
+        "quantity", "total_amount", "status",
         F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
         F.col("l_linenumber").alias("line_number"),
     )
@@ -371,59 +379,64 @@ def event_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "admin_logs": logs, "status_events": se, "events": ev}
 
 
+def build_table(spark: SparkSession, sf_dir: str, name: str, orders: DataFrame | None = None) -> DataFrame:
+    """One marketplace table as a lazy DataFrame over the driver tables, or over
+    ``orders`` where that table is at hand."""
+    if name == "app_settings":
+        return app_settings_table(spark)
+    if name == "products":
+        return products_table(spark, sf_dir)
+    if name in ("conversations", "messages"):
+        return dict(zip(("conversations", "messages"), chat_tables(spark, sf_dir), strict=True))[name]
+    if name in ("profiles", "accounts"):
+        return {"profiles": profiles_table, "accounts": accounts_table}[name](_people(spark, sf_dir))
+    if name == "reviews":
+        return reviews_table(order_lines(line_rows(spark, sf_dir)))
+    if name in ("orders", "wallets", "platform_commission", "admin_wallet", "order_events"):
+        o = orders if orders is not None else orders_table(order_lines(line_rows(spark, sf_dir)))
+        return {"orders": lambda: o, "wallets": lambda: wallets_table(_people(spark, sf_dir), o),
+                "platform_commission": lambda: commission_table(o),
+                "admin_wallet": lambda: admin_wallet_table(commission_table(o)),
+                "order_events": lambda: order_events_table(o)}[name]()
+    return event_tables(spark, sf_dir)[name]
+
+
 def build_marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All marketplace tables as lazy DataFrames over the driver tables."""
-    lines = order_lines(spark, sf_dir)
-    orders = orders_table(lines)
-    people = _people(spark, sf_dir)
-    commission = commission_table(orders)
-    conversations, messages = chat_tables(spark, sf_dir)
-    out = {
-        "orders": orders,
-        "profiles": profiles_table(people),
-        "accounts": accounts_table(people),
-        "wallets": wallets_table(people, orders),
-        "products": products_table(spark, sf_dir),
-        "reviews": reviews_table(lines),
-        "platform_commission": commission,
-        "app_settings": app_settings_table(spark),
-        "admin_wallet": admin_wallet_table(commission),
-        "conversations": conversations,
-        "messages": messages,
-        "order_events": order_events_table(orders),
-    }
-    out.update(event_tables(spark, sf_dir))
-    return out
+    return {name: build_table(spark, sf_dir, name) for name in MARKET_TABLES}
 
 
 def load_marketplace(spark: SparkSession, sf_dir: str, materialize: bool = True
                      ) -> dict[str, DataFrame]:
-    """Marketplace tables, written once per session and folder, then read back."""
+    """Marketplace tables, each written once per session and folder when first used,
+    then read back."""
     if not materialize:
         return build_marketplace(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     tables = _frames.get(key)
     if tables is None:
         paths = marketplace_paths(spark, sf_dir)
-        tables = _frames[key] = MarketTables(spark, paths, _catalog.get(key, {}))
+        tables = _frames[key] = MarketTables(spark, paths, paths.catalog)
     return tables
 
 
 class MarketTables(dict):
     """Table name -> DataFrame, read on first use and then reused, so a query
-    only lists and opens the folders it touches (and the file index of each
-    folder is built once per session)."""
+    only writes, lists and opens the folders it touches (and the file index of
+    each folder is built once per session)."""
 
     def __init__(self, spark: SparkSession, paths: dict[str, str],
                  catalog: dict[str, str] | None = None):
         super().__init__()
-        self._spark, self._paths, self._catalog = spark, paths, catalog or {}
+        self._spark, self._paths = spark, paths
+        self._catalog = {} if catalog is None else catalog
 
     def __missing__(self, name: str) -> DataFrame:
+        path = self._paths[name]           # written now, unless it was
         if name in self._catalog:          # bucketed: the planner sees the layout
             df = self._spark.table(self._catalog[name])
         else:
-            df = self._spark.read.parquet(self._paths[name])
+            df = self._spark.read.parquet(path)
         self[name] = df
         return df
 
@@ -431,64 +444,61 @@ class MarketTables(dict):
 ROWS_PER_BUCKET = 1_000_000
 
 
-def _write_table(spark: SparkSession, df: DataFrame, name: str, path: str,
-                 catalog: dict[str, str], tag: str, n_buckets: int = 8) -> None:
-    """Write one table; the co-located ones as bucketed external tables."""
-    col = CO_LOCATED.get(name)
-    if col is not None:
-        n = n_buckets
-        tname = f"{tag}_{name}"
-        # One writer per bucket (same hash as the bucketing), so each bucket is
-        # a single sorted file and joins skip the sort too.
-        (df.repartition(n, F.col(col)).write.mode("overwrite")
-         .bucketBy(n, col).sortBy(col).option("path", path).saveAsTable(tname))
-        catalog[name] = tname
-        return
-    df.write.mode("overwrite").parquet(path)
-
+class MarketPaths(dict):
+    """Table name -> folder of the written table.  A table is written when its folder
+    is first asked for, so a job pays for the tables that it reads and no others."""
 
-def marketplace_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._spark, self._sf_dir = spark, sf_dir
+        self._base = scratch_path(spark, "market")
+        self._tag = "escrowlens_" + self._base.rstrip("/").rsplit("-", 1)[-1]
+        self.catalog: dict[str, str] = {}
+
+    def __missing__(self, name: str) -> str:
+        if name not in MARKET_TABLES:
+            raise KeyError(name)
+        path = f"{self._base}/{name}"
+        if name == "orders":
+            # The narrow rows travel; the columns that follow from them are made after.
+            n = self._buckets()
+            placed = line_rows(self._spark, self._sf_dir).repartition(n, line_id())
+            self._bucketed(orders_table(order_lines(placed)), name, path, n)
+        elif name in CO_LOCATED:
+            df = build_table(self._spark, self._sf_dir, name, self._orders(write=True))
+            n = self._buckets()
+            self._bucketed(df.repartition(n, F.col(CO_LOCATED[name])), name, path, n)
+        else:
+            df = build_table(self._spark, self._sf_dir, name, self._orders())
+            df.write.mode("overwrite").parquet(path)
+        self[name] = path
+        return path
+
+    def _orders(self, write: bool = False) -> DataFrame | None:
+        """The written orders table; where it isn't, none, or it is written now."""
+        if write:
+            self["orders"]
+        return self._spark.table(self.catalog["orders"]) if "orders" in self else None
+
+    def _buckets(self) -> int:
+        """Same bucket count for every co-located table, sized by row count (a
+        footer-only count), so a bucket stays near a million rows."""
+        n_lines = read_table(self._spark, self._sf_dir, "lineitem").count()
+        return max(8, -(-n_lines // ROWS_PER_BUCKET))
+
+    def _bucketed(self, df: DataFrame, name: str, path: str, n: int) -> None:
+        """Write as a bucketed external table.  ``df`` has one partition per bucket
+        (same hash as the bucketing), so each bucket is a single sorted file and joins
+        skip the sort too."""
+        col, tname = CO_LOCATED[name], f"{self._tag}_{name}"
+        df.write.mode("overwrite").bucketBy(n, col).sortBy(col).option("path", path).saveAsTable(tname)
+        self.catalog[name] = tname
+
+
+def marketplace_paths(spark: SparkSession, sf_dir: str) -> MarketPaths:
     """Folders of the materialised marketplace tables (written on first use)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     paths = _cache.get(key)
     if paths is None:
-        base = scratch_path(spark, "market")
-        tag = "escrowlens_" + base.rstrip("/").rsplit("-", 1)[-1]
-        catalog: dict[str, str] = {}
-        lines = order_lines(spark, sf_dir)
-        lines_path = f"{base}/_lines"
-        lines.write.mode("overwrite").parquet(lines_path)
-        lines = spark.read.parquet(lines_path)
-        # Same bucket count for every co-located table, sized by row count
-        # (a footer-only count), so a bucket stays near a million rows.
-        n_buckets = max(8, -(-lines.count() // ROWS_PER_BUCKET))
-        orders_path = f"{base}/orders"
-        _write_table(spark, orders_table(lines), "orders", orders_path, catalog, tag,
-                     n_buckets)
-        orders = (spark.table(catalog["orders"]) if "orders" in catalog
-                  else spark.read.parquet(orders_path))
-        people = _people(spark, sf_dir)
-        commission = commission_table(orders)
-        conversations, messages = chat_tables(spark, sf_dir)
-        frames = {
-            "profiles": profiles_table(people),
-            "accounts": accounts_table(people),
-            "wallets": wallets_table(people, orders),
-            "products": products_table(spark, sf_dir),
-            "reviews": reviews_table(lines),
-            "platform_commission": commission,
-            "app_settings": app_settings_table(spark),
-            "admin_wallet": admin_wallet_table(commission),
-            "conversations": conversations,
-            "messages": messages,
-            "order_events": order_events_table(orders),
-        }
-        frames.update(event_tables(spark, sf_dir))
-        paths = {"orders": orders_path}
-        for name, df in frames.items():
-            p = f"{base}/{name}"
-            _write_table(spark, df, name, p, catalog, tag, n_buckets)
-            paths[name] = p
-        _cache[key] = paths
-        _catalog[key] = catalog
+        paths = _cache[key] = MarketPaths(spark, sf_dir)
     return paths

@@ -179,3 +179,17 @@ def test_rollup_scans_orders_once_and_days_merge_to_any_period(spark):
     got = {r["year"]: r["buyers"] for r in d.distinct_buyers(daily, F.year("day"), "year").collect()}
     exp = t["orders"].groupBy(F.year("created_at").alias("year")).agg(F.countDistinct("buyer_id").alias("n")).collect()
     assert got == {r["year"]: r["n"] for r in exp}
+
+
+def test_a_query_writes_only_the_tables_it_reads(spark, tmp_path):
+    import os
+
+    from escrowlens.sources.marketplace import load_marketplace, marketplace_paths
+    sf = str(tmp_path / "sf")
+    os.symlink(SF_SMALL, sf)
+    t = load_marketplace(spark, sf)
+    assert set(marketplace_paths(spark, sf)) == set()
+    t["wallet_transactions"].count()
+    assert set(marketplace_paths(spark, sf)) == {"wallet_transactions"}
+    t["platform_commission"].count()
+    assert set(marketplace_paths(spark, sf)) == {"wallet_transactions", "orders", "platform_commission"}
