@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escrowlens.llm.common import bit_table, maybe_in, staged
+from escrowlens.llm.common import bit_table, bounded_batches, maybe_in, staged
 from escrowlens.llm.shingles import window_hashes, word_hashes, word_list
 
 WINDOW = 35
@@ -145,6 +145,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept (text)."""
     if not covers(period, cover) or period > window:
         raise ValueError("cover must have every difference modulo a period of at most one window")
+    bounded_batches(docs.sparkSession)
     key = ["t1", "t2"]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"),
                        F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
