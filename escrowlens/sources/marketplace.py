@@ -66,31 +66,43 @@ def _count_frame(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df.agg(F.count(F.lit(1)).alias(name)))
 
 
-def order_status(o_status, l_status, rflag) -> F.Column:
-    o, li, r = F.col(o_status), F.col(l_status), F.col(rflag)
-    return (F.when(o == "F", F.when(li == "F", "completed").otherwise("delivered"))
-            .when(o == "O", F.when(li == "F", "processing")
-                  .when(r == "A", "paid").when(r == "N", "pending_payment")
-                  .otherwise("cancelled"))
-            .when(o == "P", F.when(li == "F", F.when(r == "A", "paid")
-                                   .when(r == "N", "delivered").otherwise("refunded"))
-                  .when(r == "A", "processing").when(r == "N", "pending_payment")
-                  .otherwise("disputed")))
+STATUSES = ["completed", "delivered", "processing", "paid", "pending_payment", "cancelled",
+            "refunded", "disputed"]
+
+
+def order_status(o_status, finished, rflag) -> F.Column:
+    """The number in ``STATUSES`` of an order's status: a number travels lighter than its name."""
+    o, li, r = F.col(o_status), F.col(finished), F.col(rflag)
+    n = {name: F.lit(k).cast("byte") for k, name in enumerate(STATUSES)}
+    return (F.when(o == "F", F.when(li, n["completed"]).otherwise(n["delivered"]))
+            .when(o == "O", F.when(li, n["processing"])
+                  .when(r == 1, n["paid"]).when(r == 2, n["pending_payment"])
+                  .otherwise(n["cancelled"]))
+            .when(o == "P", F.when(li, F.when(r == 1, n["paid"])
+                                   .when(r == 2, n["delivered"]).otherwise(n["refunded"]))
+                  .when(r == 1, n["processing"]).when(r == 2, n["pending_payment"])
+                  .otherwise(n["disputed"])))
 
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The joined line items, numbers as numbers: what ``order_lines`` derives from."""
+    """The joined line items, numbers and flags as whole numbers: what ``order_lines``
+    derives from.  They are made before the joins, as they travel lighter."""
     li = read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_linestatus"])
+    li = li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        F.col("l_quantity").cast("bigint").alias("quantity"), cents("l_extendedprice").alias("total_amount"),
+        F.coalesce(F.col("l_linestatus") == "F", F.lit(False)).alias("_finished"),
+        F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(0)
+         .cast("byte").alias("_flag"))
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus",
                                              "o_orderdate"])
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-    return j.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "o_orderdate", "p_name",
-        F.col("l_quantity").cast("bigint").alias("quantity"), cents("l_extendedprice").alias("total_amount"),
-        order_status("o_orderstatus", "l_linestatus", "l_returnflag").alias("status"))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "o_orderdate",
+        "quantity", "total_amount", order_status("o_orderstatus", "_finished", "_flag").alias("status"))
+    return j.join(p, j.l_partkey == p.p_partkey).drop("p_partkey")
 
 
 def line_id() -> F.Column:
@@ -107,10 +119,16 @@ def order_lines(rows: DataFrame) -> DataFrame:
         F.when(F.col("l_linenumber") == DELETED_PRODUCT_LINE, _null("bigint"))
          .otherwise(F.col("l_partkey")).alias("product_id"),
         F.col("p_name").alias("product_title"),
-        "quantity", "total_amount", "status",
+        "quantity", "total_amount",
+        F.get(F.array(*map(F.lit, STATUSES)), F.col("status")).alias("status"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
         F.col("l_linenumber").alias("line_number"),
     )
+    return with_times(j)
+
+
+def with_times(j: DataFrame) -> DataFrame:
+    """Orders with the times of delivery and completion, which follow from the status."""
     delivered = F.when(F.col("status").isin("delivered", "completed"),
                        F.timestamp_add("HOUR", F.col("quantity"), F.col("created_at")))
     j = j.withColumn("delivered_at", delivered)
@@ -120,17 +138,24 @@ def order_lines(rows: DataFrame) -> DataFrame:
     return j
 
 
-def orders_table(lines: DataFrame) -> DataFrame:
+# What is written of an order; the other columns follow from these when it is read.
+STORED_ORDER = ["id", "buyer_id", "seller_id", "product_id", "product_title", "quantity",
+                "total_amount", "platform_fee", "status", "created_at"]
+
+
+def stored_orders(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("platform_fee", F.expr("total_amount * 500 div 10000")).select(*STORED_ORDER)
+
+
+def orders_table(stored: DataFrame) -> DataFrame:
     """The orders table as it stands after the commission columns were added."""
     rate = F.lit(DEFAULT_COMMISSION_RATE).cast(RATE_TYPE)
-    fee = F.expr("total_amount * 500 div 10000")
     settled = (F.col("status") == "completed") & F.col("product_id").isNotNull()
-    return lines.select(
+    return with_times(stored).select(
         "id", "buyer_id", "seller_id", "product_id", "product_title",
         F.expr("total_amount div quantity").alias("product_price"),
-        "quantity", "total_amount",
-        fee.alias("platform_fee"),
-        (F.col("total_amount") - fee).alias("seller_receives"),
+        "quantity", "total_amount", "platform_fee",
+        (F.col("total_amount") - F.col("platform_fee")).alias("seller_receives"),
         "status",
         _null("string").alias("midtrans_order_id"),
         _null("string").alias("buyer_note"),
@@ -393,7 +418,7 @@ def build_table(spark: SparkSession, sf_dir: str, name: str, orders: DataFrame |
     if name == "reviews":
         return reviews_table(order_lines(line_rows(spark, sf_dir)))
     if name in ("orders", "wallets", "platform_commission", "admin_wallet", "order_events"):
-        o = orders if orders is not None else orders_table(order_lines(line_rows(spark, sf_dir)))
+        o = orders if orders is not None else orders_table(stored_orders(order_lines(line_rows(spark, sf_dir))))
         return {"orders": lambda: o, "wallets": lambda: wallets_table(_people(spark, sf_dir), o),
                 "platform_commission": lambda: commission_table(o),
                 "admin_wallet": lambda: admin_wallet_table(commission_table(o)),
@@ -434,14 +459,20 @@ class MarketTables(dict):
     def __missing__(self, name: str) -> DataFrame:
         path = self._paths[name]           # written now, unless it was
         if name in self._catalog:          # bucketed: the planner sees the layout
-            df = self._spark.table(self._catalog[name])
+            df = bucketed_table(self._spark, self._catalog, name)
         else:
             df = self._spark.read.parquet(path)
         self[name] = df
         return df
 
 
-ROWS_PER_BUCKET = 1_000_000
+def bucketed_table(spark: SparkSession, catalog: dict[str, str], name: str) -> DataFrame:
+    df = spark.table(catalog[name])
+    return orders_table(df) if name == "orders" else df
+
+
+# A task sorts one bucket as it writes: so few rows stay in a small executor's memory.
+ROWS_PER_BUCKET = 250_000
 
 
 class MarketPaths(dict):
@@ -463,14 +494,14 @@ class MarketPaths(dict):
             # The narrow rows travel; the columns that follow from them are made after.
             n = self._buckets()
             placed = line_rows(self._spark, self._sf_dir).repartition(n, line_id())
-            self._bucketed(orders_table(order_lines(placed)), name, path, n)
+            self._bucketed(stored_orders(order_lines(placed)), name, path, n)
         elif name in CO_LOCATED:
             df = build_table(self._spark, self._sf_dir, name, self._orders(write=True))
             n = self._buckets()
             self._bucketed(df.repartition(n, F.col(CO_LOCATED[name])), name, path, n)
         else:
             df = build_table(self._spark, self._sf_dir, name, self._orders())
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         self[name] = path
         return path
 
@@ -478,11 +509,11 @@ class MarketPaths(dict):
         """The written orders table; where it isn't, none, or it is written now."""
         if write:
             self["orders"]
-        return self._spark.table(self.catalog["orders"]) if "orders" in self else None
+        return bucketed_table(self._spark, self.catalog, "orders") if "orders" in self else None
 
     def _buckets(self) -> int:
         """Same bucket count for every co-located table, sized by row count (a
-        footer-only count), so a bucket stays near a million rows."""
+        footer-only count), so a bucket stays near ``ROWS_PER_BUCKET``."""
         n_lines = read_table(self._spark, self._sf_dir, "lineitem").count()
         return max(8, -(-n_lines // ROWS_PER_BUCKET))
 
@@ -491,7 +522,7 @@ class MarketPaths(dict):
         (same hash as the bucketing), so each bucket is a single sorted file and joins
         skip the sort too."""
         col, tname = CO_LOCATED[name], f"{self._tag}_{name}"
-        df.write.mode("overwrite").bucketBy(n, col).sortBy(col).option("path", path).saveAsTable(tname)
+        df.write.mode("overwrite").bucketBy(n, col).sortBy(col).option("compression", "zstd").option("path", path).saveAsTable(tname)
         self.catalog[name] = tname
 
 
