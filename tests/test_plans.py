@@ -193,3 +193,63 @@ def test_a_query_writes_only_the_tables_it_reads(spark, tmp_path):
     assert set(marketplace_paths(spark, sf)) == {"wallet_transactions"}
     t["platform_commission"].count()
     assert set(marketplace_paths(spark, sf)) == {"wallet_transactions", "orders", "platform_commission"}
+
+
+def _driver_rows(spark, sf):
+    """One line of every order status, and one whose part is missing."""
+    states = [("F", "F", "A"), ("F", "O", "N"), ("F", None, None), ("O", "F", "R"), ("O", "O", "A"), ("O", "O", "N"),
+              ("O", None, None), ("P", "F", "A"), ("P", "F", "N"), ("P", "F", None), ("P", "O", "A"), ("P", "O", "N"),
+              ("P", "O", "R"), (None, "F", "A")]
+    lines = [(k, 1 + k % 2, 3, 7 if k == 5 else 1, 2.0, 100.0 + k, r, li) for k, (_, li, r) in enumerate(states)]
+    lines.append((0, 99, 3, 2, 1.0, 5.0, "A", "F"))
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, "
+                          "l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string") \
+        .write.parquet(f"{sf}/lineitem.parquet")
+    spark.createDataFrame([(k, 4, o) for k, (o, _, _) in enumerate(states)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string") \
+        .selectExpr("*", "timestamp_ntz'2001-02-03 00:00:00' as o_orderdate").write.parquet(f"{sf}/orders.parquet")
+    spark.createDataFrame([(1, "one"), (2, "two")], "p_partkey long, p_name string").write.parquet(f"{sf}/part.parquet")
+
+
+def test_orders_are_written_narrow_and_read_whole(spark, tmp_path):
+    """The columns that follow from others aren't written, and come back as they were."""
+    import datetime as dt
+
+    from escrowlens.sources.marketplace import load_marketplace, marketplace_paths
+    from escrowlens.sources.schemas import SCHEMAS
+    sf = str(tmp_path)
+    _driver_rows(spark, sf)
+    o = load_marketplace(spark, sf)["orders"]
+    written = spark.read.parquet(marketplace_paths(spark, sf)["orders"])
+    assert set(written.columns) == {"id", "buyer_id", "seller_id", "product_id", "product_title", "quantity",
+                                    "total_amount", "platform_fee", "status", "created_at"}
+    assert o.columns == [c.split()[0] for c in SCHEMAS["orders"].split(", ")]
+    rows = {int(r["id"].split("-")[0]): r for r in o.collect()}
+    assert [rows[k]["status"] for k in range(14)] == [
+        "completed", "delivered", "delivered", "processing", "paid", "pending_payment", "cancelled", "paid",
+        "delivered", "refunded", "processing", "pending_payment", "disputed", None]
+    first, gone = rows[0], rows[5]
+    assert (first["id"], first["buyer_id"], first["seller_id"], first["product_id"], first["product_title"]) == (
+        "0-1-1-3-2-10000", "B4", "S3", 1, "one")
+    assert (first["product_price"], first["platform_fee"], first["seller_receives"], first["seller_payout"]) == (
+        5000, 500, 9500, 9500)
+    assert first["delivered_at"] == dt.datetime(2001, 2, 3, 2) and first["completed_at"] == dt.datetime(2001, 2, 4, 2)
+    assert first["updated_at"] == first["completed_at"] and rows[1]["updated_at"] == rows[1]["delivered_at"]
+    assert gone["product_id"] is None and gone["delivered_at"] is None and gone["seller_payout"] == 0
+
+
+def test_orders_are_dealt_by_product_and_buyer_but_not_by_seller(spark):
+    """The product's seller is found among the products, with broadcasts off."""
+    t = load_marketplace(spark, SF_SMALL)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = _plan(views.admin_orders_v2(t))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    dealt = re.findall(r"Input \[\d+\]: \[([^\]]*)\]\nArguments: hashpartitioning\(([^,#]+)#", plan)
+    of_orders = [key for cols, key in dealt if "commission_amount#" in cols]
+    assert sorted(of_orders) == ["_product", "o_buyer"]
