@@ -36,3 +36,33 @@ def explode_parties(df: DataFrame, key: str, parties: list[str], out: str = "par
     arr = F.array_distinct(F.array(*[F.col(p) for p in parties]))
     return df.select(F.col(key), F.explode(arr).alias(out), *[c for c in df.columns
                                                            if c != key])
+
+
+TABLE_BITS = 24  # at most 262,144 broadcast rows
+
+
+def _maybe_in(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` with ``_maybe``: false only where the key is surely not in ``keys``.
+
+    The keys travel as a bit table, at most ``2**TABLE_BITS / 64`` rows however many
+    they are; it only decides which rows need the exact join.
+    """
+    slot = F.pmod(F.xxhash64(*cols), F.lit(1 << TABLE_BITS))
+    table = (keys.select(slot.alias("_slot")).groupBy(F.expr("_slot div 64").alias("_word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 as int))")).alias("_mask")))
+    hit = F.expr("coalesce(shiftright(_mask, cast(_slot % 64 as int)) & 1L, 0L) = 1L")
+    placed = df.withColumn("_slot", slot).withColumn("_word", F.expr("_slot div 64"))
+    return placed.join(F.broadcast(table), "_word", "left").withColumn("_maybe", hit).drop("_word", "_slot", "_mask")
+
+
+def perhaps(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of ``df`` without most of those whose key is not in ``keys``: what is left
+    goes to an exact join with them, the others need no shuffle."""
+    return _maybe_in(df, keys, cols).filter("_maybe").drop("_maybe")
+
+
+def without_keys(df: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``keys`` (exact); only rows that may be are shuffled."""
+    flagged = _maybe_in(df, keys, cols)
+    met = flagged.filter("_maybe").join(keys, cols, "left_anti")
+    return flagged.filter("not _maybe").unionByName(met.select(*flagged.columns)).drop("_maybe")

@@ -11,19 +11,27 @@ number and then a new list.  Nothing is changed in place: a job that dies leaves
 the last list and its files as they were, and the same batch run again writes the
 same folders again.  Readers follow the newest list.  The driver holds one number
 per part.  ``forget`` removes what no kept list names.
+
+A batch whose few rows fall in most parts is laid over the table instead
+(``overlay``): only its rows are written, to ``over/b=<batch>/``, and readers put
+them in the place of the rows with their keys.  Every ``FOLD_EVERY`` such batches,
+and with any ``upsert``, what was laid over goes into the parts.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from escrowlens.plans.joins import without_keys
 from escrowlens.session import scratch_path
 
 PARTS_SCHEMA = "part long, at long"
+FOLD_EVERY = 20
 
 
 def _folder(spark: SparkSession, path: str):
@@ -88,7 +96,8 @@ class VersionedTable:
     def _write(self, rows: DataFrame, parts: dict[int, int], batch_id: int, touched=()) -> None:
         where = f"{self.base}/data/b={batch_id}"
         placed = rows.withColumn("part", F.coalesce(self.part, F.lit(-1)).cast("long"))
-        placed.repartition("part").write.mode("overwrite").partitionBy("part").parquet(where)
+        (placed.repartition("part").write.mode("overwrite").option("compression", "zstd")
+         .partitionBy("part").parquet(where))
         fs, folder = _folder(self.spark, where)
         wrote = [int(f.getPath().getName()[5:]) for f in fs.listStatus(folder)
                  if f.getPath().getName().startswith("part=")]
@@ -104,16 +113,57 @@ class VersionedTable:
 
     def read(self) -> DataFrame:
         """The rows after the newest batch."""
-        return self._rows(self._parts())
+        return self._with(self._rows(self._parts()), self._over())
 
     def near(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """The table's rows, before the batch, in the parts that ``rows`` (with the
         columns of the key) fall in."""
-        return self._rows(self._of(rows, self._parts(before=batch_id)))
+        hit = self._hit(rows)
+        parts = self._parts(before=batch_id)
+        over = self._over(before=batch_id)
+        if over is not None:
+            over = over.filter(F.coalesce(self.part, F.lit(-1)).cast("long").isin(hit))
+        return self._with(self._rows({p: parts[p] for p in hit if p in parts}), over)
+
+    def _hit(self, rows: DataFrame) -> list[int]:
+        found = rows.select(F.coalesce(self.part, F.lit(-1)).cast("long").alias("part")).distinct().collect()
+        return [r["part"] for r in found]  # one number a part
 
     def _of(self, rows: DataFrame, parts: dict[int, int]) -> dict[int, int]:
-        hit = rows.select(F.coalesce(self.part, F.lit(-1)).cast("long").alias("part")).distinct().collect()
-        return {r["part"]: parts[r["part"]] for r in hit if r["part"] in parts}  # one number a part
+        return {p: parts[p] for p in self._hit(rows) if p in parts}
+
+    def _laid(self, before: int | None = None) -> list[int]:
+        """The batches laid over the newest list."""
+        lists, over = ([b for b in batches_in(self.spark, f"{self.base}/{kind}") if before is None or b < before]
+                       for kind in ("parts", "over"))
+        return [b for b in over if b > (lists[-1] if lists else -1)]
+
+    def _over(self, before: int | None = None) -> DataFrame | None:
+        """The rows laid over the parts: of a key, those of its newest batch."""
+        laid = self._laid(before)
+        if not laid:
+            return None
+        read = self.spark.read.schema(self.schema)
+        one = [read.parquet(f"{self.base}/over/b={b}").withColumn("_b", F.lit(b)) for b in laid]
+        newest = F.max("_b").over(Window.partitionBy(*self.key))
+        rows = reduce(DataFrame.unionByName, one)
+        if len(laid) > 1:
+            rows = rows.withColumn("_newest", newest).filter("_b = _newest")
+        return rows.select(*self.schema.names)
+
+    def _with(self, rows: DataFrame, over: DataFrame | None) -> DataFrame:
+        if over is None:
+            return rows
+        return without_keys(rows, over.select(*self.key).distinct(), self.key).unionByName(over)
+
+    def overlay(self, changes: DataFrame, batch_id: int, fold_every: int = FOLD_EVERY) -> None:
+        """As ``upsert`` without ``gone``, but only the rows of ``changes`` are written:
+        for batches that touch most parts and few rows of each."""
+        if len(self._laid(before=batch_id)) + 1 >= fold_every:
+            self.upsert(changes, batch_id)
+        else:
+            (changes.select(*self.schema.names).write.mode("overwrite").option("compression", "zstd")
+             .parquet(f"{self.base}/over/b={batch_id}"))
 
     def upsert(self, changes: DataFrame, batch_id: int, gone: DataFrame | None = None) -> None:
         """Rows of ``changes`` replace those with their key or are added; keys of
@@ -123,6 +173,10 @@ class VersionedTable:
         keys = changes.select(*self.key)
         if gone is not None:
             keys = keys.unionByName(gone.select(*self.key))
+        over = self._over(before=batch_id)
+        if over is not None:  # goes into the parts with this batch
+            changes = changes.select(*self.schema.names).unionByName(over.join(keys.distinct(), self.key, "left_anti"))
+            keys = keys.unionByName(over.select(*self.key))
         touched = self._of(keys, parts)
         old = self._rows(touched)
         kept = old.join(keys.distinct(), self.key, "left_anti")
@@ -138,6 +192,9 @@ class VersionedTable:
             used |= {(r["part"], r["at"]) for r in rows}
         for b in known[:-keep]:
             remove(self.spark, f"{self.base}/parts/b={b}")
+        for b in batches_in(self.spark, f"{self.base}/over"):
+            if known and b <= known[-keep:][0]:
+                remove(self.spark, f"{self.base}/over/b={b}")
         for b in batches_in(self.spark, f"{self.base}/data"):
             if b > (known[-1] if known else -1):
                 continue  # not finished yet

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from escrowlens.plans.joins import perhaps
 from escrowlens.session import scratch_path
 from escrowlens.sources.schemas import SCHEMAS
 from escrowlens.sources.versions import VersionedTable, batches_in, exists, remove
@@ -375,17 +376,17 @@ def run_unread(messages: DataFrame, reads: DataFrame, conversations: DataFrame,
 def payment_step(orders: VersionedTable):
     """One micro-batch of payment notices applied to the orders table, as a
     foreachBatch function: the parts that hold the named orders are read, the orders
-    that the guard lets through are replaced.  A notice seen again finds its order
-    paid and changes nothing."""
+    that the guard lets through are replaced; only these are written.  A notice seen
+    again finds its order paid and changes nothing."""
     def step(batch: DataFrame, batch_id: int) -> None:
         notices = batch.persist()
         named = notices.select(F.col("order_id").alias("id")).filter("id is not null").distinct()
         near = orders.near(named, batch_id + 1)
         paid = apply_payments(near, notices).select(
             F.col("order_id").alias("id"), F.col("status").alias("_status"), F.col("updated_at").alias("_at"))
-        changed = near.join(paid, "id").withColumns(
+        changed = perhaps(near, paid.select("id"), ["id"]).join(paid, "id").withColumns(
             {"status": F.col("_status"), "updated_at": F.col("_at").cast(near.schema["updated_at"].dataType)})
-        orders.upsert(changed.select(*near.columns), batch_id + 1)
+        orders.overlay(changed.select(*near.columns), batch_id + 1)
         notices.unpersist()
     return step
 
