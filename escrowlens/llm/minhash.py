@@ -15,8 +15,8 @@ two are linked if 100 * intersection >= 75 * union.
 3. Members of a bucket that are still in different components and have not been
    compared with each other are compared now, by bucket, inside a task: again
    batch by batch, then exactly, skipping pairs that an earlier link has joined.
-   A bucket goes out as blocks of at most ``BLOCK_BYTES`` of sets, a task for
-   each pair of blocks, so no task holds a whole hot bucket and the rows that
+   A bucket goes out as blocks of about ``BLOCK_BYTES`` of sets, signatures and
+   what a row takes besides (``ROW_BYTES``), a task for each pair of blocks, so no task holds a whole hot bucket and the rows that
    leave a task are at most a spanning forest of its block, not its pairs.
 4. Components of all links.
 
@@ -53,6 +53,7 @@ PERMS = BANDS * BAND_ROWS
 BATCH = 16
 MISS = 1e-7
 BLOCK_BYTES = 4_000_000
+ROW_BYTES = 256  # array objects and the other columns of a member
 TABLE_BITS = 24  # at most 262,144 broadcast rows
 _CHUNK = 256
 
@@ -257,8 +258,8 @@ def _bucket_links(members: DataFrame, roots: DataFrame, sets: DataFrame) -> Data
                .filter("_lo <> _hi")
                # buckets of different bands with the same members need one look
                .groupBy("_n", "_x", "_y").agg(F.min("key").alias("key")).select("key"))
-    sized = sets.select("id", "sig", "set", F.octet_length("set").alias("_bytes"))
-    chosen = staged(labelled.join(several, "key").join(sized.select("id", "_bytes"), "id"), "near-open")
+    taken = (F.octet_length("set") + F.octet_length("sig") + ROW_BYTES).alias("_bytes")
+    chosen = staged(labelled.join(several, "key").join(sets.select("id", taken), "id"), "near-open")
     blocks = (chosen.groupBy("key").agg(F.sum("_bytes").alias("_sum"))
               .select("key", F.ceil(F.col("_sum") / BLOCK_BYTES).cast("int").alias("_blocks")))
     dealt = (chosen.join(blocks, "key")
@@ -294,7 +295,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     roots = staged(components(links), "near-roots")
     more = staged(_bucket_links(members, roots, sets), "near-more")
     if more.limit(1).count():
-        roots = staged(components(links.unionByName(more)), "near-roots")
+        stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+        roots = staged(components(stars.unionByName(more)), "near-roots")
     shared = named.groupBy("doc_id").agg(F.countDistinct("c1", "c2").alias("_k")).filter("_k > 1")
     if shared.limit(1).count():  # a doc_id with several texts joins their classes
         roots = components(links.unionByName(more).unionByName(copies))

@@ -137,6 +137,18 @@ def test_near_edge_and_empty(spark):
     assert minhash.near_dedup(empty_docs(spark)).count() == 0
 
 
+def test_blocks_count_what_a_member_takes_besides_its_set(spark, monkeypatch):
+    """Members with sets of a few hashes don't fill a block by the hundred thousand."""
+    seen = {}
+    monkeypatch.setattr(minhash, "staged", lambda df, name: seen.setdefault(name, df))
+    sig = bytes(minhash.PERMS)
+    sets = spark.createDataFrame([(k, sig, bytes(8)) for k in range(4)], "id long, sig binary, set binary")
+    members = spark.createDataFrame([(1, k, 0, 4) for k in range(4)], "key long, id long, first long, n long")
+    roots = spark.createDataFrame([(k, 0 if k < 2 else k) for k in range(4)], "id long, root long")
+    minhash._bucket_links(members, roots, sets)
+    assert {r["_bytes"] for r in seen["near-open"].collect()} == {8 + minhash.PERMS + minhash.ROW_BYTES}
+
+
 def test_near_id_with_two_texts_is_one_document(spark):
     a, b = family(random.Random(1), 2, 80, 60)
     rows = [(1, a), (5, a), (5, b), (7, b), (9, None)]
