@@ -15,7 +15,7 @@ buyer and a seller is exploded into one delta per wallet.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from escrowlens.functions.labels import ORDER_STATUSES, REFUNDABLE_STATUSES, ROLES
@@ -212,19 +212,27 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
                         F.when(F.col("ok"), F.col("total_amount")).alias("gross"),
                         "fee", "seller_net", "applied")
 
-    applied = c.filter("applied")
+    # An order without a product is refused: its rows need not meet the products.
+    applied = c.filter(F.col("applied") & F.col("product_id").isNotNull())
     w = t["wallets"].select(F.col("user_id").alias("p_seller"), F.col("id").alias("_wid"),
                             F.col("balance").alias("_bal0"))
-    a = applied.join(w, "p_seller", "left").withColumn(
-        "wallet_id", _wallet_id(F.col("p_seller"), F.col("_wid"))).withColumn(
-        "_bal0", F.coalesce("_bal0", F.lit(0).cast("bigint")))
+    wallet = _wallet_id(F.col("p_seller"), F.col("_wid")).alias("wallet_id")
+    before = F.coalesce("_bal0", F.lit(0).cast("bigint"))
 
     def ledger():
-        r = running_sum(a, "p_seller", ORDER, "seller_net", "_run", bucket=_split())
+        # The wallets meet the sellers' sums, not the sales.  Where a seller has several
+        # wallets, each sale is credited to each in turn.
+        of = Window.partitionBy("p_seller")
+        owned = w.filter(F.col("p_seller").isNotNull()).withColumns(
+            {"_n": F.count(F.lit(1)).over(of), "_nth": F.row_number().over(of.orderBy("_wid", "_bal0"))})
+        sales = applied.select("p_seller", "order_id", *ORDER, "seller_net", "rate")
+        r = running_sum(sales, "p_seller", ORDER, "seller_net", "_run", bucket=_split(), per_key=owned)
+        run = (F.col("_run") - F.col("seller_net")) * F.coalesce("_n", F.lit(1)) \
+            + F.col("seller_net") * F.coalesce("_nth", F.lit(1))
         return r.select(
-            "wallet_id", F.lit("escrow_release").alias("type"),
+            wallet, F.lit("escrow_release").alias("type"),
             F.col("seller_net").alias("amount"),
-            (F.col("_bal0") + F.col("_run")).alias("balance_after"),
+            (before + run).alias("balance_after"),
             F.concat(F.lit(DESC_SALE[0]), F.left(F.col("order_id"), F.lit(8)),
                      F.lit(DESC_SALE[1]), percent_label(F.col("rate")).cast("string"),
                      F.lit(DESC_SALE[2])).alias("description"),
@@ -232,9 +240,10 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
             F.col("cmd_id").alias("source_cmd"))
 
     def wallets():
-        return a.groupBy(F.col("p_seller").alias("user_id"), "wallet_id").agg(
-            F.first("_bal0").alias("balance_before"),
-            F.sum("seller_net").alias("credited")).withColumn(
+        sums = applied.groupBy("p_seller").agg(F.sum("seller_net").alias("_net"))
+        return sums.join(w, "p_seller", "left").groupBy(F.col("p_seller").alias("user_id"), wallet).agg(
+            F.first(before).alias("balance_before"),
+            F.sum("_net").alias("credited")).withColumn(
             "balance_after", F.col("balance_before") + F.col("credited"))
 
     def commission():

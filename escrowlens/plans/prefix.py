@@ -14,7 +14,7 @@ two levels:
 
 Step 3 partitions by ``(key, bucket)``, so one hot key spreads over as many
 tasks as it has buckets; the join with the offsets is on the same columns and
-reuses that partitioning.
+reuses that partitioning (``_keyed`` sees to null keys).
 
 A day can itself be hot (one key, one day, a third of all rows).  Passing
 ``bucket=RANGE`` instead cuts the rows of a key at some of its own rows: those
@@ -72,32 +72,55 @@ def bucketed(df: DataFrame, key: str, order: list, bucket) -> DataFrame:
     return df.withColumn("_bucket", bucket)
 
 
-def _on_bucket(rows: DataFrame, per_bucket: DataFrame, key: str) -> DataFrame:
-    """Rows with the values of their bucket; a null key matches itself."""
-    other = per_bucket.withColumnsRenamed({key: "_k2", "_bucket": "_b2"})
-    match = F.col(key).eqNullSafe(F.col("_k2")) & (F.col("_bucket") == F.col("_b2"))
-    return rows.join(other, match).drop("_k2", "_b2")
+KEY = ["_k", "_kn"]
+
+
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with its key as ``KEY``, a value that is never null and whether it was: windows
+    and joins on them match a null key with itself and need the same partitioning, so the
+    rows are shuffled once for both."""
+    kind = df.schema[key].dataType
+    blank = F.lit("" if kind.typeName() == "string" else 0).cast(kind)
+    return df.withColumns({"_k": F.coalesce(key, blank), "_kn": F.col(key).isNull()}).drop(key)
+
+
+def _unkeyed(key: str) -> Column:
+    return F.when(~F.col("_kn"), F.col("_k")).alias(key)
+
+
+def _on_bucket(rows: DataFrame, per_bucket: DataFrame) -> DataFrame:
+    """Rows with the values of their bucket."""
+    return rows.join(per_bucket, [*KEY, "_bucket"])
 
 
 def running_sum(df: DataFrame, key: str, order: list, value: str, out: str,
-                bucket: Column | None = None) -> DataFrame:
-    """Add ``out`` = running sum of ``value`` per ``key`` in ``order``."""
+                bucket: Column | None = None, per_key: DataFrame | None = None) -> DataFrame:
+    """Add ``out`` = running sum of ``value`` per ``key`` in ``order``.
+
+    The result is left-joined with ``per_key`` (``key`` and other columns); with buckets that
+    takes no shuffle of the rows, as the join is made on the buckets' offsets.
+    """
     if bucket is None:
         w = Window.partitionBy(key).orderBy(*_order(order)).rowsBetween(
             Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(w))
+        d = df.withColumn(out, F.sum(value).over(w))
+        return d if per_key is None else d.join(per_key, key, "left")
     b = "_bucket"
     kind = "bigint" if df.schema[value].dataType.typeName() == "long" else df.schema[value].dataType
-    d = bucketed(df, key, order, bucket)
-    totals = d.groupBy(key, b).agg(F.sum(value).alias("_bsum"))
-    wb = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, b, F.coalesce(F.sum("_bsum").over(wb), F.lit(0)).alias("_off"))
-    wl = Window.partitionBy(key, b).orderBy(*_order(order)).rowsBetween(
+    d = _keyed(bucketed(df, key, order, bucket), key)
+    totals = d.groupBy(*KEY, b).agg(F.sum(value).alias("_bsum"))
+    wb = Window.partitionBy(*KEY).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*KEY, b, F.coalesce(F.sum("_bsum").over(wb), F.lit(0)).alias("_off"))
+    more = []
+    if per_key is not None:
+        more = [c for c in per_key.columns if c != key]
+        offsets = offsets.join(per_key, ~F.col("_kn") & (F.col("_k") == F.col(key)), "left").drop(key)
+    wl = Window.partitionBy(*KEY, b).orderBy(*_order(order)).rowsBetween(
         Window.unboundedPreceding, 0)
     local = d.withColumn("_local", F.sum(value).over(wl))
-    return (_on_bucket(local, offsets, key)
-            .withColumn(out, (F.col("_local") + F.col("_off")).cast(kind))
-            .drop("_local", "_off", b))
+    total = (F.col("_local") + F.col("_off")).cast(kind).alias(out)
+    return _on_bucket(local, offsets).select(
+        *[_unkeyed(key) if c == key else c for c in df.columns], *more, total)
 
 
 def running_clamped(df: DataFrame, key: str, order: list, delta: str, out: str,
@@ -116,22 +139,22 @@ def running_clamped(df: DataFrame, key: str, order: list, delta: str, out: str,
         d = d.withColumn("_m", F.min("_s").over(w))
     else:
         b = "_bucket"
-        d = bucketed(d, key, order, bucket)
-        wl = Window.partitionBy(key, b).orderBy(*_order(order)).rowsBetween(
+        d = _keyed(bucketed(d, key, order, bucket), key)
+        wl = Window.partitionBy(*KEY, b).orderBy(*_order(order)).rowsBetween(
             Window.unboundedPreceding, 0)
         d = d.withColumn("_ls", F.sum(delta).over(wl)).withColumn("_lm", F.min("_ls").over(wl))
-        per_b = d.groupBy(key, b).agg(F.sum(delta).alias("_bsum"), F.min("_ls").alias("_bmin"))
-        wb = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        per_b = d.groupBy(*KEY, b).agg(F.sum(delta).alias("_bsum"), F.min("_ls").alias("_bmin"))
+        wb = Window.partitionBy(*KEY).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
         per_b = per_b.withColumn("_off", F.coalesce(F.sum("_bsum").over(wb), F.lit(0))
                                  .cast("bigint"))
         # Lowest running sum reached in any earlier bucket of the key.
         per_b = per_b.withColumn("_pmin", F.min(F.col("_off") + F.col("_bmin")).over(wb))
-        d = _on_bucket(d, per_b.select(key, b, "_off", "_pmin"), key)
+        d = _on_bucket(d, per_b.select(*KEY, b, "_off", "_pmin"))
         d = d.withColumn("_s", F.col("_ls") + F.col("_off"))
         m = F.col("_lm") + F.col("_off")
         d = d.withColumn("_m", F.when(F.col("_pmin").isNull(), m)
                          .otherwise(F.least(m, F.col("_pmin"))))
-        d = d.drop("_ls", "_lm", "_off", "_pmin", b)
+        d = d.select(*[_unkeyed(key) if c == key else c for c in df.columns], "_w0", "_s", "_m")
     res = F.col("_w0") + F.col("_s") - F.least(F.lit(0).cast("bigint"),
                                                F.col("_w0") + F.col("_m"))
     return d.withColumn(out, res).drop("_w0", "_s", "_m")
@@ -149,14 +172,13 @@ def previous_value(df: DataFrame, key: str, order: list, value: str, out: str,
     if bucket is None:
         return df.withColumn(out, shift(value).over(Window.partitionBy(key).orderBy(*ordc)))
     b = "_bucket"
-    d = bucketed(df, key, order, bucket)
+    d = _keyed(bucketed(df, key, order, bucket), key)
     edge = F.min_by if following else F.max_by
-    last = d.groupBy(key, b).agg(edge(value, F.struct(*ordc)).alias("_bedge"))
-    wb = Window.partitionBy(key).orderBy(b)
-    last = last.select(key, b, shift("_bedge").over(wb).alias("_bnext"))
-    wl = Window.partitionBy(key, b).orderBy(*ordc)
+    last = d.groupBy(*KEY, b).agg(edge(value, F.struct(*ordc)).alias("_bedge"))
+    wb = Window.partitionBy(*KEY).orderBy(b)
+    last = last.select(*KEY, b, shift("_bedge").over(wb).alias("_bnext"))
+    wl = Window.partitionBy(*KEY, b).orderBy(*ordc)
     d = d.withColumn("_edge", shift(F.lit(1)).over(wl).isNull()) \
          .withColumn("_local", shift(value).over(wl))
-    d = _on_bucket(d, last, key)
-    return d.withColumn(out, F.when(F.col("_edge"), F.col("_bnext"))
-                        .otherwise(F.col("_local"))).drop("_edge", "_local", "_bnext", b)
+    found = F.when(F.col("_edge"), F.col("_bnext")).otherwise(F.col("_local")).alias(out)
+    return _on_bucket(d, last).select(*[_unkeyed(key) if c == key else c for c in df.columns], found)

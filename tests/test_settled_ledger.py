@@ -1,0 +1,92 @@
+"""The settled ledger: what travels, and what several or missing wallets and keys give."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from conftest import SF_SMALL
+from escrowlens.operators import commands as cm
+from escrowlens.plans.prefix import RANGE, previous_value, running_clamped, running_sum
+from pyspark.sql import functions as F
+from test_micro import T0, _admin_wallet, _settings, table, ts
+
+
+def _shuffles(spark, build, text: str = "hashpartitioning") -> list[str]:
+    """The exchanges of a plan made without broadcasts and without statistics of a run."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = build()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    return [x for x in plan.splitlines() if "Exchange" in x and text in x]
+
+
+def _rows(spark):
+    data = [(k, n, (n * 7) % 5 - 2) for n in range(60) for k in ("a", "b", "", None)]
+    return spark.createDataFrame(data, "k string, n int, v bigint")
+
+
+def test_running_operators_shuffle_the_rows_once(spark):
+    d = _rows(spark).repartition(3)
+    # the rows, the sums of the buckets, these by key and by bucket again
+    assert len(_shuffles(spark, lambda: running_sum(d, "k", ["n"], "v", "s", bucket=RANGE))) == 4
+    assert len(_shuffles(spark, lambda: previous_value(d, "k", ["n"], "v", "p", bucket=RANGE))) == 4
+
+
+def test_null_keys_are_one_key_of_their_own(spark):
+    d = _rows(spark)
+    for bucket in (RANGE, F.floor(F.col("n") / 7)):
+        r = running_sum(d, "k", ["n"], "v", "s", bucket=bucket)
+        r = previous_value(r, "k", ["n"], "v", "p", bucket=bucket)
+        r = running_clamped(r, "k", ["n"], "v", "e", bucket=bucket)
+        assert r.columns == ["k", "n", "v", "s", "p", "e"]
+        got = {(x["k"], x["n"]): (x["s"], x["p"], x["e"]) for x in r.collect()}
+        assert len(got) == 240
+        for k in ("a", "b", "", None):
+            total, held, before = 0, 0, None
+            for n in range(60):
+                v = (n * 7) % 5 - 2
+                total, held = total + v, max(held + v, 0)
+                assert got[k, n] == (total, before, held)
+                before = v
+
+
+def test_columns_of_a_key_join_like_a_left_join(spark):
+    d = _rows(spark)
+    per = spark.createDataFrame([("a", 1), ("a", 2), ("", 3), (None, 4)], "k string, x int")
+    got = running_sum(d, "k", ["n"], "v", "s", bucket=RANGE, per_key=per)
+    want = running_sum(d, "k", ["n"], "v", "s").join(per, "k", "left").select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_sales_meet_no_wallets_on_their_way(spark):
+    from escrowlens.sources import commands as src
+    from escrowlens.sources.marketplace import load_marketplace
+    t = load_marketplace(spark, SF_SMALL)
+    by_seller = _shuffles(spark, lambda: cm.settle_commission(t, src.settle_commands(t))["ledger"],
+                          "hashpartitioning(p_seller")
+    assert len(by_seller) == 1  # the wallets, to be numbered
+
+
+def test_every_wallet_of_a_seller_is_credited_in_turn(spark):
+    orders = table(spark, "orders", [{"id": f"O{n}", "product_id": p, "total_amount": 1000 * n} for n, p in
+                                     ((1, 1), (2, 1), (3, 2), (4, 3), (5, None))])
+    products = table(spark, "products", [{"id": n, "seller_id": s} for n, s in ((1, "S1"), (2, "S2"), (3, None))])
+    wallets = table(spark, "wallets", [{"id": i, "user_id": u, "balance": b} for i, u, b in
+                                       (("W1", "S1", 10), ("W2", "S1", 20), ("W0", None, 7))])
+    t = {"orders": orders, "products": products, "wallets": wallets, "app_settings": _settings(spark, "0"),
+         "admin_wallet": _admin_wallet(spark), "platform_commission": table(spark, "platform_commission", [])}
+    at = dt.timedelta(hours=1)
+    cmds = spark.createDataFrame([(f"c{n}", f"O{n}", ts(T0) + n * at) for n in range(1, 6)],
+                                 "cmd_id string, order_id string, requested_at timestamp_ntz")
+    done = cm.settle_commission(t, cmds)
+    led = sorted((x["source_cmd"], x["wallet_id"], x["balance_after"]) for x in done["ledger"].collect())
+    # as the sales joined with the wallets give: a running sum over the rows of both wallets
+    assert led == [("c1", "W1", 1010), ("c1", "W2", 2020), ("c2", "W1", 4010), ("c2", "W2", 6020),
+                   ("c3", "W-S2", 3000)]
+    ends = sorted((x["user_id"], x["wallet_id"], x["balance_before"], x["credited"], x["balance_after"])
+                  for x in done["wallets"].collect())
+    assert ends == [("S1", "W1", 10, 3000, 3010), ("S1", "W2", 20, 3000, 3020), ("S2", "W-S2", 0, 3000, 3000)]
