@@ -63,7 +63,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Append the rows of one batch; the same batch again replaces its own rows."""
-    df.write.mode("overwrite").parquet(f"{path}/b={batch_id}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/b={batch_id}")
 
 
 def appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
