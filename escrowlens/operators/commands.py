@@ -227,8 +227,8 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
             {"_n": F.count(F.lit(1)).over(of), "_nth": F.row_number().over(of.orderBy("_wid", "_bal0"))})
         sales = applied.select("p_seller", "order_id", *ORDER, "seller_net", "rate")
         r = running_sum(sales, "p_seller", ORDER, "seller_net", "_run", bucket=_split(), per_key=owned)
-        run = (F.col("_run") - F.col("seller_net")) * F.coalesce("_n", F.lit(1)) \
-            + F.col("seller_net") * F.coalesce("_nth", F.lit(1))
+        net = F.coalesce("seller_net", F.lit(0).cast("bigint"))  # no amount, no credit
+        run = (F.col("_run") - net) * F.coalesce("_n", F.lit(1)) + net * F.coalesce("_nth", F.lit(1))
         return r.select(
             wallet, F.lit("escrow_release").alias("type"),
             F.col("seller_net").alias("amount"),

@@ -72,21 +72,21 @@ def test_sales_meet_no_wallets_on_their_way(spark):
 
 
 def test_every_wallet_of_a_seller_is_credited_in_turn(spark):
-    orders = table(spark, "orders", [{"id": f"O{n}", "product_id": p, "total_amount": 1000 * n} for n, p in
-                                     ((1, 1), (2, 1), (3, 2), (4, 3), (5, None))])
+    orders = table(spark, "orders", [{"id": f"O{n}", "product_id": p, "total_amount": 1000 * n if n < 6 else None}
+                                     for n, p in ((1, 1), (2, 1), (3, 2), (4, 3), (5, None), (6, 1))])
     products = table(spark, "products", [{"id": n, "seller_id": s} for n, s in ((1, "S1"), (2, "S2"), (3, None))])
     wallets = table(spark, "wallets", [{"id": i, "user_id": u, "balance": b} for i, u, b in
                                        (("W1", "S1", 10), ("W2", "S1", 20), ("W0", None, 7))])
     t = {"orders": orders, "products": products, "wallets": wallets, "app_settings": _settings(spark, "0"),
          "admin_wallet": _admin_wallet(spark), "platform_commission": table(spark, "platform_commission", [])}
     at = dt.timedelta(hours=1)
-    cmds = spark.createDataFrame([(f"c{n}", f"O{n}", ts(T0) + n * at) for n in range(1, 6)],
+    cmds = spark.createDataFrame([(f"c{n}", f"O{n}", ts(T0) + n * at) for n in range(1, 7)],
                                  "cmd_id string, order_id string, requested_at timestamp_ntz")
     done = cm.settle_commission(t, cmds)
     led = sorted((x["source_cmd"], x["wallet_id"], x["balance_after"]) for x in done["ledger"].collect())
     # as the sales joined with the wallets give: a running sum over the rows of both wallets
     assert led == [("c1", "W1", 1010), ("c1", "W2", 2020), ("c2", "W1", 4010), ("c2", "W2", 6020),
-                   ("c3", "W-S2", 3000)]
+                   ("c3", "W-S2", 3000), ("c6", "W1", 6010), ("c6", "W2", 6020)]
     ends = sorted((x["user_id"], x["wallet_id"], x["balance_before"], x["credited"], x["balance_after"])
                   for x in done["wallets"].collect())
     assert ends == [("S1", "W1", 10, 3000, 3010), ("S1", "W2", 20, 3000, 3020), ("S2", "W-S2", 0, 3000, 3000)]
