@@ -23,7 +23,7 @@ from escrowlens.functions.money import (RATE_TYPE, parse_rate, percent_label, ra
                                         seller_fee, thousands)
 from escrowlens.operators.catalog import rate_setting
 from escrowlens.plans.fold import ordered_guarded_fold
-from escrowlens.plans.joins import one_row
+from escrowlens.plans.joins import growing, one_row
 from escrowlens.plans.prefix import RANGE, previous_value, running_clamped, running_sum
 
 Tables = dict[str, DataFrame]
@@ -177,7 +177,8 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
     that is no rate refuses every command.  The seller is the product's.  An
     order already settled, or settled by an earlier command of the batch, is
     reported ok but not credited again (``applied`` = false).  The fees go to
-    the oldest admin wallet row.
+    the oldest admin wallet row.  ``commission`` is the whole table afterwards,
+    ``commission_changes`` its new and changed rows.
     """
     rate = rate_setting(t).select(parse_rate("value").alias("rate"),
                                   rate_error("value").alias("_rate_error"))
@@ -197,7 +198,7 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
         .join(settled, "order_id", "left").crossJoin(F.broadcast(one_row(rate, aw)))
     # Orders without a product meet nothing: a key of their own spreads them.
     c = c.withColumn("_product", F.coalesce("product_id", -F.abs(F.xxhash64("order_id")) - 1))
-    c = c.join(p.withColumnRenamed("product_id", "_product"), "_product", "left").drop("_product") \
+    c = c.join(growing(p.withColumnRenamed("product_id", "_product")), "_product", "left").drop("_product") \
         .withColumn("p_seller", F.when(F.col("product_id").isNotNull(), F.col("p_seller")))
     err = (F.when(F.col("_rate_error").isNotNull(), F.col("_rate_error"))
            .when(F.col("p_seller").isNull(), F.lit(ERR_ORDER_NOT_FOUND_SETTLE))
@@ -246,11 +247,11 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
             F.sum("_net").alias("credited")).withColumn(
             "balance_after", F.col("balance_before") + F.col("credited"))
 
-    def commission():
+    def commission(how="full"):
         new = applied.select("order_id", F.col("total_amount").alias("_gross"), F.col("rate").alias("_rate"),
                              F.col("fee").alias("_fee"), F.col("seller_net").alias("_net"),
                              F.col("requested_at").alias("_at"))
-        both = t["platform_commission"].join(new, "order_id", "full")
+        both = t["platform_commission"].join(new, "order_id", how)
         fresh = F.col("_at").isNotNull()
         return both.select(
             F.coalesce("id", F.concat(F.lit("PC-"), "order_id")).alias("id"), "order_id",
@@ -278,7 +279,8 @@ def settle_commission(t: Tables, commands: DataFrame) -> dict[str, DataFrame]:
                               F.col("seller_net").alias("seller_payout"))
 
     return Outputs(outcomes=lambda: outcomes, ledger=ledger, wallets=wallets,
-                   commission=commission, admin_wallet=admin_wallet, orders=orders)
+                   commission=commission, commission_changes=lambda: commission("right"),
+                   admin_wallet=admin_wallet, orders=orders)
 
 
 # ---------------------------------------------------------------- J5 status
