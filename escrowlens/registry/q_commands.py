@@ -155,16 +155,16 @@ register("settle_oldest_admin_wallet", settle_ctes("m_settle_cmds", "'0.00125'")
 @register("commission_published", SETTLE + SETTLED_COMMISSION, needs_session=True)
 def commission_published(t, spark, sf_dir):
     """The commission table after settlement: only the ranges of order numbers with a
-    settled order are written anew; the batch is repeated, as after a failure."""
-    done = cm.settle_commission(t, _cmds(t))
-    rows = done["commission"]
+    settled order are written anew; the batch, settled once and kept, is repeated, as
+    after a failure."""
+    rows = cm.settle_commission(t, _cmds(t))["commission_changes"]
     part = F.floor(F.split_part("order_id", F.lit("-"), F.lit(1)).cast("bigint") / ORDERS_PER_PART)
     before = t["platform_commission"].select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields])
     table = VersionedTable.create(before, "commission", ["order_id"], part)
-    moved = done["ledger"].select(F.col("ref_order_id").alias("order_id")).distinct()
-    changes = rows.join(moved, "order_id", "left_semi")
+    path = scratch_path(spark, "settled-commission")
+    append_batch(rows, path, 1)
     for _ in range(2):
-        table.upsert(changes, 1)
+        table.upsert(appended(spark, path, rows.schema), 1)
     return table.read()
 
 

@@ -29,3 +29,32 @@ def test_products_are_not_broadcast_to_the_settlement(spark):
         plan = _planned(spark, lambda: df.select("*"))  # noqa: B023
         joins = [x for x in plan.splitlines() if "Join [_product" in x]
         assert joins and all("SortMergeJoin" in x for x in joins), joins
+
+
+def test_changed_commission_rows_are_those_of_settled_orders(spark):
+    """They come by themselves, as in the whole table, and the whole table isn't shuffled for them."""
+    t = load_marketplace(spark, SF_SMALL)
+    done = cm.settle_commission(t, src.settle_commands(t))
+    changes = done["commission_changes"]
+    exp = done["commission"].join(done["orders"].select("order_id").distinct(), "order_id", "left_semi").select(*changes.columns)
+    assert changes.columns == done["commission"].columns
+    assert 0 < changes.count() < done["commission"].count()
+    assert changes.exceptAll(exp).count() == 0 and exp.exceptAll(changes).count() == 0
+
+
+def test_published_commission_settles_its_batch_once(spark, monkeypatch):
+    """The batch that is repeated is the one that was written, not another settlement."""
+    from escrowlens.registry import q_commands
+    from escrowlens.sources.versions import VersionedTable
+    t, plans = load_marketplace(spark, SF_SMALL), []
+    upsert = VersionedTable.upsert
+
+    def seen(self, changes, batch_id, gone=None):
+        plans.append(changes._jdf.queryExecution().executedPlan().toString())
+        upsert(self, changes, batch_id, gone)
+
+    monkeypatch.setattr(VersionedTable, "upsert", seen)
+    got = q_commands.commission_published(t, spark, SF_SMALL)
+    exp = cm.settle_commission(t, src.settle_commands(t))["commission"]
+    assert len(plans) == 2 and not [p for p in plans if "Join" in p or "Exchange" in p]
+    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
