@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from conftest import SF_SMALL
 from escrowlens.operators import commands as cm
+from escrowlens.operators import views
 from escrowlens.sources import commands as src
 from escrowlens.sources.marketplace import load_marketplace
+from pyspark.sql import functions as F
 
 
 def _planned(spark, build, **conf) -> str:
@@ -58,3 +60,43 @@ def test_published_commission_settles_its_batch_once(spark, monkeypatch):
     exp = cm.settle_commission(t, src.settle_commands(t))["commission"]
     assert len(plans) == 2 and not [p for p in plans if "Join" in p or "Exchange" in p]
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
+def _view_tables(spark):
+    """Orders with missing, unknown and repeated products and people."""
+    orders = [(f"o{k}", [k % 7, None, 99][k % 3], [f"B{k % 5}", None, "B9"][k % 4 % 3]) for k in range(300)]
+    names = "created_at status quantity total_amount platform_fee seller_payout commission_rate".split()
+    return {"orders": spark.createDataFrame(orders, "id string, product_id long, buyer_id string")
+            .withColumns({n: F.lit(n) for n in names}),
+            "products": spark.createDataFrame(
+                [(k, f"t{k}", "c", f"S{k % 2}") for k in range(7)] + [(3, "again", "c", None), (None, "none", "c", "S1")],
+                "id long, title string, category string, seller_id string"),
+            "profiles": spark.createDataFrame(
+                [(x, f"n{x}", f"u{x}") for x in ("B0", "B1", "B1", "B2", "S0")] + [(None, "nobody", None)],
+                "id string, full_name string, username string"),
+            "wallets": spark.createDataFrame([("B0", 1), ("B1", 2), ("B3", 3), ("S1", 4), (None, 5)], "user_id string, balance long"),
+            "platform_commission": spark.createDataFrame([("o1", 1, "settled"), ("o3", 2, "settled"), ("o3", 3, "due")],
+                                                         "order_id string, fee_amount long, status string")}
+
+
+def test_view_on_a_grid_gives_the_same_rows_and_deals_the_orders_once(spark):
+    t = _view_tables(spark)
+    plain = views.admin_orders_v2(t, cells=0)
+    for cells in (1, 9, 16):
+        grid = views.admin_orders_v2(t, cells=cells)
+        assert grid.schema == plain.schema
+        assert grid.exceptAll(plain).count() == 0 and plain.exceptAll(grid).count() == 0
+    plan = _planned(spark, lambda: views.admin_orders_v2(load_marketplace(spark, SF_SMALL), cells=9),
+                    **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    dealt = [x for x in plan.splitlines() if "Exchange" in x and "_cell" in x]
+    assert len([x for x in dealt if "shufflepartitionidpassthrough(direct_shuffle_partition_id(_cell#" in x]) == 1
+    assert not [x for x in dealt if "hashpartitioning" in x]
+
+
+def test_a_grid_is_for_many_rows_and_smaller_tables(spark, monkeypatch):
+    from escrowlens.plans import joins
+    monkeypatch.setattr(joins, "ROWS_PER_CELL", 10)
+    few, many = spark.range(30), spark.range(400)
+    assert joins.grid_cells(few, few) == 0  # too few cells
+    assert joins.grid_cells(many, few, few) == 40
+    assert joins.grid_cells(many, few, spark.range(60)) == 0  # 6 times 90 rows are more than 400
