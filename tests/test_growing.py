@@ -81,12 +81,12 @@ def _view_tables(spark):
 
 def test_view_on_a_grid_gives_the_same_rows_and_deals_the_orders_once(spark):
     t = _view_tables(spark)
-    plain = views.admin_orders_v2(t, cells=0)
-    for cells in (1, 9, 16):
-        grid = views.admin_orders_v2(t, cells=cells)
+    plain = views.admin_orders_v2(t, grid=False)
+    for shape in ((1, 1), (3, 3), (2, 5)):
+        grid = views.admin_orders_v2(t, grid=shape)
         assert grid.schema == plain.schema
         assert grid.exceptAll(plain).count() == 0 and plain.exceptAll(grid).count() == 0
-    plan = _planned(spark, lambda: views.admin_orders_v2(load_marketplace(spark, SF_SMALL), cells=9),
+    plan = _planned(spark, lambda: views.admin_orders_v2(load_marketplace(spark, SF_SMALL), grid=(3, 3)),
                     **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
     dealt = [x for x in plan.splitlines() if "Exchange" in x and "_cell" in x]
     assert len([x for x in dealt if "shufflepartitionidpassthrough(direct_shuffle_partition_id(_cell#" in x]) == 1
@@ -97,6 +97,7 @@ def test_a_grid_is_for_many_rows_and_smaller_tables(spark, monkeypatch):
     from escrowlens.plans import joins
     monkeypatch.setattr(joins, "ROWS_PER_CELL", 10)
     few, many = spark.range(30), spark.range(400)
-    assert joins.grid_cells(few, few) == 0  # too few cells
-    assert joins.grid_cells(many, few, few) == 40
-    assert joins.grid_cells(many, few, spark.range(60)) == 0  # 6 times 90 rows are more than 400
+    assert joins.grid_shape(few, few, few) is None  # too few cells
+    assert joins.grid_shape(many, few, few) == (6, 7)
+    assert joins.grid_shape(many, spark.range(120), spark.range(3)) == (40, 1)
+    assert joins.grid_shape(many, few, spark.range(60)) is None  # repeated, they are more than 400
